@@ -49,11 +49,21 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read_digests(spark, uri)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets as s
+
+    found = s.secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    spans = s.written(F.array_sort(F.concat("base", "random"), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)))
+    return found.select("row.doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(s.written(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), F.size("random").cast("long").alias("n_random"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 #: n_repeat_words joins every 8-word window of a document with its kind; the rest are list functions.
