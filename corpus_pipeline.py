@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismark.llm import decontaminate, quality, simhash
+from seismark.llm import decontaminate, quality, secrets, sentencepieces, simhash
 from seismark.llm._common import materialize, table
+from seismark.llm.queries import tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +33,29 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).filter(F.size("matches") == 0).select("row.*")
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret found is cut out and marked; n_chars follows the text. All documents stay."""
+    found = secrets.secrets(docs)
+    spans = F.array_sort(F.concat("base", "random"))
+    text = secrets.redacted(F.col("row.text"), spans)
+    cols = {"text": text, "n_chars": F.when(F.size(spans) > 0, F.char_length(text)).otherwise(F.col("row.n_chars"))}
+    return found.select(*[cols[c].cast(docs.schema[c].dataType).alias(c) if c in cols else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their ids; a document whose ids do not decode to its text is marked."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    back = sentencepieces.decode(sentencepieces.encode(docs, model), model)
+    same = F.col("decoded") == F.coalesce("row.row.text", F.lit(""))
+    return back.select(*[F.col(f"row.row.`{c}`").alias(c) for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")], F.col("row.ids").alias("ids"), F.size("row.ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("near-duplicates", near_duplicates),
     ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("SentencePiece encoding", sentencepiece_encoding),
 ]
 
 #: The near-duplicate, decontamination, secret and encoding stages have no SQL form; tests hold run() against brute force.

@@ -49,6 +49,31 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read_digests(spark, uri)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_counts as t
+
+    return t.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"]).select("row.doc_id", "n_words", "n_tokens")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict(docs, net, keep=["doc_id"])
+    return found.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, their checksum (as little-endian 32-bit integers), and whether decoding them gives the text back."""
+    from . import sentencepieces as s
+
+    model = tokenizer_file("piece_bpe_32k.model")
+    back = s.decode(s.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id", "text"]), model)
+    text, ids = F.coalesce("row.row.text", F.lit("")), F.col("row.ids")
+    return back.select(F.col("row.row.doc_id").alias("doc_id"), F.size(ids).cast("long").alias("n_tokens"), F.col("row.ids_crc32").alias("ids_crc32"), F.char_length("decoded").cast("long").alias("decoded_chars"), (F.col("decoded") == text).alias("round_trip"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets as s
 
@@ -63,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
+    "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
 }
 
