@@ -33,6 +33,12 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.read_back(chat.pack(chat.with_probe(spark, table(spark, sf_dir, "conversations"))))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item found in it."""
     from . import decontaminate as d
@@ -86,6 +92,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
