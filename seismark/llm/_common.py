@@ -7,12 +7,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes that separate words in every operator here: space, \t, \n, \v, \f, \r (what bytes.split() splits on).
 WORD_SPACE = b" \t\n\x0b\x0c\r"
+#: Bytes of text that a worker takes from an Arrow batch at once.
+SLICE = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,9 +83,28 @@ def map_rows(df: DataFrame, text_col: str, add: list[tuple[str, T.DataType]], fn
     names = ["row", *[n for n, _ in add]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in slices(whole, whole.column(0).flatten()[at] if inside else whole.column(1)):
                 held = b.column(0)
                 yield pa.RecordBatch.from_arrays([held, *fn(held.flatten()[at] if inside else b.column(1))], names=names)
 
     return src.mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, by: pa.Array, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows (one at least) of about ``size`` bytes of the column ``by``, without copying."""
+    n = batch.num_rows
+    if pa.types.is_string(by.type) or pa.types.is_binary(by.type):
+        lengths = pc.fill_null(pc.binary_length(by), 0).to_numpy(zero_copy_only=False)
+    elif pa.types.is_list(by.type):
+        lengths = pc.fill_null(pc.list_value_length(by), 0).to_numpy(zero_copy_only=False) * 4
+    else:
+        lengths = np.full(n, by.nbytes // max(n, 1))
+    begun, held = 0, 0
+    for i, k in enumerate(lengths.tolist()):
+        if i > begun and held + k > size:
+            yield batch.slice(begun, i - begun)
+            begun, held = i, 0
+        held += k
+    if n > begun:
+        yield batch.slice(begun)

@@ -31,7 +31,7 @@ from ._common import map_rows
 
 SPACE = "▁"
 #: Chunks that a worker keeps encoded, and characters that it indexes at once.
-KEPT, INDEXED = 800_000, 4_000_000
+KEPT, INDEXED = 400_000, 1_000_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = np.iinfo(np.int32).max
 
@@ -225,18 +225,11 @@ def decode_ids(path: str, ids: np.ndarray, rule: str | None = None) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None, rule: str | None = None, at_once: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None, rule: str | None = None) -> DataFrame:
     """``row``, ``ids`` and their crc32 (of little-endian 32-bit integers)."""
 
     def run(text: pa.Array) -> list[pa.Array]:
-        rows: list[np.ndarray] = []
-        texts = text.to_pylist()
-        at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size > at_once or i == len(texts) - 1:
-                rows += encode_texts(model, texts[at : i + 1], rule)
-                at, size = i + 1, 0
+        rows = encode_texts(model, text.to_pylist(), rule)
         ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
         flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32())
         return [pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([zlib.crc32(r) for r in rows], pa.int64())]

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ._common import map_rows, texts_of
 
 #: Words whose counts a worker keeps before it starts anew.
-KEPT = 1_000_000
+KEPT = 500_000
 SPACE = "▁"
 
 
@@ -103,16 +103,7 @@ def token_counts(docs: DataFrame, model: str, text_col: str = "text", keep: list
     """``row``, ``n_words`` and ``n_tokens`` of every text. Nothing is shuffled."""
 
     def run(text: pa.Array) -> list[pa.Array]:
-        words, tokens = [], []
-        raw = texts_of(text)
-        at = size = 0
-        for i, t in enumerate(raw):  # a batch's tries are over some 8 MB of text each
-            size += len(t or b"")
-            if size > 8 << 20 or i == len(raw) - 1:
-                w, n = count_texts(model, raw[at : i + 1])
-                words += w
-                tokens += n
-                at, size = i + 1, 0
+        words, tokens = count_texts(model, texts_of(text))
         return [pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
 
     return map_rows(docs, text_col, [("n_words", T.LongType()), ("n_tokens", T.LongType())], run, keep)
