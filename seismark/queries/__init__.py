@@ -1,4 +1,7 @@
 """Registered queries of the series engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import monitors, points
+
+MODULES = (points, monitors)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict = {k: v for m in MODULES for k, v in m.ORACLE.items()}
