@@ -92,7 +92,7 @@ class Pieces:
         sym[: len(text)] = self.symbols(text)
         rows = np.lib.stride_tricks.sliding_window_view(sym, depth)[: len(text)]
         suffix = np.ascontiguousarray(rows).view(f"S{2 * depth}").ravel()
-        array = np.argsort(suffix, kind="stable")
+        array = self._order(sym, len(text))
         suffix = suffix[array]
         low = np.searchsorted(suffix, self.keys, "left")
         after = self.keys.view(np.uint8).reshape(len(self.keys), -1).copy()
@@ -102,11 +102,28 @@ class Pieces:
         which = np.repeat(np.arange(len(n)), n)
         at = array[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
         length, rank = self.lengths[which], self.rank_of[which]
-        by = np.argsort(at * (depth + 1) + length, kind="stable")
+        by = np.argsort(at * (depth + 1) + length)
         return at[by], length[by], rank[by]
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """The ids of each chunk."""
+    def _order(self, sym: np.ndarray, n: int) -> np.ndarray:
+        """The suffix array to the depth of the longest piece or more, by doubling: ranks of 4 symbols, then of 8, 16, ..."""
+        s = np.zeros(n + 3, np.uint64)
+        s[:n] = sym[:n]
+        key = s[:n] << np.uint64(48) | s[1 : n + 1] << np.uint64(32) | s[2 : n + 2] << np.uint64(16) | s[3 : n + 3]
+        depth, order = 4, np.argsort(key)
+        while depth < self.longest and n:
+            ordered = key[order]
+            rank = np.empty(n, np.uint64)
+            rank[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])).astype(np.uint64)
+            after = np.zeros(n, np.uint64)
+            if n > depth:
+                after[:-depth] = rank[depth:]
+            key = rank << np.uint64(32) | after
+            depth, order = 2 * depth, np.argsort(key)
+        return order
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, as little-endian 32-bit integers."""
         text = "".join(chunks)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         start, length, rank = self.edges(text)
@@ -124,13 +141,15 @@ class Pieces:
         got = table[begins, np.minimum(spans, self.longest)]
         ids = np.where(got >= 0, self.id_of_rank[got], -1)
         counts = np.bincount(owner[begins], minlength=len(chunks)) if len(begins) else np.zeros(len(chunks), np.int64)
-        out = np.split(ids, np.cumsum(counts)[:-1])
         first = np.cumsum(counts) - counts
+        blob, cuts = ids.astype("<i4").tobytes(), (4 * first).tolist() + [4 * len(ids)]
+        out = [blob[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
         for k in np.unique(owner[begins[ids < 0]]).tolist() if (ids < 0).any() else []:
             row: list[int] = []
-            for i, b in zip(out[k].tolist(), begins[first[k] : first[k] + counts[k]].tolist(), strict=True):
+            at = slice(first[k], first[k] + counts[k])
+            for i, b in zip(ids[at].tolist(), begins[at].tolist(), strict=True):
                 row += [i] if i >= 0 else [self.byte[x] for x in text[b].encode()]
-            out[k] = np.array(row, np.int32)
+            out[k] = np.array(row, "<i4").tobytes()
         return out
 
     def _merged(self, n: int, owner: np.ndarray, start: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +231,7 @@ def encode_texts(path: str, texts: list[str | None], rule: str | None = None) ->
         group.append(chunk)
         size += len(chunk)
         if size > INDEXED or k == len(new) - 1:
-            for c, ids in zip(group, pieces.encode_chunks(group), strict=True):
-                known[c] = ids.astype("<i4").tobytes()
+            known.update(zip(group, pieces.encode_chunks(group), strict=True))
             group, size = [], 0
     get = known.__getitem__
     return [np.frombuffer(b"".join(map(get, chunks)), "<i4") for chunks in split]
