@@ -1,7 +1,7 @@
 """Registered queries of the series engine and their SQL twins."""
 
-from . import monitors, points
+from . import monitors, panels, points
 
-MODULES = (points, monitors)
+MODULES = (points, monitors, panels)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict = {k: v for m in MODULES for k, v in m.ORACLE.items()}
