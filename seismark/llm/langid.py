@@ -4,7 +4,7 @@ Bytes are embedded, filters of several widths run over them, each filter's large
 a softmax over languages follows. Training minimises cross-entropy with Adam on windows of labelled texts. A text is read
 as consecutive windows of ``WINDOW`` bytes, all of it; its log-probabilities are the mean over its windows, weighted by their letters' bytes.
 
-The network is fitted on a bounded sample of labelled rows: for each label the ``SAMPLE`` rows with the smallest hash of their text, and
+The network is fitted on a bounded sample of labelled rows: for each label the ``SAMPLE`` distinct texts with the smallest hashes, and
 of each at most ``WINDOWS`` windows, evenly spaced. Everything else reads every row whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows without label are predicted but not learned
@@ -122,13 +122,18 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = EPOCHS,
 def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, per_text: int = WINDOWS) -> Network | None:
     """Learns from rows with a label and a text; None if there are none. The driver gets at most ``sample`` texts for each label."""
     known = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).filter("label is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "bytes"))
-    chosen = known.withColumn("h", F.xxhash64("text")).withColumn("bytes", F.octet_length("text")).withColumn("rank", rank).filter(F.col("rank") <= sample).select("label", "text", "h").orderBy("label", "h", "text").collect()
+    known = known.withColumn("h", F.xxhash64("text"))
+    # ranks are taken over hashes alone; then the chosen texts are fetched, each once however many copies it has
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    best = known.select("label", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= sample).collect()
+    if len({r["label"] for r in best}) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    wanted = known.filter(F.col("h").isin(sorted({r["h"] for r in best})))
+    pairs = {(r["label"], r["h"]) for r in best}
+    chosen = [r for r in wanted.groupBy("label", "h").agg(F.min("text").alias("text")).orderBy("label", "h").collect() if (r["label"], r["h"]) in pairs]
     labels = sorted({r["label"] for r in chosen})
     if not labels:
         return None
-    if len(labels) > MOST_LABELS:
-        raise ValueError(f"{len(labels)} labels; at most {MOST_LABELS}")
     xs, ys = [], []
     for r in chosen:
         w = windows(r["text"].encode())
