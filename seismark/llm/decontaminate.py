@@ -57,7 +57,8 @@ def myers(item: str, text: str, k: int) -> tuple[int, int] | None:
     for i, c in enumerate(item):
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << m - 1
-    pv, mv, score, best = full, 0, m, None
+    pv, mv, score = full, 0, m
+    best = (m, 0) if m <= k else None  # the empty part
     for at, c in enumerate(text):
         eq = masks.get(c, 0)
         xv = eq | mv

@@ -1,8 +1,8 @@
 """Main text of web pages by maximum-scoring subsequence.
 
-A page is read as words and tags in order. Words score positive and tags negative; words inside links, and inside elements that
-are no part of an article (menus, headers, footers, sidebars, notices, adverts, forms, comments), score negative too. The
-weights are log-odds of lying inside the main text, counted on labelled pages. One linear scan finds the contiguous region with the best sum; its text is
+A page is read as words and tags in order. Words score positive, tags and words of links negative. An element that
+is no part of an article (menu, header, footer, sidebar, notice, advert, form, comments) counts as one strongly negative tag,
+whatever it holds, and is left out of the text. The weights are log-odds of lying inside the main text, counted on labelled pages. One linear scan finds the contiguous region with the best sum; its text is
 taken without the elements that are no part of an article. The words of one text node score alike, so a region's
 ends always fall between nodes and whole nodes are scored at once.
 
@@ -64,7 +64,8 @@ def _outside(name: str, attrs: str) -> bool:
 
 def nodes(page: str):
     """(kind, value) in page order: kind is "word" (text of the article or unknown), "link" (inside a link), "out" (inside an element that
-    is no part of an article), or "tag" / "outtag" with the tag's name, "/" before a closing one, or "note" with a comment."""
+    is no part of an article), "tag" with the tag's name, "/" before a closing one, "outtag" where an element that is no part begins, or "note"
+    with a comment."""
     at, skip, depth, links = 0, "", 0, 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -86,7 +87,8 @@ def nodes(page: str):
                     depth += 1
             elif not closes and name in ("article", "main", "body"):
                 depth = 0
-            yield ("outtag" if depth else "tag"), "/" * closes + name
+            if not depth and not closes:
+                yield "tag", name
             continue
         if not closes and name not in VOID and _outside(name, m["attrs"]):
             skip, depth = name, 1
@@ -128,7 +130,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     w = weights()
-    other, out_tag, word, link, out = w["<?>"], w.get("<out>", -0.3), w["word"], w.get("link", -0.5), w["out"]
+    other, out_tag, word, link = w["<?>"], w.get("<out>", -0.3), w["word"], w.get("link", -0.5)
     seq = [n for n in nodes(page) if n[0] != "note"]
     best = total = 0.0
     start = first = last = 0
@@ -138,7 +140,7 @@ def main_text(page: str | None) -> str:
         elif kind == "outtag":
             total += out_tag
         else:
-            total += len(value.split()) * (word if kind == "word" else link if kind == "link" else out)
+            total += len(value.split()) * (word if kind == "word" else link if kind == "link" else 0)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
