@@ -348,8 +348,9 @@ def compute(hist: np.ndarray, online: np.ndarray, modules: list[str]) -> dict[st
         with np.errstate(all="ignore"):
             got = REGISTRY[m][1](c)
         for name in REGISTRY[m][0]:
-            v = np.asarray(got.get(name, np.full(len(c.online), np.nan)), float)
-            out[f"{m}__{name}"] = np.where(np.isfinite(v), v, np.nan).astype(np.float32)
+            with np.errstate(over="ignore"):
+                v = np.asarray(got.get(name, np.full(len(c.online), np.nan)), np.float32)
+            out[f"{m}__{name}"] = np.where(np.isfinite(v), v, np.float32(np.nan))
     return out
 
 

@@ -7,8 +7,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LONG0 = F.lit(0).cast
-
 
 def _count(c: Column) -> Column:
     return F.sum(F.when(c, 1).otherwise(0)).cast("long")

@@ -54,9 +54,7 @@ def last_row(spark, sf):
 
 @query("q_future_eligibility", P + " select t, count(*) as n, count(f) as eligible, coalesce(sum(case when f is not null then f - score end), 0)::bigint as gap from (select *, lead(score, 5) over (partition by series_id order by t) as f from panel) group by t")
 def future(spark, sf):
-    from ._base import ORDERED
-
-    p = panel(spark, sf).withColumn("f", F.lead("score", 5).over(ORDERED))
+    p = panel(spark, sf).withColumn("f", F.lead("score", 5).over(w.by()))
     return p.groupBy("t").agg(F.count("*").alias("n"), F.count("f").alias("eligible"), F.coalesce(F.sum(F.col("f") - F.col("score")), F.lit(0)).cast("long").alias("gap"))
 
 
