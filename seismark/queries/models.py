@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions import modules as m
+from ..functions import packs  # noqa: F401  registers its modules
 from ..operators import calibrate as c
 from ..operators import detectors as det
 from ..operators import history as h

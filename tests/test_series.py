@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 import __spark_entry__ as entry
 from seismark.functions import kernels as k
 from seismark.functions import modules as m
+from seismark.functions import packs  # noqa: F401  registers its modules
 from seismark.operators import detectors as det
 from seismark.operators import panel as p
 from seismark.operators import windows as w
