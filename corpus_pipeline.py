@@ -44,10 +44,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids; a document whose ids do not decode to its text is marked."""
-    model = tokenizer_file("piece_bpe_32k.model")
-    back = sentencepieces.decode(sentencepieces.encode(docs, model), model)
-    same = F.col("decoded") == F.coalesce("row.row.text", F.lit(""))
-    return back.select(*[F.col(f"row.row.`{c}`").alias(c) for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")], F.col("row.ids").alias("ids"), F.size("row.ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    found = sentencepieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), check=True)
+    held = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")]
+    return found.select(*held, "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [

@@ -69,7 +69,7 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def map_rows(df: DataFrame, text_col: str, add: list[tuple[str, T.DataType]], fn: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
+def map_rows(df: DataFrame, text_col: str, add: list[tuple[str, T.DataType]], fn: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None, size: int = SLICE) -> DataFrame:
     """Columns ``keep`` (all by default) in a struct ``row``, untouched, beside the columns of ``add`` that fn makes from the
     texts of an Arrow batch. A struct, so that a column of the input may have any name."""
     from pyspark.sql import functions as F
@@ -84,7 +84,7 @@ def map_rows(df: DataFrame, text_col: str, add: list[tuple[str, T.DataType]], fn
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, whole.column(0).flatten()[at] if inside else whole.column(1)):
+            for b in slices(whole, whole.column(0).flatten()[at] if inside else whole.column(1), size):
                 held = b.column(0)
                 yield pa.RecordBatch.from_arrays([held, *fn(held.flatten()[at] if inside else b.column(1))], names=names)
 

@@ -80,10 +80,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, their checksum (as little-endian 32-bit integers), and whether decoding them gives the text back."""
     from . import sentencepieces as s
 
-    model = tokenizer_file("piece_bpe_32k.model")
-    back = s.decode(s.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id", "text"]), model)
-    text, ids = F.coalesce("row.row.text", F.lit("")), F.col("row.ids")
-    return back.select(F.col("row.row.doc_id").alias("doc_id"), F.size(ids).cast("long").alias("n_tokens"), F.col("row.ids_crc32").alias("ids_crc32"), F.char_length("decoded").cast("long").alias("decoded_chars"), (F.col("decoded") == text).alias("round_trip"))
+    found = s.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"], check=True)
+    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", "decoded_chars", "round_trip")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

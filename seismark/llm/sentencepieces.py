@@ -31,7 +31,9 @@ from ._common import map_rows
 
 SPACE = "▁"
 #: Chunks that a worker keeps encoded, and characters that it indexes at once.
-KEPT, INDEXED = 400_000, 1_000_000
+KEPT, INDEXED = 300_000, 400_000
+#: Bytes of text that a worker encodes at once.
+SLICE = 2 << 20
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = np.iinfo(np.int32).max
 
@@ -243,16 +245,29 @@ def decode_ids(path: str, ids: np.ndarray, rule: str | None = None) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None, rule: str | None = None) -> DataFrame:
-    """``row``, ``ids`` and their crc32 (of little-endian 32-bit integers)."""
+def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None, rule: str | None = None, check: bool = False) -> DataFrame:
+    """``row``, ``ids`` and their crc32 (of little-endian 32-bit integers). With ``check`` each text is decoded again where it was
+    encoded, and ``decoded_chars`` and ``round_trip`` (whether the text came back) follow."""
 
     def run(text: pa.Array) -> list[pa.Array]:
-        rows = encode_texts(model, text.to_pylist(), rule)
+        texts = text.to_pylist()
+        rows = encode_texts(model, texts, rule)
         ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
         flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32())
-        return [pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([zlib.crc32(r) for r in rows], pa.int64())]
+        out = [pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([zlib.crc32(r) for r in rows], pa.int64())]
+        if check:
+            chars, same = [], []
+            for t, r in zip(texts, rows, strict=True):
+                back = decode_ids(model, r, rule)
+                chars.append(len(back))
+                same.append(back == (t or ""))
+            out += [pa.array(chars, pa.int64()), pa.array(same, pa.bool_())]
+        return out
 
-    return map_rows(docs, text_col, [("ids", T.ArrayType(T.IntegerType())), ("ids_crc32", T.LongType())], run, keep)
+    add = [("ids", T.ArrayType(T.IntegerType())), ("ids_crc32", T.LongType())]
+    if check:
+        add += [("decoded_chars", T.LongType()), ("round_trip", T.BooleanType())]
+    return map_rows(docs, text_col, add, run, keep, SLICE)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
