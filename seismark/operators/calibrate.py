@@ -75,9 +75,10 @@ def global_prefix(df: DataFrame, order: str, size: str, below: str, total: str,
     return held.join(F.broadcast(bases), F.col("_part") == F.col("_p")).withColumn(below, inner + F.col("_base")).drop("_part", "_p", "_base")
 
 
-def rank_cdf(rows: DataFrame, score: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Left rank over count among all rows (of ``by``), through counted distinct scores."""
-    c = rows.groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
+def rank_cdf(rows: DataFrame, score: str, name: str, by: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
+    """Left rank over count among all rows (of ``by``), through counted distinct scores. When several maps are joined one after another,
+    give the plain rows as ``counted``, so that each count does not run through the joins before it."""
+    c = (rows if counted is None else counted).groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
     if by:
         w = Window.partitionBy(*by).orderBy("_s")
         c = c.withColumn("_lo", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))

@@ -70,17 +70,17 @@ def page_hinkley(df: DataFrame, x: str, delta: float, up: str = "up", down: str
     return reflected(reflected(held, F.col("_d") - F.lit(delta), up, order), -F.col("_d") - F.lit(delta), down, order).drop("_d")
 
 
-def glr_dyadic(x: Column, top: int = 9, order: str = "t") -> tuple[Column, Column]:
-    """Over windows of 1, 2, 4 .. 2^top: the largest S^2 / 2L, and the log of the mean exponential of them."""
-    parts = []
+def glr_dyadic(df: DataFrame, x: str, top: int = 9, order: str = "t") -> DataFrame:
+    """Over windows of 1, 2, 4 .. 2^top: ``best``, the largest S^2 / 2L, and ``mix``, the log of the mean exponential of them."""
+    made = {}
     for j in range(top + 1):
         over = trailing(1 << j, order)
         s = F.sum(x).over(over)
-        parts.append(F.when(F.count(x).over(over) == 1 << j, s * s / F.lit(2.0 * (1 << j))))
-    best = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    exps = [F.coalesce(F.exp(p - best), F.lit(0.0)) for p in parts]
-    n = sum((F.when(p.isNotNull(), 1.0).otherwise(0.0) for p in parts), F.lit(0.0))
-    return best, best + F.ln(sum(exps, F.lit(0.0)) / n)
+        made[f"_g{j}"] = F.when(F.count(x).over(over) == 1 << j, s * s / F.lit(2.0 * (1 << j)))
+    held = df.withColumns(made).withColumn("best", F.greatest(*made) if top else F.col("_g0"))
+    total = sum((F.coalesce(F.exp(F.col(g) - F.col("best")), F.lit(0.0)) for g in made), F.lit(0.0))
+    n = sum((F.when(F.col(g).isNotNull(), 1.0).otherwise(0.0) for g in made), F.lit(0.0))
+    return held.withColumn("mix", F.col("best") + F.ln(total / n)).drop(*made)
 
 
 def decayed_peak(x: Column, half_life: int = 64, order: str = "t") -> Column:

@@ -61,8 +61,7 @@ GS = ", ".join(f"g{j}" for j in range(8))
 
 @query("q_glr_dyadic", S + f", g as (select series_id, t, {GLR} from zon), m as (select *, greatest({GS}) as best from g) select series_id, t, round(best, 5) as best, round(best + ln(({' + '.join(f'coalesce(exp(g{j} - best), 0.0)' for j in range(8))}) / ({' + '.join(f'(case when g{j} is not null then 1 else 0 end)' for j in range(8))})), 5) as mix from m")
 def glr(spark, sf):
-    best, mix = w.glr_dyadic(F.col("z"), 7)
-    return rounded(z_online(spark, sf).select("series_id", "t", best.alias("best"), mix.alias("mix")), 5)
+    return rounded(w.glr_dyadic(z_online(spark, sf), "z", 7).select("series_id", "t", "best", "mix"), 5)
 
 
 @query("q_peak_shape", unsigned(D + f", c as (select *, sum(d - {K}) over o as cu from dd {O}), r as (select series_id, t, (cu - least(0, min(cu) over o))::bigint as x from c {O}), p as (select *, max(x) over o as peak from r {O}) select series_id, t, peak, (t - max(case when x = peak then t end) over o)::bigint as since_peak, round(avg(case when x >= 0.5 * peak then 1.0 else 0.0 end) over o, 6) as persistence, round((x - lag(x, 16) over o) / 16.0, 6) as slope16, round(case when peak > 0 then x::double / peak end, 6) as rel_peak from p {O}", "slope16", "rel_peak", "persistence"))

@@ -163,9 +163,9 @@ CDF = ", cd as (select series_id, t, y, " + ", ".join(f"(rank() over (order by {
 
 
 def _cdf(spark, sf):
-    rows = panel(spark, sf)
+    rows = plain = panel(spark, sf)
     for s, m in (("score", "a"), ("score_b", "b"), ("score_c", "c")):
-        rows = c.rank_cdf(rows, s, m)
+        rows = c.rank_cdf(rows, s, m, counted=plain)
     return rows
 
 
@@ -195,11 +195,11 @@ def blend_scdf(spark, sf):
 @query("q_crossfit_blend", P + f", f as (select *, {FOLD} as fold from panel) select p.series_id, p.t, round(((select count(*) from f q where q.fold <> p.fold and q.score < p.score)::double / (select count(*) from f q where q.fold <> p.fold) + (select count(*) from f q where q.fold <> p.fold and q.score_b < p.score_b)::double / (select count(*) from f q where q.fold <> p.fold)) / 2.0, 9) as blend from f p")
 def crossfit(spark, sf):
     """The rank map for a fold comes from the other folds: ranks over all rows less those over the fold itself."""
-    rows = panel(spark, sf).withColumn("fold", c.fold_of(F.col("series_id")))
+    rows = plain = panel(spark, sf).withColumn("fold", c.fold_of(F.col("series_id")))
     n = Window.partitionBy(F.lit(0))
     sizes = rows.groupBy("fold").agg(F.count("*").alias("inside")).withColumn("outside", F.sum("inside").over(n) - F.col("inside"))
     for s, m in (("score", "a"), ("score_b", "b")):
-        rows = c.rank_cdf(c.rank_cdf(rows, s, f"{m}_all"), s, f"{m}_own", ("fold",))
+        rows = c.rank_cdf(c.rank_cdf(rows, s, f"{m}_all", counted=plain), s, f"{m}_own", ("fold",), counted=plain)
     j = rows.join(F.broadcast(sizes), "fold")  # a row for each of five folds
     all_n = F.col("inside") + F.col("outside")
     part = lambda m: (F.round(F.col(f"{m}_all") * all_n) - F.round(F.col(f"{m}_own") * F.col("inside"))) / F.col("outside")
