@@ -141,4 +141,14 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
   cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
   (bits & 3) <> 0 as base_failed, bits = 0 as kept, cast(bits as bigint) as failure_bits
 from b""",
+    "op4_chat_format": r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]|ROLE[ \]]|SYS>>))', '\1\\\2\3', 'g') as esc from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(length(esc) + case role when 'user' then 18 when 'assistant' then 6 when 'system' then 17 else length(role) + 16 end)::bigint as formatted_chars
+from e group by conv_id""",
 }

@@ -433,3 +433,19 @@ def test_queries_run_on_whole_tables(spark):
     for name in ("op1_quality_rules", "op2_simhash_dedup", "op6_token_files", "op7_token_counts", "op9_sentencepiece", "op10_secret_scan"):
         assert QUERIES[name](spark, SF).count() == n
     assert json.dumps(sorted(QUERIES)) and len(QUERIES) == 10
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op4_chat_format"])
+def test_sql_twin(spark, name):
+    import duckdb
+
+    from seismark.llm.queries import ORACLE, QUERIES
+
+    c = duckdb.connect()
+    for t in ("documents", "conversations"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    got = c.execute(ORACLE[name])
+    cols = [d[0] for d in got.description]
+    assert sorted(df.columns) == sorted(cols)
+    assert sorted(repr([r[k] for k in sorted(cols)]) for r in df.collect()) == sorted(repr([r[cols.index(k)] for k in sorted(cols)]) for r in got.fetchall())
