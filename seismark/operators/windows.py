@@ -72,15 +72,15 @@ def page_hinkley(df: DataFrame, x: str, delta: float, up: str = "up", down: str
 
 def glr_dyadic(df: DataFrame, x: str, top: int = 9, order: str = "t") -> DataFrame:
     """Over windows of 1, 2, 4 .. 2^top: ``best``, the largest S^2 / 2L, and ``mix``, the log of the mean exponential of them."""
+    c = df.withColumn("_c", prefix(F.col(x), order)).withColumn("_k", F.count(x).over(upto(order)))
     made = {}
-    for j in range(top + 1):
-        over = trailing(1 << j, order)
-        s = F.sum(x).over(over)
-        made[f"_g{j}"] = F.when(F.count(x).over(over) == 1 << j, s * s / F.lit(2.0 * (1 << j)))
-    held = df.withColumns(made).withColumn("best", F.greatest(*made) if top else F.col("_g0"))
+    for j in range(top + 1):  # window sums are differences of prefix sums: one frame, whatever the number of windows
+        s = F.col("_c") - F.coalesce(F.lag("_c", 1 << j).over(by(order)), F.lit(0.0))
+        made[f"_g{j}"] = F.when(F.col("_k") >= 1 << j, s * s / F.lit(2.0 * (1 << j)))
+    held = c.withColumns(made).withColumn("best", F.greatest(*made) if top else F.col("_g0"))
     total = sum((F.coalesce(F.exp(F.col(g) - F.col("best")), F.lit(0.0)) for g in made), F.lit(0.0))
     n = sum((F.when(F.col(g).isNotNull(), 1.0).otherwise(0.0) for g in made), F.lit(0.0))
-    return held.withColumn("mix", F.col("best") + F.ln(total / n)).drop(*made)
+    return held.withColumn("mix", F.col("best") + F.ln(total / n)).drop("_c", "_k", *made)
 
 
 def decayed_peak(x: Column, half_life: int = 64, order: str = "t") -> Column:
