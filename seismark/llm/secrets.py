@@ -6,8 +6,10 @@ its symbols are tested
 
 * for uniformity over the alphabet (chi-squared), for the number of runs above and below the alphabet's middle, and for serial correlation
   at lag one: a random key is expected to pass all three at ``ALPHA`` / 3;
-* against text: under ordinary text the chi-squared statistic grows with n * (A * c2 - 1), c2 being the chance that two letters of
-  text agree. The lower tail of that law is the p-value of "this is text"; it has power only where the length gives it.
+* against text: a Markov chain of letters, digits, case and signs as prose, words of compound languages, names in programs and paths
+  have them gives the candidate the probability P; a uniform random string of its alphabet has it with probability Q. By Markov's inequality
+  P / Q is a p-value of "this is text", whatever the length. Strings of digits alone say nothing to that chain: for them the p-value is the
+  lower tail of chi-squared, which under text grows with n * (A * c2 - 1), c2 being the chance that two digits of a number agree.
 
 Those p-values go through Benjamini-Hochberg within each class of encoding and length (powers of two), over all documents. Ranks come from a
 histogram (tenths of a decade, p rounded up, so the control is kept), combined before the shuffle: nothing is sorted and the
@@ -19,6 +21,8 @@ table gives an empty result. Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,28 +32,57 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Encodings from the smallest alphabet: (name, pattern, alphabet in order, chance that two, and three, letters of text agree). Fixed values;
-#: the chances are those of letters in European prose, higher for the few letters of hexadecimal digits.
+#: Encodings from the smallest alphabet: (name, pattern, alphabet in order).
 ENCODINGS = [
-    ("digits", "[0-9]+", DIGIT, 0.2, 0.045),
-    ("hex", "[0-9a-f]+", DIGIT + "abcdef", 0.2, 0.045),
-    ("HEX", "[0-9A-F]+", DIGIT + "ABCDEF", 0.2, 0.045),
-    ("lower", "[a-z]+", LOWER, 0.066, 0.0055),
-    ("UPPER", "[A-Z]+", UPPER, 0.066, 0.0055),
-    ("base32", "[A-Z2-7]+", UPPER + "234567", 0.066, 0.0055),
-    ("lower36", "[0-9a-z]+", DIGIT + LOWER, 0.066, 0.0055),
-    ("UPPER36", "[0-9A-Z]+", DIGIT + UPPER, 0.066, 0.0055),
-    ("base62", "[0-9A-Za-z]+", DIGIT + UPPER + LOWER, 0.066, 0.0055),
-    ("base64", "[0-9A-Za-z+/]+", UPPER + LOWER + DIGIT + "+/", 0.066, 0.0055),
-    ("base64url", "[0-9A-Za-z_-]+", UPPER + LOWER + DIGIT + "-_", 0.066, 0.0055),
-    ("mixed", "[0-9A-Za-z+/_=-]+", UPPER + LOWER + DIGIT + "+/-_=", 0.066, 0.0055),
+    ("digits", "[0-9]+", DIGIT),
+    ("hex", "[0-9a-f]+", DIGIT + "abcdef"),
+    ("HEX", "[0-9A-F]+", DIGIT + "ABCDEF"),
+    ("lower", "[a-z]+", LOWER),
+    ("UPPER", "[A-Z]+", UPPER),
+    ("base32", "[A-Z2-7]+", UPPER + "234567"),
+    ("lower36", "[0-9a-z]+", DIGIT + LOWER),
+    ("UPPER36", "[0-9A-Z]+", DIGIT + UPPER),
+    ("base62", "[0-9A-Za-z]+", DIGIT + UPPER + LOWER),
+    ("base64", "[0-9A-Za-z+/]+", UPPER + LOWER + DIGIT + "+/"),
+    ("base64url", "[0-9A-Za-z_-]+", UPPER + LOWER + DIGIT + "-_"),
+    ("mixed", "[0-9A-Za-z+/_=-]+", UPPER + LOWER + DIGIT + "+/-_="),
 ]
+#: Chance that two, and three, digits of a number in a text agree.
+SAME2, SAME3 = 0.2, 0.045
+#: Fixed values: -4 log of the chance that a letter (row) is followed by another (column), a = 0 to z = 25, rounded down. Means over English, German,
+#: French, Spanish, Italian, Dutch, Swedish, Polish and Finnish (messages and manuals of free programs), smoothed.
+NEXT_LETTER = """
+nommrsountnimhupvilinpstur jruwgtuwhowistjvyjorkxxxmw kwptkvwfkqkpuuhsynrkoxxytn iutqdvvwhwurtpisyopqnvuxsr psnnnqotnspkngsqwhikqrtpvr
+ltupiktvewwmuthsympmmxwxux kuusfwooixwnqkkrykmojwwyxv hxtqewxthsrosrkvyotknwvysx mqlnipmvrqokngkrunjkspvuxs hsvnetuwmwpruohpyupsjsuyxs
+irqtfsotjxpptqiqyokkluuytw ituoftswhvritqjsyuomluwurx gmusfvuwiyvrlpjkytprnvxxtx junjipkvixqsunjuxtlhnqwyqt ronmpqpsouplkgolxhkmnrowxt
+huqsisstkytltshlyhpllvwysu rsuupvvwrxvpuqstvqrnbvjytw isnmgtoqjsprnpjtxollnqsyqo luluhttpivoptslnwpkfmuuyoq hvruguvnhyssusjtykolmvsxns
+npopkppvlrpllhpnyjjiqrruwu guvvewvwhyxvutiuyrqtqvxxvy gvsqhvrmgxuqtoirxnmtrxrvow momqjpvuixsrotrhysqfqvvomr mrlsntrrqsqoiknhypihqvqurw
+hsssevuthwvqpqkvuspqkwpvnp
+""".split()
+#: Chance that a lower-case letter, capital, digit or sign (row) is followed by each of them in words, names of programs and paths.
+NEXT_KIND = [(0.84, 0.05, 0.03, 0.08), (0.40, 0.48, 0.04, 0.08), (0.10, 0.10, 0.70, 0.10), (0.50, 0.20, 0.20, 0.10)]
+SYMBOLS = LOWER + UPPER + DIGIT + "+/_-="
 #: Level of the three tests for randomness together, and the false-discovery rate within a class.
 ALPHA, RATE = 0.003, 0.01
 MOST_BIN = 300
 _MARK = "\x01"
 
 
+def _text_costs(hexes: bool = False) -> str:
+    """-log of the chance that a symbol of text follows another, for all pairs of SYMBOLS in order; ``hexes``: in words of a to f, all alike."""
+    kind = [0 if c in LOWER else 1 if c in UPPER else 2 if c in DIGIT else 3 for c in SYMBOLS]
+
+    def cost(i: int, j: int) -> float:
+        if kind[j] < 2:
+            own = math.log(6) if hexes else LOWER.index(NEXT_LETTER[i % 26][j % 26]) / 4 if kind[i] < 2 else math.log(26)
+        else:
+            own = math.log(10 if kind[j] == 2 else 5)
+        return own - math.log(NEXT_KIND[kind[i]][kind[j]])
+
+    every = range(len(SYMBOLS))
+    return " ".join(f"{cost(i, j):.2f}" for i in every for j in every)
+
+
 def _spans(text: Column, pattern: str, keep) -> Column:
     """array<struct<start, end, token>> of the pattern's matches: each is put between marks, and the pieces' lengths add up to positions."""
     pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
@@ -99,16 +132,20 @@ def _choose(code: Column, values: list) -> Column:
 
 def tested(spans: Column) -> Column:
     """The candidates with their encoding, length class and p-value bin; bin -1 if a test speaks against randomness."""
+    costs, hex_costs = (F.split(F.lit(_text_costs(h)), " ").cast("array<double>") for h in (False, True))
 
     def coded(s: Column) -> Column:
         body = F.regexp_replace(s["token"], "=+$", "")
-        code = F.coalesce(*[F.when(body.rlike(f"^{p}$"), F.lit(i + 1)) for i, (_, p, *_rest) in enumerate(ENCODINGS)])
+        code = F.coalesce(*[F.when(body.rlike(f"^{p}$"), F.lit(i + 1)) for i, (_, p, _a) in enumerate(ENCODINGS)])
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), body.alias("body"), F.coalesce(code, F.lit(len(ENCODINGS))).alias("code"))
 
     def indexed(s: Column) -> Column:
         alphabet = _choose(s["code"], [e[2] for e in ENCODINGS])
-        x = F.transform(F.filter(F.split(s["body"], ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double"))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), s["code"].alias("code"), x.alias("x"), _choose(s["code"], [float(len(e[2])) for e in ENCODINGS]).alias("a"))
+        symbols = F.filter(F.split(s["body"], ""), lambda c: c != "")
+        x = F.transform(symbols, lambda c: F.instr(alphabet, c).cast("double"))
+        small = F.when(s["body"].rlike("[a-z]"), s["body"]).otherwise(F.lower(s["body"]))  # capitals throughout read as small letters
+        y = F.transform(F.filter(F.split(small, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), s["code"].alias("code"), x.alias("x"), y.alias("y"), _choose(s["code"], [float(len(e[2])) for e in ENCODINGS]).alias("a"))
 
     def summed(s: Column) -> Column:
         x, zero = s["x"], F.lit(0.0)
@@ -132,7 +169,13 @@ def tested(spans: Column) -> Column:
                 (acc["runs"] + F.when((acc["n"] == 0) | ((v > mid) != (acc["last"] > mid)), 1.0).otherwise(0.0)).alias("runs"),
             ),
         )
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), s["code"].alias("code"), s["a"].alias("a"), pairs.alias("squares"), walk.alias("w"))
+        text = F.aggregate(
+            s["y"],
+            F.struct(F.lit(0).alias("last"), zero.alias("cost")),
+            lambda acc, v: F.struct(v.alias("last"), (acc["cost"] + F.when(acc["last"] > 0, F.element_at(F.when(s["code"].isin(2, 3), hex_costs).otherwise(costs), (acc["last"] - 1) * len(SYMBOLS) + v)).otherwise(0.0)).alias("cost")),
+            lambda acc: acc["cost"],
+        )
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), s["code"].alias("code"), s["a"].alias("a"), pairs.alias("squares"), walk.alias("w"), text.alias("text"))
 
     def judged(s: Column) -> Column:
         n, a, w = s["w"]["n"], s["a"], s["w"]
@@ -147,10 +190,10 @@ def tested(spans: Column) -> Column:
         mean = w["s1"] / n
         z_serial = F.when(spread > 0, F.abs((w["lag"] - n * mean * mean) / spread) * F.sqrt(n)).otherwise(F.lit(99.0))
         random = (_upper_tail(z_chi) >= ALPHA / 3) & (2 * _upper_tail(z_runs) >= ALPHA / 3) & (2 * _upper_tail(z_serial) >= ALPHA / 3)
-        c2, c3 = _choose(s["code"], [e[3] for e in ENCODINGS]), _choose(s["code"], [e[4] for e in ENCODINGS])
-        excess, kappa = a * c2 - 1, F.greatest(a * a * c3 - a * a * c2 * c2, F.lit(0.0))
+        excess, kappa = a * SAME2 - 1, F.greatest(a * a * (SAME3 - SAME2 * SAME2), F.lit(0.0))
         z_text = (a - 1 + n * excess - chi) / F.sqrt(2 * (a - 1) + 4 * n * kappa)
-        p = F.greatest(_upper_tail(z_text), F.lit(1e-30))
+        p_text = F.exp(F.least((n - 1) * F.log(a) - s["text"], F.lit(0.0)))
+        p = F.greatest(F.when(s["code"] == 1, _upper_tail(z_text)).otherwise(p_text), F.lit(1e-30))
         bin_ = F.least(F.floor(-10 * F.log10(p)), F.lit(MOST_BIN)).cast("int")
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), (s["code"] * 64 + F.floor(F.log2(n)).cast("int")).alias("cls"), F.when(random, F.greatest(bin_, F.lit(0))).otherwise(F.lit(-1)).alias("bin"))
 
