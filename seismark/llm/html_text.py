@@ -2,7 +2,8 @@
 
 A page is read as words and tags in order. Words score positive, tags and words of links negative. An element that
 is no part of an article (menu, header, footer, sidebar, notice, advert, form, comments) counts as one strongly negative tag,
-whatever it holds, and is left out of the text. The weights are log-odds of lying inside the main text, counted on labelled pages. One linear scan finds the contiguous region with the best sum; its text is
+whatever it holds, and is left out of the text. Where only a part of a compound class, id or role hints at that, the element stays and
+its begin and end score negative. The weights are log-odds of lying inside the main text, counted on labelled pages. One linear scan finds the contiguous region with the best sum; its text is
 taken without the elements that are no part of an article. The words of one text node score alike, so a region's
 ends always fall between nodes and whole nodes are scored at once.
 
@@ -34,7 +35,7 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.DOTALL | re.IGNORECASE,
 )
-_HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 #: Elements that are no part of an article; inline elements; words of class, id and role attributes that mark the former.
 OUTSIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog"}
@@ -46,27 +47,34 @@ HINTS = set(
     "footer header masthead copyright login search widget toolbar pagination pager alert contentinfo complementary".split()
 )
 SHELLS = {"html", "body", "main", "article"}
+ANCHORS = {"h1", "h2", "h3", "h4", "h5", "h6", "section"}  # their ids are made from headings
+#: Words of text that the begin, and the end, of an element with a compound hint weigh up.
+SOFT = 8
 
 
-def _outside(name: str, attrs: str) -> bool:
+def _standing(name: str, attrs: str) -> str:
+    """ "out": no part of an article; "soft": only a part of a compound class, id or role says so; else ""."""
     if name in OUTSIDE:
-        return True
-    if not attrs:
-        return False
-    for m in _HINT.finditer(attrs):
-        classes = (m[1] or m[2] or m[3] or "").lower().split()
+        return "out"
+    soft = ""
+    for m in _ATTR.finditer(attrs or ""):
+        key = m[1].lower()
+        if key not in ("class", "id", "role") or key == "id" and name in ANCHORS:
+            continue
+        classes = (m[2] or m[3] or m[4] or "").lower().split()
         if not HINTS.isdisjoint(classes):
-            return name not in ("html", "body", "main")
+            return "" if name in ("html", "body", "main") else "out"
         if name not in SHELLS and any(not HINTS.isdisjoint(re.split(r"[-_]+", c)) for c in classes):
-            return True
-    return False
+            soft = "soft"
+    return soft
 
 
 def nodes(page: str):
     """(kind, value) in page order: kind is "word" (text of the article or unknown), "link" (inside a link), "out" (inside an element that
-    is no part of an article), "tag" with the tag's name, "/" before a closing one, "outtag" where an element that is no part begins, or "note"
-    with a comment."""
+    is no part of an article), "tag" with the tag's name, "/" before a closing one, "outtag" where an element that is no part begins, "soft" before
+    the tags that open and close an element with a compound hint, or "note" with a comment."""
     at, skip, depth, links = 0, "", 0, 0
+    soft: list[list] = []  # open elements with a compound hint: name, depth
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             yield ("out" if depth else "link" if links else "word"), page[at : m.start()]
@@ -82,7 +90,7 @@ def nodes(page: str):
                 if closes:
                     depth -= 1
                 elif name in ("p", "li", "td", "option"):  # these close themselves
-                    depth = 1 if _outside(name, m["attrs"]) else 0
+                    depth = 1 if _standing(name, m["attrs"]) == "out" else 0
                 elif name not in VOID:
                     depth += 1
             elif not closes and name in ("article", "main", "body"):
@@ -90,10 +98,22 @@ def nodes(page: str):
             if not depth and not closes:
                 yield "tag", name
             continue
-        if not closes and name not in VOID and _outside(name, m["attrs"]):
+        standing = "" if closes or name in VOID else _standing(name, m["attrs"])
+        if standing == "out":
             skip, depth = name, 1
             yield "outtag", name
             continue
+        if soft and soft[-1][0] == name:
+            if closes or name in ("p", "li", "td", "option"):
+                soft[-1][1] -= 1
+            else:
+                soft[-1][1] += 1
+            if not soft[-1][1]:
+                soft.pop()
+                yield "soft", name
+        if standing == "soft":
+            soft.append([name, 1])
+            yield "soft", name
         if name == "a":
             links = 0 if closes else 1
         elif name not in INLINE:
@@ -112,6 +132,8 @@ def weights(pages: tuple[str, ...] = tuple(PAGES)) -> dict[str, float]:
         for kind, value in nodes(page):
             if kind == "note":
                 counts = {"main": inside, "/main": outside}.get(value.strip(), counts)
+            elif kind == "soft":
+                continue
             elif kind.endswith("tag"):
                 counts[f"<{value.lstrip('/')}>" if kind == "tag" else "<out>"] += 1
             else:
@@ -139,6 +161,8 @@ def main_text(page: str | None) -> str:
             total += w.get(f"<{value.lstrip('/')}>", other)
         elif kind == "outtag":
             total += out_tag
+        elif kind == "soft":
+            total -= SOFT * word
         else:
             total += len(value.split()) * (word if kind == "word" else link if kind == "link" else 0)
         if total <= 0:
@@ -154,7 +178,7 @@ def main_text(page: str | None) -> str:
     for kind, value in seq[first:last]:
         if kind in ("word", "link"):
             parts.append(html.unescape(value) if "&" in value else value)
-        elif kind == "outtag" or value.lstrip("/") not in INLINE:
+        elif kind == "outtag" or kind == "tag" and value.lstrip("/") not in INLINE:
             parts.append(" ")
     return " ".join("".join(parts).split())
 

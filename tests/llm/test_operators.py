@@ -186,6 +186,16 @@ def test_html():
     assert all(html_text.main_text(p) for p in html_text.PAGES)
 
 
+def test_html_anchors_and_wrappers():
+    body = "The story goes on for a good while here and tells what the town did in that year. " * 4
+    for part in ('<section id="related-work"><p>', '<section id="social-effects"><p>', '<section id="search"><p>', '<p class="share-price">', '<p data-id="ad" data-role="banner">'):
+        assert html_text.main_text(f"<html><body><nav>Home</nav><div><p>{body}</p>{part}Shares fell again. {body}</p></section><p>{body}</p></div></body></html>") == " ".join(f"{body} Shares fell again. {body} {body}".split())
+    assert html_text.main_text(f'<article><h1>A</h1><h2 id="search">Search</h2><p>{body}</p></article>') == f"A Search {body}".strip()
+    for wrapper in ("content with-sidebar", "has-sidebar"):
+        page = f'<body><div class="{wrapper}"><div class="cookie-banner">We use cookies now</div><div class="text"><p>{body}</p></div><div class="sidebar"><p>{body}</p></div><div class="share-bar">Share this</div></div></body>'
+        assert html_text.main_text(page) == body.strip()
+
+
 def test_html_pages(spark, empty):
     for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet")).select("row.html", "text", "n_chars").collect():
         inner = r.html[r.html.find("<article>") + 9 : r.html.find("</article>")]
