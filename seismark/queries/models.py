@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions import modules as m
-from ..functions import packs  # noqa: F401  registers its modules
 from ..operators import calibrate as c
 from ..operators import detectors as det
 from ..operators import history as h
 from ..operators import panel as p
 from ..plans import learn
-from ..sources.series import SUPPLIER, TYPE, USER, split
+from ..sources.series import SUPPLIER, USER, split
 from ..streaming import scores
 from ._base import obs, panel, rounded
 
@@ -41,8 +40,8 @@ for _name in m.REGISTRY:
 
 @query("q_feat_all")
 def feat_all(spark, sf):
-    """All modules in one grouped pass over the long series."""
-    return m.features(obs(spark, sf, TYPE), TYPE.n_hist, list(m.REGISTRY))
+    """All modules in one grouped pass; a supplier's series is bounded, so that a group fits a task."""
+    return m.features(obs(spark, sf, SUPPLIER), SUPPLIER.n_hist, list(m.REGISTRY))
 
 
 def _kernel(spark, sf, fn, cols: list[str]):

@@ -15,7 +15,6 @@ from hypothesis import strategies as st
 import __spark_entry__ as entry
 from seismark.functions import kernels as k
 from seismark.functions import modules as m
-from seismark.functions import packs  # noqa: F401  registers its modules
 from seismark.operators import detectors as det
 from seismark.operators import panel as p
 from seismark.operators import windows as w
@@ -85,6 +84,20 @@ def test_modules_look_at_no_future(name, kind):
         np.testing.assert_array_equal(other[c][:70], cut[c])
 
 
+@pytest.mark.parametrize("name", sorted(m.REGISTRY))
+def test_modules_run_on_executors(spark, name):
+    """In a process that imports what a worker imports, and nothing else."""
+    rng = np.random.default_rng(4)
+    x = {s: rng.normal(size=360) for s in (1, 2)}
+    rows = spark.createDataFrame([(s, i, float(v)) for s, v in x.items() for i, v in enumerate(x[s])], "series_id long, i long, x double")
+    got = m.features(rows, 300, [name]).orderBy("series_id", "t").toPandas()
+    assert len(got) == 120
+    for s in x:
+        want = m.compute(x[s][:300], x[s][300:], [name])
+        for c, v in want.items():
+            np.testing.assert_allclose(got[got.series_id == s][c].to_numpy(float), v, rtol=1e-6)
+
+
 def test_module_columns():
     assert len(m.columns(["m00_core"])) == 151 and len(m.columns(["m09_back"])) == 51
     assert all(np.isnan(v).all() for n, v in m.compute(np.arange(12.0), np.arange(5.0), ["m00_core"]).items() if n.startswith("m00_core__w8"))
