@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes that separate words in every operator here: space, \t, \n, \v, \f, \r (what bytes.split() splits on).
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir where the cluster
-    names it; else (single-machine tests) a temporary folder that is then set as the checkpoint folder."""
+    names it; else, on a local master only, a temporary folder that is then set as the checkpoint folder."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seismark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -61,6 +64,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def field(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_of(df: DataFrame, cols: list[str] | None = None) -> Column:
+    """The columns (all by default) as one struct ``row``, so that a column of the input may have any name."""
+    cols = df.columns if cols is None else cols
+    return (F.struct(*[field(c).alias(c) for c in cols]) if cols else F.struct(F.lit(None).cast("int").alias("_"))).alias("row")
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     if isinstance(column, pa.ChunkedArray):
@@ -72,12 +86,9 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
 def map_rows(df: DataFrame, text_col: str, add: list[tuple[str, T.DataType]], fn: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None, size: int = SLICE) -> DataFrame:
     """Columns ``keep`` (all by default) in a struct ``row``, untouched, beside the columns of ``add`` that fn makes from the
     texts of an Arrow batch. A struct, so that a column of the input may have any name."""
-    from pyspark.sql import functions as F
-
     cols = df.columns if keep is None else keep
-    row = F.struct(*[df[c] for c in cols]).alias("row") if cols else F.struct(F.lit(None).cast("int").alias("_")).alias("row")
     inside = text_col in cols
-    src = df.select(row) if inside else df.select(row, df[text_col].alias("text"))
+    src = df.select(row_of(df, cols)) if inside else df.select(row_of(df, cols), field(text_col).alias("text"))
     at = cols.index(text_col) if inside else None
     schema = T.StructType([src.schema["row"], *[T.StructField(n, t) for n, t in add]])
     names = ["row", *[n for n, _ in add]]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_rows
+from ._common import map_rows, row_of
 
 #: Share of an item's characters that may differ; with it a piece has about 20 characters.
 RATE = 0.05
@@ -174,6 +174,5 @@ def contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item
             flat = out.select(F.struct(F.col("row"), F.col("matches")).alias("held"), out["row"][text_col].alias("text"))
             out = map_rows(flat, "text", [("more", MATCH)], find, ["held"]).select(F.col("row.held.row").alias("row"), F.concat("row.held.matches", "more").alias("matches"))
     if out is None:
-        cols = docs.columns if keep is None else keep
-        return docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), F.array().cast(MATCH).alias("matches"))
+        return docs.select(row_of(docs, keep), F.array().cast(MATCH).alias("matches"))
     return out

@@ -5,9 +5,10 @@ emits all its variants within r = radius // 2 bits, equal variants meet, and tho
 members of one variant's bucket lie within 2r of each other, so a bucket of any size is linked by a star
 to its smallest member: a pair for each member, none for each pair of members, and no link is lost.
 
-The 2,081 variants of a fingerprint (r = 2) are never written out. A variant's leading ``prefix_bits`` decide the task
-that it meets others in, so a fingerprint goes once to each of the 1 + p + p(p-1)/2 prefixes that its
-variants have, and the receiving task expands the variants of that prefix, block by block. Copies count once
+The 2,081 variants of a fingerprint (r = 2) are never written out. A variant's leading bits decide the place where it meets others, so a
+fingerprint goes once to each place that its variants reach, and the receiving task expands the variants that belong there, block by
+block. Places are prefixes: as many bits as the number of fingerprints asks for, and more wherever a place would hold over ``PLACE``
+fingerprints, until none does (near copies share their leading bits, so some places fill up faster). Copies count once
 (fingerprints are made distinct first), so a group of copies of any size is one row here.
 
 Defined cases: a null, empty or blank text has fingerprint zero, linked like any other; under ``shingle`` words the
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from .components import connected_components
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Variants that a task expands at once (8 bytes each, and as many again while sorting).
 BLOCK = 4_000_000
+#: Fingerprints that one place holds at most, and the bits by which a fuller one is split.
+PLACE, SPLIT = 250_000, 6
 _A_TO_Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 65_536
 
@@ -77,31 +81,30 @@ def _flips(bits: int, most: int) -> list[np.ndarray]:
     return out
 
 
-def _forest(fps: np.ndarray, prefixes: np.ndarray, prefix_bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fps (one prefix of variants): each linked member with the smallest of its group here."""
+def _forest(fps: np.ndarray, spent: np.ndarray, prefix_bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among fps that meet under one prefix: each linked member with the smallest of its group here. ``spent``: bits by which
+    a fingerprint's own prefix differs from it; the others may differ below the prefix."""
     low = 64 - prefix_bits
     masks = _flips(low, half)
-    spent = np.bitwise_count((fps >> np.uint64(low)) ^ prefixes).astype(np.int64)
     suffix = fps & np.uint64((1 << low) - 1)
-    parent = np.arange(len(fps))
+    parent: dict[int, int] = {}
 
     def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+        while (up := parent.setdefault(i, i)) != i:
+            parent[i] = parent[up]
+            i = up
         return i
 
     # variants are taken in slices by their own leading bits, so that memory is bounded whatever the number of fingerprints
     by_spent = [np.flatnonzero(spent == d) for d in range(half + 1)]
     total = sum(len(ix) * sum(len(m) for m in masks[: half - d + 1]) for d, ix in enumerate(by_spent))
-    cut = max(0, int(np.ceil(np.log2(max(total / BLOCK, 1)))))
-    cut = min(cut, 12)
+    cut = min(max(0, int(np.ceil(np.log2(max(total / BLOCK, 1))))), low)
     for part in range(1 << cut):
         values, owners = [], []
         for d, ix in enumerate(by_spent):
             if not len(ix):
                 continue
-            for mask in (m for ms in masks[: half - d + 1] for m in (ms,)):
+            for mask in masks[: half - d + 1]:
                 if cut:
                     shift = np.uint64(low - cut)
                     tops = suffix[ix] >> shift
@@ -136,36 +139,91 @@ def _forest(fps: np.ndarray, prefixes: np.ndarray, prefix_bits: int, half: int)
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    tops = np.array([root(i) for i in range(len(fps))], np.int64) if len(fps) else parent
-    linked = np.flatnonzero(tops != np.arange(len(fps)))
-    return fps[linked], fps[tops[linked]]
+    linked = np.array([i for i in parent if root(i) != i], np.int64)
+    return linked, np.array([root(i) for i in linked.tolist()], np.int64)
 
 
-def links(distinct_fps: DataFrame, radius: int = RADIUS, prefix_bits: int = 6) -> DataFrame:
-    """Pairs (a, b) whose components are those of "at most ``radius`` bits apart" among the distinct ``fp``.
-    radius is even. More prefix bits make more and smaller meeting places."""
-    half, p = radius // 2, prefix_bits
+def first_bits(n: int, half: int, place: int = 0) -> int:
+    """The fewest prefix bits (six at least) at which n evenly spread fingerprints fill no place beyond half of ``place``."""
+    p = 6
+    while p < 40 and n * sum(comb(p, k) for k in range(half + 1)) / 2**p > (place or PLACE) / 2:
+        p += 2
+    return p
+
+
+def links(distinct_fps: DataFrame, radius: int = RADIUS, prefix_bits: int | None = None, node: str = "fp") -> DataFrame:
+    """Pairs (a, b) of the ``node`` values of distinct ``fp`` rows, whose components are those of "at most ``radius`` bits apart".
+    radius is even."""
+    half = radius // 2
     if radius % 2:
         raise ValueError("radius must be even: each side takes half of it")
-    spread = np.concatenate(_flips(p, half)).astype(np.int64).tolist()
+    p = prefix_bits or first_bits(distinct_fps.count(), half)
+    kind = distinct_fps.schema[node].dataType
+    masks = [(m, d) for d, ms in enumerate(_flips(p, half)) for m in ms.astype(np.int64).tolist()]
     prefix = F.shiftrightunsigned("fp", 64 - p)
-    sent = distinct_fps.select("fp", F.explode(F.array(*[prefix.bitwiseXOR(F.lit(m)) for m in spread])).alias("prefix"))
-
+    goes = F.explode(F.array(*[F.struct(prefix.bitwiseXOR(F.lit(m)).alias("prefix"), F.lit(d).alias("spent")) for m, d in masks])).alias("to")
+    sent = distinct_fps.select("fp", F.col(node).alias("node"), goes).select("fp", "node", "to.prefix", "to.spent")
+    met = None
+    while True:
+        full = sent.groupBy("prefix").agg(F.count("*").alias("n")).filter(F.col("n") > PLACE).select("prefix")
+        full = materialize(full, "full-places")
+        last = p + SPLIT > 58 or full.isEmpty()
+        here = sent if last else sent.join(full, "prefix", "left_anti")
+        found = _meet(here, p, half, kind)
+        met = found if met is None else met.unionByName(found)
+        if last:
+            return met.distinct()
+        # the variants of a full place go on to longer prefixes, with the flips that are left
+        more = [(m, d) for d, ms in enumerate(_flips(SPLIT, half)) for m in ms.astype(np.int64).tolist()]
+        at = F.shiftleft("prefix", SPLIT).bitwiseOR(F.shiftrightunsigned("fp", 64 - p - SPLIT).bitwiseAND(F.lit((1 << SPLIT) - 1)))
+        goes = F.explode(F.array(*[F.struct(at.bitwiseXOR(F.lit(m)).alias("prefix"), (F.col("spent") + d).alias("spent")) for m, d in more])).alias("to")
+        sent = sent.join(full, "prefix", "left_semi").select("fp", "node", goes).select("fp", "node", "to.prefix", "to.spent").filter(F.col("spent") <= half)
+        p += SPLIT
+
+
+def _meet(sent: DataFrame, p: int, half: int, kind: T.DataType) -> DataFrame:
     def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps = np.sort(np.concatenate([b.column("fp").to_numpy() for b in batches]).view(np.uint64))
-        a, b = _forest(fps, np.full(len(fps), key[0].as_py(), np.uint64), p, half)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    return sent.groupBy("prefix").applyInArrow(meet, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, prefix_bits: int = 6) -> DataFrame:
-    """One row for each document: ``row`` (its id only), ``fp``, ``component_id`` (the smallest id that links lead to)."""
-    held = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"]).select("row.id", "fp"), "fingerprints")
-    ids = materialize(held.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    comp = connected_components(materialize(links(ids.select("fp"), radius, prefix_bits), "links"))
-    # a component's smallest id: over its fingerprints' smallest
-    label = ids.join(comp, ids["fp"] == comp["node"], "left").select(ids["fp"].alias("fp"), "least", F.coalesce("component", ids["fp"]).alias("component"))
-    smallest = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = label.join(smallest, "component").select(F.col("fp").alias("print"), "component_id")
-    return held.join(by_fp, held["fp"] == by_fp["print"]).select("id", "fp", "component_id")
+        held = pa.Table.from_batches(batches).sort_by("fp")
+        fps, spent = held.column("fp").to_numpy().view(np.uint64), held.column("spent").to_numpy()
+        a, b = _forest(fps, spent, p, half)
+        nodes = held.column("node").combine_chunks()
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"])
+
+    return sent.groupBy("prefix").applyInArrow(meet, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def labelled(prints: DataFrame, id_col: str = "id", radius: int = RADIUS, prefix_bits: int | None = None) -> DataFrame:
+    """For each distinct ``fp`` of prints: ``print`` (the fingerprint), ``component`` (a key) and ``component_id``, the smallest id that
+    links lead to (null if there is none). A node of the links is a fingerprint with its smallest id before it, so the smallest node
+    reachable is the answer itself and no component's members ever meet; fingerprints without any id come after all others."""
+    least = prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("least"))
+    node = F.struct(F.col("least").isNull().alias("none"), F.coalesce("least", F.lit(0).cast("long")).alias("id"), "fp")
+    ids = materialize(least.select("fp", node.alias("node")), "distinct-fingerprints")
+    comp = connected_components(materialize(links(ids, radius, prefix_bits, "node"), "links")).select(F.col("node.fp").alias("print"), "component")
+    found = ids.join(comp, F.col("fp") == F.col("print"), "left").select(F.col("fp").alias("print"), F.coalesce("component", "node").alias("component"))
+    return found.withColumn("component_id", F.when(~F.col("component.none"), F.col("component.id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, prefix_bits: int | None = None) -> DataFrame:
+    """One row for each document: ``id``, ``fp``, ``component_id`` (the smallest id that links lead to). Ids are integers."""
+    held = materialize(fingerprints(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "text", ["id"]).select("row.id", "fp"), "fingerprints")
+    return held.join(labelled(held, "id", radius, prefix_bits), F.col("fp") == F.col("print")).select("id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, one for each component: the one with the smallest id (null ids last); among rows with that id the
+    one with the smallest text hash, then an arbitrary but fixed one of the equal rows. Rows are told apart by their place in a written
+    table, not by their id, so a repeated or missing id never costs a text that is not a copy."""
+    held = materialize(fingerprints(docs, text_col), "with-fingerprints")
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    rows = held.select(F.col("row").getField(id_col).alias("id"), F.col("fp"), F.xxhash64(F.col("row").getField(text_col)).alias("h"), place.alias("place"))
+    # the best row of each fingerprint, then of each component: both are minima, combined before the shuffle
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h", "place")
+    best = materialize(rows.groupBy("fp").agg(F.min(order).alias("best")), "best-of-fingerprint")
+    label = labelled(best.select("fp", F.col("best.id").alias("id")), "id", radius)
+    # a component is known by its smallest id; one without any id, by its smallest fingerprint
+    named = best.join(label, F.col("fp") == F.col("print"))
+    chosen = named.groupBy("component").agg(F.min("best").alias("best")).select("best.place.*")
+    back = held.select("row", place.alias("place")).select("row", "place.*")
+    kept = back.join(chosen.hint("shuffle_hash"), ["file", "at"], "left_semi")
+    return kept.select("row.*")

@@ -122,9 +122,11 @@ def test_fingerprint():
         assert simhash.fingerprint(None if t is None else t.encode()) == brute_print(t)
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 3000])
-def test_links_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, place", [(simhash.BLOCK, simhash.PLACE), (3000, simhash.PLACE), (simhash.BLOCK, 12)])
+def test_links_match_brute_force(spark, monkeypatch, block, place):
+    """Also where places are read in slices, and where fuller places are split."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "PLACE", place)
     rng = random.Random(5)
     fps = {0, (1 << 64) - 1}
     for _ in range(40):
@@ -149,6 +151,25 @@ def test_links_match_brute_force(spark, monkeypatch, block):
     assert {f: root(f) for f in fps} == components_of(fps)
 
 
+def test_places_stay_small():
+    for n in (10, 10**6, 2 * 10**10):
+        p = simhash.first_bits(n, 2)
+        assert p == 6 or n * (1 + p + p * (p - 1) / 2) / 2**p <= simhash.PLACE / 2
+
+
+def test_one_row_of_each_group_by_row(spark):
+    """A repeated or missing id never costs a text that is not a copy."""
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five " * 8, "red green blue black " * 7)
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (2, b, "x"), (None, c, "x"), (None, c, "y"), (None, a, "z"), (3, None, "n"), (4, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, [(1, a), (2, b), (None, c), (3, None)]))
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+    ids = sorted(map(str, [(r.id, r.component_id) for r in simhash.near_duplicates(df.limit(7)).collect()]))
+    assert ids == sorted(map(str, [(1, 1), (2, 1), (2, 2), (2, 2), (None, None), (None, None), (None, 1)]))
+
+
 def test_near_duplicates(docs, empty, spark):
     extra = spark.createDataFrame([(100, LONG + " tail"), (101, LONG), (None, LONG)], "doc_id long, text string")
     got = [(r.id, r.fp, r.component_id) for r in simhash.near_duplicates(docs.select("doc_id", "text").unionByName(extra)).collect()]
