@@ -19,13 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id; among rows with that id, one with the smallest text
-    hash. Documents without an id cannot be named as a group's representative and stay."""
-    known = docs.filter("doc_id is not null")
-    found = simhash.near_duplicates(known).filter("id = component_id").select("id").distinct()
-    kept = known.join(found, known["doc_id"] == found["id"], "left_semi")
-    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
-    return one.unionByName(docs.filter("doc_id is null"))
+    """One row of each group stays: the one with the smallest id (null ids last), among rows with that id the one with the smallest
+    text hash. Rows that share an id but not a text are judged apart."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
