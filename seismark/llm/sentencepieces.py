@@ -9,7 +9,9 @@ lattice of each chunk is relaxed over them:
 * for a unigram file (and ``rule="unigram"``) as a shortest path: positions in order, each keeping its best sum of scores.
 
 A chunk is a run of spaces with the non-spaces after it: no piece of such a file has a non-space before a space, so
-chunks are independent (files for which this fails are refused). Characters without a piece become their UTF-8 bytes' pieces. Spaces are
+chunks are independent (files for which this fails are refused). Within a chunk, nothing is ever joined over a place that no edge of two or more
+characters covers, so a chunk falls apart there: short parts are merged side by side, a round for each merge; long ones over a heap of pairs, in
+O(n log n). A chunk longer than ``INDEXED`` is read in windows, each up to its last such place. Characters without a piece become their UTF-8 bytes' pieces. Spaces are
 written U+2581 and one is put before the text, as the files say; decoding undoes both, so texts come back exactly, but for U+2581
 itself, which comes back as a space.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ SPACE = "▁"
 KEPT, INDEXED = 300_000, 400_000
 #: Bytes of text that a worker encodes at once.
 SLICE = 2 << 20
+#: Characters of a part that is merged in rounds at most, and of a chunk that a worker keeps.
+ROUNDS, SHORT = 48, 200
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = np.iinfo(np.int32).max
 
@@ -130,13 +135,13 @@ class Pieces:
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         start, length, rank = self.edges(text)
         owner = np.repeat(np.arange(len(chunks)), sizes)
-        inside = owner[start] == owner[np.minimum(start + length, len(text)) - 1]
+        inside = owner[np.minimum(start + length, len(text)) - 1] == owner[start]
         inside &= start + length <= len(text)
         start, length, rank = start[inside], length[inside], rank[inside]
         if self.rule == "unigram":
             ends = self._shortest(text, sizes, start, length, rank)
         else:
-            ends = self._merged(len(text), owner, start, length, rank)
+            ends = self._merged(len(text), start, length, rank)
         table = np.full((len(text), self.longest + 1), -1, np.int32)
         table[start, length] = rank
         begins, spans = ends
@@ -154,35 +159,99 @@ class Pieces:
             out[k] = np.array(row, "<i4").tobytes()
         return out
 
-    def _merged(self, n: int, owner: np.ndarray, start: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rounds: in every chunk that can still merge, its best pair of neighbours becomes one symbol."""
+    def apart(self, n: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """For each of n characters whether no edge of two or more characters reaches over its beginning."""
+        over = np.bincount(start + 1, length > 1, n + self.longest + 1) - np.bincount(start + length, length > 1, n + self.longest + 1)
+        return np.cumsum(over)[:n] < 0.5
+
+    def _merged(self, n: int, start: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Beginnings and lengths of the symbols that are left when no two neighbours can be joined."""
         table = np.full((n, self.longest + 1), _NONE, np.int32)
         table[start, length] = rank
-        done_b, done_l = [], []
-        b, size = np.arange(n), np.ones(n, np.int64)
+        part = np.cumsum(self.apart(n, start, length)) - 1
+        sizes = np.bincount(part) if n else np.zeros(0, np.int64)
+        rounds = sizes[part] <= ROUNDS
+        found = [self._in_rounds(np.flatnonzero(rounds), part, table)]
+        first = np.cumsum(sizes) - sizes
+        for k in np.flatnonzero(sizes > ROUNDS).tolist():
+            found.append(self._by_heap(int(first[k]), int(sizes[k]), table))
+        begins, spans = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(begins, kind="stable")
+        return begins[order], spans[order]
+
+    def _by_heap(self, at: int, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One part: its pairs in a heap by rank, then place; a pair that has changed since is passed over."""
+        wide, longest = self.longest + 1, self.longest
+        rank_of = memoryview(table.reshape(-1))[at * wide : (at + n) * wide]
+        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i in range(n - 1) if (r := rank_of[i * wide + 2]) != _NONE]
+        heapify(heap)
+        while heap:
+            key = heappop(heap)
+            i = key & 0xFFFFFFFF
+            j = after[i]
+            if not size[i] or j == n:
+                continue
+            joined = size[i] + size[j]
+            if joined > longest or rank_of[i * wide + joined] != key >> 32:
+                continue
+            size[i], size[j] = joined, 0
+            j = after[i] = after[j]
+            if j < n:
+                before[j] = i
+                more = joined + size[j]
+                if more <= longest and (r := rank_of[i * wide + more]) != _NONE:
+                    heappush(heap, r << 32 | i)
+            h = before[i]
+            if h >= 0:
+                more = size[h] + joined
+                if more <= longest and (r := rank_of[h * wide + more]) != _NONE:
+                    heappush(heap, r << 32 | h)
+        spans = np.array(size, np.int64)
+        begins = np.flatnonzero(spans)
+        return begins + at, spans[begins]
+
+    def _in_rounds(self, b: np.ndarray, part: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts side by side: in each round the best pair of neighbours of every part that still has one becomes one symbol."""
+        done_b, done_l = [b[:0]], [b[:0]]
+        size = np.ones(len(b), np.int64)
         while len(b):
             joined = size[:-1] + size[1:]
-            pair = np.where((owner[b[:-1]] == owner[b[1:]]) & (joined <= self.longest), table[b[:-1], np.minimum(joined, self.longest)], _NONE)
+            pair = np.where((part[b[:-1]] == part[b[1:]]) & (joined <= self.longest), table[b[:-1], np.minimum(joined, self.longest)], _NONE)
             pair = np.append(pair, np.int32(_NONE))
-            own = owner[b]
+            own = part[b]
             heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             best = np.minimum.reduceat(pair, heads)
             per = np.diff(np.append(heads, len(b)))
-            live = best < _NONE
-            # a chunk without a pair left is done
-            quiet = np.repeat(~live, per)
+            # a part without a pair left is done
+            quiet = np.repeat(best == _NONE, per)
             done_b.append(b[quiet])
             done_l.append(size[quiet])
-            hit = (pair == np.repeat(best, per)) & ~quiet
-            at = np.flatnonzero(hit)
-            at = at[np.append(True, own[at][1:] != own[at][:-1])] if len(at) else at  # the leftmost one of each chunk
+            at = np.flatnonzero((pair == np.repeat(best, per)) & ~quiet)
+            at = at[np.append(True, own[at][1:] != own[at][:-1])] if len(at) else at  # the leftmost one of each part
             size[at] += size[at + 1] if len(at) else 0
             stay = ~quiet
             stay[at + 1] = False
             b, size = b[stay], size[stay]
-        begins, spans = np.concatenate(done_b or [b]), np.concatenate(done_l or [size])
-        order = np.argsort(begins, kind="stable")
-        return begins[order], spans[order]
+        return np.concatenate(done_b), np.concatenate(done_l)
+
+    def encode_long(self, chunk: str) -> bytes:
+        """A chunk of any length: windows of it, each up to the last place that no edge reaches over. A window without such a place grows."""
+        out, at, size = [], 0, INDEXED
+        while at < len(chunk):
+            window = chunk[at : at + size + self.longest]
+            cut = len(window)
+            if at + cut < len(chunk):
+                start, length, _ = self.edges(window)
+                whole = start + length <= len(window)
+                free = np.flatnonzero(self.apart(size + 1, *(x[whole & (start <= size)] for x in (start, length))))
+                cut = int(free[-1])
+                if not cut:
+                    size *= 2
+                    continue
+            out += self.encode_chunks([window[:cut]])
+            at, size = at + cut, INDEXED
+        return b"".join(out)
 
     def _shortest(self, text: str, sizes: np.ndarray, start: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins, spans = [], []
@@ -223,19 +292,30 @@ def encode_texts(path: str, texts: list[str | None], rule: str | None = None) ->
     """The ids of each text."""
     pieces, known = _pieces(path, rule)
     split = [_CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    new = list(set().union(*split).difference(known))
+    new = set().union(*split).difference(known)
     if len(known) + len(new) > KEPT:
         known.clear()
-        new = list(set().union(*split))
+        new = set().union(*split)
+    found: dict[str, bytes] = {}
     group: list[str] = []
     size = 0
-    for k, chunk in enumerate(new):
+    for chunk in new:
+        if len(chunk) > INDEXED:
+            found[chunk] = pieces.encode_long(chunk)
+            continue
         group.append(chunk)
         size += len(chunk)
-        if size > INDEXED or k == len(new) - 1:
-            known.update(zip(group, pieces.encode_chunks(group), strict=True))
+        if size > INDEXED:
+            found.update(zip(group, pieces.encode_chunks(group), strict=True))
             group, size = [], 0
-    get = known.__getitem__
+    if group:
+        found.update(zip(group, pieces.encode_chunks(group), strict=True))
+    known.update({c: ids for c, ids in found.items() if len(c) <= SHORT})
+    held = {c: ids for c, ids in found.items() if len(c) > SHORT}
+    if held:
+        get = lambda c: known[c] if c in known else held[c]
+    else:
+        get = known.__getitem__
     return [np.frombuffer(b"".join(map(get, chunks)), "<i4") for chunks in split]
 
 

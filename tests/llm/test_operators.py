@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -406,6 +407,23 @@ def test_pieces_are_the_library_s(text):
     assert sentencepieces.decode_ids(PIECES, ids) == text.replace("▁", " ")
 
 
+@pytest.mark.parametrize("kind", ["base64", "one letter", "spaces", "program", "letters"])
+def test_long_text_without_spaces(kind, monkeypatch):
+    """A million characters of one chunk within seconds, and the same ids where a chunk is read in many windows."""
+    import sentencepiece
+
+    rng = random.Random(3)
+    make = {"base64": lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n)), "one letter": lambda n: "a" * n, "spaces": lambda n: " " * n, "program": lambda n: ("function(e,t){return e.map((n)=>n+t)};" * n)[:n], "letters": lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz漢é", k=n))}[kind]
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    text = make(1_000_000 if kind != "one letter" else 200_000)
+    begun = time.time()
+    assert sentencepieces.encode_texts(PIECES, [text])[0].tolist() == sp.encode(text)
+    assert time.time() - begun < 40
+    monkeypatch.setattr(sentencepieces, "INDEXED", 300)
+    text = make(5_000)
+    assert sentencepieces.encode_texts(PIECES, [text, None, "x " + text])[2].tolist() == sp.encode("x " + text)
+
+
 def test_unigram_rule():
     p = sentencepieces.Pieces(PIECES, "unigram")
     score = {p.text[i]: p.score_of_rank[r] for r, i in enumerate(p.id_of_rank.tolist())}
