@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control. DataFrame functions only.
 
-Base spans are the leftmost, non-overlapping matches of three patterns. Beside them, every run of 20 or more characters of
-``[A-Za-z0-9+/_=-]`` that touches no base span is a candidate. Its encoding (the smallest alphabet of ENCODINGS that holds it) is inferred, and
-its symbols are tested
+Base spans are the leftmost, non-overlapping matches of three patterns. What is left of every run of 20 or more characters of
+``[A-Za-z0-9+/_=-]`` when base spans are cut out of it is a candidate where it still has 20. Its encoding (the smallest alphabet of
+ENCODINGS that holds it) is inferred, and its symbols are tested
 
 * for uniformity over the alphabet (chi-squared), for the number of runs above and below the alphabet's middle, and for serial correlation
   at lag one: a random key is expected to pass all three at ``ALPHA`` / 3;
@@ -15,8 +15,11 @@ Those p-values go through Benjamini-Hochberg within each class of encoding and l
 histogram (tenths of a decade, p rounded up, so the control is kept), combined before the shuffle: nothing is sorted and the
 driver sees at most a row for each class.
 
-Defined cases: null or empty texts have no spans; U+0001 in a text counts as one ordinary character; repeated rows are scanned each; an empty
-table gives an empty result. Positions are code points, ends exclusive.
+Matches are put between marks and texts are split there, so positions are sums of lengths and no text is searched once for each span. The
+tested candidates are written to a table before the thresholds are drawn from it, so texts are scanned once.
+
+Defined cases: null or empty texts have no spans; the three noncharacters that serve as marks count as one ordinary character each, and come back as
+U+FFFD from a text that is redacted; repeated rows are scanned each; an empty table gives an empty result. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -26,10 +29,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import field, materialize, row_of
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Noncharacters that mark the three kinds of base spans in a text; the last one fills base spans in.
+MARKS, FILL = "\ufdd0\ufdd1\ufdd2", "\ufdd3"
+#: The patterns of keys and hexadecimal runs in a text that has marks already.
+ACCESS_MARKED = r"A\x{fdd0}*K\x{fdd0}*I\x{fdd0}*A[A-Z0-9\x{fdd0}]{16,}"
+HEX_MARKED = r"(?<![0-9a-f])[0-9a-f][0-9a-f\x{fdd0}\x{fdd1}]{23,}"
 
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings from the smallest alphabet: (name, pattern, alphabet in order).
@@ -64,8 +74,11 @@ NEXT_KIND = [(0.84, 0.05, 0.03, 0.08), (0.40, 0.48, 0.04, 0.08), (0.10, 0.10, 0.
 SYMBOLS = LOWER + UPPER + DIGIT + "+/_-="
 #: Level of the three tests for randomness together, and the false-discovery rate within a class.
 ALPHA, RATE = 0.003, 0.01
+#: Symbols that a candidate has at least, without the signs that pad its end.
+LEAST = 16
 MOST_BIN = 300
-_MARK = "\x01"
+#: Entries of an array that are summed in one go.
+_BLOCK = 128
 
 
 def _text_costs(hexes: bool = False) -> str:
@@ -83,40 +96,88 @@ def _text_costs(hexes: bool = False) -> str:
     return " ".join(f"{cost(i, j):.2f}" for i in every for j in every)
 
 
-def _spans(text: Column, pattern: str, keep) -> Column:
-    """array<struct<start, end, token>> of the pattern's matches: each is put between marks, and the pieces' lengths add up to positions."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    none = F.array().cast("array<struct<start:bigint,end:bigint,token:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), none.alias("spans"))
+def _running(lengths: Column) -> Column:
+    """For each of an array's lengths the sum of those before it. Blocks are summed apart, so that no long array is copied for each entry."""
+
+    def within(block: Column, base: Column) -> Column:
+        start = F.struct(base.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(block, start, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    many = F.size(lengths)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((many - 1) / _BLOCK).cast("int")), lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+    total = lambda block: F.aggregate(block, zero, lambda a, v: a + v)
+    return F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + total(b)).alias("at"), F.concat(acc["out"], F.array(within(b, acc["at"]))).alias("out")), lambda acc: F.flatten(acc["out"]))
+
+
+def _let(value: Column, fn) -> Column:
+    """fn(value), with value computed once however often fn uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _cut(text: Column, pattern: str, mark: str) -> Column:
+    """The text split before and after each match: every second piece, from the second on, is one."""
+    return F.split(F.regexp_replace(text, pattern, f"{mark}$0{mark}"), mark, -1)
+
+
+def _plain(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), MARKS + FILL, "\ufffd" * 4)
+
+
+_SPAN = "array<struct<start:bigint,end:bigint,token:string>>"
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.char_length(piece)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("token"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"] & keep(piece), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step, lambda acc: acc["spans"])).otherwise(none)
+def _spans(pieces: Column, keep) -> Column:
+    """array<struct<start, end, token>> of the matches among pieces that pass ``keep``."""
+    at = _running(F.transform(pieces, lambda p: F.char_length(p).cast("long")))
+    found = F.transform(F.arrays_zip(pieces.alias("token"), at.alias("start")), lambda x, i: F.struct(x["token"].alias("token"), x["start"].alias("start"), (i % 2 == 1).alias("hit")))
+    hits = F.filter(found, lambda x: x["hit"] & keep(x["token"]))
+    spans = F.transform(hits, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["token"])).alias("end"), x["token"].alias("token")))
+    return F.when(F.size(pieces) > 1, spans).otherwise(F.array().cast(_SPAN))
+
+
+def _matches(text: Column, pattern: str, keep) -> Column:
+    return _let(_cut(text, pattern, MARKS[0]), lambda pieces: _spans(pieces, keep))
+
+
+def _assigns(piece: Column) -> Column:
+    return F.char_length(F.regexp_extract(piece, ASSIGN, 2)) >= 6
 
 
 def base_spans(text: Column) -> Column:
     """array<struct<start, end, kind, token>> by start, then kind in the order assign, access, hex."""
-    whole = F.translate(F.coalesce(text, F.lit("")), _MARK, "\x02")
-    yes = lambda piece: F.lit(True)
-    kinds = [
-        ("assign", _spans(whole, ASSIGN, lambda piece: F.char_length(F.regexp_extract(piece, ASSIGN, 2)) >= 6)),
-        ("access", _spans(whole, ACCESS, yes)),
-        ("hex", _spans(whole, HEX, yes)),
-    ]
+    whole, every = _plain(text), lambda piece: F.lit(True)
+    kinds = [("assign", ASSIGN, _assigns), ("access", ACCESS, every), ("hex", HEX, every)]
+    names = F.array(*[F.lit(k) for k, _, _ in kinds])
 
     def tag(spans: Column, order: int) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), s["token"].alias("token")))
 
-    tagged = [tag(spans, i) for i, (_, spans) in enumerate(kinds)]
-    name = lambda i: F.element_at(F.array(*[F.lit(k) for k, _ in kinds]), i + 1)
-    return F.transform(F.array_sort(F.concat(*tagged)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), name(s["order"]).alias("kind"), s["token"].alias("token")))
+    tagged = [tag(_matches(whole, pattern, keep), i) for i, (_, pattern, keep) in enumerate(kinds)]
+    return F.transform(F.array_sort(F.concat(*tagged)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["order"] + 1).alias("kind"), s["token"].alias("token")))
+
+
+def _filling(keep):
+    return lambda piece, i: F.when((i % 2 == 1) & keep(piece), F.regexp_replace(piece, f"[^{MARKS}]", FILL)).otherwise(piece)
+
+
+def filled(text: Column) -> Column:
+    """The text with every character of a base span replaced by FILL. The three kinds are marked in one text, each kind's pattern
+    reading over the marks of those before it; then each kind's matches are filled in turn, which leaves the marks of the others."""
+    bare = lambda piece: F.translate(piece, MARKS, "")
+    keeps = [lambda p: _assigns(bare(p)), lambda p: F.char_length(bare(p)) >= 20, lambda p: F.char_length(bare(p)) >= 24]
+    out = _plain(text)
+    for pattern, mark in zip((ASSIGN, ACCESS_MARKED, HEX_MARKED), MARKS, strict=True):
+        out = F.regexp_replace(out, pattern, f"{mark}$0{mark}")
+    for mark, keep in zip(MARKS, keeps, strict=True):
+        out = F.array_join(F.transform(F.split(out, mark, -1), _filling(keep)), "")
+    return out
 
 
 def candidates(text: Column) -> Column:
-    return _spans(F.translate(F.coalesce(text, F.lit("")), _MARK, "\x02"), CANDIDATE, lambda piece: F.lit(True))
+    """The candidates of a text whose base spans are filled."""
+    return _matches(text, CANDIDATE, lambda piece: F.lit(True))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -178,7 +239,7 @@ def tested(spans: Column) -> Column:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), s["code"].alias("code"), s["a"].alias("a"), pairs.alias("squares"), walk.alias("w"), text.alias("text"))
 
     def judged(s: Column) -> Column:
-        n, a, w = s["w"]["n"], s["a"], s["w"]
+        n, a, w = F.greatest(s["w"]["n"], F.lit(1.0)), s["a"], s["w"]
         chi = a / n * s["squares"] - n
         # Wilson and Hilferty: the cube root of chi-squared over its degrees of freedom is nearly normal
         z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / (a - 1), F.lit(1 / 3)) - (1 - 2 / (9 * (a - 1)))) / F.sqrt(2 / (9 * (a - 1)))
@@ -195,30 +256,22 @@ def tested(spans: Column) -> Column:
         p_text = F.exp(F.least((n - 1) * F.log(a) - s["text"], F.lit(0.0)))
         p = F.greatest(F.when(s["code"] == 1, _upper_tail(z_text)).otherwise(p_text), F.lit(1e-30))
         bin_ = F.least(F.floor(-10 * F.log10(p)), F.lit(MOST_BIN)).cast("int")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), (s["code"] * 64 + F.floor(F.log2(n)).cast("int")).alias("cls"), F.when(random, F.greatest(bin_, F.lit(0))).otherwise(F.lit(-1)).alias("bin"))
-
-    held = F.filter(F.transform(spans, coded), lambda s: F.char_length(s["body"]) >= 16)
-    return F.transform(F.transform(F.transform(held, indexed), summed), judged)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), (s["code"] * 64 + F.floor(F.log2(n)).cast("int")).alias("cls"), F.when(random & (w["n"] >= LEAST), F.greatest(bin_, F.lit(0))).otherwise(F.lit(-1)).alias("bin"))
 
-
-def free_of(spans: Column, base: Column) -> Column:
-    """The candidates that touch no base span."""
-    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return F.transform(F.transform(F.transform(F.transform(spans, coded), indexed), summed), judged)
 
 
 def scanned(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``row`` (the document's columns), ``base`` spans, and tested candidates ``cand``."""
-    cols = docs.columns if keep is None else keep
-    row = F.struct(*[docs[c] for c in cols]) if cols else F.struct(F.lit(None).cast("int").alias("_"))
-    at = docs.select(row.alias("row"), docs[text_col].alias("text"))
-    found = at.select("row", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("cand"))
-    return found.select("row", "base", tested(free_of(F.col("cand"), F.col("base"))).alias("cand"))
+    """``row`` (the document's columns), ``base`` spans, and all candidates, tested, ``cand``."""
+    found = docs.select(row_of(docs, keep), field(text_col).alias("text"), base_spans(field(text_col)).alias("base"))
+    found = found.select("row", "base", F.when(F.size("base") > 0, filled(F.col("text"))).otherwise(_plain(F.col("text"))).alias("rest"))
+    return found.select("row", "base", tested(candidates(F.col("rest"))).alias("cand"))
 
 
 def thresholds(found: DataFrame, rate: float = RATE) -> dict[int, int]:
     """For each class the least bin that Benjamini-Hochberg rejects "text" from; over all documents."""
     counts = found.select(F.explode("cand").alias("c")).groupBy("c.cls", "c.bin").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("cls")
+    by = Window.partitionBy("cls")  # a row for each bin of the class
     down = by.orderBy(F.col("bin").desc())
     ranked = counts.select("cls", "bin", F.sum("n").over(by).alias("m"), F.sum("n").over(down).alias("k")).filter("bin >= 0")
     meets = F.col("m") * F.pow(F.lit(10.0), -F.col("bin") / 10.0) <= rate * F.col("k")
@@ -227,36 +280,33 @@ def thresholds(found: DataFrame, rate: float = RATE) -> dict[int, int]:
 
 
 def discovered(cand: Column, limits: dict[int, int]) -> Column:
-    """array<struct<start, end, kind, token>> of the candidates beyond their class's threshold."""
-    beyond = F.lit(False)
-    if limits:
-        least = F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])
-        return F.transform(F.filter(cand, lambda s: F.coalesce(s["bin"] >= least[s["cls"]], F.lit(False))), _as_random)
-    return F.transform(F.filter(cand, lambda s: beyond), _as_random)
-
-
-def _as_random(s: Column) -> Column:
-    return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("random").alias("kind"), s["token"].alias("token"))
+    """array<boolean>: which candidates lie beyond their class's threshold."""
+    if not limits:
+        return F.transform(cand, lambda s: F.lit(False))
+    least = F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])
+    return F.transform(cand, lambda s: F.coalesce(s["bin"] >= least[s["cls"]], F.lit(False)))
 
 
 def secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``row``, ``base`` and ``random`` spans. The texts are read twice: for the thresholds, then for the spans."""
-    limits = thresholds(scanned(docs, text_col, []))
-    return scanned(docs, text_col, keep).select("row", "base", discovered(F.col("cand"), limits).alias("random"))
+    """``row``, ``base`` and ``random`` spans (start, end, kind, token), and ``hits``, the candidates in order that are random."""
+    found = materialize(scanned(docs, text_col, keep), "tested-candidates")
+    with_hits = found.select("row", "base", "cand", discovered(F.col("cand"), thresholds(found)).alias("hits"))
+    chosen = F.filter(F.transform(F.arrays_zip("cand", "hits"), lambda x: x), lambda x: x["hits"])
+    spans = F.transform(chosen, lambda x: F.struct(x["cand"]["start"].alias("start"), x["cand"]["end"].alias("end"), F.lit("random").alias("kind"), x["cand"]["token"].alias("token")))
+    return with_hits.select("row", "base", spans.alias("random"), "hits")
 
 
 def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with the union of the spans (ordered by start) cut out and ``mark`` in each one's place."""
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+def redacted(text: Column, hits: Column, mark: str = "[secret]") -> Column:
+    """The text with its base spans and the candidates that ``hits`` names cut out, and ``mark`` in the place of each run of such
+    characters (spans that touch give one mark). A text without a secret comes back as it is."""
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        cut = F.concat(acc["out"], F.array(gap, F.lit(mark)))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(F.when(s["start"] < acc["at"], F.struct(s["end"].alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), cut.alias("out"))))
+    def cut(rest: Column) -> Column:
+        fill = lambda p, i: F.when((i % 2 == 1) & F.coalesce(F.try_element_at(hits, F.floor((i + 1) / 2).cast("int")), F.lit(False)), F.lit(FILL)).otherwise(p)
+        return F.when(F.exists(hits, lambda h: h), F.array_join(F.transform(_cut(rest, CANDIDATE, MARKS[0]), fill), "")).otherwise(rest)
 
-    rest = F.aggregate(spans, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2_147_483_647))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    done = lambda whole: F.when(F.instr(whole, FILL) > 0, F.regexp_replace(whole, f"{FILL}+", mark)).otherwise(text)
+    return F.when(text.isNotNull(), _let(_let(filled(text), cut), done))

@@ -37,6 +37,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCK = 4_000_000
 #: Fingerprints that one place holds at most, and the bits by which a fuller one is split.
 PLACE, SPLIT = 250_000, 6
+#: A fingerprint with more than one row in HOT is labelled by a broadcast of fewer than HOT rows.
+HOT = 10_000
 _A_TO_Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 65_536
 
@@ -193,21 +195,26 @@ def _meet(sent: DataFrame, p: int, half: int, kind: T.DataType) -> DataFrame:
 
 
 def labelled(prints: DataFrame, id_col: str = "id", radius: int = RADIUS, prefix_bits: int | None = None) -> DataFrame:
-    """For each distinct ``fp`` of prints: ``print`` (the fingerprint), ``component`` (a key) and ``component_id``, the smallest id that
-    links lead to (null if there is none). A node of the links is a fingerprint with its smallest id before it, so the smallest node
+    """For each distinct ``fp`` of prints: ``print`` (the fingerprint), ``component`` (a key), ``n`` (its rows) and ``component_id``, the smallest id
+    that links lead to (null if there is none). A node of the links is a fingerprint with its smallest id before it, so the smallest node
     reachable is the answer itself and no component's members ever meet; fingerprints without any id come after all others."""
-    least = prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("least"))
+    least = prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("least"), F.count("*").alias("n"))
     node = F.struct(F.col("least").isNull().alias("none"), F.coalesce("least", F.lit(0).cast("long")).alias("id"), "fp")
-    ids = materialize(least.select("fp", node.alias("node")), "distinct-fingerprints")
+    ids = materialize(least.select("fp", node.alias("node"), "n"), "distinct-fingerprints")
     comp = connected_components(materialize(links(ids, radius, prefix_bits, "node"), "links")).select(F.col("node.fp").alias("print"), "component")
-    found = ids.join(comp, F.col("fp") == F.col("print"), "left").select(F.col("fp").alias("print"), F.coalesce("component", "node").alias("component"))
+    found = ids.join(comp, F.col("fp") == F.col("print"), "left").select(F.col("fp").alias("print"), F.coalesce("component", "node").alias("component"), "n")
     return found.withColumn("component_id", F.when(~F.col("component.none"), F.col("component.id")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, prefix_bits: int | None = None) -> DataFrame:
     """One row for each document: ``id``, ``fp``, ``component_id`` (the smallest id that links lead to). Ids are integers."""
     held = materialize(fingerprints(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "text", ["id"]).select("row.id", "fp"), "fingerprints")
-    return held.join(labelled(held, "id", radius, prefix_bits), F.col("fp") == F.col("print")).select("id", "fp", "component_id")
+    label = materialize(labelled(held, "id", radius, prefix_bits).select("print", "component_id", "n"), "labels")
+    # fewer than HOT fingerprints hold more than one row in HOT each: their labels are broadcast, the others' rows are spread by fingerprint
+    hot = F.broadcast(label.filter(F.col("n") > held.count() / HOT).select("print", "component_id"))
+    same = F.col("fp") == F.col("print")
+    rest = held.join(hot.select("print"), same, "left_anti").join(label, same)
+    return held.join(hot, same).select("id", "fp", "component_id").unionByName(rest.select("id", "fp", "component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
