@@ -32,10 +32,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found is cut out and marked; n_chars follows the text. All documents stay."""
     found = secrets.secrets(docs)
-    spans = F.array_sort(F.concat("base", "random"))
-    text = secrets.redacted(F.col("row.text"), spans)
-    cols = {"text": text, "n_chars": F.when(F.size(spans) > 0, F.char_length(text)).otherwise(F.col("row.n_chars"))}
-    return found.select(*[cols[c].cast(docs.schema[c].dataType).alias(c) if c in cols else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    some = F.size("base") + F.size("random") > 0
+    marked = found.select("row", some.alias("some"), F.when(some, secrets.redacted(F.col("row.text"), F.col("hits"))).otherwise(F.col("row.text")).alias("text"))
+    cols = {"text": F.col("text"), "n_chars": F.when(F.col("some"), F.char_length("text")).otherwise(F.col("row.n_chars"))}
+    return marked.select(*[cols[c].cast(docs.schema[c].dataType).alias(c) if c in cols else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
