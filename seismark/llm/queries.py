@@ -50,7 +50,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate as d
 
     found = d.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    return found.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", F.col("m.item").alias("item_id"), F.col("m.distance").cast("long").alias("distance"), F.col("m.end").alias("match_end"))
+    return found.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", F.col("m.item").alias("item_id"), F.col("m.unit").alias("unit"), F.col("m.distance").cast("long").alias("distance"), F.col("m.end").alias("match_end"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

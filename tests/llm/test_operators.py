@@ -286,34 +286,73 @@ def test_myers(item, text, k):
     assert (got[0] if got else None) == (d if d <= k else None)
 
 
+@given(st.lists(st.sampled_from("abc"), min_size=1, max_size=9), st.lists(st.sampled_from("abc"), max_size=20), st.integers(0, 4))
+@settings(max_examples=150, deadline=None)
+def test_myers_on_words(item, text, k):
+    d = brute_distance([x * 3 for x in item], [x * 3 for x in text])
+    got = decontaminate.myers([x * 3 for x in item], [x * 3 for x in text], k)
+    assert (got[0] if got else None) == (d if d <= k else None)
+
+
+def brute_found(item, text):
+    """The unit within whose budget the item is found, characters first."""
+    i, t = decontaminate.normalise(item), decontaminate.normalise(text)
+    if not i or not t:
+        return None
+    if brute_distance(i, t) <= int(len(i) * decontaminate.RATE):
+        return "char"
+    return "word" if brute_distance(i.split(), t.split()) <= int(len(i.split()) * decontaminate.WORD_RATE) else None
+
+
 def test_contaminated(spark, docs, empty):
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(400)]
-    items = [(i, " ".join(rng.choices(words, k=30))) for i in range(12)] + [(50, None), (51, " "), (52, "tiny")]
-    texts, want = [], {}
+    items = [(i, " ".join(rng.choices(words, k=30))) for i in range(12)] + [(50, None), (51, " .!"), (52, "tiny"), (None, "the item without any id is matched like any other one")]
+    texts = []
     for i in range(12):
-        t = items[i][1]
-        edited = list(t)
-        k = decontaminate.budget(decontaminate.normalise(t))
-        for at in rng.sample(range(len(t)), i % (k + 2)):
-            edited[at] = "#"
-        texts.append((i, " ".join(rng.choices(words, k=200)) + "\n " + "".join(edited).upper() + " " + " ".join(rng.choices(words, k=50)), 7))
-        want[i] = {n for n, x in items[:12] if brute_distance(decontaminate.normalise(x), decontaminate.normalise(texts[-1][1])) <= decontaminate.budget(decontaminate.normalise(x))}
-    texts += [(20, "a tiny word", 0), (21, "destiny", 0), (22, None, 0)]
-    df = spark.createDataFrame(texts, "doc_id long, text string, matches int")
+        for n in range(0, 10, 3):  # words replaced, or characters
+            t = items[i][1]
+            edited = t.split()
+            for at in rng.sample(range(len(edited)), n if i % 2 else 0):
+                edited[at] = rng.choice(words)
+            edited = list(" ".join(edited))
+            for at in rng.sample(range(len(edited)), 0 if i % 2 else 2 * n):
+                edited[at] = "#"
+            texts.append((100 * n + i, " ".join(rng.choices(words, k=150)) + "\n, " + "".join(edited).upper() + "! " + " ".join(rng.choices(words, k=50))))
+    texts += [(20, "a tiny, word"), (21, "destiny"), (22, None), (23, "so The item -- without any id is matched like ANY other one."), (24, "")]
+    df = spark.createDataFrame([(*t, 7) for t in texts], "doc_id long, text string, matches int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: {m.item for m in r.matches} for r in decontaminate.contaminated(df, bench).select("row.doc_id", "matches").collect()}
-    assert {i: got[i] for i in range(12)} == want and got[20] == {52} and got[21] == set() == got[22]
-    assert any(want.values()) and not all(want.values())
+    got = {r.doc_id: {(m.item, m.unit) for m in r.matches} for r in decontaminate.contaminated(df, bench).select("row.doc_id", "matches").collect()}
+    want = {d: {(n, u) for n, x in items if (u := brute_found(x, t))} for d, t in texts}
+    assert got == want and got[20] == {(52, "char")} and got[21] == set() == got[22] and got[23] == {(None, "char")}
+    assert {u for m in got.values() for _, u in m} == {"char", "word"} and not all(got.values())
     decontaminate.BLOCK_CHARS, held = 300, decontaminate.BLOCK_CHARS
     try:
-        again = {r.doc_id: {m.item for m in r.matches} for r in decontaminate.contaminated(df, bench).select("row.doc_id", "matches").collect()}
+        again = {r.doc_id: {(m.item, m.unit) for m in r.matches} for r in decontaminate.contaminated(df, bench).select("row.doc_id", "matches").collect()}
     finally:
         decontaminate.BLOCK_CHARS = held
     assert again == got
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == len(TEXTS) + 1 and decontaminate.contaminated(empty, bench).count() == 0
 
 
+def test_reworded_copies_are_found(spark):
+    """Copies of every benchmark item with one to three words replaced, or without their end; and nothing in other texts."""
+    rng = random.Random(7)
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    pool = " ".join(items).split()
+    matcher = decontaminate.Matcher(enumerate(map(decontaminate.normalise, items)))
+    fill = lambda: " ".join(rng.choices(pool, k=40))
+    for i, t in enumerate(items):
+        for n in (0, 1, 2, 3):
+            w = t.split()
+            for at in rng.sample(range(len(w)), n):
+                w[at] = rng.choice(pool)
+            assert i in {m[0] for m in matcher.find(decontaminate.normalise(f"{fill()} {' '.join(w)} {fill()}"))}
+        cut = t.split()[: -max(1, len(t.split()) // 6)]
+        assert i in {m[0] for m in matcher.find(decontaminate.normalise(f"{fill()} {' '.join(cut)} {fill()}"))}
+    assert not [1 for _ in range(300) if matcher.find(decontaminate.normalise(fill() + " " + fill()))]
+
+
 # token files
 
 
