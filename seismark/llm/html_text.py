@@ -1,16 +1,17 @@
 """Main text of web pages by maximum-scoring subsequence.
 
-A page is read as words and tags in order. Words score positive, tags and words of links negative. An element that
-is no part of an article (menu, header, footer, sidebar, notice, advert, form, comments) counts as one strongly negative tag,
-whatever it holds, and is left out of the text. Where only a part of a compound class, id or role hints at that, the element stays and
-its begin and end score negative. The weights are log-odds of lying inside the main text, counted on labelled pages. One linear scan finds the contiguous region with the best sum; its text is
-taken without the elements that are no part of an article. The words of one text node score alike, so a region's
-ends always fall between nodes and whole nodes are scored at once.
+A page is read as words and tags in order. A word scores -log P(outside | word), which is positive; a tag, and a word of a link, scores
+log P(inside | tag), which is negative; the shares of words and tags inside and outside main texts are counted on labelled pages. One linear
+scan finds the contiguous region with the best sum. HTML's own marks of main content (body, main, article) are never inside a main text, so no region
+reaches over their tags. An element that the labelled pages speak against (menu, header, footer, sidebar, notice, advert, form, comments) counts
+as one tag and is left out of the text: its evidence is summed over its own name and all the names in its class, id and role, so that no single word
+decides. The words of one text node score alike, so a region's ends always fall between nodes and whole nodes are scored at once.
 
 Character references are decoded; white space becomes one space; block elements and line breaks separate, inline tags do not.
 
-Defined cases: null, empty and wordless pages give an empty text; text without any tag is its own main text; unclosed tags end with the page,
-unclosed comments and scripts take the rest; repeated rows are read each; an empty table gives an empty result.
+Defined cases: null, empty and wordless pages give an empty text; text without any tag is its own main text; unclosed elements end with the page,
+unclosed comments, scripts and tags take the rest; a quote that is never closed is an ordinary character of its tag; repeated rows are read each; an
+empty table gives an empty result. Time grows in proportion to the page, whatever its markup.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import html
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -28,159 +30,221 @@ from pyspark.sql import types as T
 from ._common import map_rows
 from .html_labels import PAGES
 
-_TOKEN = re.compile(
-    r"<!--(?P<note>.*?)(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_PART = re.compile(r"[^\W_]+")
+#: A number that no character has; html.unescape cannot read very long ones.
+_TOO_LONG = re.compile(r"&#[0-9]{9,};?")
 
-#: Elements that are no part of an article; inline elements; words of class, id and role attributes that mark the former.
-OUTSIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog"}
+#: Fixed values of HTML: elements whose content is no text, inline elements, elements without content, and those that end where the next begins.
+RAW = {n: re.compile(rf"</{n}[\s/>]", re.IGNORECASE) for n in "script style noscript template iframe svg textarea title".split()}
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr del".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HINTS = set(
-    "ad ads advert advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu breadcrumb breadcrumbs sidebar comment comments "
-    "reply replies respond disqus cookie cookies consent notice popup modal newsletter subscribe signup share sharing social related recommended recommendations "
-    "footer header masthead copyright login search widget toolbar pagination pager alert contentinfo complementary".split()
-)
-SHELLS = {"html", "body", "main", "article"}
+SELF_CLOSED = set("p li td th tr dt dd option".split())
+ROOTS, WALLS = {"html", "body", "main"}, {"body", "main", "article"}
 ANCHORS = {"h1", "h2", "h3", "h4", "h5", "h6", "section"}  # their ids are made from headings
-#: Words of text that the begin, and the end, of an element with a compound hint weigh up.
-SOFT = 8
+#: An element is no part of an article where its evidence falls below this (natural logarithm).
+OUT = -2.5
+#: A name seen so often, a tag seen so often, counts half.
+FEW, FEW_TAGS = 4, 20
 
 
-def _standing(name: str, attrs: str) -> str:
-    """ "out": no part of an article; "soft": only a part of a compound class, id or role says so; else ""."""
-    if name in OUTSIDE:
-        return "out"
-    soft = ""
-    for m in _ATTR.finditer(attrs or ""):
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag's closing bracket stands; brackets inside quotes do not count."""
+    while m := _STOP.search(page, at):
+        c = m[0]
+        if c == ">":
+            return m.start()
+        at = page.index(c, m.end()) + 1 if last[c] >= m.end() else m.end()
+    return len(page)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", name, attributes), ("close", name, "") and ("note", comment, "") in page order."""
+    last = {q: page.rfind(q) for q in "\"'"}
+    n, at, begun = len(page), 0, 0
+    while (lt := page.find("<", at)) >= 0:
+        named, mark = _NAME.match(page, lt), page[lt + 1 : lt + 2]
+        if not named and mark not in ("!", "?", "/"):
+            at = lt + 1  # an ordinary character
+            continue
+        if lt > begun:
+            yield "text", page[begun:lt], ""
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            yield "note", page[lt + 4 : end if end >= 0 else n], ""
+            at = begun = end + 3 if end >= 0 else n
+            continue
+        if not named:
+            end = page.find(">", lt)
+            at = begun = end + 1 if end >= 0 else n
+            continue
+        end, name = _tag_end(page, named.end(), last), named[2].lower()
+        at = begun = end + 1
+        if named[1]:
+            yield "close", name, ""
+        elif name in RAW:
+            closing = RAW[name].search(page, at)
+            end = page.find(">", closing.start()) if closing else -1
+            at = begun = end + 1 if end >= 0 else n
+        else:
+            yield "open", name, page[named.end() : end]
+    if begun < n:
+        yield "text", page[begun:], ""
+
+
+@cache
+def _parts(name: str, attrs: str) -> frozenset[str]:
+    """The values of an element's class, id and role (after a =), and the words that they are made of."""
+    found: set[str] = set()
+    for m in _ATTR.finditer(attrs):
         key = m[1].lower()
-        if key not in ("class", "id", "role") or key == "id" and name in ANCHORS:
+        if key in ("class", "id", "role") and not (key == "id" and name in ANCHORS):
+            value = (m[2] or m[3] or m[4] or "").lower().strip()
+            found.update([f"={value}", *_PART.findall(value)])
+    return frozenset(found)
+
+
+def parts(name: str, attrs: str) -> frozenset[str]:
+    if len(attrs) < 4 or "=" not in attrs:
+        return frozenset()
+    if _parts.cache_info().currsize > 50_000:
+        _parts.cache_clear()
+    return _parts(name, attrs)
+
+
+class Weights:
+    """Counted on labelled pages. ``element``: log-likelihood ratio of an element's name, and of the parts of its names, to hold or be in
+    a main text, against being the root of something else. ``scan``: scores of a word, a word of a link, and each tag."""
+
+    def __init__(self, pages: list[str]):
+        keep, out = Counter(), Counter()
+        inside, outside = Counter(), Counter()
+        for page in pages:
+            stack: list[list] = []  # open elements: features, whether they hold main text, elements below that do not, name
+            main = False
+            for kind, value, attrs in tokens(page):
+                counts = inside if main else outside
+                if kind == "note":
+                    main = {"main": True, "/main": False}.get(value.strip(), main)
+                elif kind == "text":
+                    if main and value.strip():
+                        for e in stack:
+                            e[1] = True
+                    counts["link" if any(e[3] == "a" for e in stack) else "word"] += len(value.split())
+                else:
+                    if kind == "open":
+                        counts[f"<{value}>"] += 1
+                    if kind == "open" and value not in VOID:
+                        stack.append([parts(value, attrs) | {f"<{value}>"}, False, [], value])
+                    elif kind == "close" and stack:
+                        features, holds, below, _ = stack.pop()
+                        if holds:
+                            keep.update([*features, ""])
+                            for f in below:
+                                out.update([*f, ""])
+                        elif stack:
+                            stack[-1][2].append(features)
+        # what was seen a few times says less: names shrink to no evidence, tags to the mean tag
+        ratio = lambda k: math.log((keep[k] + 0.5) / (keep[""] + 1)) - math.log((out[k] + 0.5) / (out[""] + 1))
+        self.element = {k: ratio(k) * (keep[k] + out[k]) / (keep[k] + out[k] + FEW) for k in {*keep, *out} - {""}}
+        tags = lambda c: sum(v for k, v in c.items() if k.startswith("<"))
+        mean = tags(inside) / (tags(inside) + tags(outside))
+        share = lambda k: (inside[k] + FEW_TAGS * mean) / (inside[k] + outside[k] + FEW_TAGS)
+        self.scan = {k: math.log(share(k)) for k in {*inside, *outside}}
+        self.scan["word"] = -math.log1p(-share("word"))
+        self.other = math.log(mean)
+
+    def standing(self, name: str, attrs: str) -> tuple[bool, float]:
+        """Whether the element is no part of an article, and what its names add to its tag's score (never above zero)."""
+        get = self.element.get
+        named = sum(get(p, 0.0) for p in parts(name, attrs))
+        return name not in ROOTS and get(f"<{name}>", 0.0) + named < OUT, min(named, 0.0)
+
+
+@cache
+def weights() -> Weights:
+    return Weights(PAGES)
+
+
+def nodes(page: str, w: Weights) -> Iterator[tuple[str, str, float]]:
+    """(kind, value, score) in page order: "word" and "link" text, "tag", and "out" where an element begins that is no part of an article (what it
+    holds is passed over)."""
+    scan, other = w.scan, w.other
+    word, link = scan.get("word", 0.0), scan.get("link", 0.0)
+    skip, depth, linked = "", 0, False
+    for kind, value, attrs in tokens(page):
+        if kind == "note":
             continue
-        classes = (m[2] or m[3] or m[4] or "").lower().split()
-        if not HINTS.isdisjoint(classes):
-            return "" if name in ("html", "body", "main") else "out"
-        if name not in SHELLS and any(not HINTS.isdisjoint(re.split(r"[-_]+", c)) for c in classes):
-            soft = "soft"
-    return soft
-
-
-def nodes(page: str):
-    """(kind, value) in page order: kind is "word" (text of the article or unknown), "link" (inside a link), "out" (inside an element that
-    is no part of an article), "tag" with the tag's name, "/" before a closing one, "outtag" where an element that is no part begins, "soft" before
-    the tags that open and close an element with a compound hint, or "note" with a comment."""
-    at, skip, depth, links = 0, "", 0, 0
-    soft: list[list] = []  # open elements with a compound hint: name, depth
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            yield ("out" if depth else "link" if links else "word"), page[at : m.start()]
-        at = m.end()
-        if m["note"] is not None:
-            yield "note", m["note"]
-        name = (m["name"] or "").lower()
-        if not name:
+        if kind == "text":
+            if not depth:
+                yield ("link", value, link * len(value.split())) if linked else ("word", value, word * len(value.split()))
             continue
-        closes = bool(m["close"])
+        closes = kind == "close"
         if depth:
-            if name == skip:
+            if value == skip:
                 if closes:
                     depth -= 1
-                elif name in ("p", "li", "td", "option"):  # these close themselves
-                    depth = 1 if _standing(name, m["attrs"]) == "out" else 0
-                elif name not in VOID:
+                    continue
+                if value not in SELF_CLOSED:
                     depth += 1
-            elif not closes and name in ("article", "main", "body"):
+                    continue
+                depth = 0  # the next of its kind ends it
+            elif not closes and value in ("article", "main", "body"):
                 depth = 0
-            if not depth and not closes:
-                yield "tag", name
-            continue
-        standing = "" if closes or name in VOID else _standing(name, m["attrs"])
-        if standing == "out":
-            skip, depth = name, 1
-            yield "outtag", name
-            continue
-        if soft and soft[-1][0] == name:
-            if closes or name in ("p", "li", "td", "option"):
-                soft[-1][1] -= 1
             else:
-                soft[-1][1] += 1
-            if not soft[-1][1]:
-                soft.pop()
-                yield "soft", name
-        if standing == "soft":
-            soft.append([name, 1])
-            yield "soft", name
-        if name == "a":
-            links = 0 if closes else 1
-        elif name not in INLINE:
-            links = 0  # a link does not reach over blocks
-        yield "tag", "/" * closes + name
-    if at < len(page):
-        yield ("out" if depth else "link" if links else "word"), page[at:]
-
-
-@cache
-def weights(pages: tuple[str, ...] = tuple(PAGES)) -> dict[str, float]:
-    """Log-odds of lying in the main text; words of articles at least 0.5, all others and tags at most -0.05."""
-    inside, outside = Counter(), Counter()
-    for page in pages:
-        counts = outside
-        for kind, value in nodes(page):
-            if kind == "note":
-                counts = {"main": inside, "/main": outside}.get(value.strip(), counts)
-            elif kind == "soft":
                 continue
-            elif kind.endswith("tag"):
-                counts[f"<{value.lstrip('/')}>" if kind == "tag" else "<out>"] += 1
-            else:
-                counts[kind] += len(value.split())
-    out = {}
-    for k in {*inside, *outside}:
-        w = math.log((inside[k] + 0.5) / (outside[k] + 0.5))
-        out[k] = max(w, 0.5) if k == "word" else min(w, -0.05)
-    out.setdefault("<?>", -0.3)
-    for k in ("<article>", "<main>", "<body>"):  # seen only around main texts: the region does not reach over them
-        out[k] = -20.0
-    return out
+        score = 0.0  # a closing tag follows from the opening one
+        if not closes:
+            score = scan.get(f"<{value}>", other)
+            out, named = w.standing(value, attrs)
+            if out:
+                yield "out", value, score
+                if value not in VOID:
+                    skip, depth = value, 1
+                continue
+            score += named
+        if value in WALLS:
+            score = -math.inf
+        if value == "a":
+            linked = not closes
+        elif value not in INLINE:
+            linked = False  # a link does not reach over blocks
+        yield "tag", value, score
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    w = weights()
-    other, out_tag, word, link = w["<?>"], w.get("<out>", -0.3), w["word"], w.get("link", -0.5)
-    seq = [n for n in nodes(page) if n[0] != "note"]
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The contiguous region with the greatest sum, (first, after its last); (0, 0) if no region has a positive one."""
     best = total = 0.0
     start = first = last = 0
-    for i, (kind, value) in enumerate(seq):
-        if kind == "tag":
-            total += w.get(f"<{value.lstrip('/')}>", other)
-        elif kind == "outtag":
-            total += out_tag
-        elif kind == "soft":
-            total -= SOFT * word
-        else:
-            total += len(value.split()) * (word if kind == "word" else link if kind == "link" else 0)
-        if total <= 0:
+    for i, s in enumerate(scores):
+        total += s
+        if total < 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, first, last = total, start, i + 1
-    # words of a link, or tags, at the ends belong to the region's first and last blocks
-    while first and (seq[first - 1][0] == "link" or seq[first - 1][0] == "tag" and seq[first - 1][1].lstrip("/") in INLINE):
+    return first, last
+
+
+def _decoded(text: str) -> str:
+    return html.unescape(_TOO_LONG.sub("\ufffd", text)) if "&" in text else text
+
+
+def main_text(page: str | None) -> str:
+    if not page:
+        return ""
+    seq = list(nodes(page, weights()))
+    first, last = best_region([s for _, _, s in seq])
+    if not last:
+        return ""
+    joins = lambda n: n[0] == "link" or n[0] == "tag" and n[1] in INLINE
+    # words of a link, or inline tags, at the ends belong to the region's first and last blocks
+    while first and joins(seq[first - 1]):
         first -= 1
-    while last < len(seq) and last and (seq[last][0] == "link" or seq[last][0] == "tag" and seq[last][1].lstrip("/") in INLINE):
+    while last < len(seq) and joins(seq[last]):
         last += 1
-    parts = []
-    for kind, value in seq[first:last]:
-        if kind in ("word", "link"):
-            parts.append(html.unescape(value) if "&" in value else value)
-        elif kind == "outtag" or kind == "tag" and value.lstrip("/") not in INLINE:
-            parts.append(" ")
-    return " ".join("".join(parts).split())
+    return " ".join("".join([_decoded(v) if k in ("word", "link") else " " if k == "out" or v not in INLINE else "" for k, v, _ in seq[first:last]]).split())
 
 
 def _extract(pages: pa.Array) -> list[pa.Array]:

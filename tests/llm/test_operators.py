@@ -219,6 +219,56 @@ def test_html_anchors_and_wrappers():
         assert html_text.main_text(page) == body.strip()
 
 
+def test_no_single_word_drops_a_part_of_an_article():
+    body = "The story goes on for a good while here and tells what the town did in that year. " * 4
+    for part in ('<h2 class="section-header">', '<div class="alert-box">', '<p class="share of voice">', '<td class="social-history">', '<div class="share-of-market">'):
+        name = part[1:].split()[0]
+        page = f"<html><body><nav><a href='/'>Home</a></nav><article><p>{body}</p>{part}Words of this part stay.</{name}><p>{body}</p></article><footer>All rights</footer></body></html>"
+        assert html_text.main_text(page) == " ".join(f"{body} Words of this part stay. {body}".split()), part
+
+
+@given(st.lists(st.integers(-5, 5), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_best_region_is_the_best_of_all(scores):
+    a, z = html_text.best_region(scores)
+    assert sum(scores[a:z]) == max([0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
+
+
+def test_region_of_pages_is_the_best_of_all():
+    """All regions of the labelled pages, searched one by one; and words score above zero, tags and words of links below."""
+    w = html_text.weights()
+    assert w.scan["word"] > 0 and all(v < 0 for k, v in w.scan.items() if k != "word")
+    for page in html_text.PAGES[:40]:
+        scores = [s for _, _, s in html_text.nodes(page, w)]
+        a, z = html_text.best_region(scores)
+        best = 0.0
+        for i in range(len(scores)):
+            total = 0.0
+            for s in scores[i:]:
+                total += s
+                best = max(best, total)
+        assert sum(scores[a:z]) == pytest.approx(best)
+
+
+def test_labelled_pages():
+    """Words of the marked text come back, and few others."""
+    wrong = words = 0
+    for page in html_text.PAGES:
+        kept = re.sub("<[^>]*>", " ", " ".join(re.findall("<!--main-->(.*?)<!--/main-->", page, re.DOTALL))).split()
+        wrong, words = wrong + abs(len(html_text.main_text(page).split()) - len(kept)), words + len(kept)
+    assert wrong < 0.01 * words
+
+
+def test_broken_markup_takes_no_longer_and_leaves_none():
+    pages = ["<script" * 150_000, '<a ">" <b ">" ' * 60_000 + "'", "<p class='x" * 90_000, "<div>" * 100_000, "&#" + "1" * 100_000, "<!--" * 200_000, "<p " + "x " * 300_000 + ">a", "<a href='x>" * 90_001 + "</a>five six", "<" * 300_000]
+    begun = time.time()
+    texts = [html_text.main_text(p) for p in pages]
+    assert time.time() - begun < 30
+    assert texts[7].endswith("five six") and not any("<" in t for t in texts[:8])
+    assert html_text.main_text('<body><p>one two three <a href="x>five six</a> seven</p></body>') == "one two three five six seven"
+    assert html_text.main_text("<p>a <b c='>'>d</b> 1 < 2 & 3 > 2 &#99999999999; e</p") == "a d 1 < 2 & 3 > 2 \ufffd e"
+
+
 def test_html_pages(spark, empty):
     for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet")).select("row.html", "text", "n_chars").collect():
         inner = r.html[r.html.find("<article>") + 9 : r.html.find("</article>")]
