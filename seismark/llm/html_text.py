@@ -238,8 +238,8 @@ def main_text(page: str | None) -> str:
     first, last = best_region([s for _, _, s in seq])
     if not last:
         return ""
-    joins = lambda n: n[0] == "link" or n[0] == "tag" and n[1] in INLINE
-    # words of a link, or inline tags, at the ends belong to the region's first and last blocks
+    joins = lambda n: n[0] in ("word", "link") or n[0] == "tag" and n[1] in INLINE
+    # the first and the last block are taken whole
     while first and joins(seq[first - 1]):
         first -= 1
     while last < len(seq) and joins(seq[last]):
