@@ -1,9 +1,15 @@
 """Chat formatting over a prefix tree of conversations.
 
-Conversations that begin with the same turns share the nodes of those turns. Shared text is written once, depth-first: each distinct
-conversation, in the order of its path of turn hashes, writes the turns that no earlier one has written (a *branch*). A branch carries
-the position at which its first unit stands (after its ancestors), and the intervals of the packed sequence that its units attend to besides
-their own branch: those of its ancestor turns. Units are code points, or token ids of a tokenizers file, turn by turn.
+Conversations that begin with the same turns share the nodes of those turns. All conversations are sorted by their path of turn hashes, which is
+a depth-first walk of the tree: what a conversation shares with the one before it is on the tree already, and only the turns beyond that (its
+*branch*) are written. A branch carries the position at which its first unit stands (after its ancestors), and the intervals of the packed
+sequence that its units attend to besides their own branch: those of its ancestor turns. Units are code points, or token ids of a
+tokenizers file; a turn's marks and its text are encoded apart, so that the loss mask falls between units.
+
+The walk needs the current path only. Ranges of the sorted conversations are walked at once, each as if it were the first; the driver then goes from range to
+range (one row for each, with two paths): what a range's first conversation shares with the last one before it is taken out again, and all places in the range
+move by the units before it. Reading back walks the packed rows in the same way. So the data are shuffled once to gather conversations, once
+to sort them and once to read them back, whatever they share: no turn is joined by its content.
 
 Template: ``<s>[INST] user [/INST]``, `` assistant </s>``, ``<<SYS>> system <</SYS>>`` and ``[ROLE name] text [/ROLE]`` for any other role, each with
 single spaces inside its marks. A control string inside a text (``<s>``, ``</s>``, ``[INST]`` ...) gets a backslash after its first
@@ -11,19 +17,21 @@ character, one more if it has some already; reading takes one away, so any text
 the loss mask.
 
 Defined cases: null texts and roles are empty; turns are ordered by turn (nulls first), then role and text; conversations with equal turns
-share one branch; rows with a null id form one conversation; an empty table gives an empty result. A conversation is a bounded
-unit: its turns meet in one task. Nothing else does: equal prefixes are met by hash, with partial aggregation.
+share all their nodes; rows with a null id form one conversation; an empty table gives an empty result. A conversation is a bounded
+unit: its turns meet in one task. Nothing else does: conversations that share a path, however many, are told apart by their ids in the sort.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import materialize
 
@@ -81,105 +89,196 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _segments(tokenizer: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = None
+class Units:
+    """Turns as units: code points, or ids of a tokenizers file in which no string of a text is special."""
+
+    def __init__(self, tokenizer: str | None):
+        self.tok = None
         if tokenizer:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
-            tok = Tokenizer.from_file(tokenizer)
+            self.tok = Tokenizer.from_file(tokenizer)
+            self.tok.encode_special_tokens = True
+            self.tok.no_truncation()
+            self.tok.no_padding()
+
+    def of(self, turns: list[tuple[str, str]]) -> list[dict]:
+        """For each (role, text): its units, and which of them are its escaped text."""
+        cut = []
+        for role, text in turns:
+            segment, a, z = render(role, text)
+            cut += [segment[:a], segment[a:z], segment[z:]]
+        ids = [e.ids for e in self.tok.encode_batch(cut, add_special_tokens=False)] if self.tok else [[ord(c) for c in x] for x in cut]
+        return [{"role": r, "units": [*h, *b, *t], "text_from": len(h), "text_to": len(h) + len(b)} for (r, _), h, b, t in zip(turns, ids[::3], ids[1::3], ids[2::3], strict=True)]
+
+    def text(self, units: list[int]) -> str:
+        return self.tok.decode(units, skip_special_tokens=False) if self.tok else "".join(map(chr, units))
+
+
+_INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_OWN = pa.list_(pa.struct([("role", pa.string()), ("units", pa.list_(pa.int32())), ("text_from", pa.int32()), ("text_to", pa.int32()), ("in_loss", pa.bool_())]))
+_PACKED = T.StructType(
+    [
+        T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("conv_id", T.LongType()), T.StructField("shared", T.IntegerType()), T.StructField("start", T.LongType()),
+        T.StructField("turns", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("units", T.ArrayType(T.IntegerType())), T.StructField("text_from", T.IntegerType()), T.StructField("text_to", T.IntegerType()), T.StructField("in_loss", T.BooleanType())]))),
+        T.StructField("path", T.ArrayType(T.StringType())), T.StructField("attends", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+    ]
+)
+
+
+def _common(a: list[str], b: list[str]) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _walk(tokenizer: str | None):
+    """Sorted conversations of one range to packed rows, as if nothing came before: places count units from the range's start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        units, part = Units(tokenizer), TaskContext.get().partitionId()
+        path: list[str] = []
+        held: list[tuple[int, int]] = []
+        at = total = 0
         for b in batches:
-            made = [render(r, t) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
-            ids = [e.ids for e in tok.encode_batch([m[0] for m in made], add_special_tokens=False)] if tok else None
-            yield pa.RecordBatch.from_arrays(
-                [b.column("node"), b.column("role"), pa.array([m[0] for m in made]), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), pa.array(ids, pa.list_(pa.int32())) if tok else pa.nulls(len(made), pa.list_(pa.int32())), pa.array([len(x) for x in ids] if tok else [len(m[0]) for m in made], pa.int64())],
-                names=["node", "role", "segment", "text_from", "text_to", "ids", "units"],
-            )
+            rows = []
+            for conv, turns, nodes in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                shared = _common(path, nodes)
+                own = units.of([(t["role"], t["text"]) for t in turns[shared:]])
+                held, start = held[:shared], total
+                rows.append((part, at, conv, shared, start, [t | {"in_loss": t["role"] == "assistant"} for t in own], nodes, [{"start": a, "end": z} for a, z in held]))
+                for t in own:
+                    held.append((total, total + len(t["units"])))
+                    total += len(t["units"])
+                path, at = nodes, at + 1
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), _OWN, pa.list_(pa.string()), _INTERVALS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_PACKED.names)
 
     return run
 
 
 class Packed:
-    """``turns``: every node once, in depth-first order: node, depth, rank (its branch), role, segment, bounds of its text, ids, units,
-    position (units of its ancestors), packed_start, packed_end, in_loss. ``branches``: rank, path, and ``attends`` (intervals of the
-    ancestors outside the branch). ``members``: conv_id to rank."""
-
-    def __init__(self, turns: DataFrame, branches: DataFrame, members: DataFrame):
-        self.turns, self.branches, self.members = turns, branches, members
-
-
-def _ranked(df: DataFrame, *by: str, start: str = "n", size: str | None = None, tag: str) -> DataFrame:
-    """A global running count (or running sum of ``size``, exclusive) in the order of ``by``: ranges are sorted apart, written, and each gets
-    the prefix sum of those before it (one row for each range)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    what = F.col(size) if size else F.lit(1).cast("long")
-    parts = materialize(df.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()), tag)
-    order = Window.partitionBy("part").orderBy(*by)
-    sums = parts.groupBy("part").agg(F.sum(what).alias("s"))
-    bases = {r["part"]: r["s"] for r in sums.collect()}  # a row for each range
-    base, total = [], 0
-    for p in sorted(bases):
-        base.append((p, total))
-        total += bases[p]
-    if not base:
-        return parts.withColumn(start, F.lit(0).cast("long")).drop("part")
-    lookup = F.create_map(*[F.lit(x) for p, b in base for x in (p, b)])
-    inner = F.coalesce(F.sum(what).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    return parts.withColumn(start, (inner + lookup[F.col("part")]).cast("long")).drop("part")
+    """``rows``: a row for each conversation, in depth-first order by (part, at): conv_id, ``shared`` (turns that it has in common with the row
+    before it), ``turns`` (its own, with units, the bounds of the text among them, in_loss), ``start`` (where they begin in the packed
+    sequence), ``position`` (of its first own unit) and ``attends`` (intervals of its ancestor turns). ``given``: part, depth and interval of the
+    turns on the path that a part begins with."""
+
+    def __init__(self, rows: DataFrame, given: DataFrame, tokenizer: str | None):
+        self.rows, self.given, self.tokenizer = rows, given, tokenizer
+
+    def turns(self) -> DataFrame:
+        """Every turn of the tree once: packed_start, packed_end, position, role, units, the bounds of its text and in_loss."""
+        own = F.posexplode(F.arrays_zip("turns", _ends("turns").alias("end"))).alias("depth", "x")
+        size = F.size("x.turns.units")
+        return self.rows.select("start", "position", own).select((F.col("start") + F.col("x.end") - size).alias("packed_start"), (F.col("start") + F.col("x.end")).alias("packed_end"), (F.col("position") + F.col("x.end") - size).alias("position"), "x.turns.*")
+
+
+def _ends(turns: str) -> Column:
+    """Running sums of the turns' units."""
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long"))
+    return F.aggregate(turns, F.array().cast("array<bigint>"), lambda acc, t: F.concat(acc, F.array(last(acc) + F.size(t["units"]))))
 
 
 def pack(conversations: DataFrame, tokenizer: str | None = None) -> Packed:
+    spark = conversations.sparkSession
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     # a turn's node: the hash of its parent's node, its role and its text
     node = lambda acc, t: F.substring(F.sha2(F.concat_ws("\x1f", acc, F.char_length(t["role"]).cast("string"), t["role"], t["text"]), 256), 1, 32)
     path = F.aggregate("turns", F.array().cast("array<string>"), lambda acc, t: F.concat(acc, F.array(node(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), t))))
-    held = materialize(convs.withColumn("path", path), "conversations")
-    leaf = F.element_at("path", -1)
-    unique = held.groupBy(leaf.alias("leaf")).agg(F.any_value("path").alias("path"))
-    ranked = materialize(_ranked(unique, "path", start="rank", tag="branches-sorted"), "branches")
-    members = held.select("conv_id", leaf.alias("leaf")).join(ranked.select("leaf", "rank"), "leaf").select("conv_id", "rank")
-    steps = ranked.select("rank", F.posexplode("path").alias("depth", "node"))
-    # a node belongs to the first branch through it
-    owner = steps.groupBy("node").agg(F.min("rank").alias("rank"), F.any_value("depth").alias("depth"))
-    text = held.select(F.explode(F.arrays_zip("path", "turns")).alias("x")).select(F.col("x.path").alias("node"), "x.turns.role", "x.turns.text").groupBy("node").agg(F.any_value("role").alias("role"), F.any_value("text").alias("text"))
-    segments = text.mapInArrow(_segments(tokenizer), "node string, role string, segment string, text_from long, text_to long, ids array<int>, units long")
-    placed = materialize(_ranked(owner.join(segments, "node"), "rank", "depth", start="packed_start", size="units", tag="turns-sorted").withColumn("packed_end", F.col("packed_start") + F.col("units")).withColumn("in_loss", F.col("role") == "assistant"), "turns")
-    bounds = placed.select("node", "packed_start", "packed_end", F.col("rank").alias("owner"))
-    walk = steps.join(bounds, "node")
-    branches = walk.groupBy("rank").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("owner") != F.col("rank"), F.struct("depth", "packed_start", "packed_end")))), lambda s: F.struct(s["packed_start"].alias("start"), s["packed_end"].alias("end"))).alias("attends"),
-        F.array_sort(F.collect_list(F.struct("depth", "packed_start", "packed_end"))).alias("path"),
-    )
-    branches = materialize(branches, "branch-intervals")
-    before = F.aggregate("attends", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    own = branches.select("rank", before.alias("before"))
-    inner = Window.partitionBy("rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-    turns = placed.join(own, "rank").withColumn("position", F.col("before") + F.coalesce(F.sum("units").over(inner), F.lit(0).cast("long"))).drop("before")
-    return Packed(turns, branches, members)
+    held = materialize(convs.select("conv_id", "turns", path.alias("path")), "conversations")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = held.repartitionByRange(n, "path", "conv_id").sortWithinPartitions("path", "conv_id")
+    rows = materialize(spread.mapInArrow(_walk(tokenizer), _PACKED), "packed")
+    # from range to range: one row for each, with its first and its last conversation
+    ends = lambda c: F.struct("path", "attends", "start", _ends("turns").alias("ends"))  # noqa: E731, ARG005
+    parts = rows.groupBy("part").agg(F.min_by(ends(0), "at").alias("first"), F.max_by(ends(0), "at").alias("last"))
+    base, path_before, where = 0, [], []
+    moves, given = [], []
+    for r in sorted(parts.collect(), key=lambda r: r["part"]):
+        first, z = r["first"], r["last"]
+        shared = _common(path_before, first["path"])
+        twice = first["ends"][shared - 1] if shared else 0  # units that the range has written again
+        known = where[:shared]
+        places = [(a["start"], a["end"]) for a in z["attends"]] + [(z["start"] + a, z["start"] + e) for a, e in zip([0, *z["ends"]], z["ends"], strict=False)]
+        where = [known[depth] if a < twice else (a - twice + base, e - twice + base) for depth, (a, e) in enumerate(places)]
+        moves.append((r["part"], shared, twice, base, [{"start": a, "end": e} for a, e in known]))
+        given += [(r["part"], depth, a, e) for depth, (a, e) in enumerate(known)]
+        path_before, base = z["path"], base - twice + z["start"] + (z["ends"][-1] if z["ends"] else 0)
+    table = spark.createDataFrame(moves, "part int, again int, twice long, base long, known array<struct<start:bigint,end:bigint>>")
+    told = rows.join(F.broadcast(table), "part")  # a row for each range
+    begins = (F.col("at") == 0) & (F.col("again") > 0)
+    moved = lambda v: v - F.col("twice") + F.col("base")
+    attends = F.transform("attends", lambda x, i: F.when(x["start"] < F.col("twice"), F.element_at("known", i + 1)).otherwise(F.struct(moved(x["start"]).alias("start"), moved(x["end"]).alias("end"))))
+    placed = told.select(
+        "part", "at", "conv_id", F.when(begins, F.col("again")).otherwise(F.col("shared")).alias("shared"), F.when(begins, F.col("base")).otherwise(moved(F.col("start"))).alias("start"),
+        F.when(begins, F.slice("turns", F.col("again") + 1, F.greatest(F.size("turns"), F.lit(1)))).otherwise(F.col("turns")).alias("turns"), F.when(begins, F.col("known")).otherwise(attends).alias("attends"),
+    )
+    position = F.aggregate("attends", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    return Packed(placed.withColumn("position", position), spark.createDataFrame(given, "part int, depth int, start long, end long"), tokenizer)
 
 
 def read_back(packed: Packed) -> DataFrame:
-    """One row for each conversation, from the packed output alone: its intervals give its turns' segments, which are joined, parsed and unescaped."""
-    steps = packed.branches.select("rank", F.explode("path").alias("p")).select("rank", "p.depth", F.col("p.packed_start").alias("at"))
-    # a turn without units would share its start with the next; every segment has its marks
-    pieces = packed.turns.select(F.col("packed_start").alias("at"), "segment", F.when(F.col("in_loss"), F.expr("substring(segment, cast(text_from + 1 as int), cast(text_to - text_from as int))")).alias("loss"))
-    whole = steps.join(pieces, "at").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("depth", "segment", "loss"))).alias("t"))
-    text = whole.select("rank", F.array_join(F.transform("t", lambda s: s["segment"]), "").alias("formatted"), F.filter(F.transform("t", lambda s: s["loss"]), lambda x: x.isNotNull()).alias("losses"))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each conversation, from the packed output alone: the turns at its ``attends`` and its own are joined, parsed and unescaped; positions are checked."""
+    # turns of earlier parts that a part begins with, as a row before its first
+    lead = packed.turns().drop("position").join(F.broadcast(packed.given), F.col("packed_start") == F.col("start"))  # a path for each range
+    turn = F.struct("role", "units", "text_from", "text_to", "in_loss")
+    lead = lead.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("depth", turn.alias("turn"), F.struct("start", "end").alias("at"))), lambda a, b: a["depth"] - b["depth"]).alias("x"))
+    empty = F.lit(0).cast("long")
+    lead = lead.select("part", F.lit(-1).cast("long").alias("at"), F.lit(None).cast("long").alias("conv_id"), empty.alias("start"), F.transform("x", lambda v: v["turn"]).alias("turns"), F.transform("x", lambda v: v["at"]).alias("attends"), empty.alias("position"))
+    cols = lead.columns
+    n = int(packed.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = packed.rows.select(*cols).unionByName(lead).repartition(n, "part").sortWithinPartitions("part", "at")
+    tokenizer = packed.tokenizer
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(tokenizer)
+        tree: dict[int, tuple[int, dict]] = {}  # turns of the current path by place
+        before = last = None
         for b in batches:
             rows = []
-            for rank, formatted, losses in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                turns = parse(formatted)
-                loss = "".join(map(unescape, losses))
-                sha = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                rows.append((rank, len(turns), sha, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i in (2, 4) else pa.int64()) for i, c in enumerate(cols)], names=["rank", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    out = text.mapInArrow(digest, "rank long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return packed.members.join(out, "rank").drop("rank")
+            for part, at, conv, start, turns, attends, position in zip(*(b.column(c).to_pylist() for c in cols), strict=True):
+                places = [(a["start"], a["end"]) for a in attends]
+                if at < 0:
+                    tree = {a: (z, t) for (a, z), t in zip(places, turns, strict=True)}
+                    before = None
+                    continue
+                if before is None or before[0] != part:
+                    tree = tree if at == 0 and before is None else {}
+                if not (not turns and before == (part, places)):
+                    path = []
+                    for a, z in places:
+                        if a not in tree or tree[a][0] != z:
+                            raise ValueError(f"conversation {conv} attends to {a}:{z}, which is no turn of its path")
+                        path.append((a, z, tree[a][1]))
+                    if sum(z - a for a, z in places) != position:
+                        raise ValueError(f"conversation {conv} begins at a wrong position")
+                    for t in turns:
+                        path.append((start, start + len(t["units"]), t))
+                        start += len(t["units"])
+                    tree = {a: (z, t) for a, z, t in path}
+                    last = _digest(units, [t for _, _, t in path])
+                    before = (part, [(a, z) for a, z, _ in path])
+                rows.append((conv, *last))
+            out = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i in (2, 4) else pa.int64()) for i, c in enumerate(out)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return ordered.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _digest(units: Units, path: list[dict]) -> tuple:
+    formatted = units.text([u for t in path for u in t["units"]])
+    turns = parse(formatted)
+    loss = "".join(unescape(units.text(t["units"][t["text_from"] : t["text_to"]])) for t in path if t["in_loss"])
+    sha = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    return len(turns), sha, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)
 
 
 def with_probe(spark: SparkSession, conversations: DataFrame) -> DataFrame:

@@ -42,7 +42,8 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
-    return chat.read_back(chat.pack(chat.with_probe(spark, table(spark, sf_dir, "conversations"))))
+    packed = chat.pack(chat.with_probe(spark, table(spark, sf_dir, "conversations")), tokenizer_file("byte_bpe_50k.json"))
+    return chat.read_back(packed)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

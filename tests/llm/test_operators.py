@@ -290,30 +290,62 @@ def test_template_round_trip(turns):
     assert chat.parse("".join(chat.render(*t)[0] for t in turns)) == turns
 
 
-def test_chat(spark):
+def brute_tree(convs):
+    """Every distinct prefix of turns, its parent and the conversations through it."""
+    return {tuple(ts[: i + 1]) for ts in convs.values() for i in range(len(ts))}
+
+
+@pytest.mark.parametrize("tokenizer", [None, "byte_bpe_50k.json"])
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_chat(spark, tokenizer, ranges):
+    """Digests, and the tree: every prefix is written once, depth-first, at its ancestors' end, and a branch attends to exactly its ancestors."""
     said = "</s>[INST] ok [/INST]"
-    convs = {1: [("user", "hi"), ("assistant", "hello")], 2: [("user", "hi"), ("assistant", "hello")], 3: [("user", "hi"), ("assistant", "other"), ("user", "more"), ("assistant", "")], 4: [("user", "hi")], 5: [(None, None)], -7: [("user", said), ("assistant", said)], 6: [("system", "s"), ("user", "<\\s> [ROLE q] 漢👍")]}
-    rows = [(c, t, r, x, "n") for c, ts in convs.items() for t, (r, x) in enumerate(ts)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rank string")
-    packed = chat.pack(df)
-    for r in chat.read_back(packed).collect():
-        turns = [(a or "", b or "") for a, b in convs[r.conv_id]]
-        loss = "".join(b for a, b in turns if a == "assistant")
-        assert r.n_turns == len(turns) and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    convs = {1: [("user", "hi"), ("assistant", "hello")], 2: [("user", "hi"), ("assistant", "hello")], 3: [("user", "hi"), ("assistant", "other"), ("user", "more"), ("assistant", "")], 4: [("user", "hi")], 5: [(None, None)], -7: [("user", said), ("assistant", said)], 6: [("system", "s"), ("user", "<\\s> [ROLE q] 漢👍 <|endoftext|>  x\n\n")]}
+    rng = random.Random(9)
+    for i in range(100, 160):  # many share their first turns
+        convs[i] = [("system", "be brief")] + [("user" if j % 2 else "assistant", rng.choice("abc")) for j in range(1, rng.randint(1, 6))]
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        rows = [(c, t, r, x, "n") for c, ts in convs.items() for t, (r, x) in enumerate(ts)]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rank string")
+        packed = chat.pack(df, tokenizer and public_tokenizers.path(tokenizer))
+        back = chat.read_back(packed).collect()
+        turns, branches = packed.turns().orderBy("packed_start").collect(), packed.rows.orderBy("part", "at").collect()
+        assert chat.read_back(chat.pack(df.limit(0))).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert sorted(r.conv_id for r in back) == sorted(convs)
+    plain = {c: [(a or "", b or "") for a, b in ts] for c, ts in convs.items()}
+    for r in back:
+        ts = plain[r.conv_id]
+        loss = "".join(b for a, b in ts if a == "assistant")
+        assert r.n_turns == len(ts) and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in ts).encode()).hexdigest()
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert r.formatted_chars == sum(len(chat.render(*t)[0]) for t in turns)
-    turns = packed.turns.orderBy("packed_start").collect()
-    assert len([t for t in turns if "hi" in t.segment]) == 1  # the shared turn is written once
-    assert [t.packed_start for t in turns] == np.concatenate(([0], np.cumsum([t.units for t in turns])[:-1])).tolist()
-    start = {t.packed_start: t for t in turns}
-    for b in packed.branches.collect():  # positions go on where the attended ancestors end
-        own = [t for t in turns if t.rank == b.rank]
-        if own:
-            assert min(t.position for t in own) == sum(a.end - a.start for a in b.attends)
-        assert all(start[a.start].packed_end == a.end for a in b.attends)
-    assert chat.read_back(chat.pack(df.limit(0))).count() == 0
-    with_ids = chat.pack(df.filter("conv_id = 3"), public_tokenizers.path("byte_bpe_50k.json"))
-    assert all(len(t.ids) == t.units for t in with_ids.turns.collect())
+        assert r.formatted_chars == sum(len(chat.render(*t)[0]) for t in ts)
+    # once each, without gaps
+    assert len(turns) == len(brute_tree(plain))
+    assert [t.packed_start for t in turns] == np.concatenate(([0], np.cumsum([len(t.units) for t in turns])[:-1])).tolist()
+    assert all(t.packed_end - t.packed_start == len(t.units) for t in turns)
+    units = chat.Units(tokenizer and public_tokenizers.path(tokenizer))
+    at = {t.packed_start: t for t in turns}
+    prefix = {}  # of the turn that starts at a place
+    for b in branches:
+        ts, place = plain[b.conv_id], b.start
+        for depth, a in enumerate(b.attends):
+            assert prefix[a.start] == tuple(ts[: depth + 1]) and at[a.start].packed_end == a.end
+        assert len(b.attends) == b.shared and len(b.turns) == len(ts) - b.shared
+        assert b.position == sum(len(units.of([t])[0]["units"]) for t in ts[: b.shared])
+        for depth in range(b.shared, len(ts)):
+            assert place not in prefix
+            prefix[place] = tuple(ts[: depth + 1])
+            assert at[place].position == sum(len(units.of([t])[0]["units"]) for t in ts[:depth]) and units.text(at[place].units) == chat.render(*ts[depth])[0]
+            place = at[place].packed_end
+    assert set(prefix) == set(at)
+    order = [prefix[t.packed_start] for t in turns]
+    for i, p in enumerate(order):  # depth-first: what follows a node's first child until the node is left has the node as ancestor
+        under = [j for j, q in enumerate(order) if q[: len(p)] == p]
+        assert under == list(range(i, i + len(under)))
 
 
 # decontamination
