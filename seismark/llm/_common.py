@@ -75,6 +75,20 @@ def row_of(df: DataFrame, cols: list[str] | None = None) -> Column:
     return (F.struct(*[field(c).alias(c) for c in cols]) if cols else F.struct(F.lit(None).cast("int").alias("_"))).alias("row")
 
 
+#: A key with more than one row in HOT is joined by a broadcast of fewer than HOT rows.
+HOT = 10_000
+
+
+def join_spread(rows: DataFrame, by: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with ``by``, which has one row for each ``key`` and in ``n`` at least the number of rows with that key; the sum of all n is
+    at most ``total``. Fewer than HOT keys have more than total / HOT rows: those are broadcast, so that no key's rows meet in one task; the
+    others are spread by key. Both have the column ``key``; the result has it once, and not n."""
+    many = F.col("n") > max(total, 1) / HOT
+    hot, rest = F.broadcast(by.filter(many).drop("n")), by.filter(~many).drop("n")
+    out = rows.join(hot, key)
+    return out.unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key).select(*out.columns))
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     if isinstance(column, pa.ChunkedArray):

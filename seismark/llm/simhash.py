@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_rows, materialize, texts_of
+from ._common import join_spread, map_rows, materialize, texts_of
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -37,8 +37,6 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCK = 4_000_000
 #: Fingerprints that one place holds at most, and the bits by which a fuller one is split.
 PLACE, SPLIT = 250_000, 6
-#: A fingerprint with more than one row in HOT is labelled by a broadcast of fewer than HOT rows.
-HOT = 10_000
 _A_TO_Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 65_536
 
@@ -210,11 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each document: ``id``, ``fp``, ``component_id`` (the smallest id that links lead to). Ids are integers."""
     held = materialize(fingerprints(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "text", ["id"]).select("row.id", "fp"), "fingerprints")
     label = materialize(labelled(held, "id", radius, prefix_bits).select("print", "component_id", "n"), "labels")
-    # fewer than HOT fingerprints hold more than one row in HOT each: their labels are broadcast, the others' rows are spread by fingerprint
-    hot = F.broadcast(label.filter(F.col("n") > held.count() / HOT).select("print", "component_id"))
-    same = F.col("fp") == F.col("print")
-    rest = held.join(hot.select("print"), same, "left_anti").join(label, same)
-    return held.join(hot, same).select("id", "fp", "component_id").unionByName(rest.select("id", "fp", "component_id"))
+    return join_spread(held, label.withColumnRenamed("print", "fp"), "fp", held.count()).select("id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

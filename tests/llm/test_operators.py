@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seismark.llm import chat, decontaminate, html_text, langid, quality, secrets, sentencepieces, simhash, token_counts, token_files
+from seismark.llm import _common, chat, decontaminate, html_text, langid, quality, secrets, sentencepieces, simhash, token_counts, token_files
 from seismark.llm._common import scratch_path
 from seismark.llm.components import connected_components
 
@@ -195,6 +195,19 @@ def test_components_of_long_chain_and_star(spark):
     assert got == {i: 0 for i in range(1, 61)} | {1000 + i: 1000 for i in range(1, 300)} or {k: v for k, v in got.items() if k != v} == {i: 0 for i in range(1, 61)} | {1000 + i: 1000 for i in range(1, 300)}
 
 
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_spread_join_and_components_with_hot_keys(spark, monkeypatch, hot):
+    """Keys with over a third of the rows go by broadcast, and nothing changes."""
+    monkeypatch.setattr(_common, "HOT", hot)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2, 3, 4, 4] + [9])], "`k.k` long, x long").withColumnRenamed("k.k", "k")
+    by = spark.createDataFrame([(1, 50, "a"), (2, 1, "b"), (3, 1, "c"), (4, 2, "d"), (7, 0, "e")], "k long, n long, y string")
+    got = _common.join_spread(rows, by, "k", 55)
+    assert got.columns == ["k", "x", "y"] and Counter(r.y for r in got.collect()) == {"a": 50, "b": 1, "c": 1, "d": 2}
+    edges = [(0, i) for i in range(1, 90)] + [(200, 201), (201, 202)]
+    comp = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {k: v for k, v in comp.items() if k != v} == {i: 0 for i in range(1, 90)} | {201: 200, 202: 200}
+
+
 # pages
 
 
