@@ -4,8 +4,9 @@ Bytes are embedded, filters of several widths run over them, each filter's large
 a softmax over languages follows. Training minimises cross-entropy with Adam on windows of labelled texts. A text is read
 as consecutive windows of ``WINDOW`` bytes, all of it; its log-probabilities are the mean over its windows, weighted by their letters' bytes.
 
-The network is fitted on a bounded sample of labelled rows: for each label the ``SAMPLE`` distinct texts with the smallest hashes, and
-of each at most ``WINDOWS`` windows, evenly spaced. Everything else reads every row whole.
+The network is fitted on a bounded sample: of all windows of all labelled texts, each distinct text counting once, the ``SAMPLE`` with the smallest hashes
+for each label (fewer where there are so many labels that ``TOTAL`` would be passed). Windows are cut and chosen on the executors; the driver
+gets the sample alone. Everything else reads every row whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows without label are predicted but not learned
 from; without any labelled row every prediction is ``und``; with one label it is that label; repeated rows get equal predictions; an empty table
@@ -14,24 +15,27 @@ gives an empty result.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_rows, texts_of
+from ._common import field, map_rows, texts_of
 
 WINDOW, EMBED, WIDTHS, FILTERS = 192, 8, (2, 3, 4, 5), 16
-SAMPLE, WINDOWS, EPOCHS, BATCH, RATE, SEED = 300, 6, 12, 128, 0.004, 7
-MOST_LABELS = 200
-_LETTER = re.compile(r"[^\W\d_]")
+SAMPLE, TOTAL, EPOCHS, BATCH, RATE, SEED = 1_800, 400_000, 12, 128, 0.004, 7
 _LETTER_BYTES = np.array([bytes([b]).isalpha() or b >= 128 for b in range(256)])
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def windows(raw: bytes, size: int = WINDOW) -> np.ndarray:
     """The whole text in rows of ``size`` bytes, the last one padded with spaces."""
     n = max(1, -(-len(raw) // size))
@@ -77,78 +81,98 @@ class Network:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """x: windows of bytes; y: label numbers."""
+def fresh(labels: list[str], seed: int = SEED) -> Network:
     rng = np.random.default_rng(seed)
     normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-    net = Network(labels, normal(256, EMBED, scale=0.5), [normal(w * EMBED, FILTERS, scale=(w * EMBED) ** -0.5) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], normal(FILTERS * len(WIDTHS), len(labels), scale=0.1), np.zeros(len(labels), np.float32))
+    filters = [normal(w * EMBED, FILTERS, scale=(w * EMBED) ** -0.5) for w in WIDTHS]
+    return Network(labels, normal(256, EMBED, scale=0.5), filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], normal(FILTERS * len(WIDTHS), len(labels), scale=0.1), np.zeros(len(labels), np.float32))
+
+
+def gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross-entropy, each row weighted by its label's ``weight``: embedding, filters, their biases, output, its bias."""
+    h, kept = net.pooled(x)
+    z = h @ net.out + net.out_bias
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    p *= (weight[y] / len(y))[:, None]
+    gh, g_embed = p @ net.out.T, np.zeros_like(net.embed)
+    g_filters, g_bias = [], []
+    for k, (w, f) in enumerate(zip(WIDTHS, net.filters, strict=True)):
+        at, top = kept[k]
+        g = gh[:, k * FILTERS : (k + 1) * FILTERS] * (top > 0)  # rows x filters, all at their pooled positions
+        bytes_at = np.stack([np.take_along_axis(x, at + j, axis=1) for j in range(w)], axis=2)  # rows x filters x w
+        seen = net.embed[bytes_at].reshape(len(x), FILTERS, w * EMBED)
+        g_filters.append(np.einsum("rf,rfd->df", g, seen))
+        g_bias.append(g.sum(axis=0))
+        np.add.at(g_embed, bytes_at.reshape(-1), (g[:, :, None] * f.T[None]).reshape(-1, EMBED))
+    return [g_embed, *g_filters, *g_bias, h.T @ p, p.sum(axis=0)]
+
+
+def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """x: windows of bytes; y: label numbers. Adam on batches; labels weigh alike."""
+    net, rng = fresh(labels, seed), np.random.default_rng(seed)
     params = [net.embed, *net.filters, *net.bias, net.out, net.out_bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    weight = len(y) / np.maximum(np.bincount(y, minlength=len(labels)).astype(np.float32), 1) / len(labels)
     step = 0
-    share = np.bincount(y, minlength=len(labels)).astype(np.float32)
-    weight = len(y) / np.maximum(share, 1) / len(labels)
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for i in range(0, len(order), BATCH):
             ix = order[i : i + BATCH]
-            xb, yb = x[ix], y[ix]
-            h, kept = net.pooled(xb)
-            z = h @ net.out + net.out_bias
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(yb)), yb] -= 1
-            p *= (weight[yb] / len(yb))[:, None]
-            g_out, g_bias, gh = h.T @ p, p.sum(axis=0), p @ net.out.T
-            g_embed = np.zeros_like(net.embed)
-            g_filters, g_fbias = [], []
-            for k, (w, f) in enumerate(zip(WIDTHS, net.filters, strict=True)):
-                at, top = kept[k]
-                g = gh[:, k * FILTERS : (k + 1) * FILTERS] * (top > 0)  # rows x filters, all at their pooled positions
-                bytes_at = np.stack([np.take_along_axis(xb, at + j, axis=1) for j in range(w)], axis=2)  # rows x filters x w
-                seen = net.embed[bytes_at].reshape(len(xb), FILTERS, w * EMBED)
-                g_filters.append(np.einsum("rf,rfd->df", g, seen))
-                g_fbias.append(g.sum(axis=0))
-                back = (g[:, :, None] * f.T[None]).reshape(-1, EMBED)
-                np.add.at(g_embed, bytes_at.reshape(-1), back)
             step += 1
-            for p_, g_, (m, v) in zip(params, [g_embed, *g_filters, *g_fbias, g_out, g_bias], moments, strict=True):
-                m += 0.1 * (g_ - m)
-                v += 0.001 * (g_ * g_ - v)
-                p_ -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            for p, g, (m, v) in zip(params, gradients(net, x[ix], y[ix], weight), moments, strict=True):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
-def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, per_text: int = WINDOWS) -> Network | None:
-    """Learns from rows with a label and a text; None if there are none. The driver gets at most ``sample`` texts for each label."""
-    known = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).filter("label is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
-    known = known.withColumn("h", F.xxhash64("text"))
-    # ranks are taken over hashes alone; then the chosen texts are fetched, each once however many copies it has
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    best = known.select("label", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= sample).collect()
-    if len({r["label"] for r in best}) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    wanted = known.filter(F.col("h").isin(sorted({r["h"] for r in best})))
-    pairs = {(r["label"], r["h"]) for r in best}
-    chosen = [r for r in wanted.groupBy("label", "h").agg(F.min("text").alias("text")).orderBy("label", "h").collect() if (r["label"], r["h"]) in pairs]
-    labels = sorted({r["label"] for r in chosen})
-    if not labels:
+def sample(docs: DataFrame, label_col: str = "lang", text_col: str = "text", most: int = SAMPLE) -> dict[str, list[bytes]]:
+    """Windows to learn from, by label."""
+    known = docs.select(field(label_col).cast("string").alias("label"), field(text_col).alias("text")).filter("label is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
+    sizes = known.select("label", F.xxhash64("text"), F.ceil(F.octet_length("text") / WINDOW).alias("n")).distinct().groupBy("label").agg(F.sum("n").alias("n")).collect()  # a row for each label
+    if not sizes:
+        return {}
+    most = max(1, min(most, TOTAL // len(sizes)))
+    # windows whose hash falls below a bound: somewhat more than are wanted
+    bounds = {r["label"]: min(1 << 64, int((1 << 64) * (1.2 * most + 50) / r["n"])) for r in sizes}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for label, raw in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
+                bound = bounds[label]
+                for w in windows(raw):
+                    held = w.tobytes()
+                    h = xxhash.xxh64_intdigest(held, SEED)
+                    if h < bound and _LETTER_BYTES[w].any():
+                        found.append((label, h - (1 << 63), held))
+            cols = list(zip(*found, strict=True)) if found else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["label", "h", "bytes"])
+
+    chosen: dict[str, list[tuple[int, bytes]]] = {}
+    for r in known.mapInArrow(cut, "label string, h long, bytes binary").distinct().collect():
+        chosen.setdefault(r["label"], []).append((r["h"], bytes(r["bytes"])))
+    return {label: [w for _, w in sorted(rows)[:most]] for label, rows in sorted(chosen.items())}
+
+
+def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", most: int = SAMPLE) -> Network | None:
+    """Learns from rows with a label and a text; None if there are none."""
+    chosen = sample(docs, label_col, text_col, most)
+    if not chosen:
         return None
-    xs, ys = [], []
-    for r in chosen:
-        w = windows(r["text"].encode())
-        full = w[: max(1, len(w) - 1)]  # a short last window only where there is no other
-        pick = np.unique(np.linspace(0, len(full) - 1, min(per_text, len(full))).astype(int))
-        xs.append(full[pick])
-        ys.append(np.full(len(pick), labels.index(r["label"])))
-    return train(np.concatenate(xs), np.concatenate(ys), labels)
+    labels = list(chosen)
+    x = np.stack([np.frombuffer(w, np.uint8) for label in labels for w in chosen[label]])
+    return train(x, np.repeat(np.arange(len(labels)), [len(chosen[label]) for label in labels]), labels)
 
 
 def predict_texts(net: Network | None, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     if net is None:
         return names, scores
-    todo = [i for i, t in enumerate(texts) if t and _LETTER.search(t.decode())]
+    todo = [i for i, t in enumerate(texts) if t and has_letter(t.decode())]
     group: list[int] = []
     size = 0
     for k, i in enumerate(todo):

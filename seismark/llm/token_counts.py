@@ -1,28 +1,29 @@
 """Token counts under a unigram model, by dynamic programming over a trie of pre-tokens.
 
 A pre-token is a word (what stands between ASCII white space) with U+2581 before it. Its best segmentation maximises the sum of
-its pieces' scores; ties go to fewer tokens. The distinct pre-tokens of a batch go into a trie; the forward score of a node (best sum and its
-token count) depends on the path to it alone, so it is computed once for all words that share the prefix, and at a word's
-end the count is stored. A text's count is the sum over its words.
+its pieces' scores; ties go to fewer tokens. The distinct pre-tokens of a worker's texts go into a trie; the forward score of a node (best sum and its
+token count) depends on the path to it alone, so it is computed once for all words that share the prefix, in this batch or a later
+one, and at a word's end the count is stored. A text's count is the sum over its words.
 
 Characters that no piece holds fall back to their UTF-8 bytes: as many tokens, each scored below all pieces.
 
+The scores are those that the file gives its pieces. For a BPE file these are merge ranks, so its counts are not those of its own encoder; README has the
+difference in figures.
+
 Defined cases: a null, empty or blank text has no words and no tokens; repeated rows are counted each; words of any length are
 segmented whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._common import map_rows, texts_of
 
-#: Words whose counts a worker keeps before it starts anew.
-KEPT = 500_000
+#: Words whose counts, and nodes that, a worker keeps before it starts a new trie; characters of a word that go into the trie at most.
+KEPT, NODES, DEEP = 500_000, 600_000, 200
 SPACE = "▁"
 
 
@@ -36,66 +37,81 @@ def load_pieces(path: str) -> tuple[dict[str, float], float]:
 
 
 class Trie:
-    """Nodes hold children by character and the forward state of the path that leads to them."""
+    """Nodes are numbers; ``child`` holds them by parent and character, ``best`` and ``used`` their forward score and its tokens,
+    ``ends`` the counts of the words that end at one."""
 
     def __init__(self, scores: dict[str, float], fallback: float):
         self.scores, self.fallback = scores, fallback
         self.longest = max(map(len, scores), default=1)
-
-    def counts(self, words: Iterable[bytes]) -> dict[bytes, int]:
-        """Inserts the words in order, so that the trie's open path is a stack: a node is left when no later word can share it,
-        and memory is one path, not the whole trie. Each node's forward score is computed once."""
-        get, longest, fallback = self.scores.get, self.longest, self.fallback
-        out: dict[bytes, int] = {}
-        path = SPACE
-        best, used = [0.0], [0]
-        fresh = 0
-        for raw in sorted(words):
-            word = SPACE + raw.decode()
-            shared = 0
-            if fresh:
-                most = min(len(path), len(word))
-                while shared < most and path[shared] == word[shared]:
-                    shared += 1
-            del best[shared + 1 :], used[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                top, n = -1e300, 0
-                for start in range(max(0, end - longest), end):
-                    score = get(word[start:end])
-                    if score is not None:
-                        total = best[start] + score
-                        if total > top or total == top and used[start] + 1 < n:
-                            top, n = total, used[start] + 1
-                if not n:
-                    size = len(word[end - 1].encode())
-                    top, n = best[end - 1] + fallback * size, used[end - 1] + size
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[int, int] = {}
+        self.best, self.used = [0.0], [0]
+        self.ends: dict[bytes, int] = {}
+
+    def _forward(self, word: str, end: int, best: list[float], used: list[int], off: int = 0) -> tuple[float, int]:
+        """The forward score of word[:end]; best[i] and used[i] are those of word[:i + off]."""
+        get, top, n = self.scores.get, -1e300, 0
+        for start in range(max(0, end - self.longest), end):
+            score = get(word[start:end])
+            if score is not None:
+                total = best[start - off] + score
+                if total > top or total == top and used[start - off] + 1 < n:
+                    top, n = total, used[start - off] + 1
+        if n:
+            return top, n
+        size = len(word[end - 1].encode())
+        return best[end - 1 - off] + self.fallback * size, used[end - 1 - off] + size
+
+    def insert(self, raw: bytes) -> int:
+        """The word's count; nodes that it is the first to reach are scored."""
+        word = SPACE + raw.decode()
+        child, best, used = self.child, self.best, self.used
+        node, scored, counts = 0, [best[0]], [used[0]]
+        for end in range(1, min(len(word), DEEP) + 1):
+            key = node << 21 | ord(word[end - 1])
+            node = child.get(key, 0)
+            if not node:
+                top, n = self._forward(word, end, scored, counts)
+                node = child[key] = len(best)
                 best.append(top)
                 used.append(n)
-            path, fresh = word, 1
-            out[raw] = used[-1]
-        return out
+            scored.append(best[node])
+            counts.append(used[node])
+        off = 0
+        for end in range(DEEP + 1, len(word) + 1):  # beyond the trie only the last scores matter
+            if len(scored) > 2 * self.longest + DEEP:
+                off += len(scored) - self.longest
+                scored, counts = scored[-self.longest :], counts[-self.longest :]
+            top, n = self._forward(word, end, scored, counts, off)
+            scored.append(top)
+            counts.append(n)
+        self.ends[raw] = counts[-1]
+        return counts[-1]
 
 
-_held: dict[str, tuple[Trie, dict[bytes, int]]] = {}
+_held: dict[str, Trie] = {}
 
 
-def _counter(path: str) -> tuple[Trie, dict[bytes, int]]:
+def _trie(path: str) -> Trie:
     if path not in _held:
         _held.clear()
-        _held[path] = (Trie(*load_pieces(path)), {})
+        _held[path] = Trie(*load_pieces(path))
     return _held[path]
 
 
 def count_texts(path: str, texts: list[bytes | None]) -> tuple[list[int], list[int]]:
     """(words, tokens) of each text."""
-    trie, known = _counter(path)
+    trie = _trie(path)
     split = [(t or b"").split() for t in texts]
-    new = set().union(*split).difference(known)
-    if len(known) + len(new) > KEPT:
-        known.clear()
+    new = set().union(*split).difference(trie.ends)
+    if len(trie.ends) + len(new) > KEPT or len(trie.best) > NODES:
+        trie.clear()
         new = set().union(*split)
-    known.update(trie.counts(new))
-    get = known.__getitem__
+    for word in new:
+        trie.insert(word)
+    get = trie.ends.__getitem__
     return [len(w) for w in split], [sum(map(get, w)) for w in split]
 
 

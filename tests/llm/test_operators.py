@@ -478,7 +478,7 @@ def test_word_encoder_is_the_library():
 # token counts
 
 
-def test_token_counts(docs, empty):
+def test_token_counts(spark, docs, empty, monkeypatch):
     scores, fallback = token_counts.load_pieces(PIECES)
 
     def brute(word):
@@ -491,6 +491,13 @@ def test_token_counts(docs, empty):
             best[z] = (top[0], -top[1]) if top else (best[z - 1][0] + fallback * n, best[z - 1][1] + n)
         return best[-1][1]
 
+    long = "".join(random.Random(2).choices("abcdeth漢", k=3_000))
+    monkeypatch.setattr(token_counts, "NODES", 5_000)  # a worker's trie starts anew
+    assert token_counts.count_texts(PIECES, [long.encode(), (long[:150] + " the").encode(), long.encode()])[1] == [brute(long), brute(long[:150]) + brute("the"), brute(long)]
+    trie = token_counts.Trie(*token_counts.load_pieces(PIECES))
+    for w in ("there", "then", "the", "these"):
+        assert trie.insert(w.encode()) == brute(w)
+    assert len(trie.best) == 1 + len({(token_counts.SPACE + w)[:i] for w in ("there", "then", "the", "these") for i in range(1, len(w) + 2)})  # a node for each prefix
     got = rows_of(token_counts.token_counts(docs, PIECES).select("row.doc_id", "n_words", "n_tokens"))
     for i, t in enumerate(TEXTS):
         words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -505,7 +512,7 @@ def test_token_counts(docs, empty):
 def test_language_id(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = langid.held_out(F.col("doc_id"))
-    net = langid.fit(d.filter(~held), sample=60)
+    net = langid.fit(d.filter(~held), most=400)
     r = langid.predict(d.filter(held), net).select("row.lang", "lang_pred", "score").collect()
     assert np.mean([x.lang == x.lang_pred for x in r]) > 0.97 and all(0 <= x.score <= 1 for x in r)
     assert {x.doc_id: x.h for x in d.limit(50).select("doc_id", held.alias("h")).collect()} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in [x.doc_id for x in d.limit(50).collect()]}
@@ -515,6 +522,59 @@ def test_language_id(spark, docs, empty):
     assert {x.lang_pred for x in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_letters_are_those_of_unicode(spark):
+    odd = ["½", "² 3", "①", "Ⅷ", "12 %", "é", "漢", "ª", "ǅ", "ʰ"]
+    net = langid.fresh(["en", "fr"])
+    assert [n != "und" for n in langid.predict_texts(net, [t.encode() for t in odd])[0]] == [any(c.isalpha() for c in t) for t in odd]
+    known = langid.sample(spark.createDataFrame([(t, "en") for t in odd], "text string, lang string"))
+    assert len(known["en"]) == sum(any(c.isalpha() for c in t) for t in odd)
+
+
+def test_network_is_a_plain_convolution():
+    rng = np.random.default_rng(1)
+    net = langid.fresh(["a", "b", "c"])
+    x = rng.integers(0, 256, (3, 12)).astype(np.uint8)
+    got = langid.Network.log_probs(net, x)
+    for row, logs in zip(x, got, strict=True):
+        h = []
+        for w, f, b in zip(langid.WIDTHS, net.filters, net.bias, strict=True):
+            for k in range(langid.FILTERS):
+                h.append(max(0.0, max(sum(float(net.embed[row[i + j], d]) * float(f[j * langid.EMBED + d, k]) for j in range(w) for d in range(langid.EMBED)) for i in range(len(row) - w + 1)) + float(b[k])))
+        z = np.array([sum(h[i] * float(net.out[i, c]) for i in range(len(h))) + float(net.out_bias[c]) for c in range(3)])
+        np.testing.assert_allclose(logs, z - np.log(np.exp(z).sum()), atol=1e-4)
+
+
+def test_gradients_are_numeric():
+    rng = np.random.default_rng(2)
+    net = langid.fresh(["a", "b", "c"])
+    for name in ("embed", "out", "out_bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.filters, net.bias = [f.astype(np.float64) for f in net.filters], [b.astype(np.float64) for b in net.bias]
+    x, y, weight = rng.integers(0, 60, (5, 20)).astype(np.uint8), np.array([0, 1, 2, 1, 0]), np.array([1.0, 0.5, 2.0])
+    loss = lambda: -float(sum(weight[c] * np.log(np.exp(z - z.max())[c] / np.exp(z - z.max()).sum()) for z, c in zip(net.pooled(x)[0] @ net.out + net.out_bias, y, strict=True))) / len(y)
+    for p, g in zip([net.embed, *net.filters, *net.bias, net.out, net.out_bias], langid.gradients(net, x, y, weight), strict=True):
+        for _ in range(6):
+            at = tuple(rng.integers(0, s) for s in p.shape)
+            held, step = p[at], 1e-6
+            p[at] = held + step
+            up = loss()
+            p[at] = held - step
+            down = loss()
+            p[at] = held
+            assert (up - down) / (2 * step) == pytest.approx(float(g[at]), abs=1e-5)
+
+
+def test_sample_is_bounded_and_counts_copies_once(spark):
+    rng = random.Random(5)
+    make = lambda: " ".join("".join(rng.choices("abcdefg", k=6)) for _ in range(200))
+    texts = [make() for _ in range(40)]
+    df = spark.createDataFrame([(t, "en") for t in texts] + [(texts[0], "en")] * 500 + [("kurz", "de")] + [(make(), f"l{i}") for i in range(230)], "text string, lang string")
+    got = langid.sample(df, most=50)
+    assert len(got) == 232 and got["de"] == [b"kurz".ljust(langid.WINDOW)] and len(got["en"]) == 50
+    every = {w.tobytes() for t in texts for w in langid.windows(t.encode())}
+    assert set(got["en"]) == set(sorted(every, key=lambda w: xxhash.xxh64_intdigest(w, langid.SEED))[:50])
+
+
 # SentencePiece
 
 
