@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import kernels as k
+from .lengthnull import LengthNull, restarts
 
+#: Order of the autoregression whose residuals are monitored.
+AR = 2
 GRID = np.array([5, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024])
 
 
@@ -32,21 +36,12 @@ class Context:
         self.sorted = np.sort(h)
         self.grid = GRID[GRID * 2 <= len(h)]
         z = (h - self.mu) / self.sd
-        self.phi = np.zeros(5)
-        if len(z) >= 60:
-            lags = np.stack([z[5 - j : len(z) - j] for j in range(1, 6)], axis=1)
-            self.phi = np.linalg.solve(lags.T @ lags + 1e-6 * len(z) * np.eye(5), lags.T @ z[5:])
-        res = self._residuals(z)
-        self.e_sd = max(float(res[5:].std(ddof=1)), 1e-9) if len(z) > 7 else 1.0
+        self.phi = k.ar_fit(z, AR)
+        res = k.ar_residuals(z, self.phi)
+        res[: min(AR, len(z))] = 0.0
+        self.e_sd = max(float(res[AR:].std(ddof=1)), 1e-9) if len(z) > AR + 1 else 1.0
         self.h = self._transforms(h, res / self.e_sd)
-        both = self._residuals(np.concatenate((z[-5:], (self.online - self.mu) / self.sd)))[5:]
-        self.o = self._transforms(self.online, both / self.e_sd)
-
-    def _residuals(self, z: np.ndarray) -> np.ndarray:
-        out = z.copy()
-        for j, p in enumerate(self.phi, 1):
-            out[j:] -= p * z[:-j]
-        return out
+        self.o = self._transforms(self.online, k.ar_residuals((self.online - self.mu) / self.sd, self.phi, z) / self.e_sd)
 
     def pit(self, x: np.ndarray) -> np.ndarray:
         lo, hi = np.searchsorted(self.sorted, x, "left"), np.searchsorted(self.sorted, x, "right")
@@ -77,24 +72,39 @@ class Context:
     def expand(self, name: str) -> np.ndarray:
         return np.cumsum(self.o[name]) / np.arange(1, len(self.online) + 1)
 
-    def null(self, name: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Sorted rolling means of the history by grid window, their medians, and their spreads."""
+    def null(self, name: str) -> LengthNull:
+        """Rolling means of the history by grid window."""
         if name not in self.cache:
-            s = [np.sort(self.rolled(self.h[name], w)) for w in self.grid]
-            mu = np.array([np.median(v) for v in s])
-            sd = np.array([max((np.quantile(v, 0.75) - np.quantile(v, 0.25)) / 1.349, v.std(), 1e-12) for v in s])
-            self.cache[name] = (s, mu, sd)
+            self.cache[name] = LengthNull.of(lambda w: self.rolled(self.h[name], w), self.grid)
         return self.cache[name]
 
-    def z(self, name: str, length: np.ndarray, v: np.ndarray) -> np.ndarray:
-        _, mu, sd = self.null(name)
-        at, lg = np.log(length), np.log(self.grid)
-        return (v - np.interp(at, lg, mu)) / np.exp(np.interp(at, lg, np.log(sd)))
+    def z(self, name: str, length: np.ndarray | float, v: np.ndarray) -> np.ndarray:
+        return self.null(name).z(length, v)
 
     def pct(self, name: str, w: int, v: np.ndarray) -> np.ndarray:
-        s = self.null(name)[0][int(np.flatnonzero(self.grid == w)[0])]
+        s = self.null(name).samples[int(np.flatnonzero(self.grid == w)[0])]
         return 0.5 * (np.searchsorted(s, v, "left") + np.searchsorted(s, v, "right")) / len(s)
 
+    @cached_property
+    def res(self) -> tuple[np.ndarray, np.ndarray]:
+        """Squared residuals of the history and online."""
+        return self.h["res_sq"], self.o["res_sq"]
+
+
+def trailing(x: np.ndarray, w: int) -> np.ndarray:
+    """Trailing means of exactly w values, else NaN."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= w:
+        out[w - 1 :] = Context.rolled(x, w)
+    return out
+
+
+def columnwise(f: Callable, a: np.ndarray) -> np.ndarray:
+    """A nan-aware reduction of the rows of ``a``; NaN for columns without a number."""
+    out, some = np.full(a.shape[1], np.nan), ~np.isnan(a).all(axis=0)
+    out[some] = f(a[:, some], axis=0)
+    return out
+
 
 Module = Callable[[Context], dict[str, np.ndarray]]
 REGISTRY: dict[str, tuple[list[str], Module]] = {}
@@ -111,6 +121,7 @@ def register(name: str, columns: list[str]):
 MULTI = ["mean", "sq", "abs", "u", "u2", "tail_x", "lag1"]
 EXPAND = ["mean", "sq", "abs", "rmean", "rabs", "u", "u2", "tail_hi", "tail_lo", "tail_x", "center", "sign", "cube", "quart", "logabs", "lag1", "lag2", "abslag1"]
 WINDOWS = [8, 16, 32, 64, 128, 256]
+SLOPES = ["mean", "sq", "abs", "u2"]
 M00 = (
     [f"exp_{k_}_{n}" for n in EXPAND for k_ in ("z", "absz")] + [f"w{w}_{k_}_{n}" for w in WINDOWS for n in MULTI for k_ in ("sur", "z")]
     + [f"xs_{k_}_{n}" for n in MULTI for k_ in ("max", "mean", "min")] + [f"{k_}_{n}" for n in ("mean", "sq", "abs", "u2") for k_ in ("sl", "se")] + ["t_online", "log_t_online"]
@@ -119,92 +130,107 @@ M00 = (
 
 @register("m00_core", M00)
 def m00(c: Context) -> dict[str, np.ndarray]:
-    out, n = {}, len(c.online)
+    """Rolling and expanding means of the transforms against the history's own: one table of z by (transform, window), and what follows from it."""
+    n = len(c.online)
     length = np.arange(1, n + 1, dtype=float)
-    if len(c.grid):
-        for name in EXPAND:
-            z = np.clip(c.z(name, length, c.expand(name)), -12, 12)
-            out[f"exp_z_{name}"], out[f"exp_absz_{name}"] = z, np.abs(z)
-    for name in MULTI:
-        across = []
-        for w in WINDOWS:
-            if w in c.grid:
-                v = c.roll(name, w)
-                ok = ~np.isnan(v)
-                sur, z = np.full(n, np.nan), np.full(n, np.nan)
-                p = c.pct(name, w, v[ok])
-                sur[ok] = np.clip(np.sign(p - 0.5) * -np.log10(np.maximum(2 * np.minimum(p, 1 - p), 1e-6)), -6, 6)
-                z[ok] = np.clip(c.z(name, np.full(ok.sum(), float(w)), v[ok]), -12, 12)
-                out[f"w{w}_sur_{name}"], out[f"w{w}_z_{name}"] = sur, z
-                across.append(np.abs(z))
-        if len(across) >= 2:
-            a = np.stack(across)
-            some = ~np.isnan(a).all(axis=0)
-            for key, f in (("max", np.nanmax), ("mean", np.nanmean), ("min", np.nanmin)):
-                v = np.full(n, np.nan)
-                v[some] = f(a[:, some], axis=0)
-                out[f"xs_{key}_{name}"] = v
-    for name in ("mean", "sq", "abs", "u2"):
-        s = c.roll(name, 16)
-        out[f"sl_{name}"], out[f"se_{name}"] = s - c.roll(name, 128), s - c.expand(name)
-    out["t_online"], out["log_t_online"] = length, np.log1p(length)
+    out = {"t_online": length, "log_t_online": np.log1p(length)}
+    out |= {f"sl_{x}": c.roll(x, 16) - c.roll(x, 128) for x in SLOPES} | {f"se_{x}": c.roll(x, 16) - c.expand(x) for x in SLOPES}
+    if not len(c.grid):
+        return out
+    expanding = {x: np.clip(c.z(x, length, c.expand(x)), -12, 12) for x in EXPAND}
+    out |= {f"exp_z_{x}": z for x, z in expanding.items()} | {f"exp_absz_{x}": np.abs(z) for x, z in expanding.items()}
+    windows = [w for w in WINDOWS if w in c.grid]
+    for x in MULTI:
+        means = {w: c.roll(x, w) for w in windows}
+        z = {w: np.clip(c.z(x, float(w), v), -12, 12) for w, v in means.items()}
+        for w, v in means.items():
+            above = c.pct(x, w, np.nan_to_num(v)) - 0.5
+            rare = -np.log10(np.maximum(1 - 2 * np.abs(above), 1e-6))
+            out[f"w{w}_sur_{x}"], out[f"w{w}_z_{x}"] = np.where(np.isnan(v), np.nan, np.clip(np.sign(above) * rare, -6, 6)), z[w]
+        if len(windows) >= 2:
+            size = np.abs(np.stack(list(z.values())))
+            out |= {f"xs_{key}_{x}": columnwise(f, size) for key, f in (("max", np.nanmax), ("mean", np.nanmean), ("min", np.nanmin))}
     return out
 
 
-D_SCALES = [4, 8, 16, 32, 64, 128, 256]
-M09_CH = ["mean", "sq", "abs", "u2", "res_sq", "lag1"]
+#: Fixed values of the suffix contrasts: suffix lengths, least prefix, clip, and the channels by tag.
+SUFFIXES, LEAST_PREFIX, CLIP = np.array([4, 8, 16, 32, 64, 128, 256]), 8, 40.0
+BACK = {"lv": "mean", "sc": "abs", "pit": "u", "rl": "res_mean", "rs": "res_abs", "dp": "lag1"}
 
 
-@register("m09_back", [f"{n}_{s}" for n in M09_CH for s in ("d8", "d32", "d128", "dmax", "dkf", "dsh", "dlg", "pre")] + ["xb_max", "xb_mean", "xb_rng"])
+@register("m09_back", [f"{tag}_{s}" for tag in BACK for s in ("d8", "d32", "d128", "dmax", "dkf", "dsh", "dlg", "pre")] + ["xb_max", "xb_mean", "xb_rng"])
 def m09(c: Context) -> dict[str, np.ndarray]:
-    """Suffix of k points against all before it, in units of both null spreads."""
-    out, n = {}, len(c.online)
-    if not len(c.grid):
-        return out
-    t = np.arange(1, n + 1, dtype=float)
-    tops = []
-    for name in M09_CH:
-        cum = np.concatenate(([0.0], np.cumsum(c.o[name])))
-        _, mu, sd = c.null(name)
-        spread = lambda m, sd=sd: np.exp(np.interp(np.log(m), np.log(c.grid), np.log(sd)))
-        d = np.full((len(D_SCALES), n), np.nan)
-        for i, w in enumerate(D_SCALES):
-            pre = t - w
-            ok = pre >= 8
-            if ok.any():
-                at = np.flatnonzero(ok)
-                suf, head = (cum[at + 1] - cum[at + 1 - w]) / w, cum[at + 1 - w] / pre[at]
-                d[i, at] = (suf - head) / np.sqrt(spread(float(w)) ** 2 + spread(pre[at]) ** 2)
-        a = np.abs(d)
-        some = ~np.isnan(a).all(axis=0)
-        top, where = np.full(n, np.nan), np.full(n, np.nan)
-        top[some] = np.nanmax(a[:, some], axis=0)
-        best = np.zeros(n, int)
-        best[some] = np.nanargmax(a[:, some], axis=0)
-        where[some] = np.array(D_SCALES)[best[some]]
-        out[f"{name}_d8"], out[f"{name}_d32"], out[f"{name}_d128"] = d[1], d[3], d[5]
-        out[f"{name}_dmax"], out[f"{name}_dkf"] = top, where / t
-        out[f"{name}_dsh"], out[f"{name}_dlg"] = np.nanmax(np.where(np.isnan(a[:3]), -np.inf, a[:3]), axis=0), np.nanmax(np.where(np.isnan(a[3:]), -np.inf, a[3:]), axis=0)
-        out[f"{name}_pre"] = np.where(some, np.log1p(np.maximum(t - np.nan_to_num(where), 0)), np.nan)
-        tops.append(top)
+    """The last k points against all online points before them, in units of both null spreads: one array over (k, t) for each channel."""
+    n = len(c.online)
+    if not len(c.grid) or not n:
+        return {}
+    k_ = SUFFIXES[:, None]
+    t = np.arange(1, n + 1)
+    head = t - k_  # points before the suffix
+    full = head >= LEAST_PREFIX
+    out, tops = {}, []
+    for tag, name in BACK.items():
+        sums, null = np.concatenate(([0.0], np.cumsum(c.o[name]))), c.null(name)
+        scale = lambda m, null=null: np.exp(null._at(m, np.log(null.scale)))
+        at = np.maximum(head, 0)
+        suffix, prefix = (sums[t] - sums[at]) / k_, sums[at] / np.maximum(at, 1)
+        floor = max(1e-4 * float(c.h[name].std()), 1e-9)
+        d = np.where(full, np.clip((suffix - prefix) / np.maximum(np.hypot(scale(k_), scale(np.maximum(head, 1))), floor), -CLIP, CLIP), np.nan)
+        some, size = full.any(axis=0), np.abs(d)
+        best = np.where(full, size, -1.0).argmax(axis=0)
+        pick = lambda v, best=best, some=some: np.where(some, np.take_along_axis(np.broadcast_to(v, d.shape), best[None], 0)[0], np.nan)  # noqa: B023, E731
+        rest = np.maximum(t - SUFFIXES[best], 1)
+        out |= {f"{tag}_d{w}": d[np.flatnonzero(SUFFIXES == w)[0]] for w in (8, 32, 128)}
+        out |= {f"{tag}_dmax": pick(d), f"{tag}_dkf": pick(k_ / t), f"{tag}_dsh": columnwise(np.nanmax, size[SUFFIXES <= 16]), f"{tag}_dlg": columnwise(np.nanmax, size[SUFFIXES >= 64])}
+        out[f"{tag}_pre"] = np.where(some, np.clip(null.z(rest, np.nan_to_num(pick(prefix))), -CLIP, CLIP), np.nan)
+        tops.append(np.abs(out[f"{tag}_dmax"]))
     a = np.stack(tops)
-    out["xb_max"], out["xb_mean"], out["xb_rng"] = a.max(axis=0), a.mean(axis=0), a.max(axis=0) - a.min(axis=0)
-    return out
+    high, low = columnwise(np.nanmax, a), columnwise(np.nanmin, a)
+    return out | {"xb_max": high, "xb_mean": columnwise(np.nanmean, a), "xb_rng": high - low}
+
+
+#: Fixed values of the change-point scan: anchors and restarts of its null, window of its steadiness, clip.
+FOCUS_ANCHORS, FOCUS_RESTARTS, FOCUS_SPAN, STEADY, FOCUS_CLIP = np.array([2, 4, 8, 16, 32, 64, 128, 256, 512, 999]), 24, 1024, 16, 12.0
+FOCUS = {"mean": "mean", "sq": "sq", "rabs": "rabs", "res": "res_mean", "ressq": "res_sq", "lag1": "lag1"}
+
 
+def _focus_at(seg: np.ndarray, anchors: np.ndarray) -> list[np.ndarray]:
+    """The scan's statistic, and that of the start at zero, at some lengths only."""
+    s = np.concatenate(([0.0], np.cumsum(seg)))
+    return [np.array([((s[a] - s[:a]) ** 2 / (2 * (a - np.arange(a)))).max() for a in anchors]), s[anchors] ** 2 / (2 * anchors)]
 
-@register("m11_focus", [f"{n}_{s}" for n in ("mean", "sq", "res_mean", "res_sq") for s in ("g", "age", "agefrac", "pk", "tsp")])
+
+def relative_spread(v: np.ndarray, w: int = STEADY) -> np.ndarray:
+    """Standard deviation of the last w values (of all while there are fewer) over one more than their mean size."""
+    t = np.arange(1, len(v) + 1)
+    m = np.minimum(t, w)
+    mean = lambda x: (lambda c: (c[t] - c[t - m]) / m)(np.concatenate(([0.0], np.cumsum(x))))
+    return np.sqrt(np.maximum(mean(v * v) - mean(v) ** 2, 0)) / np.maximum(mean(np.abs(v)) + 1, 1)
+
+
+@register("m11_focus", [f"{tag}_{s}" for tag in FOCUS for s in ("z", "pct", "anc_z", "gain", "age", "agefrac", "secz", "gap", "pk", "dpk", "tsp", "stab")] + ["xf_max", "xf_mean", "xf_n_hot", "xf_age_agree"])
 def m11(c: Context) -> dict[str, np.ndarray]:
-    out = {}
-    t = np.arange(1, len(c.online) + 1)
-    for name in ("mean", "sq", "res_mean", "res_sq"):
-        m, s = k.robust(c.h[name])
-        s = max(float(c.h[name].std()), 1e-9)
-        f = k.Focus()
-        got = np.array([f.step((v - m) / s) for v in c.o[name]]).reshape(-1, 2)
-        peak = np.maximum.accumulate(got[:, 0])
-        last = np.maximum.accumulate(np.where(got[:, 0] == peak, t, 0))
-        out[f"{name}_g"], out[f"{name}_age"], out[f"{name}_agefrac"], out[f"{name}_pk"], out[f"{name}_tsp"] = np.log1p(got[:, 0]), got[:, 1], got[:, 1] / t, np.log1p(peak), t - last
-    return out
+    """Exact scan over all starts of a change, with the geometry of the best one, against the same scan restarted in the history."""
+    n = len(c.online)
+    t = np.arange(1, n + 1, dtype=float)
+    out: dict[str, np.ndarray] = {}
+    for tag, name in FOCUS.items():
+        m, s = float(c.h[name].mean()), float(c.h[name].std())
+        s = s if s > k.EPS else 1.0
+        nulls = restarts(_focus_at, (c.h[name] - m) / s, FOCUS_ANCHORS, FOCUS_SPAN, FOCUS_RESTARTS)
+        if nulls is None or not n:
+            continue
+        stat, age, second, anchored = k.focus_path((c.o[name] - m) / s)
+        z, first, runner = nulls[0].z(t, stat, FOCUS_CLIP), nulls[1].z(t, anchored, FOCUS_CLIP), nulls[0].z(t, second, FOCUS_CLIP)
+        peak = np.maximum.accumulate(z)
+        since = t - np.maximum.accumulate(np.where(z >= peak - 1e-12, t, 0.0))
+        out |= {f"{tag}_z": z, f"{tag}_pct": nulls[0].share_below(t, stat), f"{tag}_anc_z": first, f"{tag}_gain": z - first, f"{tag}_age": np.log1p(age), f"{tag}_agefrac": age / t}
+        out |= {f"{tag}_secz": runner, f"{tag}_gap": z - runner, f"{tag}_pk": peak, f"{tag}_dpk": k.decayed_max(z, 0.98), f"{tag}_tsp": np.log1p(since), f"{tag}_stab": relative_spread(t - age)}
+    none = np.full(n, np.nan)
+    z, age = (np.stack([out.get(f"{tag}_{s}", none) for tag in FOCUS]) for s in ("z", "age"))
+    hot = z > 2.0
+    agree = np.where(hot.sum(axis=0) >= 2, columnwise(np.nanstd, np.where(hot, age, np.nan)), np.nan)
+    return out | {"xf_max": columnwise(np.nanmax, z), "xf_mean": columnwise(np.nanmean, z), "xf_n_hot": (z > 3.0).sum(axis=0).astype(float), "xf_age_agree": agree}
 
 
 BO = ["p10", "p25", "p50", "mode", "mean", "ent", "none", "odds"]
@@ -238,103 +264,200 @@ def m07(c: Context) -> dict[str, np.ndarray]:
     return out
 
 
-@register("m04_resid", [f"{r}_{s}" for r in ("raw", "ar5", "vol", "garch") for s in ("mean", "var", "abs", "acf1", "llr", "llr32")])
+#: Fixed values of the residual monitors: lengths and cap of their nulls, clips, trailing window, and monitors of the two tiers.
+RESID_GRID, RESID_MOST, RESID_CLIP, POINT_CLIP, RESID_W = np.array([6, 16, 32, 80, 200, 512]), 600, 12.0, 8.0, 32
+TIERS = {"A": (("raw", "ar1", "ar2", "ar5", "vol", "cmb"), ("mean", "var", "abs", "tail", "acf1", "acf1sq")), "B": (("arR", "arH", "volG", "volM"), ("var", "acf1sq"))}
+HALF_22, HALF_63 = 1 - 2 ** (-1 / 22), 1 - 2 ** (-1 / 63)
+
+
+def residual_streams(c: Context) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """History and online values of ten ways to take out what the history predicts, each with unit spread on the history."""
+    h, o = c.h["mean"], c.o["mean"]
+    n = len(h)
+    both, burn = np.concatenate((h, o)), k.burn_in(n)
+
+    def scaled(e: np.ndarray, start: int, end: int = n) -> tuple[np.ndarray, np.ndarray]:
+        s = max(float(e[start:end].std(ddof=1)), 1e-9) if end - start > 1 else 1.0
+        return e[start:end] / s, e[end:] / s
+
+    coefs = {"ar1": k.ar_fit(h, 1), "ar2": c.phi, "ar5": k.ar_fit(h, 5), "arR": k.ar_fit(h, 3, 0.05), "arH": k.ar_huber(h, 2)}
+    out = {"raw": (h, o)} | {tag: scaled(k.ar_residuals(both, phi), len(phi)) for tag, phi in coefs.items()}
+    size = np.minimum(np.abs(both), 4.0)
+    vol = lambda x, v: x / np.sqrt(np.maximum(v, 1e-9))
+    out["vol"] = scaled(vol(both, k.ewma_before(both**2, HALF_22, 1.0)), burn)
+    out["volM"] = scaled(both / np.maximum(k.ewma_before(size, HALF_63, float(size[:n].mean())), 1e-9), burn)
+    out["volG"] = scaled(vol(both, k.garch_before(both**2, *k.garch_fit(h * h))), burn)
+    res = np.concatenate(out["ar2"])
+    m = len(out["ar2"][0])
+    out["cmb"] = scaled(vol(res, k.ewma_before(res**2, HALF_22, 1.0)), k.burn_in(m), m)
+    return out
+
+
+def change_of_law(m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Twice the mean log-likelihood ratio of a normal law with mean m and mean square q to the standard one."""
+    return q - np.log(np.maximum(q - m * m, 1e-6)) - 1
+
+
+@register("m04_resid", [f"{r}_{s}" for tier, (reps, mons) in TIERS.items() for r in reps for s in [f"e_{m}" for m in mons] + ["e_llr"] + [f"w{RESID_W}_llr"] * (tier == "A")])
 def m04(c: Context) -> dict[str, np.ndarray]:
-    """Monitors of standardised residual streams: raw, AR(5), EWMA volatility, GARCH."""
-    out, n = {}, len(c.online)
-    h2, o2 = c.h["res_sq"], c.o["res_sq"]
-    both = np.concatenate((h2, o2))
-    vol = np.sqrt(np.maximum(k.ewma_before(both, 1 - 2 ** (-1 / 22), 1.0), 1e-9))
-    gar = np.sqrt(np.maximum(k.garch_before(both, *k.garch_fit(h2)), 1e-9))
-    e = np.concatenate((c.h["res_mean"], c.o["res_mean"]))
-    streams = {"raw": c.o["mean"], "ar5": c.o["res_mean"], "vol": (e / vol)[len(h2) :], "garch": (e / gar)[len(h2) :]}
-    t = np.arange(1, n + 1)
-    for name, x in streams.items():
-        m, q, a = np.cumsum(x) / t, np.cumsum(x * x) / t, np.cumsum(np.abs(x)) / t
-        cross = np.concatenate(([0.0], np.cumsum(x[1:] * x[:-1]))) / t if n else x
-        llr = q - np.log(np.maximum(q - m * m, 1e-6)) - 1
-        llr[: min(7, n)] = np.nan
-        out |= {f"{name}_mean": m, f"{name}_var": q - m * m, f"{name}_abs": a, f"{name}_acf1": cross / np.maximum(q, 1e-9), f"{name}_llr": llr}
-        w = np.full(n, np.nan)
-        if n >= 32:
-            m32, q32 = Context.rolled(x, 32), Context.rolled(x * x, 32)
-            w[31:] = q32 - np.log(np.maximum(q32 - m32 * m32, 1e-6)) - 1
-        out[f"{name}_llr32"] = w
+    """Monitors of standardised residual streams, against their own history."""
+    n = len(c.online)
+    t = np.arange(1, n + 1, dtype=float)
+    grid = RESID_GRID[RESID_GRID <= max(len(c.hist) // 2, 5)]
+    if not len(grid) or not n:
+        return {}
+    streams, out = residual_streams(c), {}
+    for reps, mons in TIERS.values():
+        for r in reps:
+            clipped = [np.clip(x, -POINT_CLIP, POINT_CLIP) for x in streams[r]]
+            cut = float(np.quantile(np.abs(clipped[0]), 0.95)) if len(clipped[0]) else 3.0
+            points = []
+            for raw, x, last in ((streams[r][0], clipped[0], None), (streams[r][1], clipped[1], clipped[0][-1:])):
+                before = np.concatenate((x[:1] if last is None else last, x[:-1]))
+                points.append({"mean": raw, "var": x * x, "abs": np.abs(x), "tail": (np.abs(x) > cut) * 1.0, "acf1": x * before, "acf1sq": (x * x - 1) * (before * before - 1)})
+            hist, live = points
+            for mon in mons:
+                past = hist[mon][1:] if mon.startswith("acf") else hist[mon]
+                null = LengthNull.of(lambda w, past=past: Context.rolled(past, w) if w < len(past) else past.mean()[None], grid, most=RESID_MOST)
+                out[f"{r}_e_{mon}"] = null.z(t, np.cumsum(live[mon]) / t, RESID_CLIP)
+            law = LengthNull.of(lambda w, hist=hist: change_of_law(Context.rolled(hist["mean"], w), Context.rolled(hist["var"], w)), grid, most=RESID_MOST)
+            z = law.z(t, change_of_law(np.cumsum(live["mean"]) / t, np.cumsum(live["var"]) / t), RESID_CLIP)
+            z[t < 8] = np.nan
+            out |= {f"{r}_e_llr": z, f"{r}_w{RESID_W}_llr": law.z(float(RESID_W), change_of_law(trailing(live["mean"], RESID_W), trailing(live["var"], RESID_W)), RESID_CLIP)}
+    return out
+
+
+def scaled_autocorrelation(x: np.ndarray, w: int) -> np.ndarray:
+    """sqrt(w) times the lag-one correlation within each trailing window of w values, both sides about the window's mean of their own."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= w:
+        v = np.lib.stride_tricks.sliding_window_view(x, w)
+        a, b = (y - y.mean(axis=1, keepdims=True) for y in (v[:, :-1], v[:, 1:]))
+        size = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+        out[w - 1 :] = np.where(size > k.EPS, np.sqrt(w) * (a * b).sum(axis=1) / np.maximum(size, k.EPS), 0.0)
     return out
 
 
-@register("m17_kalman_nis", ["nis", "nis16", "nis64", "nis_exp", "acf", "innov"])
+@register("m17_kalman_nis", ["nis_log", "nis_cum_z", "nis_w32_z", "nis_w64_z", "innov_acf_w32_z", "innov_acf_w64_z"])
 def m17a(c: Context) -> dict[str, np.ndarray]:
-    z = c.h["mean"]
-    x = np.stack((z[1:-1], z[:-2]), axis=1) if len(z) > 30 else np.zeros((0, 2))
-    phi = np.linalg.solve(x.T @ x + 1e-6 * len(z) * np.eye(2), x.T @ z[2:]) if len(x) else np.zeros(2)
-    f = k.kalman_fit(z, (float(phi[0]), float(phi[1])))
-    got = np.array([f.step(v) for v in c.o["mean"]]).reshape(-1, 2)
-    v = got[:, 0] / np.sqrt(got[:, 1])
-    n, t = len(v), np.arange(1, len(v) + 1)
-    q = v * v
-    out = {"nis": q, "nis_exp": np.cumsum(q) / t, "innov": np.cumsum(v) / np.sqrt(t), "acf": np.concatenate(([0.0], np.cumsum(v[1:] * v[:-1])))[:n] / np.maximum(np.cumsum(q), 1e-9)}
-    for w in (16, 64):
-        r = np.full(n, np.nan)
-        if n >= w:
-            r[w - 1 :] = Context.rolled(q, w)
-        out[f"nis{w}"] = r
+    """Normalised innovations of the observer that the history chose."""
+    seen = k.kalman_fit(c.h["mean"], (float(c.phi[0]), float(c.phi[1])))
+    got = np.array([seen.step(v) for v in c.o["mean"]]).reshape(-1, 2)
+    e = got[:, 0] / np.sqrt(got[:, 1])
+    q, t = e * e, np.arange(1, len(e) + 1)
+    out = {"nis_log": np.log1p(q), "nis_cum_z": (np.cumsum(q) - t) / np.sqrt(2 * t)}
+    for w in (32, 64):
+        out |= {f"nis_w{w}_z": (trailing(q, w) - 1) * np.sqrt(w / 2), f"innov_acf_w{w}_z": scaled_autocorrelation(e, w)}
     return out
 
 
-@register("m17_hankel_dmd", ["h1", "h5", "h1_z", "h5_z"])
+@register("m17_hankel_dmd", ["dmd_resid_h1_z", "dmd_resid_h5_z", "dmd_subspace_resid_z", "dmd_effrank_w32_z", "dmd_effrank_w64_z", "dmd_resid_ratio_h5_h1"])
 def m17b(c: Context) -> dict[str, np.ndarray]:
-    a = k.dmd_operator(c.h["mean"])
-    d = len(a)
-    out = {}
-    z = np.concatenate((c.h["mean"][-(d + 5) :], c.o["mean"]))
-    for name, op, step in (("h1", a, 1), ("h5", np.linalg.matrix_power(a, 5), 5)):
-        gap = lambda s, op=op, step=step: np.linalg.norm((v := k.delays(s, d))[:-step] @ op.T - v[step:], axis=1) / np.sqrt(d) if len(s) > d + step else np.zeros(0)
-        m, s = k.robust(gap(c.h["mean"]))
-        g = np.full(len(c.online), np.nan)
-        got = gap(z)
-        if len(got) and len(g):
-            g[-min(len(got), len(g)) :] = got[-len(g) :]
-        out[name], out[f"{name}_z"] = g, (g - m) / s
+    """Prediction gaps of the delay observer at one and five steps, what leaves its subspace, and the rank of recent delay vectors."""
+    h, n = c.h["mean"], len(c.online)
+    seen, whole = k.DelayObserver(h), np.concatenate((h, c.o["mean"]))
+    found = {
+        "dmd_resid_h1_z": lambda z: seen.gap(z), "dmd_resid_h5_z": lambda z: seen.gap(z, 5), "dmd_subspace_resid_z": seen.outside,
+        "dmd_effrank_w32_z": lambda z: k.effective_rank(k.delays(z, seen.d), 32), "dmd_effrank_w64_z": lambda z: k.effective_rank(k.delays(z, seen.d), 64),
+    }
+    if len(h) < seen.d or not n:
+        return {}
+    raw, out = {}, {}
+    for name, f in found.items():
+        all_ = f(whole)
+        raw[name], past = all_[-n:], all_[: len(h) - seen.d + 1]
+        past = past[np.isfinite(past)]
+        m, s = k.robust(past)
+        s = s if s > 1e-9 else float(past.std(ddof=1)) if len(past) > 1 and past.std() > k.EPS else 1.0
+        out[name] = (raw[name] - m) / s
+    return out | {"dmd_resid_ratio_h5_h1": raw["dmd_resid_h5_z"] / np.maximum(raw["dmd_resid_h1_z"], k.EPS)}
+
+
+SCALES = np.array([1, 2, 4, 8, 16, 32])
+
+
+def scale_surprise(c: Context) -> np.ndarray:
+    """Two-sided rarity (-log10) of the residual squares' trailing means at dyadic scales, scales x t."""
+    hist, live = c.res
+    out = np.full((len(SCALES), len(live)), np.nan)
+    for i, w in enumerate(SCALES):
+        null, v = np.sort(Context.rolled(hist, w)), trailing(live, w)
+        if len(null):
+            p = (np.searchsorted(null, np.nan_to_num(v), "right") + 0.5) / (len(null) + 1)
+            out[i] = np.where(np.isnan(v), np.nan, -np.log10(np.maximum(2 * np.minimum(p, 1 - p), 1 / (len(null) + 1))))
     return out
 
 
-@register("m13_scale_surv", ["n13", "n20", "big13", "big20", "slope"])
+@register("m13_scale_surv", ["survival_count_q05", "survival_count_q01", "largest_surviving_scale_q05", "largest_surviving_scale_q01", "slope_logscale"])
 def m13(c: Context) -> dict[str, np.ndarray]:
-    """Two-sided surprise of residual squares over dyadic scales: at how many it survives, the largest such scale, and its slope."""
-    scales = [1, 2, 4, 8, 16, 32]
-    n = len(c.online)
-    s = np.full((len(scales), n), np.nan)
-    for i, w in enumerate(scales):
-        null, v = np.sort(Context.rolled(c.h["res_sq"], w)), c.roll("res_sq", w)
-        ok = ~np.isnan(v)
-        if len(null):
-            p = (np.searchsorted(null, v[ok], "right") + 0.5) / (len(null) + 1)
-            s[i, ok] = -np.log10(np.maximum(2 * np.minimum(p, 1 - p), 1e-6))
-    f, out = np.nan_to_num(s), {}
-    for tag, limit in (("13", 1.301), ("20", 2.0)):
-        hit = f > limit
-        out[f"n{tag}"], out[f"big{tag}"] = hit.sum(axis=0), (hit * np.array(scales)[:, None]).max(axis=0)
-    x = np.log2(scales) - np.mean(np.log2(scales))
-    out["slope"] = (x[:, None] * f).sum(axis=0) / (x * x).sum()
+    """At how many scales the rarity survives, the (number of the) largest such scale, and the rarity's slope over the log of the scale."""
+    s = scale_surprise(c)
+    seen = ~np.isnan(s)
+    out = {}
+    for tag, limit in (("q05", 1.301029995664), ("q01", 2.0)):  # fixed values: rarities of 5 % and 1 %
+        hit = seen & (np.nan_to_num(s) > limit)
+        out |= {f"survival_count_{tag}": hit.sum(axis=0), f"largest_surviving_scale_{tag}": (hit * np.arange(1, 7)[:, None]).max(axis=0)}
+    x, n = np.where(seen, np.log2(SCALES)[:, None], 0.0), np.maximum(seen.sum(axis=0), 1)
+    dx = np.where(seen, x - x.sum(axis=0) / n, 0.0)
+    y = np.nan_to_num(s)
+    out["slope_logscale"] = np.where(seen.sum(axis=0) >= 2, (dx * y).sum(axis=0) / np.maximum((dx * dx).sum(axis=0), k.EPS), np.nan)
     return out
 
 
-@register("m18_wctm", ["log_mix", "log_power", "weight", "wlog", "peak", "rel"])
+@register("m13_scale_indiv", [f"surprise_b{w}" for w in SCALES])
+def m13_indiv(c: Context) -> dict[str, np.ndarray]:
+    return {f"surprise_b{w}": v for w, v in zip(SCALES, scale_surprise(c), strict=True)}
+
+
+#: Fixed values of the bets: fractions, powers, thresholds of the payoffs, and the tail's weight.
+BETS, POWERS = np.array([-0.9, -0.6, -0.3, 0.3, 0.6, 0.9]), np.array([0.15, 0.3, 0.5, 0.7, 0.9])
+TAIL, FAR_TAIL, APART, LEAST_WEIGHT, RATES = 0.4, 0.45, 0.3, 0.25, (0.02, 0.30)
+CTM = ["tail_log", "tail_pk", "disp_log", "disp_pk", "dep_log", "vc_log", "pow_log", "pow_pk"]
+
+
+def tail_weight(past: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Less weight while tails came up more often than in the history; row t looks at rows before t alone."""
+    usual = float(np.clip((np.abs(past) > FAR_TAIL).mean() if len(past) else RATES[0], *RATES))
+    hits, t = np.concatenate(([0.0], np.cumsum(np.abs(live) > FAR_TAIL))), np.arange(len(live))
+    rate = lambda w: np.where(t > 0, (hits[t] - hits[np.maximum(t - w, 0)]) / np.maximum(np.minimum(t, w), 1), usual)
+    return np.clip(1 / (1 + np.maximum((0.7 * rate(32) + 0.3 * rate(128)) / usual - 1, 0)), LEAST_WEIGHT, 1.0)
+
+
+def mixed_capital(gains: np.ndarray) -> np.ndarray:
+    """Log of the mean capital of bets (rows) whose gains at each step are given."""
+    return np.logaddexp.reduce(np.cumsum(np.log(np.maximum(gains, k.EPS)), axis=1), axis=0) - np.log(len(gains))
+
+
+def conformal_bets(c: Context, weighted: bool) -> dict[str, np.ndarray]:
+    """Log capitals of bets on the history ranks: tails, dispersion, same side as the last, both far out, and powers of the two-sided rank."""
+    past, live = c.h["u"] - 0.5, c.o["u"] - 0.5
+    if not len(live):
+        return {}
+    w = tail_weight(past, live) if weighted else np.ones(len(live))
+    payoffs = {
+        "tail": (lambda x, y: (np.abs(x) > TAIL) * 1.0, 1.0), "disp": (lambda x, y: x * x, 0.25), "dep": (lambda x, y: (x * y > 0) * 1.0, 1.0),
+        "vc": (lambda x, y: ((np.abs(x) > APART) & (np.abs(y) > APART)) * 1.0, 1.0),
+    }
+    out = {}
+    for name, (f, most) in payoffs.items():
+        usual = f(past, np.concatenate(([0.0], past[:-1])))
+        m = float(np.clip(usual.mean() if len(usual) else most / 2, 1e-3, most - 1e-3))
+        stake = np.where(BETS > 0, BETS / m, BETS / (most - m))[:, None]
+        out[f"{name}_log"] = mixed_capital(1 + stake * w * (f(live, np.concatenate((past[-1:], live[:-1]))) - m))
+    p = np.clip(1 - 2 * np.abs(live), 1e-6, 1.0)
+    sides = np.concatenate([POWERS[:, None] * v ** (POWERS[:, None] - 1) for v in (p, np.clip(1 - p, 1e-6, 1.0))])
+    out["pow_log"] = mixed_capital(1 + w * (sides - 1))
+    return out | {f"{name}_pk": np.maximum.accumulate(out[f"{name}_log"]) for name in ("tail", "disp", "pow")}
+
+
+@register("m18_wctm", [f"wctm_{n}" for n in CTM])
 def m18(c: Context) -> dict[str, np.ndarray]:
-    """Betting on the history ranks, with a predictable weight from past tail rates."""
-    u = c.o["u"]
-    n = len(u)
-    logs = np.stack([np.cumsum(np.log1p(b * (u - 0.5))) for b in (-1.5, -0.75, 0.75, 1.5)])
-    mix = np.logaddexp.reduce(logs, axis=0) - np.log(4)
-    power = np.logaddexp.reduce(np.stack([np.cumsum(np.log(e) + (e - 1) * np.log(u)) for e in (0.3, 0.5, 0.7, 0.9)]), axis=0) - np.log(4)
-    tail = ((u < 0.05) | (u > 0.95)) * 1.0
-    past = lambda w: np.array([tail[max(0, t - w) : t].mean() if t else 0.1 for t in range(n)])
-    weight = 0.7 * past(32) + 0.3 * past(128)
-    gain = np.logaddexp.reduce(np.stack([np.log1p(b * (u - 0.5)) for b in (-1.5, 1.5)]), axis=0) - np.log(2)
-    wlog = np.cumsum(np.log1p(weight * np.expm1(gain)))
-    peak = np.maximum.accumulate(mix) if n else mix
-    return {"log_mix": mix, "log_power": power, "weight": weight, "wlog": wlog, "peak": peak, "rel": mix - peak}
+    return {f"wctm_{n}": v for n, v in conformal_bets(c, True).items()}
+
+
+@register("m18_uctm", [f"uctm_{n}" for n in CTM])
+def m18_unweighted(c: Context) -> dict[str, np.ndarray]:
+    return {f"uctm_{n}": v for n, v in conformal_bets(c, False).items()}
 
 
 def columns(modules: list[str]) -> list[str]:

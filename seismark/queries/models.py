@@ -85,8 +85,7 @@ def garch(spark, sf):
 @query("q_kalman")
 def kalman(spark, sf):
     def run(a, z):
-        x = np.stack((a[1:-1], a[:-2]), axis=1)
-        phi = np.linalg.solve(x.T @ x + 1e-6 * len(a) * np.eye(2), x.T @ a[2:])
+        phi = k.ar_fit(a, 2)
         f = k.kalman_fit(a, (float(phi[0]), float(phi[1])))
         return np.array([f.step(v) for v in z]).reshape(-1, 2)
 
@@ -96,9 +95,8 @@ def kalman(spark, sf):
 @query("q_dmd")
 def dmd(spark, sf):
     def run(a, z):
-        op = k.dmd_operator(a)
-        v = k.delays(np.concatenate((a[-len(op) :], z)), len(op))
-        return {"gap": np.linalg.norm(v[:-1] @ op.T - v[1:], axis=1) / np.sqrt(len(op))}
+        seen = k.DelayObserver(a)
+        return {"gap": seen.gap(np.concatenate((a[-seen.d :], z)))[1:]}
 
     return _kernel(spark, sf, run, ["gap"])
 
@@ -119,7 +117,7 @@ def absorb(spark, sf):
 
 @query("q_relay")
 def relay(spark, sf):
-    return _kernel(spark, sf, lambda a, z: k.relay(np.abs(z), 1.5, 1.0, 3), ["picked", "held", "operated", "cycles"])
+    return _kernel(spark, sf, lambda a, z: k.relay(np.abs(z) / (1 + np.abs(z)), 0.6, 0.5), ["operate", "thermal", "dwell", "cycles"])
 
 
 @query("q_focus_hull")

@@ -98,7 +98,168 @@ def test_modules_run_on_executors(spark, name):
             np.testing.assert_allclose(got[got.series_id == s][c].to_numpy(float), v, rtol=1e-6)
 
 
+@pytest.fixture(scope="module")
+def one_series():
+    rng = np.random.default_rng(11)
+    h = rng.normal(size=420).cumsum() * 0.05 + rng.normal(size=420)
+    return m.Context(h, np.concatenate((rng.normal(size=60), rng.normal(0.5, 2.0, size=60)))), h
+
+
+def interpolated(lengths, values, length, logs=False):
+    v = [math.log(x) for x in values] if logs else values
+    y = float(np.interp(math.log(length), [math.log(w) for w in lengths], v))
+    return math.exp(y) if logs else y
+
+
+def test_suffix_contrasts_by_definition(one_series):
+    c, _ = one_series
+    got = m.compute(c.hist, c.online, ["m09_back"])
+    grid = [w for w in (5, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024) if 2 * w <= len(c.hist)]
+    for tag, name in (("lv", "mean"), ("rs", "res_abs"), ("dp", "lag1")):
+        hist, x = c.h[name], c.o[name]
+        middle, spread = [], []
+        for w in grid:
+            r = [hist[i : i + w].mean() for i in range(len(hist) - w + 1)]
+            q1, q3 = np.quantile(r, (0.25, 0.75))
+            middle.append(float(np.median(r)))
+            spread.append(max((q3 - q1) / 1.349, float(np.std(r)), 1e-12))
+        for t in (11, 12, 40, 80, 119):
+            d = {}
+            for k_ in (4, 8, 16, 32, 64, 128, 256):
+                if t + 1 - k_ >= 8:
+                    gap = x[t + 1 - k_ : t + 1].mean() - x[: t + 1 - k_].mean()
+                    d[k_] = float(np.clip(gap / math.hypot(interpolated(grid, spread, k_, True), interpolated(grid, spread, t + 1 - k_, True)), -40, 40))
+            if not d:
+                assert np.isnan(got[f"m09_back__{tag}_dmax"][t])
+                continue
+            best = max(d, key=lambda w: abs(d[w]))
+            rest = t + 1 - best
+            want = {"dmax": d[best], "dkf": best / (t + 1), "d8": d.get(8, math.nan), "d32": d.get(32, math.nan), "dsh": max(abs(v) for w, v in d.items() if w <= 16), "dlg": max((abs(v) for w, v in d.items() if w >= 64), default=math.nan)}
+            want["pre"] = float(np.clip((x[:rest].mean() - interpolated(grid, middle, rest)) / interpolated(grid, spread, rest, True), -40, 40))
+            for key, v in want.items():
+                assert got[f"m09_back__{tag}_{key}"][t] == pytest.approx(v, rel=1e-4, abs=1e-5, nan_ok=True), (tag, t, key)
+    assert (got["m09_back__lv_dmax"][30:] < 0).any() or (m.compute(c.hist, c.online - 3, ["m09_back"])["m09_back__lv_dmax"][70:] < 0).any()
+
+
+def test_observers_by_definition(one_series):
+    c, _ = one_series
+    z, q, r, phi = c.h["mean"], 0.05, 0.20, (0.4, 0.1)
+    f, e1 = np.array([[phi[0], phi[1]], [1, 0]]), np.array([1.0, 0.0])
+    seen, x, p = k.Kalman(phi, q, r, z[:2]), np.array([z[1], z[0]]), np.eye(2)
+    for v in z[2:60]:
+        x, p = f @ x, f @ p @ f.T + np.diag([q, 0.0])
+        s = p[0, 0] + r
+        assert seen.step(v) == pytest.approx((v - x[0], s))
+        x, p = x + p[:, 0] / s * (v - x[0]), (np.eye(2) - np.outer(p[:, 0] / s, e1)) @ p
+    assert k.KALMAN_Q == (0.01, 0.05, 0.20) and k.KALMAN_R == (0.05, 0.20, 1.00)
+    o, v = k.DelayObserver(z), k.delays(z)
+    u, s, w = np.linalg.svd(v[:-1].T, full_matrices=False)
+    a = (v[1:].T @ (w[:4].T / s[:4])) @ u[:, :4].T
+    np.testing.assert_allclose(o.operator, a, atol=1e-8)
+    np.testing.assert_allclose(o.gap(z, 5)[5:], np.linalg.norm(v[:-5] @ np.linalg.matrix_power(a, 5).T - v[5:], axis=1) / 4, atol=1e-8)
+    np.testing.assert_allclose(o.outside(z), [np.linalg.norm(y - u[:, :4] @ (u[:, :4].T @ y)) / np.linalg.norm(y) for y in v], atol=1e-6)
+    rank = k.effective_rank(v, 32)
+    for t in (31, 90):
+        sv = np.linalg.svd(v[t - 31 : t + 1], compute_uv=False)
+        assert rank[t] == pytest.approx(math.exp(-sum(x * math.log(x) for x in sv / sv.sum() if x > 0)), rel=1e-6)
+
+
+def test_scales_bets_and_excursions_by_definition(one_series):
+    c, _ = one_series
+    got = m.compute(c.hist, c.online, ["m13_scale_indiv", "m13_scale_surv", "m16_joint_rarity", "m16_dwell_rarity", "m18_uctm", "m18_wctm", "m15_ordinal_irrev"])
+    hist, live = c.res
+    for w in (1, 4, 32):
+        null = [hist[i : i + w].mean() for i in range(len(hist) - w + 1)]
+        for t in (31, 77, 119):
+            p = (sum(v <= live[t - w + 1 : t + 1].mean() + 1e-12 for v in null) + 0.5) / (len(null) + 1)
+            assert got[f"m13_scale_indiv__surprise_b{w}"][t] == pytest.approx(-math.log10(max(2 * min(p, 1 - p), 1 / (len(null) + 1))), abs=0.02)
+    past = np.array([hist[i : i + 32].mean() for i in range(len(hist) - 31)])
+    middle = np.median(past)
+    band = np.quantile(np.abs(past - middle), 0.9)
+
+    def live_states(x):
+        run, peak, out = 0, 0.0, []
+        for v in x:
+            run, peak = (run + 1, max(peak, abs(v - middle) - band)) if abs(v - middle) > band else (0, 0.0)
+            out.append((run, peak))
+        return out
+
+    before = live_states(past)
+    for t, (run, peak) in enumerate(live_states([live[i : i + 32].mean() for i in range(len(live) - 31)]), 31):
+        for kind, n in (("dwell", sum(a >= run for a, _ in before)), ("joint", sum(a >= run and b >= peak for a, b in before))):
+            want = -math.log10(max(n / len(past), 1 / (2 * len(past)))) if run else 0.0
+            assert got[f"m16_{kind}_rarity__{kind}_live_w32"][t] == pytest.approx(want, abs=1e-3)
+    u = c.o["u"] - 0.5
+    usual = float((np.abs(c.h["u"] - 0.5) > 0.4).mean())
+    capital = [1.0] * 6
+    for t, v in enumerate(u):
+        for i, b in enumerate((-0.9, -0.6, -0.3, 0.3, 0.6, 0.9)):
+            capital[i] *= 1 + (b / usual if b > 0 else b / (1 - usual)) * ((abs(v) > 0.4) - usual)
+        assert got["m18_uctm__uctm_tail_log"][t] == pytest.approx(math.log(sum(capital) / 6), abs=1e-3)
+    weights = m.tail_weight(c.h["u"] - 0.5, u)
+    np.testing.assert_array_equal(weights[:50], m.tail_weight(c.h["u"] - 0.5, np.concatenate((u[:49], [0.5]))))
+    code = lambda a, b, d: [0, 1, 3, 4, 6, 7].index(4 * (a > b) + 2 * (a > d) + (b > d))
+    z = c.h["mean"]
+    seq = [code(*z[i : i + 3]) for i in range(len(z) - 2)]
+    both = np.concatenate((z[-2:], c.o["mean"]))
+    new = [seq[-1]] + [code(*both[i : i + 3]) for i in range(len(c.online))]
+    ref = np.full((6, 6), 0.5)
+    np.add.at(ref, (seq[:-1], seq[1:]), 1)
+    ref /= ref.sum()
+    for t in (15, 60, 119):
+        p = np.full((6, 6), 0.5)
+        np.add.at(p, (new[: t + 1], new[1 : t + 2]), 1)
+        p /= p.sum()
+        assert got["m15_ordinal_irrev__trans_kl_exp"][t] == pytest.approx(float((p * np.log(p / ref)).sum()), rel=1e-4)
+
+
+def test_recursions_are_loops():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=333)
+    y = held = 0.3
+    want, before, garch = [], [], []
+    v, last = 1.0, 1.0
+    for a in x:
+        before.append(held)
+        held += 0.2 * (a - held)
+        y = 0.9 * y + a
+        want.append(y)
+        v = 0.06 + 0.1 * last + 0.84 * v
+        garch.append(v)
+        last = a * a
+    np.testing.assert_allclose(k.decayed(x, 0.9, 0.3), want)
+    np.testing.assert_allclose(k.ewma_before(x, 0.2, 0.3), before)
+    np.testing.assert_allclose(k.garch_before(x * x, 0.1, 0.84), garch)
+    s = np.abs(np.tanh(x))
+    on, operate, heat, dwell, cycles, rows = False, 0.0, 0.0, 0, 0, []
+    for a in s:
+        was, on = on, (a > 0.3 if on else a >= 0.7)
+        operate = operate + max(a - 0.7, 0) / 0.3 if on else max(0.0, operate - k.RESET)
+        heat = heat + (a - heat) / k.CHARGE if on else heat * math.exp(-1 / k.COOL)
+        dwell = dwell + 1 if on else 0
+        cycles = min(5, cycles + (was and not on))
+        rows.append((operate, heat, dwell, cycles))
+    np.testing.assert_allclose(k.relay(s, 0.7, 0.3), rows, atol=1e-9)
+    for n in (60, 5000):
+        stat, age, second, anchored = k.focus_path(x[:n] if n < 100 else np.resize(x, n))
+        z = np.concatenate(([0.0], np.cumsum(x[:n] if n < 100 else np.resize(x, n))))
+        for t in (1, 17, n):
+            g = {d: (z[t] - z[t - d]) ** 2 / (2 * d) for d in range(1, t + 1)}
+            assert stat[t - 1] == pytest.approx(max(g.values())) and g[int(age[t - 1])] == pytest.approx(stat[t - 1]) and anchored[t - 1] == pytest.approx(g[t])
+            if n < 100:
+                assert second[t - 1] == pytest.approx(max((v for d, v in g.items() if abs(math.log(d / age[t - 1])) > 2), default=0.0))
+    z = rng.normal(size=400)
+    lag = lambda p: np.array([[z[t - j] for j in range(1, p + 1)] for t in range(p, 400)])
+    np.testing.assert_allclose(k.lagged(z, 3), lag(3))
+    np.testing.assert_allclose(k.ar_fit(z, 3), np.linalg.lstsq(lag(3), z[3:], rcond=None)[0], atol=1e-4)
+    r = k.autocovariances(z, 2)
+    np.testing.assert_allclose(np.array([[r[0], r[1]], [r[1], r[0]]]) @ k.ar_yule_walker(r), r[1:], atol=1e-6)
+    assert np.abs(k.ar_huber(np.append(z, [50.0]), 1) - k.ar_fit(z, 1)).max() < 0.1
+
+
 def test_module_columns():
+    n = {"m00_core": 151, "m04_resid": 60, "m09_back": 51, "m11_focus": 76, "m13_scale_surv": 5, "m13_scale_indiv": 6, "m14_spectral_impulse": 8, "m14_spectral_energy": 4, "m15_ordinal_irrev": 8, "m15_ordinal_entropy": 4, "m16_joint_rarity": 6, "m16_dwell_rarity": 6, "m17_kalman_nis": 6, "m17_hankel_dmd": 6, "m18_wctm": 8, "m18_uctm": 8}
+    assert {k_: len(m.columns([k_])) for k_ in n} == n
     assert len(m.columns(["m00_core"])) == 151 and len(m.columns(["m09_back"])) == 51
     assert all(np.isnan(v).all() for n, v in m.compute(np.arange(12.0), np.arange(5.0), ["m00_core"]).items() if n.startswith("m00_core__w8"))
 
