@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+from .ranks import order_statistics, positions, prefixes, tile
+
 
 def anchors(longest: int, n: int = 12) -> list[int]:
     """Log-spaced anchor times from 0 to the longest elapsed index."""
@@ -22,16 +25,16 @@ def fit_time_cdf(rows: DataFrame, at: list[int], quantiles: int = 16, least: int
     spread = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(round(math.expm1(x - half), 9)).alias("lo"), F.lit(round(math.expm1(x + half), 9)).alias("hi")) for a, x in zip(at, logs, strict=True)]))
     tagged = rows.select("t", F.col(score).alias("s"), spread.alias("w"))
     near = tagged.filter((F.col("t") >= F.col("w.lo")) & (F.col("t") <= F.col("w.hi"))).groupBy("w.a", "s").agg(F.count("*").alias("n"))
-    pool = rows.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    sizes = near.groupBy("a").agg(F.sum("n").alias("m"))
-    thin = sizes.filter(F.col("m") < least).select("a")
-    use = near.join(thin, "a", "left_anti").unionByName(thin.crossJoin(pool).select("a", "s", "n"))
-    w = Window.partitionBy("a").orderBy("s")
-    c = use.withColumn("hi", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("m", F.sum("n").over(Window.partitionBy("a")))
-    ks = F.explode(F.array(*[F.lit(k).cast("long") for k in range(quantiles)]))
-    ranks = c.select("a", "m").distinct().select("a", ks.alias("k"), "m").withColumn("r", F.floor(F.col("k") * (F.col("m") - 1) / F.lit(quantiles - 1)).cast("long"))
-    j = ranks.join(c.select("a", "s", "n", "hi"), "a").filter((F.col("r") < F.col("hi")) & (F.col("r") >= F.col("hi") - F.col("n")))
-    return j.select("a", "k", F.col("s").alias("q"))
+    # the pooled scores are one more anchor, whose few order statistics thin anchors take over
+    pool = rows.groupBy(F.lit(-1).cast("long").alias("a"), F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    c = prefixes(near.unionByName(pool), ["a"], "s", ["n"])
+    place = lambda k: F.floor(k * (F.col("n_all") - 1) / F.lit(quantiles - 1)).cast("long")
+    held = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(quantiles - 1).cast("long")), lambda k: (place(k) >= F.col("n_below")) & (place(k) < F.col("n_below") + F.col("n")))
+    grid = c.select("a", F.col("n_all").alias("m"), F.col("s").alias("q"), F.explode(held).alias("k"))
+    each = grid.filter((F.col("a") >= 0) & (F.col("m") >= least)).select("a", "k", "q")
+    full = each.select("a").distinct()
+    every = rows.sparkSession.createDataFrame([(a,) for a in at], "a long").join(full, "a", "left_anti").join(near.select("a").distinct(), "a", "left_semi")
+    return each.unionByName(every.crossJoin(F.broadcast(grid.filter("a = -1").select("k", "q"))).select("a", "k", "q"))  # quantiles rows for each thin anchor
 
 
 def apply_time_cdf(rows: DataFrame, grid: DataFrame, score: str = "score", name: str = "cal") -> DataFrame:
@@ -62,33 +65,12 @@ def blend_logit(cols: list[str], eps: float = 1e-6) -> Column:
     return 1 / (1 + F.exp(-(sum(z[1:], z[0]) / float(len(cols)))))
 
 
-def global_prefix(df: DataFrame, order: str, size: str, below: str, total: str, buckets: int = 64) -> DataFrame:
-    """Sums of ``size`` over the rows of smaller ``order``, and over all, without one task that sorts everything: approximate quantiles cut
-    the rows into buckets, each is summed in its own window, and the buckets' bases are prefix sums over at most ``buckets`` rows."""
-    cuts = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.002)))
-    part = F.aggregate(F.array(*[F.lit(x) for x in cuts]), F.lit(0), lambda acc, q: acc + F.when(F.col(order) > q, 1).otherwise(0)) if cuts else F.lit(0)
-    held = df.withColumn("_part", part)
-    one = Window.partitionBy(F.lit(0))
-    bases = held.groupBy("_part").agg(F.sum(size).alias("_s"))
-    bases = bases.select(F.col("_part").alias("_p"), (F.sum("_s").over(one.orderBy("_part")) - F.col("_s")).alias("_base"), F.sum("_s").over(one).alias(total))
-    inner = F.sum(size).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
-    return held.join(F.broadcast(bases), F.col("_part") == F.col("_p")).withColumn(below, inner + F.col("_base")).drop("_part", "_p", "_base")
-
-
 def rank_cdf(rows: DataFrame, score: str, name: str, by: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
     """Left rank over count among all rows (of ``by``), through counted distinct scores. When several maps are joined one after another,
     give the plain rows as ``counted``, so that each count does not run through the joins before it."""
     c = (rows if counted is None else counted).groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
-    if by:
-        w = Window.partitionBy(*by).orderBy("_s")
-        c = c.withColumn("_lo", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    else:
-        c = global_prefix(c, "_s", "_n", "_lo", "_all")
-    c = c.withColumn(name, F.col("_lo") / F.col("_all")).drop("_lo", "_all")
-    on = [F.col(score) == F.col("_s")] + [F.col(b) == F.col(f"_{b}") for b in by]
-    for b in by:
-        c = c.withColumnRenamed(b, f"_{b}")
-    return rows.join(c, on).drop("_s", "_n", *[f"_{b}" for b in by])
+    c = prefixes(c, by, "_s", ["_n"]).select(*[F.col(b).alias(f"_{b}") for b in by], "_s", (F.col("_n_below") / F.col("_n_all")).alias(name))
+    return rows.join(c, [F.col(score) == F.col("_s")] + [F.col(b) == F.col(f"_{b}") for b in by]).drop("_s", *[f"_{b}" for b in by])
 
 
 def fold_of(key: Column, n: int = 5) -> Column:
@@ -98,23 +80,30 @@ def fold_of(key: Column, n: int = 5) -> Column:
 def stratified_folds(meta: DataFrame, n: int = 5, lockbox: int = 10) -> DataFrame:
     """Strata of has_break x tau quartile x length tertile; within each, in a hashed order, every ``lockbox``-th series is -1 (set
     aside) and the others are dealt to n folds in turn."""
-    bucket = lambda c, k: F.ntile(k).over(Window.partitionBy("has_break").orderBy(c, "series_id"))
-    m = meta.withColumn("stratum", F.concat_ws("-", F.col("has_break").cast("int").cast("string"), F.when(F.col("has_break"), bucket("tau", 4)).otherwise(F.lit(0)).cast("string"), bucket("n_online", 3).cast("string")))
-    order = Window.partitionBy("stratum").orderBy(F.pmod(F.col("series_id") * 7919 + 13, F.lit(10_007)), "series_id")
-    m = m.withColumn("_k", F.row_number().over(order) - 1)
-    return m.withColumn("fold", F.when(F.col("_k") % lockbox == lockbox - 1, -1).otherwise(F.col("_k") % n).cast("long")).drop("_k")
+    m = meta.withColumn("_b", F.col("has_break").cast("int"))
+    for c, k in (("tau", 4), ("n_online", 3)):
+        m = positions(m, ["_b"], c, "series_id").withColumn(f"_{c}", tile(F.col("pos"), F.col("n"), k)).drop("pos", "n")
+    m = m.withColumn("stratum", F.concat_ws("-", F.col("_b").cast("string"), F.when(F.col("has_break"), F.col("_tau")).otherwise(F.lit(0)).cast("string"), F.col("_n_online").cast("string")))
+    m = positions(m.withColumn("_h", shuffled("series_id")), ["stratum"], "_h", "series_id")
+    return m.withColumn("fold", F.when(F.col("pos") % lockbox == lockbox - 1, -1).otherwise(F.col("pos") % n).cast("long")).drop("pos", "n", "_h", "_b", "_tau", "_n_online")
+
+
+def shuffled(key: str) -> Column:
+    return F.pmod(F.col(key) * 7919 + 13, F.lit(10_007))
 
 
 def derange(df: DataFrame, by: str, key: str, value: str, name: str) -> DataFrame:
     """Each row gets the value of the next row of its group in a hashed order, the last one that of the first: no row keeps its own place."""
-    w = Window.partitionBy(by).orderBy(F.pmod(F.col(key) * 7919 + 13, F.lit(10_007)), key)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn(name, F.coalesce(F.lead(value).over(w), F.first(value).over(whole)))
+    held = materialize(positions(df.withColumn("_h", shuffled(key)), [by], "_h", key).withColumnRenamed("n", "_n"), "positions")
+    after = held.select(F.col(by).alias("_b"), F.col("pos").alias("_q"), F.col(value).alias(name))
+    return held.join(after, (F.col(by) == F.col("_b")) & (F.col("_q") == (F.col("pos") + 1) % F.col("_n"))).drop("_h", "pos", "_n", "_b", "_q")
 
 
 def standardiser(train: DataFrame, cols: list[str]) -> DataFrame:
-    """Median and interquartile range of training rows: one row."""
-    return train.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in cols])
+    """Quartiles of each column over the training rows, as arrays: one row."""
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.c", "x.v")
+    q = order_statistics(long, "v", (0.25, 0.5, 0.75), ("c",))
+    return q.agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("c") == c, F.struct("k", "q")))), lambda s: s["q"]).alias(c) for c in cols])  # three rows a column
 
 
 def standardise(rows: DataFrame, fit: DataFrame, cols: list[str], clip: float = 20.0) -> DataFrame:

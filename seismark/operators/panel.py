@@ -1,12 +1,15 @@
 """Time-stratified ranking metrics over (t, score, y) rows, and what they are made of.
 
-Ranks are taken over distinct (t, score) cells, counted before the shuffle, so rows of equal scores, however many, are one row."""
+Ranks are taken over distinct (t, score) cells, counted before the shuffle, so rows of equal scores, however many, are one row; a step's
+cells are ranked in buckets (``ranks.prefixes``), so a step of any size is many tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import prefixes
+
 
 def _count(c: Column) -> Column:
     return F.sum(F.when(c, 1).otherwise(0)).cast("long")
@@ -15,8 +18,7 @@ def _count(c: Column) -> Column:
 def cells(rows: DataFrame, *by: str, score: str = "score", y: str = "y") -> DataFrame:
     """Counts by (by, score), with the negatives of lower scores: pos, neg, below."""
     c = rows.groupBy(*by, F.col(score).alias("score")).agg(_count(F.col(y) == 1).alias("pos"), _count(F.col(y) == 0).alias("neg"))
-    lower = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    return c.withColumn("below", F.coalesce(F.sum("neg").over(lower), F.lit(0).cast("long")))
+    return prefixes(c, by, "score", ["neg"]).withColumnRenamed("neg_below", "below").drop("neg_all")
 
 
 def per_step(rows: DataFrame, *by: str, score: str = "score", y: str = "y") -> DataFrame:
@@ -42,19 +44,16 @@ def weightings(steps: DataFrame) -> DataFrame:
 def midranks(rows: DataFrame, score: str = "score", name: str = "midrank", by: str = "t") -> DataFrame:
     """Average rank of the score within each step, through distinct-score cells."""
     c = rows.groupBy(by, F.col(score).alias("_s")).agg(F.count("*").alias("_k"))
-    w = Window.partitionBy(by).orderBy("_s")
-    c = c.withColumn("_r", F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k") + (F.col("_k") + 1) / 2.0).withColumn("_n", F.sum("_k").over(Window.partitionBy(by)))
+    c = prefixes(c, [by], "_s", ["_k"]).select(by, "_s", (F.col("_k_below") + (F.col("_k") + 1) / 2.0).alias("_r"), F.col("_k_all").alias("_n"))
     j = rows.join(c.withColumnRenamed(by, "_b"), (F.col(by) == F.col("_b")) & (F.col(score) == F.col("_s")))
-    return j.withColumn(name, F.col("_r")).withColumn("n_step", F.col("_n")).drop("_s", "_k", "_r", "_n", "_b")
+    return j.withColumn(name, F.col("_r")).withColumn("n_step", F.col("_n")).drop("_s", "_r", "_n", "_b")
 
 
 def loss_cube(rows: DataFrame, t_band: Column, age_band: Column) -> DataFrame:
     """Twice the lost pairs and twice all pairs by (t band, age band of the positive, kind of the negative). rows: t, score, y, tau."""
     c = rows.groupBy("t", "score").agg(_count((F.col("y") == 0) & (F.col("tau") < 0)).alias("never"), _count((F.col("y") == 0) & (F.col("tau") >= 0)).alias("prebreak"))
-    all_by = Window.partitionBy("t")
-    high = all_by.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    for k in ("never", "prebreak"):
-        c = c.withColumn(f"{k}_over", F.coalesce(F.sum(k).over(high), F.lit(0).cast("long"))).withColumn(f"{k}_all", F.sum(k).over(all_by))
+    kinds_of = ("never", "prebreak")
+    c = prefixes(c, ["t"], "score", kinds_of).withColumns({f"{k}_over": F.col(f"{k}_all") - F.col(f"{k}_below") - F.col(k) for k in kinds_of})
     pos = rows.filter("y = 1").groupBy("t", "score", (F.col("t") - F.col("tau")).alias("age")).agg(F.count("*").alias("n"))
     j = pos.join(c, ["t", "score"])
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.col("n") * (2 * F.col(f"{k}_over") + F.col(k))).alias("lost2"), (2 * F.col("n") * F.col(f"{k}_all")).alias("pairs2")) for k in ("never", "prebreak")]))
@@ -64,25 +63,35 @@ def loss_cube(rows: DataFrame, t_band: Column, age_band: Column) -> DataFrame:
 def row_losses(rows: DataFrame) -> DataFrame:
     """Twice the pairs of opposite class in the same step that each row stands wrong against (ties one)."""
     c = rows.groupBy("t", "score").agg(_count(F.col("y") == 1).alias("_p"), _count(F.col("y") == 0).alias("_q"))
-    w = Window.partitionBy("t").orderBy("score")
-    c = c.withColumn("_pos_below", F.sum("_p").over(w) - F.col("_p")).withColumn("_neg_above", F.sum("_q").over(Window.partitionBy("t")) - F.sum("_q").over(w))
+    c = prefixes(c, ["t"], "score", ["_p", "_q"]).select("t", "score", "_p", "_q", F.col("_p_below").alias("_pos_below"), (F.col("_q_all") - F.col("_q_below") - F.col("_q")).alias("_neg_above"))
     j = rows.join(c, ["t", "score"])
     return j.withColumn("loss2", F.when(F.col("y") == 1, 2 * F.col("_neg_above") + F.col("_q")).otherwise(2 * F.col("_pos_below") + F.col("_p"))).drop("_p", "_q", "_pos_below", "_neg_above")
 
 
 def pair_flow(rows: DataFrame, old: str, new: str) -> DataFrame:
-    """All same-step pairs of a positive and a negative: concordant under ``old`` only (damage), under ``new`` only (repair)."""
-    p, q = rows.filter("y = 1").alias("p"), rows.filter("y = 0").alias("q")
-    a, b = F.col(f"p.{old}") > F.col(f"q.{old}"), F.col(f"p.{new}") > F.col(f"q.{new}")
-    j = p.join(q, F.col("p.t") == F.col("q.t"))
-    return j.groupBy(F.col("p.t").alias("t")).agg(F.count("*").alias("pairs"), _count(~a & b).alias("repaired"), _count(a & ~b).alias("damaged"))
+    """All same-step pairs of a positive and a negative: concordant under ``old`` only (damage), under ``new`` only (repair). No pairs are made: those
+    concordant under both are counted by dominance. Where p stands above q under old, there is one highest bit at which their old ranks
+    differ; so each row goes to one group for each bit of its rank (rows with equal higher bits), and in a group the positives with the bit
+    set are counted against the negatives without it in the order of new."""
+    at = [F.col("t"), F.col(old).alias("o"), F.col(new).alias("w"), "y"]
+    cell = rows.select(*at).groupBy("t", "o").agg(_count(F.col("y") == 1).alias("pos"), _count(F.col("y") == 0).alias("neg"), F.count("*").alias("n"))
+    ranked = prefixes(cell, ["t"], "o", ["n", "neg"])
+    both = lambda c, name: c.groupBy("t").agg(F.sum(F.col("pos") * F.col("neg_below")).alias(name))
+    first = both(ranked, "a")
+    second = both(cells(rows.select("t", F.col(new).alias("score"), "y"), "t").withColumnRenamed("below", "neg_below"), "b")
+    sizes = cell.groupBy("t").agg((F.sum("pos") * F.sum("neg")).alias("pairs"))
+    top = ranked.agg(F.max("n_below")).first()[0] or 0
+    joined = rows.select(*at).join(ranked.select("t", F.col("o").alias("_o"), F.col("n_below").alias("r")).withColumnRenamed("t", "_t"), (F.col("t") == F.col("_t")) & (F.col("o") == F.col("_o")))
+    level = F.explode(F.array(*[F.struct(F.lit(k).alias("bit"), F.shiftright("r", k + 1).alias("pre"), F.shiftright("r", k).bitwiseAND(F.lit(1)).alias("one")) for k in range(max(int(top).bit_length(), 1))])).alias("x")
+    split = joined.select("t", "w", "y", level).filter((F.col("x.one") == F.col("y")) & F.col("y").isin(0, 1)).select("t", "x.bit", "x.pre", F.col("w").alias("score"), "y")
+    over = cells(split, "t", "bit", "pre").groupBy("t").agg(F.sum(F.col("pos") * F.col("below")).alias("ab"))
+    j = sizes.filter("pairs > 0").join(first, "t", "left").join(second, "t", "left").join(over, "t", "left").na.fill(0, ["a", "b", "ab"])
+    return j.select("t", "pairs", (F.col("b") - F.col("ab")).alias("repaired"), (F.col("a") - F.col("ab")).alias("damaged"))
 
 
 def weighted_bootstrap(rows: DataFrame, draws: DataFrame) -> DataFrame:
     """Score for each draw with series counted ``k`` times: draws (draw, series_id, k) meet rows once, then cells are sums of weights."""
     j = rows.join(draws, "series_id")
     c = j.groupBy("draw", "t", "score").agg(F.sum(F.when(F.col("y") == 1, F.col("k")).otherwise(0)).cast("long").alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("k")).otherwise(0)).cast("long").alias("neg"))
-    lower = Window.partitionBy("draw", "t").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("below", F.coalesce(F.sum("neg").over(lower), F.lit(0).cast("long")))
-    s = c.groupBy("draw", "t").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).alias("num2")).filter("n_pos > 0 and n_neg > 0").withColumn("w", F.col("n_pos") * F.col("n_neg"))
+    s = prefixes(c, ["draw", "t"], "score", ["neg"]).withColumnRenamed("neg_below", "below").groupBy("draw", "t").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).alias("num2")).filter("n_pos > 0 and n_neg > 0").withColumn("w", F.col("n_pos") * F.col("n_neg"))
     return pooled(s, "draw")

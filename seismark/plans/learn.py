@@ -53,7 +53,12 @@ def pair_weights(rows: DataFrame) -> DataFrame:
     return rows.join(g, "t").withColumn("weight", F.when(F.col("y") == 1, F.col("_n") - F.col("_p")).otherwise(F.col("_p")).cast("double")).drop("_p", "_n")
 
 
-def router(rows: DataFrame, cols: list[str], k: int = 6, seed: int = 42) -> DataFrame:
-    """Cluster of each series, from centres fitted on its fingerprint columns."""
+def router(rows: DataFrame, cols: list[str], k: int = 6, seed: int = 42, folds: int = 5) -> DataFrame:
+    """Cluster of each series (rows: fold, cols): the centres for a fold's series are fitted on the other folds' alone, so cluster numbers
+    compare within a fold only."""
     data = VectorAssembler(inputCols=cols, outputCol="raw").transform(rows)
-    return Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), KMeans(k=k, seed=seed)]).fit(data).transform(data).withColumnRenamed("prediction", "cluster").drop("raw", "features")
+    parts = [Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), KMeans(k=k, seed=seed)]).fit(data.filter((F.col("fold") != f) & (F.col("fold") >= 0))).transform(data.filter(F.col("fold") == f)) for f in range(folds)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumnRenamed("prediction", "cluster").drop("raw", "features")

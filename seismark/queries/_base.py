@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import windows as w
+from ..sources.scratch import materialize
 from ..sources.series import SUPPLIER, USER, Family, absorbing_label, planted_tau, series, split
 
 R = 6
@@ -36,6 +37,10 @@ def panel(spark: SparkSession, sf_dir: str, family: Family = USER) -> DataFrame:
     k = F.lit(1000).cast("long") * F.col("n")
     d = w.cusum_pair(d.withColumn("k", k), F.col("d"), F.col("k"))
     tau = planted_tau(F.col("series_id"))
+    return materialize(_scored(d, tau), "panel")  # written once: ranks read it several times
+
+
+def _scored(d: DataFrame, tau) -> DataFrame:
     return d.withColumn("tau", tau).select(
         "series_id", "t", "tau", absorbing_label(F.col("t"), tau).alias("y"), "d", F.greatest("up", "down").alias("score"), F.abs("d").alias("score_b"),
         F.abs(F.sum("d").over(w.trailing(8))).alias("score_c"),

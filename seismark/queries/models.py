@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from ..operators import detectors as det
 from ..operators import history as h
 from ..operators import panel as p
 from ..plans import learn
+from ..sources.scratch import shared_dir
 from ..sources.series import SUPPLIER, USER, split
 from ..streaming import scores
 from ._base import obs, panel, rounded
@@ -161,14 +160,13 @@ def forest(spark, sf):
 def kmeans(spark, sf):
     hist, _ = split(obs(spark, sf, SUPPLIER), SUPPLIER.n_hist)
     par = h.parameters(hist).select("series_id", "mu", "sd", "iqr", "mad", (F.col("q95") - F.col("q05")).alias("span"))
-    return learn.router(par, ["mu", "sd", "iqr", "mad", "span"]).select("series_id", F.col("cluster").cast("long").alias("cluster"))
+    par = par.withColumn("fold", c.fold_of(F.col("series_id")))
+    return learn.router(par, ["mu", "sd", "iqr", "mad", "span"]).select("fold", "series_id", F.col("cluster").cast("long").alias("cluster"))
 
 
 @query("q_stream_noisy_or")
 def stream(spark, sf):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{named.rstrip('/')}/seismark" if named else "file://" + tempfile.mkdtemp(prefix="seismark-")
-    return rounded(scores.run_available(spark, f"{sf}/events.parquet", folder, USER.n_hist))
+    return rounded(scores.run_available(spark, f"{sf}/events.parquet", f"{shared_dir(spark)}/seismark", USER.n_hist))
 
 
 @query("q_batch_noisy_or")
