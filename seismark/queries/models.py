@@ -15,15 +15,17 @@ from ..operators import panel as p
 from ..plans import learn
 from ..sources.scratch import shared_dir
 from ..sources.series import SUPPLIER, USER, split
-from ..streaming import scores
-from ._base import obs, panel, rounded
+from ..streaming import features, scores
+from ._base import obs, obs_sql, panel, rounded
 
 QUERIES, ORACLE = {}, {}
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def put(fn):
         QUERIES[name] = fn
+        if sql:
+            ORACLE[name] = sql
         return fn
 
     return put
@@ -62,17 +64,52 @@ def _kernel(spark, sf, fn, cols: list[str]):
     return rounded(det.in_groups(obs(spark, sf, SUPPLIER), run, schema))
 
 
-@query("q_shiryaev_roberts")
+#: z of the online rows, as a table that recursions over t read.
+Z = "with recursive " + obs_sql(SUPPLIER) + ", z as materialized (select series_id, t, z from zon)"
+
+
+def _recursion(cols: dict[str, tuple[str, str]], z: str = "z") -> str:
+    """, r as (...): column -> (its first value, its next from ``r`` and ``o``, the row)."""
+    first = ", ".join(f"({a})::double as {c}" for c, (a, _) in cols.items())
+    after = ", ".join(f"({b})::double as {c}" for c, (_, b) in cols.items())
+    return f", r as (select o.series_id, o.t, {first} from {z} o where o.t = 0 union all select o.series_id, o.t, {after} from r join {z} o on o.series_id = r.series_id and o.t = r.t + 1)"
+
+
+def _given(cols: list[str]) -> str:
+    return " select series_id, t, " + ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in cols) + " from r"
+
+
+SR_SQL = Z + _recursion({"sr_up": ("0.5 * o.z - 0.125", "0.5 * o.z - 0.125 + ln(1 + exp(r.sr_up))"), "sr_down": ("-0.5 * o.z - 0.125", "-0.5 * o.z - 0.125 + ln(1 + exp(r.sr_down))")}) + _given(["sr_up", "sr_down"])
+
+
+@query("q_shiryaev_roberts", SR_SQL)
 def sr(spark, sf):
     return _kernel(spark, sf, lambda a, z: {"sr_up": k.shiryaev_roberts(0.5 * z - 0.125), "sr_down": k.shiryaev_roberts(-0.5 * z - 0.125)}, ["sr_up", "sr_down"])
 
 
-@query("q_ewma_bank")
+def _alpha(h: int) -> float:
+    return 1 - 2 ** (-1 / h)
+
+
+EWMA_SQL = Z + _recursion({f"y{h}": (f"{_alpha(h)!r} * o.z", f"r.y{h} + {_alpha(h)!r} * (o.z - r.y{h})") for h in (8, 32, 128)}) + " select series_id, t, " + ", ".join(f"round(y{h} / (1 - power({1 - _alpha(h)!r}, t + 1)), 6) + 0.0 as ew{h}" for h in (8, 32, 128)) + " from r"
+
+
+@query("q_ewma_bank", EWMA_SQL)
 def ewma(spark, sf):
     return _kernel(spark, sf, lambda a, z: {f"ew{n}": k.ewma(z, n) for n in (8, 32, 128)}, ["ew8", "ew32", "ew128"])
 
 
-@query("q_garch")
+GARCH_SQL = (
+    "with recursive " + obs_sql(SUPPLIER) + f""", sq as materialized (select o.series_id, o.i, ((o.x - p.mu) / p.sd) * ((o.x - p.mu) / p.sd) as q from obs o join par p using (series_id)),
+nodes as (select a, b, row_number() over (order by a, b) as k from (select unnest({list(k.GARCH_A)}) as a) x, (select unnest({list(k.GARCH_B)}) as b) y where a + b <= {k.GARCH_MOST}),
+v as (select s.series_id, s.i, a, b, n.k, 1.0::double as v, s.q from sq s, nodes n where s.i = 0 union all select s.series_id, s.i, v.a, v.b, v.k, (1 - v.a - v.b) + v.a * v.q + v.b * v.v, s.q from v join sq s on s.series_id = v.series_id and s.i = v.i + 1),
+loss as (select series_id, k, sum(ln(greatest(v, 1e-9)) + q / greatest(v, 1e-9)) as l from v where i >= {k.burn_in(SUPPLIER.n_hist)} and i < {SUPPLIER.n_hist} group by series_id, k),
+best as (select series_id, arg_min(k, l) as k from loss group by series_id)
+select v.series_id, v.i - {SUPPLIER.n_hist} as t, round(v.v, 6) + 0.0 as variance from v join best b on b.series_id = v.series_id and b.k = v.k where v.i >= {SUPPLIER.n_hist}"""
+)
+
+
+@query("q_garch", GARCH_SQL)
 def garch(spark, sf):
     def run(a, z):
         fit = k.garch_fit(a * a)
@@ -109,17 +146,38 @@ def bocpd(spark, sf):
     return _kernel(spark, sf, run, m.BO)
 
 
-@query("q_absorb")
+_STEP = "ln(1 / 250.0 + exp(r.{c})) - ln(1 - 1 / 250.0)"
+ABSORB_SQL = Z + _recursion({c: (f"{m_} * o.z - {m_ * m_ / 2!r} + ln(1 / 250.0) - ln(1 - 1 / 250.0)", f"{m_} * o.z - {m_ * m_ / 2!r} + " + _STEP.format(c=c)) for c, m_ in (("m8", -0.8), ("m4", -0.4), ("p4", 0.4), ("p8", 0.8))}) + _given(["m8", "m4", "p4", "p8"])
+
+
+@query("q_absorb", ABSORB_SQL)
 def absorb(spark, sf):
     return _kernel(spark, sf, lambda a, z: k.absorbing(np.stack([s * z - s * s / 2 for s in (-0.8, -0.4, 0.4, 0.8)], axis=1)), ["m8", "m4", "p4", "p8"])
 
 
-@query("q_relay")
+_ON = "(case when r.state > 0 then o.s > 0.5 else o.s >= 0.6 end)"
+RELAY_SQL = (
+    Z + ", s as materialized (select series_id, t, abs(z) / (1 + abs(z)) as s from z)"
+    + _recursion({
+        "state": ("case when o.s >= 0.6 then 1 else 0 end", f"case when {_ON} then 1 else 0 end"),
+        "operate": ("case when o.s >= 0.6 then (o.s - 0.6) / 0.4 else 0 end", f"case when {_ON} then r.operate + greatest(o.s - 0.6, 0) / 0.4 else greatest(0, r.operate - {k.RESET}) end"),
+        "thermal": (f"case when o.s >= 0.6 then o.s / {k.CHARGE} else 0 end", f"case when {_ON} then r.thermal + (o.s - r.thermal) / {k.CHARGE} else r.thermal * exp(-1 / {k.COOL}) end"),
+        "dwell": ("case when o.s >= 0.6 then 1 else 0 end", f"case when {_ON} then r.dwell + 1 else 0 end"),
+        "cycles": ("0", f"least({k.MOST_CYCLES}, r.cycles + case when r.state > 0 and not {_ON} then 1 else 0 end)"),
+    }, "s")
+    + _given(["operate", "thermal", "dwell", "cycles"])
+)
+
+
+@query("q_relay", RELAY_SQL)
 def relay(spark, sf):
     return _kernel(spark, sf, lambda a, z: k.relay(np.abs(z) / (1 + np.abs(z)), 0.6, 0.5), ["operate", "thermal", "dwell", "cycles"])
 
 
-@query("q_focus_hull")
+FOCUS_SQL = Z + ", c as (select series_id, t, sum(z) over (partition by series_id order by t) as c from z union all select distinct series_id, -1, 0.0 from z), g as (select a.series_id, a.t, a.t - b.t as age, (a.c - b.c) * (a.c - b.c) / (2 * (a.t - b.t)) as g from c a join c b on a.series_id = b.series_id and b.t < a.t where a.t >= 0) select series_id, t, round(max(g), 6) + 0.0 as statistic, arg_max(age, g)::double as age from g group by series_id, t"
+
+
+@query("q_focus_hull", FOCUS_SQL)
 def focus(spark, sf):
     def run(a, z):
         f = k.Focus()
@@ -164,11 +222,47 @@ def kmeans(spark, sf):
     return learn.router(par, ["mu", "sd", "iqr", "mad", "span"]).select("fold", "series_id", F.col("cluster").cast("long").alias("cluster"))
 
 
-@query("q_stream_noisy_or")
+#: The detector's recursions over the S_user series.
+_TANH = "(1 - 2 / (exp(2 * ({0})) + 1))"
+_PARTS = {"level": "abs(mean - mu) / (greatest(sd / sqrt(greatest(n, 1.0)), 1e-8) * 3.0)", "drift": "greatest(up, down) / 6.0", "spread": "abs(ln(greatest(var / (sd * sd), 1e-8))) / 1.5"}
+NOISY_SQL = (
+    "with recursive " + obs_sql(USER) + ", z as materialized (select series_id, t, x, mu, sd, z from zon)"
+    + _recursion({
+        "mu": ("o.mu", "o.mu"), "sd": ("o.sd", "o.sd"), "mean": ("o.mu + 0.05 * (o.x - o.mu)", "r.mean + 0.05 * (o.x - r.mean)"), "n": ("1", "r.n + 1 - 0.05 * r.n"),
+        "up": ("greatest(0.0, o.z - 0.5)", "greatest(0.0, r.up + o.z - 0.5)"), "down": ("greatest(0.0, -o.z - 0.5)", "greatest(0.0, r.down - o.z - 0.5)"),
+        "var": ("o.sd * o.sd + 0.05 * ((o.x - o.mu) * (o.x - o.mu) - o.sd * o.sd)", "r.var + 0.05 * ((o.x - o.mu) * (o.x - o.mu) - r.var)"),
+    })
+    + f" select series_id, t, round(up, 6) + 0.0 as up, round(down, 6) + 0.0 as down, round(1 - (1 - greatest({_TANH.format(_PARTS['level'])}, {_TANH.format(_PARTS['drift'])})) * (1 - {_TANH.format(_PARTS['spread'])}), 6) + 0.0 as noisy_or from r"
+)
+CUSUM_SQL = "with " + obs_sql(USER) + ", c as (select series_id, t, sum(z - 0.5) over o as u, sum(-z - 0.5) over o as d from zon window o as (partition by series_id order by t)) select series_id, t, round(u - least(0.0, min(u) over o), 6) + 0.0 as up, round(d - least(0.0, min(d) over o), 6) + 0.0 as down from c window o as (partition by series_id order by t)"
+
+
+def _streamed(spark, sf, of=None):
+    return scores.run_available(spark, f"{sf}/events.parquet", f"{shared_dir(spark)}/seismark", USER.n_hist, of=of)
+
+
+@query("q_stream_cusum", CUSUM_SQL)
+def stream_cusum(spark, sf):
+    """The stream's reflected sums against those of windows."""
+    return rounded(_streamed(spark, sf).select("series_id", "t", "up", "down"))
+
+
+@query("q_stream_m00")
+def stream_m00(spark, sf):
+    return _streamed(spark, sf, lambda rows: features.stream_features(rows, USER.n_hist, ["m00_core"]))
+
+
+@query("q_stream_features")
+def stream_features(spark, sf):
+    """All modules as a stream."""
+    return _streamed(spark, sf, lambda rows: features.stream_features(rows, USER.n_hist, list(m.REGISTRY)))
+
+
+@query("q_stream_noisy_or", NOISY_SQL)
 def stream(spark, sf):
-    return rounded(scores.run_available(spark, f"{sf}/events.parquet", f"{shared_dir(spark)}/seismark", USER.n_hist))
+    return rounded(_streamed(spark, sf))
 
 
-@query("q_batch_noisy_or")
+@query("q_batch_noisy_or", NOISY_SQL)
 def batch(spark, sf):
     return rounded(scores.batch_scores(scores.keyed(spark.read.parquet(f"{sf}/events.parquet")), USER.n_hist))

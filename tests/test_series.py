@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 from pathlib import Path
 
@@ -20,7 +21,7 @@ from seismark.operators import panel as p
 from seismark.operators import windows as w
 from seismark.queries import ORACLE, QUERIES
 from seismark.sources import files, generate
-from seismark.streaming import scores
+from seismark.streaming import features, scores
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -328,8 +329,6 @@ def test_stream_equals_batch(spark, tmp_path):
     e.repartitionByRange(3, "ts").sortWithinPartitions("ts", "event_id").write.parquet(str(src))
     stamps = sorted(src.glob("part-*"))
     for i, f in enumerate(stamps):  # files arrive in event-time order
-        import os
-
         os.utime(f, (1_000_000 + i, 1_000_000 + i))
     streamed = scores.run_available(spark, str(src), f"file://{tmp_path}/out", 40, files_per_batch=1)
     key = lambda r: (r.series_id, r.t)
@@ -338,6 +337,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len({key(r) for r in batch.collect()}) == batch.count()
 
 
+@pytest.mark.parametrize("names", [["m00_core"], ["m04_resid", "m09_back", "m11_focus"]])
+def test_feature_stream_equals_batch(spark, tmp_path, names):
+    src = tmp_path / "events"
+    e = spark.read.parquet(f"{SF}/events.parquet").filter("user_id < 3")
+    e.repartitionByRange(3, "ts").sortWithinPartitions("ts", "event_id").write.parquet(str(src))
+    for i, f in enumerate(sorted(src.glob("part-*"))):  # files arrive in event-time order
+        os.utime(f, (1_000_000 + i, 1_000_000 + i))
+    streamed = scores.run_available(spark, str(src), f"file://{tmp_path}/out", 40, files_per_batch=1, of=lambda rows: features.stream_features(rows, 40, names))
+    batch = features.batch_features(scores.keyed(e), 40, names)
+    key = ["series_id", "t"]
+    a, b = (d.toPandas().sort_values(key).reset_index(drop=True) for d in (streamed, batch))
+    assert len(a) == len(b) > 0
+    np.testing.assert_allclose(a.to_numpy(float), b.to_numpy(float), rtol=1e-5, atol=1e-6)
+
+
 def test_reflected_sums(spark):
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate([-3, 2, 5, -9, 4])], "series_id long, t long, x long")
     from pyspark.sql import functions as F
