@@ -1,7 +1,7 @@
 """Registered queries of the series engine and their SQL twins."""
 
-from . import models, monitors, panels, points
+from . import audits, models, monitors, panels, points
 
-MODULES = (points, monitors, panels, models)
+MODULES = (points, monitors, panels, models, audits)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict = {k: v for m in MODULES for k, v in m.ORACLE.items()}

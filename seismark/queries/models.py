@@ -99,6 +99,21 @@ def ewma(spark, sf):
     return _kernel(spark, sf, lambda a, z: {f"ew{n}": k.ewma(z, n) for n in (8, 32, 128)}, ["ew8", "ew32", "ew128"])
 
 
+@query("q_decay_max", Z + _recursion({"peak": ("o.z", "greatest(o.z, 0.98 * r.peak)")}) + _given(["peak"]))
+def decay_max(spark, sf):
+    return _kernel(spark, sf, lambda a, z: {"peak": k.decayed_max(z, 0.98)}, ["peak"])
+
+
+@query("q_ar_robust")
+def ar_robust(spark, sf):
+    """Ridge, reweighted and Yule-Walker coefficients of each history, the same at every online row's first place."""
+    def run(a, z):
+        rows = [("ridge", k.ar_fit(a, 3, 0.05)), ("huber", k.ar_huber(a, 2)), ("yw", k.ar_yule_walker(k.autocovariances(a, 5)))]
+        return {f"{n}{i + 1}": np.full(len(z), v) for n, phi in rows for i, v in enumerate(phi)}
+
+    return _kernel(spark, sf, run, [f"{n}{i}" for n, p_ in (("ridge", 3), ("huber", 2), ("yw", 5)) for i in range(1, p_ + 1)]).filter("t = 0").drop("t")
+
+
 GARCH_SQL = (
     "with recursive " + obs_sql(SUPPLIER) + f""", sq as materialized (select o.series_id, o.i, ((o.x - p.mu) / p.sd) * ((o.x - p.mu) / p.sd) as q from obs o join par p using (series_id)),
 nodes as (select a, b, row_number() over (order by a, b) as k from (select unnest({list(k.GARCH_A)}) as a) x, (select unnest({list(k.GARCH_B)}) as b) y where a + b <= {k.GARCH_MOST}),

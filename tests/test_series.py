@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 import __spark_entry__ as entry
 from seismark.functions import kernels as k
 from seismark.functions import modules as m
+from seismark.operators import audit, ranks
 from seismark.operators import detectors as det
 from seismark.operators import panel as p
 from seismark.operators import windows as w
@@ -214,6 +215,35 @@ def test_scales_bets_and_excursions_by_definition(one_series):
         assert got["m15_ordinal_irrev__trans_kl_exp"][t] == pytest.approx(float((p * np.log(p / ref)).sum()), rel=1e-4)
 
 
+def test_column_guards():
+    names = ["m00_core__exp_z_mean", "m07_bocpd__bo_p10", "m09_back__lv_d8", "m05_ctx__tail4"]
+    assert audit.select_columns(names, "m0[09]", ("exp",)) == ["m09_back__lv_d8"]
+    audit.guard_columns(names)
+    for bad in ("tau", "m01__tau_hat", "x_has_break", "n_online"):
+        with pytest.raises(ValueError, match=bad):
+            audit.guard_columns([*names, bad])
+
+
+def test_quantiles_positions_and_tiles_of_any_group(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, int(i), float(v)) for g, n in (("a", 3000), ("b", 7), ("c", 1)) for i, v in enumerate(rng.integers(0, 40, n) / 4)]
+    df = spark.createDataFrame(rows, "g string, id long, v double")
+    got = {(r.g, r.k): r.q for r in ranks.order_statistics(df, "v", (0.0, 0.1, 0.5, 0.77, 1.0), ("g",)).collect()}
+    for g in "abc":
+        v = [x for h, _, x in rows if h == g]
+        for k_, s in enumerate((0.0, 0.1, 0.5, 0.77, 1.0)):
+            assert got[g, k_] == pytest.approx(float(np.quantile(v, s)))
+    from pyspark.sql import functions as F
+
+    at = ranks.positions(df, ["g"], "v", "id").withColumn("tile", ranks.tile(F.col("pos"), F.col("n"), 4)).collect()
+    for g in "abc":
+        order = sorted((x, i) for h, i, x in rows if h == g)
+        seen = {r.id: r for r in at if r.g == g}
+        assert [seen[i].pos for _, i in order] == list(range(len(order)))
+        size, rest = divmod(len(order), 4)
+        assert [seen[i].tile for _, i in order] == [k_ + 1 for k_ in range(4) for _ in range(size + (k_ < rest))]
+
+
 def test_recursions_are_loops():
     rng = np.random.default_rng(2)
     x = rng.normal(size=333)
