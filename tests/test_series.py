@@ -244,6 +244,60 @@ def test_quantiles_positions_and_tiles_of_any_group(spark):
         assert [seen[i].tile for _, i in order] == [k_ + 1 for k_ in range(4) for _ in range(size + (k_ < rest))]
 
 
+def test_localiser_and_restarts_by_definition():
+    rng = np.random.default_rng(6)
+    h, o = rng.normal(size=1500), np.concatenate((rng.normal(size=70), rng.normal(0, 3, size=60)))
+    c = m.Context(h, o)
+    got = m.compute(h, o, ["m06_loc", "m10_persist", "m12_rdep"])
+    z = c.h["mean"]
+    phi = k.ar_fit(z, 6)
+    e = np.array([z[t] - sum(phi[j] * z[t - 1 - j] for j in range(6)) for t in range(6, len(z))])
+    both = np.concatenate((z, c.o["mean"]))
+    live = np.array([both[t] - sum(phi[j] * both[t - 1 - j] for j in range(6)) for t in range(len(z), len(both))]) / e.std(ddof=1)
+    e = e / e.std(ddof=1)
+    lengths = [8, 12, 16, 24, 32, 48, 64, 96, 128]
+    ends = np.arange(511, len(e))[:: max(1, (len(e) - 511) // 1000)]
+    for t in (9, 40, 100, 129):
+        best, tops = {}, np.zeros(len(ends))
+        for n in lengths:
+            if n > t + 1:
+                continue
+            null = np.array([(e[i + 1 - n : i + 1] ** 2).mean() for i in ends])
+            s = np.sort(null)
+            mid, sd = s[len(s) // 2], (s[int(0.75 * len(s))] - s[int(0.25 * len(s))]) / 1.349
+            v = ((live[t + 1 - n : t + 1] ** 2).mean() - mid) / sd
+            size = np.abs(null - mid) / sd
+            best[n] = (((size < abs(v) - 1e-12).sum() + 0.5) / len(s), v)
+            rank = np.empty(len(s))
+            rank[np.argsort(size, kind="stable")] = (np.arange(len(s)) + 0.5) / len(s)
+            tops = np.maximum(tops, rank)
+        length = max(best, key=lambda n: best[n][0])
+        assert got["m06_loc__loc_h_rsq_lm"][t] == pytest.approx(math.log2(length))
+        assert got["m06_loc__loc_h_rsq_sz"][t] == pytest.approx(np.clip(best[length][1], -12, 12), rel=1e-4)
+        assert got["m06_loc__loc_h_rsq_q"][t] == pytest.approx(-math.log10(max(1 - (tops < best[length][0]).mean(), 1e-3)), abs=1e-3)
+    # a reflected sum against itself restarted at sixteen places
+    x, past = c.o["res_mean"], c.h["res_mean"]
+    places = np.unique(np.linspace(0, len(past) - 512, 16).astype(int))
+
+    def run(v):
+        total, low, out = 0.0, 0.0, []
+        for a in v:
+            total += a - 0.5
+            out.append(total - low)
+            low = min(low, total)
+        return out
+
+    null = np.array([run(past[a : a + 512])[31] for a in places])
+    q1, q3 = np.quantile(null, (0.25, 0.75))
+    assert got["m12_rdep__rcup_cur"][31] == pytest.approx((run(x)[31] - np.median(null)) / max((q3 - q1) / 1.349, null.std()), rel=1e-4)
+    w = x[88:120] ** 2
+    ref = np.array([np.sort(past[i : i + 32] ** 2)[:-2].mean() for i in range(len(past) - 31)])
+    q1, q3 = np.quantile(ref, (0.25, 0.75))
+    assert got["m10_persist__e_w32_trim"][119] == pytest.approx(np.clip((np.sort(w)[:-2].mean() - np.median(ref)) / max((q3 - q1) / 1.349, ref.std()), -12, 12), rel=1e-4)
+    w = x[28:60] ** 2
+    assert got["m10_persist__e_w32_trim"][59] == pytest.approx((np.sort(w)[:-2].mean() - np.median(ref)) / max((q3 - q1) / 1.349, ref.std()), rel=1e-4)
+
+
 def test_recursions_are_loops():
     rng = np.random.default_rng(2)
     x = rng.normal(size=333)
@@ -289,7 +343,7 @@ def test_recursions_are_loops():
 
 
 def test_module_columns():
-    n = {"m00_core": 151, "m04_resid": 60, "m09_back": 51, "m11_focus": 76, "m13_scale_surv": 5, "m13_scale_indiv": 6, "m14_spectral_impulse": 8, "m14_spectral_energy": 4, "m15_ordinal_irrev": 8, "m15_ordinal_entropy": 4, "m16_joint_rarity": 6, "m16_dwell_rarity": 6, "m17_kalman_nis": 6, "m17_hankel_dmd": 6, "m18_wctm": 8, "m18_uctm": 8}
+    n = {"m00_core": 151, "m01_seq": 60, "m04_resid": 60, "m06_loc": 60, "m10_persist": 42, "m12_rdep": 57, "m09_back": 51, "m11_focus": 76, "m13_scale_surv": 5, "m13_scale_indiv": 6, "m14_spectral_impulse": 8, "m14_spectral_energy": 4, "m15_ordinal_irrev": 8, "m15_ordinal_entropy": 4, "m16_joint_rarity": 6, "m16_dwell_rarity": 6, "m17_kalman_nis": 6, "m17_hankel_dmd": 6, "m18_wctm": 8, "m18_uctm": 8}
     assert {k_: len(m.columns([k_])) for k_ in n} == n
     assert len(m.columns(["m00_core"])) == 151 and len(m.columns(["m09_back"])) == 51
     assert all(np.isnan(v).all() for n, v in m.compute(np.arange(12.0), np.arange(5.0), ["m00_core"]).items() if n.startswith("m00_core__w8"))
