@@ -103,18 +103,45 @@ class Units:
             self.tok.no_truncation()
             self.tok.no_padding()
 
+        self.marks: dict = {}  # the template's own strings, which every turn repeats
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)] if self.tok else [[ord(c) for c in x] for x in texts]
+
+    def _mark(self, text: str) -> list[int]:
+        if text not in self.marks:
+            if len(self.marks) > 1_000:
+                self.marks.clear()
+            self.marks[text] = self._ids([text])[0]
+        return self.marks[text]
+
     def of(self, turns: list[tuple[str, str]]) -> list[dict]:
         """For each (role, text): its units, and which of them are its escaped text."""
-        cut = []
+        out, cut = [], []
         for role, text in turns:
             segment, a, z = render(role, text)
-            cut += [segment[:a], segment[a:z], segment[z:]]
-        ids = [e.ids for e in self.tok.encode_batch(cut, add_special_tokens=False)] if self.tok else [[ord(c) for c in x] for x in cut]
-        return [{"role": r, "units": [*h, *b, *t], "text_from": len(h), "text_to": len(h) + len(b)} for (r, _), h, b, t in zip(turns, ids[::3], ids[1::3], ids[2::3], strict=True)]
+            out.append({"role": role, "head": segment[:a], "tail": segment[z:]})
+            cut.append(segment[a:z])
+        for t, body in zip(out, self._ids(cut) if cut else [], strict=True):
+            head, tail = self._mark(t.pop("head")), self._mark(t.pop("tail"))
+            t |= {"units": [*head, *body, *tail], "text_from": len(head), "text_to": len(head) + len(body)}
+        return out
 
     def text(self, units: list[int]) -> str:
         return self.tok.decode(units, skip_special_tokens=False) if self.tok else "".join(map(chr, units))
 
+    def parts(self, t: dict) -> tuple[str, str, str]:
+        """A turn's head, escaped text and tail, from its units."""
+        u, a, z = t["units"], t["text_from"], t["text_to"]
+        ends = []
+        for part in (tuple(u[:a]), tuple(u[z:])):
+            if part not in self.marks:
+                if len(self.marks) > 1_000:
+                    self.marks.clear()
+                self.marks[part] = self.text(list(part))
+            ends.append(self.marks[part])
+        return ends[0], self.text(u[a:z]), ends[1]
+
 
 _INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _OWN = pa.list_(pa.struct([("role", pa.string()), ("units", pa.list_(pa.int32())), ("text_from", pa.int32()), ("text_to", pa.int32()), ("in_loss", pa.bool_())]))
@@ -274,9 +301,10 @@ def read_back(packed: Packed) -> DataFrame:
 
 
 def _digest(units: Units, path: list[dict]) -> tuple:
-    formatted = units.text([u for t in path for u in t["units"]])
+    parts = [units.parts(t) for t in path]
+    formatted = "".join(x for part in parts for x in part)
     turns = parse(formatted)
-    loss = "".join(unescape(units.text(t["units"][t["text_from"] : t["text_to"]])) for t in path if t["in_loss"])
+    loss = "".join(unescape(body) for t, (_, body, _) in zip(path, parts, strict=True) if t["in_loss"])
     sha = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     return len(turns), sha, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)
 
