@@ -16,6 +16,8 @@ segmented whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -64,30 +66,54 @@ class Trie:
         size = len(word[end - 1].encode())
         return best[end - 1 - off] + self.fallback * size, used[end - 1 - off] + size
 
-    def insert(self, raw: bytes) -> int:
-        """The word's count; nodes that it is the first to reach are scored."""
-        word = SPACE + raw.decode()
-        child, best, used = self.child, self.best, self.used
-        node, scored, counts = 0, [best[0]], [used[0]]
-        for end in range(1, min(len(word), DEEP) + 1):
-            key = node << 21 | ord(word[end - 1])
-            node = child.get(key, 0)
-            if not node:
-                top, n = self._forward(word, end, scored, counts)
-                node = child[key] = len(best)
-                best.append(top)
-                used.append(n)
-            scored.append(best[node])
-            counts.append(used[node])
-        off = 0
-        for end in range(DEEP + 1, len(word) + 1):  # beyond the trie only the last scores matter
-            if len(scored) > 2 * self.longest + DEEP:
+    def insert(self, words: Iterable[bytes]) -> None:
+        """Stores the words' counts; nodes that a word is the first to reach are scored. Words come in order, so each walks on from where
+        it leaves the one before it."""
+        child, best, used, ends = self.child, self.best, self.used, self.ends
+        get, longest = self.scores.get, self.longest
+        path, nodes, scored, counts = "", [0], [best[0]], [used[0]]
+        for raw in sorted(words):
+            word = SPACE + raw.decode()
+            deep = min(len(word), DEEP)
+            shared, most = 0, min(len(path), deep)
+            while shared < most and path[shared] == word[shared]:
+                shared += 1
+            del nodes[shared + 1 :], scored[shared + 1 :], counts[shared + 1 :]
+            node = nodes[-1]
+            for end in range(shared + 1, deep + 1):
+                key = node << 21 | ord(word[end - 1])
+                node = child.get(key, 0)
+                if not node:
+                    top, n = -1e300, 0
+                    for start in range(max(0, end - longest), end):
+                        score = get(word[start:end])
+                        if score is not None:
+                            total = scored[start] + score
+                            if total > top or total == top and counts[start] + 1 < n:
+                                top, n = total, counts[start] + 1
+                    if not n:
+                        n = len(word[end - 1].encode())
+                        top, n = scored[end - 1] + self.fallback * n, counts[end - 1] + n
+                    node = child[key] = len(best)
+                    best.append(top)
+                    used.append(n)
+                nodes.append(node)
+                scored.append(best[node])
+                counts.append(used[node])
+            path = word[:deep]
+            ends[raw] = counts[-1] if len(word) <= DEEP else self._beyond(word, scored, counts)
+
+    def _beyond(self, word: str, scored: list[float], counts: list[int]) -> int:
+        """The count of a word that is longer than the trie is deep: there only the last scores matter."""
+        off = len(scored) - self.longest
+        scored, counts = scored[off:], counts[off:]
+        for end in range(DEEP + 1, len(word) + 1):
+            if len(scored) > 64 * self.longest:
                 off += len(scored) - self.longest
                 scored, counts = scored[-self.longest :], counts[-self.longest :]
             top, n = self._forward(word, end, scored, counts, off)
             scored.append(top)
             counts.append(n)
-        self.ends[raw] = counts[-1]
         return counts[-1]
 
 
@@ -109,8 +135,7 @@ def count_texts(path: str, texts: list[bytes | None]) -> tuple[list[int], list[i
     if len(trie.ends) + len(new) > KEPT or len(trie.best) > NODES:
         trie.clear()
         new = set().union(*split)
-    for word in new:
-        trie.insert(word)
+    trie.insert(new)
     get = trie.ends.__getitem__
     return [len(w) for w in split], [sum(map(get, w)) for w in split]
 

@@ -495,8 +495,9 @@ def test_token_counts(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(token_counts, "NODES", 5_000)  # a worker's trie starts anew
     assert token_counts.count_texts(PIECES, [long.encode(), (long[:150] + " the").encode(), long.encode()])[1] == [brute(long), brute(long[:150]) + brute("the"), brute(long)]
     trie = token_counts.Trie(*token_counts.load_pieces(PIECES))
-    for w in ("there", "then", "the", "these"):
-        assert trie.insert(w.encode()) == brute(w)
+    trie.insert([b"there", b"then"])
+    trie.insert([b"the", b"these"])
+    assert trie.ends == {w.encode(): brute(w) for w in ("there", "then", "the", "these")}
     assert len(trie.best) == 1 + len({(token_counts.SPACE + w)[:i] for w in ("there", "then", "the", "these") for i in range(1, len(w) + 2)})  # a node for each prefix
     got = rows_of(token_counts.token_counts(docs, PIECES).select("row.doc_id", "n_words", "n_tokens"))
     for i, t in enumerate(TEXTS):
