@@ -8,17 +8,22 @@ from dataclasses import dataclass
 import numpy as np
 
 
-def spread(v: np.ndarray, tails: bool = False) -> tuple[float, float]:
+def _quantile(v: np.ndarray, p: float) -> float:
+    """Of sorted values, linearly interpolated."""
+    at = p * (len(v) - 1)
+    i = int(at)
+    return float(v[i] + (at - i) * (v[min(i + 1, len(v) - 1)] - v[i]))
+
+
+def spread(v: np.ndarray, tails: bool = False, ordered: bool = False) -> tuple[float, float]:
     """(median, spread): the larger of the interquartile range over 1.349 and the standard deviation, or with ``tails`` the 5 to 95 % range over
     3.29 in its place; (0, 1) for fewer than 8 finite values where ``tails``, else from what there is."""
-    v = v[np.isfinite(v)]
-    if tails and len(v) < 8:
-        return 0.0, 1.0
-    if not len(v):
+    if not ordered:
+        v = np.sort(v[np.isfinite(v)])
+    if not len(v) or tails and len(v) < 8:
         return 0.0, 1.0
-    q = np.quantile(v, (0.05, 0.25, 0.5, 0.75, 0.95))
-    other = (q[4] - q[0]) / 3.29 if tails else v.std()
-    return float(q[2]), max(float(q[3] - q[1]) / 1.349, float(other), 1e-12)
+    other = (_quantile(v, 0.95) - _quantile(v, 0.05)) / 3.29 if tails else float(v.std())
+    return _quantile(v, 0.5), max((_quantile(v, 0.75) - _quantile(v, 0.25)) / 1.349, other, 1e-12)
 
 
 def strided(v: np.ndarray, most: int) -> np.ndarray:
@@ -41,9 +46,9 @@ class LengthNull:
     def of(cls, values: Callable[[int], np.ndarray], lengths: np.ndarray, tails: bool = False, most: int | None = None, beyond: bool = False) -> LengthNull:
         """``values(w)``: the statistic over the history's windows of length w."""
         held = [v[np.isfinite(v)] for v in (np.asarray(values(int(w)), float) for w in lengths)]
-        held = [strided(v, most) if most else v for v in held]
-        pairs = [spread(v, tails) for v in held]
-        return cls(np.asarray(lengths, float), np.array([m for m, _ in pairs]), np.array([s for _, s in pairs]), [np.sort(v) for v in held], beyond)
+        held = [np.sort(strided(v, most) if most else v) for v in held]
+        pairs = [spread(v, tails, ordered=True) for v in held]
+        return cls(np.asarray(lengths, float), np.array([m for m, _ in pairs]), np.array([s for _, s in pairs]), held, beyond)
 
     def _at(self, length: np.ndarray, y: np.ndarray) -> np.ndarray:
         x, at = np.log(self.lengths), np.log(np.maximum(np.asarray(length, float), 1.0))
@@ -77,9 +82,10 @@ def restarts(path: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], hist: n
     span = min(span, n)
     places = np.unique(np.linspace(0, n - span, many).astype(int))
     anchors = anchors[anchors <= span] if (anchors <= span).any() else anchors[:1]
-    got = np.array([path(hist[a : a + span], anchors) for a in places])  # places x statistics x anchors
+    got = np.sort(np.array([path(hist[a : a + span], anchors) for a in places]), axis=0)  # places x statistics x anchors
     out = []
     for k in range(got.shape[1]):
-        pairs = [spread(got[:, k, i]) for i in range(len(anchors))]
-        out.append(LengthNull(anchors.astype(float), np.array([m for m, _ in pairs]), np.array([s for _, s in pairs]), [np.sort(got[:, k, i]) for i in range(len(anchors))]))
+        held = [got[:, k, i] for i in range(len(anchors))]
+        pairs = [spread(v, ordered=True) for v in held]
+        out.append(LengthNull(anchors.astype(float), np.array([m for m, _ in pairs]), np.array([s for _, s in pairs]), held))
     return out
