@@ -242,9 +242,9 @@ nq as (select series_id, w, count(*) as n, quantile_cont(v, [0.25, 0.5, 0.75]) a
 nt as (select series_id, w, n, q[2] as mu, greatest((q[3] - q[1]) / 1.349, s, 1e-12) as sd from nq)"""
 
 
-def _nulls(spark, sf):
+def _nulls(spark, sf, grid=GRID):
     hist, online = split(obs(spark, sf), 300)
-    return nulls.rolled(hist, "cents", GRID), online
+    return nulls.rolled(hist, "cents", grid), online
 
 
 @query("q_null_table", S + NULL_SQL + " select series_id, w, n, round(mu, 4) as mu, round(sd, 4) as sd from nt")
@@ -257,10 +257,10 @@ pc as (select o.series_id, o.w, o.t, count(*) as n, 0.5 * (count(*) filter (wher
 
 
 def _pct(spark, sf):
-    null, online = _nulls(spark, sf)
+    null, online = _nulls(spark, sf, (8, 32))
     wide = online.select("series_id", "t", *[w.roll(F.col("cents"), k).alias(f"w{k}") for k in (8, 32)])
     values = wide.select("series_id", "t", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("w"), F.col(f"w{k}").alias("v")) for k in (8, 32)])).alias("c")).select("series_id", "c.w", "t", "c.v").filter("v is not null")
-    return nulls.percentiles(values, null.filter("w in (8, 32)"))
+    return nulls.percentiles(values, null)
 
 
 @query("q_null_pct", S + PCT_SQL + " select series_id, w, t, round(pct, 9) as pct from pc")
