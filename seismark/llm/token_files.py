@@ -21,7 +21,7 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,12 +176,14 @@ def open_manifest(uri: str) -> dict:
         return json.loads(f.read())
 
 
-def mapped(fs: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the folder is a local mount, else read."""
+def ranges(fs: pafs.FileSystem, path: str, kind: str) -> Callable[[int, int], np.ndarray]:
+    """Reads entries a to z of a file: of a memory map where the folder is a local mount, else by a ranged read."""
+    size = np.dtype(kind).itemsize
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+        whole = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+        return lambda a, z: whole[a:z]
+    f = fs.open_input_file(path)
+    return lambda a, z: np.frombuffer(f.read_at((z - a) * size, a * size), kind)
 
 
 def read_digests(spark: SparkSession, uri: str, rows_at_once: int = 10_000) -> DataFrame:
@@ -189,23 +191,25 @@ def read_digests(spark: SparkSession, uri: str, rows_at_once: int = 10_000) -> D
     manifest = open_manifest(uri)
     kind = "<u4" if manifest["width"] == 4 else "<u2"
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    todo = [(s["name"], s["base_tokens"], s["nulls"]) for s in manifest["shards"]]
+    todo = [(s["name"], s["docs"], s["base_tokens"], s["nulls"]) for s in manifest["shards"]]
     if not todo:
         return spark.createDataFrame([], schema)
-    shards = spark.createDataFrame(todo, "name string, base long, nulls long").repartition(len(todo))
+    shards = spark.createDataFrame(todo, "name string, docs long, base long, nulls long").repartition(len(todo))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(uri)
         for b in batches:
             for s in b.to_pylist():
-                ids = mapped(fs, f"{root}/{s['name']}.bin", kind)
-                at = mapped(fs, f"{root}/{s['name']}.idx", "<i8")
-                docs = mapped(fs, f"{root}/{s['name']}.ids", "<i8")
-                for i in range(0, len(docs), rows_at_once):
-                    z = min(i + rows_at_once, len(docs))
-                    cuts = at[i : z + 1].tolist()
-                    crc = [zlib.crc32(ids[a:e].astype("<u4")) for a, e in zip(cuts, cuts[1:], strict=False)]
+                ids = ranges(fs, f"{root}/{s['name']}.bin", kind)
+                offsets = ranges(fs, f"{root}/{s['name']}.idx", "<i8")
+                docs = ranges(fs, f"{root}/{s['name']}.ids", "<i8")
+                for i in range(0, s["docs"], rows_at_once):
+                    z = min(i + rows_at_once, s["docs"])
+                    at = offsets(i, z + 1)
+                    cuts = (at - at[0]).tolist()
+                    block = ids(int(at[0]), int(at[-1]))
+                    crc = [zlib.crc32(block[a:e].astype("<u4")) for a, e in zip(cuts, cuts[1:], strict=False)]
                     none = np.arange(i, z) < s["nulls"]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[i:z], pa.int64(), mask=none), pa.array(at[i:z] + s["base"], pa.int64()), pa.array(np.diff(at[i : z + 1]), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(docs(i, z), pa.int64(), mask=none), pa.array(at[:-1] + s["base"], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.mapInArrow(read, schema)

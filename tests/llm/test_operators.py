@@ -464,6 +464,14 @@ def test_token_files(spark, docs, empty):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert manifest["tokens"] == at and token_files.open_manifest(uri)["docs"] == len(TEXTS) + 1
+    small = token_files.read_digests(spark, uri, rows_at_once=2).collect()
+    assert sorted(map(str, small)) == sorted(map(str, got.values()))
+    import pyarrow.fs as pafs
+
+    fs, root = token_files.filesystem(uri)
+    name = manifest["shards"][-1]["name"]
+    remote = pafs.SubTreeFileSystem(root, fs)  # no local mount: ranged reads
+    assert token_files.ranges(remote, f"{name}.bin", "<u2")(1, 4).tolist() == token_files.ranges(fs, f"{root}/{name}.bin", "<u2")(1, 4).tolist()
     bare = scratch_path(spark, "test")
     assert token_files.write(empty, bare, WORD_BPE, 2)["tokens"] == 0 and token_files.read_digests(spark, bare).count() == 0
 
