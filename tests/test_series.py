@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 import __spark_entry__ as entry
 from seismark.functions import kernels as k
 from seismark.functions import modules as m
+from seismark.functions import packs
 from seismark.operators import audit, ranks
 from seismark.operators import detectors as det
 from seismark.operators import panel as p
@@ -244,6 +245,32 @@ def test_quantiles_positions_and_tiles_of_any_group(spark):
         assert [seen[i].tile for _, i in order] == [k_ + 1 for k_ in range(4) for _ in range(size + (k_ < rest))]
 
 
+def test_fingerprint_by_definition():
+    rng = np.random.default_rng(8)
+    h = rng.standard_t(4, size=900)
+    c = m.Context(h, rng.normal(size=20))
+    f, z, n = packs.fingerprint(c), (h - h.mean()) / h.std(ddof=1), 900
+    r = [sum((z[t] - z.mean()) * (z[t - j] - z.mean()) for t in range(j, n)) / sum((z - z.mean()) ** 2) for j in (1, 2)]
+    assert f["h_acf1"] == pytest.approx(r[0]) and f["h_pacf2"] == pytest.approx((r[1] - r[0] ** 2) / (1 - r[0] ** 2)) and f["h_adf_nrho"] == pytest.approx(n * (r[0] - 1))
+    up = np.sort(np.maximum(h - np.median(h), 0))[::-1]
+    assert f["h_hill_hi"] == pytest.approx(1 / np.log(up[:45] / up[45]).mean())
+    s = [z[i : i + 10].sum() for i in range(n - 9)]
+    assert f["h_vr10"] == pytest.approx(np.var(s) / (10 * z.var()))
+    x = z[-512:] - z[-512:].mean()
+    power = [abs(sum(x[t] * np.hanning(512)[t] * np.exp(-2j * np.pi * k_ * t / 512) for t in range(512))) ** 2 for k_ in (1, 5)]
+    whole = np.abs(np.fft.rfft(x * np.hanning(512)))[1:] ** 2
+    np.testing.assert_allclose(whole[[0, 4]], power)
+    assert sum(math.exp(f[f"h_logband{i}"]) for i in range(4)) == pytest.approx(1, abs=1e-4) and f["h_spec_dom"] == (whole.argmax() + 1) / 512
+    path, logs = np.cumsum(z - z.mean()), []
+    for b in (16, 32, 64, 128):
+        gaps = [(seg - np.polyval(np.polyfit(np.arange(b), seg, 1), np.arange(b))) ** 2 for seg in path[: n // b * b].reshape(-1, b)]
+        logs.append((math.log(b), 0.5 * math.log(np.mean(gaps))))
+    assert f["h_dfa"] == pytest.approx(np.polyfit(*zip(*logs, strict=True), 1)[0])
+    d = [(z - z.mean())[i] - (z - z.mean())[i + 1] for i in range(0, n, 2)]
+    assert f["h_wav_l1"] == pytest.approx(sum(v * v for v in d) / 2 / sum((z - z.mean()) ** 2), rel=1e-2)
+    assert f["h_r500_trend"] == pytest.approx(np.polyfit(np.arange(500), z[-500:], 1)[0] * 500)
+
+
 def test_localiser_and_restarts_by_definition():
     rng = np.random.default_rng(6)
     h, o = rng.normal(size=1500), np.concatenate((rng.normal(size=70), rng.normal(0, 3, size=60)))
@@ -343,7 +370,7 @@ def test_recursions_are_loops():
 
 
 def test_module_columns():
-    n = {"m00_core": 151, "m01_seq": 60, "m04_resid": 60, "m06_loc": 60, "m10_persist": 42, "m12_rdep": 57, "m09_back": 51, "m11_focus": 76, "m13_scale_surv": 5, "m13_scale_indiv": 6, "m14_spectral_impulse": 8, "m14_spectral_energy": 4, "m15_ordinal_irrev": 8, "m15_ordinal_entropy": 4, "m16_joint_rarity": 6, "m16_dwell_rarity": 6, "m17_kalman_nis": 6, "m17_hankel_dmd": 6, "m18_wctm": 8, "m18_uctm": 8}
+    n = {"m00_core": 151, "m01_seq": 60, "m04_resid": 60, "m05_ctx": 50, "m06_loc": 60, "m10_persist": 42, "m12_rdep": 57, "m09_back": 51, "m11_focus": 76, "m13_scale_surv": 5, "m13_scale_indiv": 6, "m14_spectral_impulse": 8, "m14_spectral_energy": 4, "m15_ordinal_irrev": 8, "m15_ordinal_entropy": 4, "m16_joint_rarity": 6, "m16_dwell_rarity": 6, "m17_kalman_nis": 6, "m17_hankel_dmd": 6, "m18_wctm": 8, "m18_uctm": 8}
     assert {k_: len(m.columns([k_])) for k_ in n} == n
     assert len(m.columns(["m00_core"])) == 151 and len(m.columns(["m09_back"])) == 51
     assert all(np.isnan(v).all() for n, v in m.compute(np.arange(12.0), np.arange(5.0), ["m00_core"]).items() if n.startswith("m00_core__w8"))
