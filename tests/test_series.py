@@ -245,6 +245,40 @@ def test_quantiles_positions_and_tiles_of_any_group(spark):
         assert [seen[i].tile for _, i in order] == [k_ + 1 for k_ in range(4) for _ in range(size + (k_ < rest))]
 
 
+def test_dynamics_by_definition():
+    rng = np.random.default_rng(12)
+    c = m.Context(rng.normal(size=800), np.concatenate((rng.normal(size=60), rng.normal(size=80).cumsum() * 0.3)))
+    got = m.compute(c.hist, c.online, ["m03_dyn"])
+    z, e = np.concatenate((c.h["mean"][-40:], c.o["mean"])), np.concatenate((c.h["res_mean"][-40:], c.o["res_mean"]))
+    for t in (69, 100, 139):
+        w = (t + 1) // 2
+        at = range(40 + t + 1 - w, 40 + t + 1)
+        x = z[at.start : at.stop]
+        assert got["m03_dyn__drift_h"][t] == pytest.approx(np.polyfit(np.arange(w), x, 1)[0] * w, rel=1e-4, abs=1e-5)
+        assert got["m03_dyn__mk8"][t] == pytest.approx(np.mean([np.sign(z[i] - z[i - 8]) for i in at]), abs=1e-6)
+        assert got["m03_dyn__vr_he"][t] == pytest.approx(math.log((e[at.start : at.stop] ** 2).mean() / (e[40 + t + 1 - 2 * w : at.stop] ** 2).mean()), abs=1e-5)
+        d1, d2 = [z[i] - z[i - 1] for i in at], [z[i] - 2 * z[i - 1] + z[i - 2] for i in at]
+        assert got["m03_dyn__hj_mob"][t] == pytest.approx(0.5 * math.log(np.var(d1) / np.var(x)), abs=1e-5)
+        assert got["m03_dyn__hj_comp"][t] == pytest.approx(0.5 * (math.log(np.var(d2) / np.var(d1)) - math.log(np.var(d1) / np.var(x))), abs=1e-5)
+        energy = {s: np.mean([(z[i - s + 1 : i + 1].sum() - z[i - 2 * s + 1 : i - s + 1].sum()) ** 2 / (2 * s) for i in at]) for s in (1, 2, 4, 8)}
+        assert got["m03_dyn__hw_r24"][t] == pytest.approx(math.log(energy[2] / energy[4]), abs=1e-5)
+        power = [abs(sum(z[i] * np.exp(-2j * np.pi * f * i) for i in at)) ** 2 for f in (0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625)]
+        assert got["m03_dyn__sp_low"][t] == pytest.approx(sum(power[4:]) / sum(power), abs=1e-5)
+        code = [4 * (z[i - 2] > z[i - 1]) + 2 * (z[i - 2] > z[i]) + (z[i - 1] > z[i]) for i in at]
+        share = [code.count(v) / w for v in set(code)]
+        assert got["m03_dyn__pe_half"][t] == pytest.approx(-sum(p * math.log(p) for p in share) / math.log(6), abs=1e-5)
+    x, back = z[40 : 40 + 100], z[38 : 38 + 100]
+    acf = ((x * back).mean() - x.mean() ** 2) / x.var()
+    past, zh = [], c.h["mean"][40:]
+    ends = np.arange(128, len(zh) + 1)
+    for i in ends[:: max(1, len(ends) // 700)]:
+        v, b = zh[i - 64 : i], c.h["mean"][38 + i - 64 : 38 + i]
+        past.append(((v * b).mean() - v.mean() ** 2) / v.var())
+    q = np.quantile(past, (0.05, 0.25, 0.5, 0.75, 0.95))
+    assert got["m03_dyn__az_x_exp_l2_z"][63] == pytest.approx((((z[40:104] * z[38:102]).mean() - z[40:104].mean() ** 2) / z[40:104].var() - q[2]) / max((q[3] - q[1]) / 1.349, (q[4] - q[0]) / 3.29), rel=1e-3)
+    assert abs(acf) <= 1
+
+
 def test_fingerprint_by_definition():
     rng = np.random.default_rng(8)
     h = rng.standard_t(4, size=900)
@@ -370,7 +404,7 @@ def test_recursions_are_loops():
 
 
 def test_module_columns():
-    n = {"m00_core": 151, "m01_seq": 60, "m04_resid": 60, "m05_ctx": 50, "m06_loc": 60, "m10_persist": 42, "m12_rdep": 57, "m09_back": 51, "m11_focus": 76, "m13_scale_surv": 5, "m13_scale_indiv": 6, "m14_spectral_impulse": 8, "m14_spectral_energy": 4, "m15_ordinal_irrev": 8, "m15_ordinal_entropy": 4, "m16_joint_rarity": 6, "m16_dwell_rarity": 6, "m17_kalman_nis": 6, "m17_hankel_dmd": 6, "m18_wctm": 8, "m18_uctm": 8}
+    n = {"m00_core": 151, "m01_seq": 60, "m03_dyn": 60, "m04_resid": 60, "m05_ctx": 50, "m06_loc": 60, "m10_persist": 42, "m12_rdep": 57, "m09_back": 51, "m11_focus": 76, "m13_scale_surv": 5, "m13_scale_indiv": 6, "m14_spectral_impulse": 8, "m14_spectral_energy": 4, "m15_ordinal_irrev": 8, "m15_ordinal_entropy": 4, "m16_joint_rarity": 6, "m16_dwell_rarity": 6, "m17_kalman_nis": 6, "m17_hankel_dmd": 6, "m18_wctm": 8, "m18_uctm": 8}
     assert {k_: len(m.columns([k_])) for k_ in n} == n
     assert len(m.columns(["m00_core"])) == 151 and len(m.columns(["m09_back"])) == 51
     assert all(np.isnan(v).all() for n, v in m.compute(np.arange(12.0), np.arange(5.0), ["m00_core"]).items() if n.startswith("m00_core__w8"))
