@@ -245,6 +245,33 @@ def test_quantiles_positions_and_tiles_of_any_group(spark):
         assert [seen[i].tile for _, i in order] == [k_ + 1 for k_ in range(4) for _ in range(size + (k_ < rest))]
 
 
+def test_occupancy_by_definition():
+    rng = np.random.default_rng(13)
+    c = m.Context(rng.normal(size=700), rng.normal(0, 1.5, size=150))
+    got = m.compute(c.hist, c.online, ["m02_dist"])
+    uh, u = c.h["u"], c.o["u"]
+
+    def chi2(x, bins=20):
+        n = np.bincount(np.minimum((x * bins).astype(int), bins - 1), minlength=bins)
+        return ((n - len(x) / bins) ** 2 / (len(x) / bins)).sum()
+
+    t = 140
+    null = np.array([chi2(uh[i : i + 128]) for i in range(len(uh) - 127)])
+    null = np.sort(null[np.linspace(0, len(null) - 1, 500).astype(int)])
+    v = chi2(u[t - 127 : t + 1])
+    p = 0.5 * ((null < v - 1e-9).sum() + (null <= v + 1e-9).sum()) / 500
+    assert got["m02_dist__dv_u_w128_chi2"][t] == pytest.approx(min(6, -math.log10(max(1 - p, 1 / 1000))), abs=1e-3)
+    share = np.bincount((u[: t + 1] * 20).astype(int), minlength=20) / (t + 1)
+    assert got["m02_dist__dv_u_exp_js_raw"][t] == pytest.approx(0.5 * sum((a * math.log(a / ((a + 0.05) / 2)) if a else 0) + 0.05 * math.log(0.05 / ((a + 0.05) / 2)) for a in share), abs=1e-6)
+    f = np.cumsum(share)
+    k_ = int((f < 0.5).sum())
+    assert got["m02_dist__qd_exp_q50_raw"][t] == pytest.approx((k_ + (0.5 - (f[k_ - 1] if k_ else 0)) / (f[k_] - (f[k_ - 1] if k_ else 0))) / 20 - 0.5, abs=1e-6)
+    drift = max(abs((u[: i + 1] - 0.5).sum()) for i in range(t + 1)) / math.sqrt((t + 1) / 12)
+    assert got["m02_dist__rk_cusum_u_raw"][t] == pytest.approx(drift, rel=1e-5)
+    d = uh[:128] - 0.5
+    assert packs.window_drifts(uh, 128)[0] == pytest.approx(np.abs(np.cumsum(d)).max() / math.sqrt(128 / 12))
+
+
 def test_dynamics_by_definition():
     rng = np.random.default_rng(12)
     c = m.Context(rng.normal(size=800), np.concatenate((rng.normal(size=60), rng.normal(size=80).cumsum() * 0.3)))
@@ -404,7 +431,7 @@ def test_recursions_are_loops():
 
 
 def test_module_columns():
-    n = {"m00_core": 151, "m01_seq": 60, "m03_dyn": 60, "m04_resid": 60, "m05_ctx": 50, "m06_loc": 60, "m10_persist": 42, "m12_rdep": 57, "m09_back": 51, "m11_focus": 76, "m13_scale_surv": 5, "m13_scale_indiv": 6, "m14_spectral_impulse": 8, "m14_spectral_energy": 4, "m15_ordinal_irrev": 8, "m15_ordinal_entropy": 4, "m16_joint_rarity": 6, "m16_dwell_rarity": 6, "m17_kalman_nis": 6, "m17_hankel_dmd": 6, "m18_wctm": 8, "m18_uctm": 8}
+    n = {"m00_core": 151, "m01_seq": 60, "m02_dist": 59, "m03_dyn": 60, "m04_resid": 60, "m05_ctx": 50, "m06_loc": 60, "m10_persist": 42, "m12_rdep": 57, "m09_back": 51, "m11_focus": 76, "m13_scale_surv": 5, "m13_scale_indiv": 6, "m14_spectral_impulse": 8, "m14_spectral_energy": 4, "m15_ordinal_irrev": 8, "m15_ordinal_entropy": 4, "m16_joint_rarity": 6, "m16_dwell_rarity": 6, "m17_kalman_nis": 6, "m17_hankel_dmd": 6, "m18_wctm": 8, "m18_uctm": 8}
     assert {k_: len(m.columns([k_])) for k_ in n} == n
     assert len(m.columns(["m00_core"])) == 151 and len(m.columns(["m09_back"])) == 51
     assert all(np.isnan(v).all() for n, v in m.compute(np.arange(12.0), np.arange(5.0), ["m00_core"]).items() if n.startswith("m00_core__w8"))
