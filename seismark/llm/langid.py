@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from ._common import field, map_rows, texts_of
 
 WINDOW, EMBED, WIDTHS, FILTERS = 192, 8, (2, 3, 4, 5), 16
-SAMPLE, TOTAL, EPOCHS, BATCH, RATE, SEED = 1_800, 400_000, 12, 128, 0.004, 7
+SAMPLE, TOTAL, EPOCHS, BATCH, RATE, SEED = 1_800, 400_000, 6, 128, 0.004, 7
 _LETTER_BYTES = np.array([bytes([b]).isalpha() or b >= 128 for b in range(256)])
 
 
