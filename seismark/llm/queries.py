@@ -94,6 +94,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(s.written(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), F.size("random").cast("long").alias("n_random"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import search
+
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as whole-file gzip archives, rewritten with a member for each record, and read back by the index."""
+    from . import warc
+
+    uri = scratch_path(spark, "warc")
+    whole = warc.write(warc.decisions(table(spark, sf_dir, "pages")), f"{uri}/whole")
+    found = warc.read(spark, warc.normalise(whole, f"{uri}/whole", f"{uri}/members"), f"{uri}/members")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -105,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_warc": op12_warc,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: n_repeat_words joins every 8-word window of a document with its kind; the rest are list functions.
@@ -152,4 +177,36 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   sum(length(esc) + case role when 'user' then 18 when 'assistant' then 6 when 'system' then 17 else length(role) + 16 end)::bigint as formatted_chars
 from e group by conv_id""",
+    "op11_lexical_search": r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+q as (select row_number() over () as qid, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as ts from benchmark),
+c as (select count(*)::bigint as big_n, sum(len(ts))::bigint as big_l from d where len(ts) > 0),
+p as (select rid, doc_id, n, t, count(*)::bigint as tf from (select rid, doc_id, len(ts)::bigint as n, unnest(ts) as t from d) group by all),
+f as (select t, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::bigint as w from p, c group by t, big_n),
+s as (select qid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::bigint as score
+  from (select qid, item_id, unnest(ts) as t from q) join f using (t) join p using (t), c group by all)
+select item_id, (row_number() over (partition by qid order by score desc, doc_id nulls last))::integer as rank, doc_id, score from s where score > 0
+qualify rank <= 10""",
+    "op12_warc": r"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+g as (select *, octet_length(encode(h)) as b, max(page_id) over (partition by h) as top from p)
+select page_id, b::bigint as payload_bytes, sha1(h) as payload_digest, case when b >= 1000 and top is not null and page_id is distinct from top then 'revisit' else 'response' end as record_type,
+  case when b >= 1000 and page_id is distinct from top then top end as refers_to
+from g""",
+    "op13_filter_audit": r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+m as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+  [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by t), false)] as fails
+  from d left join l using (doc_id)),
+h as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by all),
+a as (select unnest(range(1, 6)) as i),
+o as (select [a.i, b.i, c.i, e.i, f.i] as ord from a, a as b, a as c, a as e, a as f where len(list_distinct([a.i, b.i, c.i, e.i, f.i])) = 5),
+s as (select ord, array_to_string(list_transform(ord, lambda x: substr('ABCDE', x, 1)), '') as filter_order, unnest(range(1, 6)) as step from o),
+x as (select part, filter_order, step, ord[step] as filter, n, good, toxic, fails[ord[step]] as here, len(list_filter(ord[1:step - 1], lambda k: fails[k])) > 0 as gone, len(list_filter(fails, lambda k: k)) as n_fails from h, s),
+r as (select part, filter_order, step::integer as step, filter, coalesce(sum(n) filter (not here and not gone), 0)::bigint as kept, coalesce(sum(n) filter (here and not gone), 0)::bigint as removed,
+  coalesce(sum(n) filter (here and gone), 0)::bigint as redundant, coalesce(sum(n) filter (here and n_fails = 1), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (here and not gone), 0)::bigint as good_lost, coalesce(sum(toxic) filter (here and not gone), 0)::bigint as toxic_lost
+  from x group by part, filter_order, step, filter)
+select * exclude (filter), (sum(removed) over (partition by part, filter))::bigint as shapley from r""",
 }
