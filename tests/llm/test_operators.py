@@ -807,7 +807,7 @@ def test_queries_run_on_whole_tables(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op1_quality_rules", "op2_simhash_dedup", "op6_token_files", "op7_token_counts", "op9_sentencepiece", "op10_secret_scan"):
         assert QUERIES[name](spark, SF).count() == n
-    assert json.dumps(sorted(QUERIES)) and len(QUERIES) == 10
+    assert json.dumps(sorted(QUERIES)) and len(QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op4_chat_format"])
