@@ -12,11 +12,12 @@ from ..operators import calibrate as c
 from ..operators import detectors as det
 from ..operators import history as h
 from ..operators import panel as p
+from ..operators import scan
 from ..plans import learn
 from ..sources.scratch import shared_dir
 from ..sources.series import SUPPLIER, USER, split
 from ..streaming import features, scores
-from ._base import obs, obs_sql, panel, rounded
+from ._base import obs, obs_sql, panel, rounded, z_online
 
 QUERIES, ORACLE = {}, {}
 
@@ -79,12 +80,26 @@ def _given(cols: list[str]) -> str:
     return " select series_id, t, " + ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in cols) + " from r"
 
 
+def _z(spark, sf):
+    return z_online(spark, sf, SUPPLIER).select("series_id", "t", "z")
+
+
+def _share(spark, sf):
+    """A score in [0, 1) from z."""
+    return _z(spark, sf).select("series_id", "t", (F.abs("z") / (1 + F.abs("z"))).alias("p"))
+
+
+def _scanned(df):
+    return rounded(df.drop("z"))
+
+
 SR_SQL = Z + _recursion({"sr_up": ("0.5 * o.z - 0.125", "0.5 * o.z - 0.125 + ln(1 + exp(r.sr_up))"), "sr_down": ("-0.5 * o.z - 0.125", "-0.5 * o.z - 0.125 + ln(1 + exp(r.sr_down))")}) + _given(["sr_up", "sr_down"])
 
 
 @query("q_shiryaev_roberts", SR_SQL)
 def sr(spark, sf):
-    return _kernel(spark, sf, lambda a, z: {"sr_up": k.shiryaev_roberts(0.5 * z - 0.125), "sr_down": k.shiryaev_roberts(-0.5 * z - 0.125)}, ["sr_up", "sr_down"])
+    z = _z(spark, sf)
+    return _scanned(scan.shiryaev_roberts(z, {"sr_up": 0.5 * F.col("z") - 0.125, "sr_down": -0.5 * F.col("z") - 0.125}))
 
 
 def _alpha(h: int) -> float:
@@ -96,12 +111,12 @@ EWMA_SQL = Z + _recursion({f"y{h}": (f"{_alpha(h)!r} * o.z", f"r.y{h} + {_alpha(
 
 @query("q_ewma_bank", EWMA_SQL)
 def ewma(spark, sf):
-    return _kernel(spark, sf, lambda a, z: {f"ew{n}": k.ewma(z, n) for n in (8, 32, 128)}, ["ew8", "ew32", "ew128"])
+    return _scanned(scan.ewma(_z(spark, sf), "z", (8, 32, 128)))
 
 
 @query("q_decay_max", Z + _recursion({"peak": ("o.z", "greatest(o.z, 0.98 * r.peak)")}) + _given(["peak"]))
 def decay_max(spark, sf):
-    return _kernel(spark, sf, lambda a, z: {"peak": k.decayed_max(z, 0.98)}, ["peak"])
+    return _scanned(scan.decayed_max(_z(spark, sf), "z", 0.98, "peak"))
 
 
 @query("q_ar_robust")
@@ -126,11 +141,18 @@ select v.series_id, v.i - {SUPPLIER.n_hist} as t, round(v.v, 6) + 0.0 as varianc
 
 @query("q_garch", GARCH_SQL)
 def garch(spark, sf):
-    def run(a, z):
-        fit = k.garch_fit(a * a)
-        return {"variance": k.garch_before(np.concatenate((a * a, z * z)), *fit)[len(a) :]}
-
-    return _kernel(spark, sf, run, ["variance"])
+    """Every node of the grid as a series of its own over the history; the best node's recursion over all rows."""
+    o = obs(spark, sf, SUPPLIER)
+    hist, _ = split(o, SUPPLIER.n_hist)
+    sq = h.standardise(o, h.moments(hist)).select("series_id", "i", (F.col("z") * F.col("z")).alias("q"))
+    nodes = F.explode(F.array(*[F.struct(F.lit(a).alias("arch"), F.lit(b).alias("garch")) for a in k.GARCH_A for b in k.GARCH_B if a + b <= k.GARCH_MOST]))
+    tried = sq.filter(F.col("i") < SUPPLIER.n_hist).withColumn("node", nodes)
+    v = F.greatest(F.col("v"), F.lit(1e-9))
+    by_node = scan.garch_variance(tried.select("series_id", "i", "q", "node.arch", "node.garch"), "q", F.col("arch"), F.col("garch"), "v", keys=("series_id", "arch", "garch"), longest=SUPPLIER.n_hist)
+    loss = by_node.filter(F.col("i") >= k.burn_in(SUPPLIER.n_hist)).groupBy("series_id", "arch", "garch").agg(F.sum(F.ln(v) + F.col("q") / v).alias("loss"))
+    best = loss.groupBy("series_id").agg(F.min_by(F.struct("arch", "garch"), F.struct("loss", "arch", "garch")).alias("best"))
+    fitted = scan.garch_variance(sq.join(best, "series_id").select("series_id", "i", "q", "best.arch", "best.garch"), "q", F.col("arch"), F.col("garch"), "variance")
+    return rounded(fitted.filter(F.col("i") >= SUPPLIER.n_hist).select("series_id", (F.col("i") - SUPPLIER.n_hist).alias("t"), "variance"))
 
 
 @query("q_kalman")
@@ -167,7 +189,8 @@ ABSORB_SQL = Z + _recursion({c: (f"{m_} * o.z - {m_ * m_ / 2!r} + ln(1 / 250.0)
 
 @query("q_absorb", ABSORB_SQL)
 def absorb(spark, sf):
-    return _kernel(spark, sf, lambda a, z: k.absorbing(np.stack([s * z - s * s / 2 for s in (-0.8, -0.4, 0.4, 0.8)], axis=1)), ["m8", "m4", "p4", "p8"])
+    shifts = {"m8": -0.8, "m4": -0.4, "p4": 0.4, "p8": 0.8}
+    return _scanned(scan.absorbing(_z(spark, sf), {n: s * F.col("z") - s * s / 2 for n, s in shifts.items()}, 1 / 250))
 
 
 _ON = "(case when r.state > 0 then o.s > 0.5 else o.s >= 0.6 end)"
@@ -186,7 +209,51 @@ RELAY_SQL = (
 
 @query("q_relay", RELAY_SQL)
 def relay(spark, sf):
-    return _kernel(spark, sf, lambda a, z: k.relay(np.abs(z) / (1 + np.abs(z)), 0.6, 0.5), ["operate", "thermal", "dwell", "cycles"])
+    return _scanned(scan.relay(_share(spark, sf), "p", 0.6, 0.5, k.CHARGE, k.COOL, k.RESET, k.MOST_CYCLES).drop("p"))
+
+
+HMM_SHARE = ", s as materialized (select series_id, t, abs(z) / (1 + abs(z)) as p from z), l as materialized (select series_id, t, exp({0} * (ln(greatest(least(p, 1 - 1e-6), 1e-6) / (1 - greatest(least(p, 1 - 1e-6), 1e-6))) + ln(4.0))) as lr from s)"
+
+
+def _hmm_sql(enter: float, leave: float, temper: float) -> str:
+    """The forward filter as its own recursion, the posterior normalised at every row."""
+    ahead = f"(r.posterior * (1 - {leave!r}) + (1 - r.posterior) * {enter!r})"
+    return Z + HMM_SHARE.format(temper) + _recursion({"posterior": (f"{enter!r} * o.lr / ({enter!r} * o.lr + 1 - {enter!r})", f"{ahead} * o.lr / ({ahead} * o.lr + 1 - {ahead})")}, "l") + _given(["posterior"])
+
+
+@query("q_hmm_filter", _hmm_sql(1 / 200, 0.0, 0.25))
+def hmm(spark, sf):
+    """Absorbing two-state forward filter of scores, by matrices in logs."""
+    return _scanned(scan.hmm_filter(_share(spark, sf), scan.score_log_ratio(F.col("p"), 0.25), 1 / 200).drop("p"))
+
+
+@query("q_hmm_return", _hmm_sql(1 / 100, 1 / 40, 0.5))
+def hmm_return(spark, sf):
+    """The same with a way back to the first state."""
+    return _scanned(scan.hmm_filter(_share(spark, sf), scan.score_log_ratio(F.col("p"), 0.5), 1 / 100, 1 / 40).drop("p"))
+
+
+PERSIST = {"decaymax": (0.999, 0.995, 0.99, 0.98, 0.95, 0.90), "ewma": (0.05, 0.1, 0.2, 0.3, 0.5, 0.7)}
+PERSIST_SQL = (
+    Z + ", s as materialized (select series_id, t, abs(z) / (1 + abs(z)) as p from z)"
+    + _recursion({f"decaymax{i}": ("o.p", f"greatest(o.p, {g!r} * r.decaymax{i})") for i, g in enumerate(PERSIST["decaymax"])} | {f"ewma{i}": ("o.p", f"r.ewma{i} + {a!r} * (o.p - r.ewma{i})") for i, a in enumerate(PERSIST["ewma"])}, "s")
+    + _given([f"{n}{i}" for n, v in PERSIST.items() for i in range(len(v))])
+)
+
+
+@query("q_persist_scores", PERSIST_SQL)
+def persist_scores(spark, sf):
+    """Decayed maxima and exponential means of a score at every rate, in one scan."""
+    p, first = F.col("p"), F.col("t") == 0
+    step, kinds = {}, []
+    for i, g in enumerate(PERSIST["decaymax"]):
+        step |= {f"decaymax{i}_a": F.lit(g), f"decaymax{i}_b": p}
+        kinds.append((f"decaymax{i}_", scan.max_scaled))
+    for i, a in enumerate(PERSIST["ewma"]):
+        step |= {f"ewma{i}_a": F.when(first, 0.0).otherwise(1 - a), f"ewma{i}_b": F.when(first, p).otherwise(a * p)}
+        kinds.append((f"ewma{i}_", scan.affine))
+    out = scan.scan(_share(spark, sf), step, scan.several(*kinds))
+    return rounded(out.select("series_id", "t", *[F.col(f"_{n}{i}_b").alias(f"{n}{i}") for n, v in PERSIST.items() for i in range(len(v))]))
 
 
 FOCUS_SQL = Z + ", c as (select series_id, t, sum(z) over (partition by series_id order by t) as c from z union all select distinct series_id, -1, 0.0 from z), g as (select a.series_id, a.t, a.t - b.t as age, (a.c - b.c) * (a.c - b.c) / (2 * (a.t - b.t)) as g from c a join c b on a.series_id = b.series_id and b.t < a.t where a.t >= 0) select series_id, t, round(max(g), 6) + 0.0 as statistic, arg_max(age, g)::double as age from g group by series_id, t"
