@@ -1,8 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of m symbols has an error budget of k = rate * m edits and is cut into k + 1 pieces: whatever k edits do, one piece
-stays whole. An automaton finds all exact piece hits in a document, and around each hit Myers' bit-parallel recurrence computes
-the least edit distance of the item to any part of the text there. Symbols are taken twice: characters, which forgive slips within words, and whole words,
+stays whole. An automaton finds all exact piece hits in a document, and around the hits, in windows that are merged where they meet, Myers' bit-parallel recurrence
+computes the least edit distance of the item to any part of the text there: a text is read once for each item that it may hold, however often it repeats. Symbols are taken twice: characters, which forgive slips within words, and whole words,
 which forgive replaced, left-out and added ones; an item is found if either distance is within its budget. Items are a stated query set:
 they are taken in blocks of bounded size, each block against all documents.
 
@@ -106,14 +106,16 @@ class Matcher:
         #: by unit (0: characters, 1: words), then item
         self.symbols: tuple[list[Sequence], list[Sequence]] = (self.texts, words)
         self.budgets = [[budget(t, rate) for t in self.texts], [budget(w, word_rate) for w in words]]
-        where: dict[str, list[tuple[int, int, int]]] = {}
+        #: by piece, then (item, unit): the first and the last offset at which the item has the piece
+        where: dict[str, dict[tuple[int, int], tuple[int, int]]] = {}
         for unit in (0, 1):
             for n, (item, k) in enumerate(zip(self.symbols[unit], self.budgets[unit], strict=True)):
                 for at, piece in pieces(item, k):
-                    where.setdefault(f" {' '.join(piece)} " if unit else piece, []).append((n, unit, at))
+                    uses = where.setdefault(f" {' '.join(piece)} " if unit else piece, {})
+                    uses[n, unit] = uses.get((n, unit), (at, at))[0], at
         self.auto = ahocorasick.Automaton()
         for piece, uses in where.items():
-            self.auto.add_word(piece, (len(piece), uses))
+            self.auto.add_word(piece, (len(piece), [(n, unit, a, z) for (n, unit), (a, z) in uses.items()]))
         if where:
             self.auto.make_automaton()
         self.some = bool(where)
@@ -122,44 +124,53 @@ class Matcher:
         """(item number, unit, least distance, end in the normalised text) of all items within a budget."""
         if not self.some or not text:
             return []
-        hits: dict[tuple[int, int], set[int]] = {}
-        for end, (size, uses) in self.auto.iter(text):
-            for n, unit, at in uses:
-                hits.setdefault((n, unit), set()).add((end + 1 - size, at) if unit else end + 1 - size - at)
-        if not hits:
-            return []
         words: list[str] = []
         starts: list[int] = []
+        windows: dict[tuple[int, int], list[list[int]]] = {}
+        for end, (size, uses) in self.auto.iter(text):
+            for n, unit, first, last in uses:
+                place = end + 1 - size
+                if unit:
+                    if not words:
+                        words = text.split()
+                        starts = [0, *accumulate(len(w) + 1 for w in words)]  # where the space before each word stands
+                    place = bisect_left(starts, place)
+                k = self.budgets[unit][n]
+                a, z = place - last - k, place - first + len(self.symbols[unit][n]) + k
+                held = windows.setdefault((n, unit), [])
+                if held and a <= held[-1][1] and z >= held[-1][0]:  # hits come in the order of their ends: most windows grow the last one
+                    held[-1] = [min(a, held[-1][0]), max(z, held[-1][1])]
+                else:
+                    held.append([a, z])
         best: dict[int, tuple[int, int, int]] = {}
-        for (n, unit), begins in sorted(hits.items(), key=lambda x: x[0][1]):
+        for (n, unit), spans in sorted(windows.items(), key=lambda x: x[0][1]):
             if n in best and (unit or not best[n][1]):
                 continue  # within the budget of characters already
-            symbols: Sequence = text
-            if unit:
-                if not words:
-                    words = text.split()
-                    starts = [0, *accumulate(len(w) + 1 for w in words)]  # where the space before each word stands
-                symbols, begins = words, {bisect_left(starts, place) - at for place, at in begins}
-            got = self._closest(self.symbols[unit][n], self.budgets[unit][n], symbols, begins)
+            got = self._closest(self.symbols[unit][n], self.budgets[unit][n], words if unit else text, spans)
             if got:
                 best[n] = (unit, got[0], starts[got[1]] if unit else got[1])
         found = [(number, ("char", "word")[unit], d, end) for n, (unit, d, end) in best.items() for number in self.ids[self.texts[n]]]
         return sorted(found, key=lambda x: (x[0] is None, x[0] or 0))
 
     @staticmethod
-    def _closest(item: Sequence, k: int, text: Sequence, begins: set[int]) -> tuple[int, int] | None:
-        """(distance, end) of the closest part of the text around the places where the item may begin; the first of equals."""
-        best, reached = None, -1
-        for begin in sorted(begins):
-            a, z = max(0, begin - k), min(len(text), begin + len(item) + k)
-            if z <= reached:
-                continue
-            if begin >= 0 and text[begin : begin + len(item)] == item:
-                return 0, begin + len(item)
+    def _closest(item: Sequence, k: int, text: Sequence, spans: list[list[int]]) -> tuple[int, int] | None:
+        """(distance, end) of the closest part of the text within the spans where the item may lie; the first of equals. Spans that meet are read as one, so no
+        symbol of the text is read twice."""
+        if isinstance(text, str) and (at := text.find(item)) >= 0:
+            return 0, at + len(item)
+        best, merged = None, []
+        for a, z in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(z, merged[-1][1])
+            else:
+                merged.append([a, z])
+        for a, z in merged:
+            a = max(0, a)
             got = myers(item, text[a:z], k)
-            reached = z
             if got and (best is None or got[0] < best[0]):
                 best = (got[0], a + got[1])
+                if not got[0]:
+                    break
         return best
 
 

@@ -61,6 +61,9 @@ _OUTSIDE = [
     ("form", "", "form"), ("form", ' class="search-form"', "form"), ("div", ' class="search"', "form"), ("div", ' class="newsletter"', "form"), ("div", ' class="newsletter-signup"', "form"), ("div", ' class="subscribe"', "form"), ("div", ' class="signup"', "form"), ("div", ' id="login"', "form"), ("div", ' role="search"', "form"), ("button", "", "word"), ("select", "", "word"),
     ("div", ' class="comments"', "talk"), ("section", ' id="comments" class="comments-area"', "talk"), ("div", ' class="comment"', "talk"), ("ol", ' class="comment-list"', "talk"), ("div", ' class="replies"', "talk"), ("div", ' class="reply"', "talk"), ("div", ' id="respond"', "talk"), ("div", ' id="disqus_thread"', "talk"), ("div", ' class="user-comments"', "talk"),
     ("div", ' class="share"', "word"), ("div", ' class="share-buttons"', "menu"), ("div", ' class="sharing"', "menu"), ("div", ' class="social"', "menu"), ("ul", ' class="social-links"', "menu"), ("div", ' class="share-bar"', "word"), ("div", ' class="social-media sharedaddy"', "menu"),
+    ("div", ' class="werbung"', "pitch"), ("div", ' class="anzeige"', "pitch"), ("div", ' class="publicidad"', "pitch"), ("div", ' class="anuncio"', "pitch"), ("div", ' class="publicite"', "pitch"), ("div", ' class="banniere-pub"', "pitch"),
+    ("div", ' class="kommentare"', "talk"), ("div", ' id="kommentare"', "talk"), ("div", ' class="comentarios"', "talk"), ("div", ' id="comentarios"', "talk"), ("div", ' class="commentaires"', "talk"), ("div", ' id="commentaires"', "talk"),
+    ("div", ' class="seitenleiste"', "teaser"), ("div", ' class="barra-lateral"', "teaser"), ("div", ' class="barre-laterale"', "teaser"), ("div", ' class="poll"', "form"), ("div", ' class="poll-results"', "word"), ("div", ' class="quiz"', "form"), ("div", ' class="teaser"', "teaser"),
 ]
 
 

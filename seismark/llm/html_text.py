@@ -2,10 +2,10 @@
 
 A page is read as words and tags in order. A word scores -log P(outside | word), which is positive; a tag, and a word of a link, scores
 log P(inside | tag), which is negative; the shares of words and tags inside and outside main texts are counted on labelled pages. One linear
-scan finds the contiguous region with the best sum. HTML's own marks of main content (body, main, article) are never inside a main text, so no region
-reaches over their tags. An element that the labelled pages speak against (menu, header, footer, sidebar, notice, advert, form, comments) counts
+scan finds the contiguous region with the best sum. Where a page marks its content itself (main, article), the sequence is what the outermost of those hold, one after
+another, and words of links count as words; else it is the body. An element that the labelled pages speak against (menu, header, footer, sidebar, notice, advert, form, comments) counts
 as one tag and is left out of the text: its evidence is summed over its own name and all the names in its class, id and role, so that no single word
-decides. The words of one text node score alike, so a region's ends always fall between nodes and whole nodes are scored at once.
+decides; an article's own plain header stays. The words of one text node score alike, so a region's ends always fall between nodes and whole nodes are scored at once.
 
 Character references are decoded; white space becomes one space; block elements and line breaks separate, inline tags do not.
 
@@ -42,7 +42,8 @@ RAW = {n: re.compile(rf"</{n}[\s/>]", re.IGNORECASE) for n in "script style nosc
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr del".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSED = set("p li td th tr dt dd option".split())
-ROOTS, WALLS = {"html", "body", "main"}, {"body", "main", "article"}
+ROOTS, MARKED = {"html", "body", "main"}, {"main", "article"}
+_MARKED = re.compile(r"<(?:main|article)[\s/>]", re.IGNORECASE)
 ANCHORS = {"h1", "h2", "h3", "h4", "h5", "h6", "section"}  # their ids are made from headings
 #: An element is no part of an article where its evidence falls below this (natural logarithm).
 OUT = -2.5
@@ -168,18 +169,31 @@ def weights() -> Weights:
     return Weights(PAGES)
 
 
-def nodes(page: str, w: Weights) -> Iterator[tuple[str, str, float]]:
+def nodes(page: str, w: Weights) -> list[tuple[str, str, float]]:
     """(kind, value, score) in page order: "word" and "link" text, "tag", and "out" where an element begins that is no part of an article (what it
-    holds is passed over)."""
+    holds is passed over). Where the page marks its content with main or article, only what those hold is given."""
+    found, marked = _nodes(page, w, False)
+    if not marked and _MARKED.search(page):  # all within elements that look like no part of an article
+        found, marked = _nodes(page, w, True)
+    return found
+
+
+def _nodes(page: str, w: Weights, rescue: bool) -> tuple[list[tuple[str, str, float]], bool]:
+    """``rescue``: content that is marked as such counts within any element. Second: whether any was seen."""
     scan, other = w.scan, w.other
     word, link = scan.get("word", 0.0), scan.get("link", 0.0)
-    skip, depth, linked = "", 0, False
+    all_of: list[tuple[str, str, float]] = []
+    inside: list[tuple[str, str, float]] = []
+    skip, depth, linked, room, marked = "", 0, False, 0, False
     for kind, value, attrs in tokens(page):
         if kind == "note":
             continue
         if kind == "text":
             if not depth:
-                yield ("link", value, link * len(value.split())) if linked else ("word", value, word * len(value.split()))
+                n = len(value.split())
+                if room:
+                    inside.append(("word", value, word * n))  # marked content: its links are part of it
+                all_of.append(("link", value, link * n) if linked else ("word", value, word * n))
             continue
         closes = kind == "close"
         if depth:
@@ -191,27 +205,34 @@ def nodes(page: str, w: Weights) -> Iterator[tuple[str, str, float]]:
                     depth += 1
                     continue
                 depth = 0  # the next of its kind ends it
-            elif not closes and value in ("article", "main", "body"):
+            elif not closes and (value == "body" or rescue and value in MARKED):
                 depth = 0
+            elif closes and value in MARKED and room:
+                depth = 0  # an element that was never closed ends with the content that it stands in
             else:
                 continue
-        score = 0.0  # a closing tag follows from the opening one
+        score, node = 0.0, "tag"  # a closing tag follows from the opening one
         if not closes:
             score = scan.get(f"<{value}>", other)
             out, named = w.standing(value, attrs)
-            if out:
-                yield "out", value, score
+            if out and not (value == "header" and room and not parts(value, attrs)) and not (rescue and value in MARKED):  # a plain header within content is that of the content
+                node = "out"
                 if value not in VOID:
                     skip, depth = value, 1
-                continue
-            score += named
-        if value in WALLS:
-            score = -math.inf
+            else:
+                score += named
+        if value in MARKED and node == "tag":
+            marked = True
+            room = room + 1 if not closes else max(room - 1, 0)
+            inside.append(("tag", value, score))
+        elif room:
+            inside.append((node, value, score))
         if value == "a":
             linked = not closes
         elif value not in INLINE:
             linked = False  # a link does not reach over blocks
-        yield "tag", value, score
+        all_of.append((node, value, -math.inf if value == "body" and node == "tag" else score))
+    return (inside, True) if marked else (all_of, False)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -234,7 +255,7 @@ def _decoded(text: str) -> str:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    seq = list(nodes(page, weights()))
+    seq = nodes(page, weights())
     first, last = best_region([s for _, _, s in seq])
     if not last:
         return ""

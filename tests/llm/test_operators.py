@@ -240,6 +240,33 @@ def test_no_single_word_drops_a_part_of_an_article():
         assert html_text.main_text(page) == " ".join(f"{body} Words of this part stay. {body}".split()), part
 
 
+def test_marked_content_is_whole():
+    """Articles' own headers, several articles, sections beside an article, lists of links; and what within other elements only looks like an article."""
+    body = ("The story goes on for a good while here and tells what the town did in that year. " * 4).strip()
+    nav, foot = "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></nav>", "<div class='comments'><article class='comment-body'><p>Nice one this.</p></article></div><footer>Copy</footer>"
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Linked item number {i}</a></li>" for i in range(12)) + "</ul>"
+    listed = " ".join(f"Linked item number {i}" for i in range(12))
+    for page, want in [
+        (f"<article><header><h1>TITLE</h1></header><p>{body}</p></article>", f"TITLE {body}"),
+        (f"<article><h1>One</h1><p>{body}</p></article><article><h1>Two</h1><p>Short one.</p></article>", f"One {body} Two Short one."),
+        (f"<main><article><p>{body}</p></article><section><h2>Sec</h2><p>{body}</p></section></main>", f"{body} Sec {body}"),
+        (f"<article><p>First. {body}</p>{links}<p>Last. {body}</p></article>", f"First. {body} {listed} Last. {body}"),
+        (f"<article><p>{body}</p><h2>References</h2>{links}</article>", f"{body} References {listed}"),
+        (f"<article><p>{body}</p><nav>Menu</nav><form><label>Name</label></form><div class=ad>Buy now</div><p>End.</p></article>", f"{body} End."),
+        (f"<ARTICLE><p>{body}<aside>Never closed</ARTICLE>", body),
+        (f"<main><p>{body}</p></main></main><p>Outside of it.</p>", body),
+    ]:
+        assert html_text.main_text(f"<html><body>{nav}{page}{foot}</body></html>") == want, page
+    assert html_text.main_text(f"<body>{nav}<aside><article><p>{body}</p></article></aside></body>") == body  # no other content is marked
+    for name in ("poll-results", "quiz", "banniere-pub", "kommentare", "werbung", "publicidad", "commentaires"):
+        assert html_text.main_text(f"<body>{nav}<div class=content><p>{body}</p><div class='{name}'><p>Words of it.</p></div><p>{body}</p></div></body>") == f"{body} {body}", name
+
+
+def test_equal_regions():
+    """Of regions with equal sums the first one that ends, from its last place with sum zero before it."""
+    assert html_text.best_region([2, -3, 2]) == (0, 1) and html_text.best_region([1, -1, 1]) == (0, 1) and html_text.best_region([0, 0]) == (0, 0)
+
+
 @given(st.lists(st.integers(-5, 5), max_size=25))
 @settings(max_examples=300, deadline=None)
 def test_best_region_is_the_best_of_all(scores):
@@ -448,6 +475,32 @@ def test_reworded_copies_are_found(spark):
     assert not [1 for _ in range(300) if matcher.find(decontaminate.normalise(fill() + " " + fill()))]
 
 
+@given(st.lists(st.sampled_from(["ab", "cd", "ab cd", "x"]), min_size=1, max_size=30), st.lists(st.sampled_from(["ab", "cd", "ab cd", "abcd", "y"]), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_periodic_items_and_texts(item, text):
+    """Pieces that an item has several times, hits that overlap each other."""
+    item, text = decontaminate.normalise(" ".join(item)), decontaminate.normalise(" ".join(text))
+    got = decontaminate.Matcher([(1, item)]).find(text)
+    for unit, take in (("char", lambda x: x), ("word", str.split)):
+        k = decontaminate.budget(take(item), decontaminate.RATE if unit == "char" else decontaminate.WORD_RATE)
+        best = decontaminate.myers(take(item), take(text), k)
+        if best:
+            assert [(m[1], m[2]) for m in got] == [(unit, best[0])]
+            return
+    assert not got
+
+
+def test_a_long_text_that_repeats_itself():
+    """1 MB of a repeated pair against items of 100 and 1,000 words, some of them in it: time grows with the text, however many hits overlap."""
+    rng = random.Random(1)
+    odd = " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(1000))
+    items = ["ab cd " * 50, "ab cd " * 500, odd, "ab cd " * 50 + odd[:300]]
+    matcher = decontaminate.Matcher(enumerate(map(decontaminate.normalise, items)))
+    begun = time.time()
+    got = matcher.find(decontaminate.normalise("ab cd " * 170_000))
+    assert [m[:3] for m in got] == [(0, "char", 0), (1, "char", 0)] and time.time() - begun < 60
+
+
 # token files
 
 
