@@ -226,7 +226,7 @@ def _nodes(page: str, w: Weights, rescue: bool) -> tuple[list[tuple[str, str, fl
             room = room + 1 if not closes else max(room - 1, 0)
             inside.append(("tag", value, score))
         elif room:
-            inside.append((node, value, score))
+            inside.append((node, value, score if node == "tag" else 0.0))  # marked content goes on after what is left out of it
         if value == "a":
             linked = not closes
         elif value not in INLINE:
