@@ -77,38 +77,32 @@ def columns() -> list[str]:
 
 def sequential(obs: DataFrame, n_hist: int) -> DataFrame:
     """(series_id, t, 60 columns) of every online row."""
-    rows = inputs(obs, n_hist)
-    wide, means = wide_paths(rows), scanned_paths(rows)
-    cells = lambda names: F.explode(F.array(*[F.struct(F.lit(n).alias("det"), (F.abs(n) if n in ROBUST.values() else F.col(n)).alias("d"), F.col(n).alias("signed")) for n in names])).alias("c")
-    of_windows = wide.select(*KEYS, "t", cells([n for n in (*FULL, *SMALL, *LEVEL) if n != "srz"]))
-    paths = materialize(of_windows.unionByName(means.select(*KEYS, "t", cells(["srz", *ROBUST.values()]))).select(*KEYS, "t", "c.*"), "paths")  # written once: nulls, laws, shapes and ranks read it
-    null = pn.samples(paths, list(FULL))
-    law = pn.laws(null)
-    shaped = pn.shapes(paths, law)
-    ask = lambda kind, w, x, only: F.when(F.col("det").isin(list(only)), F.struct(F.lit(kind).alias("kind"), w.cast("int").alias("w"), F.col(x).alias("x")))
-    wanted = F.array(ask("cur", F.lit(0), "d", [*FULL, *SMALL, *LEVEL]), ask("pk", pn.nearest_window(F.col("t")), "peak", FULL), ask("dpk", F.lit(pn.PEAKS[1]), "decayed", FULL))
-    asked = shaped.select("series_id", "det", "t", F.explode(F.filter(wanted, lambda a: a.isNotNull())).alias("a")).select("series_id", "det", "t", "a.kind", "a.w", "a.x")
-    scored = pn.upper_surprise(asked, null, law)
-    # every cell as (series_id, t, name, value), then one row for each (series_id, t)
-    plain = {"FULL": ("tsp", "per", "slp", "rel"), "SMALL": ("pkr",)}
-    given = F.array(*[F.when(F.col("det").isin(list(only)), F.struct(F.concat_ws("_", "det", F.lit(c)).alias("name"), F.col(c).alias("value"))) for only, cols in ((FULL, plain["FULL"]), (SMALL, plain["SMALL"]), (tuple(ROBUST.values()), ("rz", "signed"))) for c in cols])
-    long = shaped.select("series_id", "t", F.explode(F.filter(given, lambda a: a.isNotNull())).alias("a")).select("series_id", "t", "a.name", "a.value")
-    long = long.unionByName(scored.select("series_id", F.col("t").cast("long").alias("t"), F.concat_ws("_", "det", "kind").alias("name"), F.col("surprise").alias("value")))
-    value = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
-    packs = [f"{d}_{s}" for d in FULL for s in SHAPE] + [f"{d}_{s}" for d in SMALL for s in ("cur", "pkr")]
-    table = long.groupBy("series_id", "t").agg(*[value(n).alias(n) for n in packs], *[value(f"{d}_cur").alias(d) for d in LEVEL], *[value(f"{d}_{s}").alias(f"_{d}_{s}") for d in ROBUST.values() for s in ("rz", "signed")])
+    rows = materialize(inputs(obs, n_hist), "rows").repartition("series_id")
+    signed = list(ROBUST.values())
+    means = scanned_paths(rows).withColumns({f"{n}_signed": F.col(n) for n in signed} | {n: F.abs(n) for n in signed})
+    dets, usual = [*FULL, *SMALL, *LEVEL, *signed], [*FULL, *SMALL, *LEVEL]
+    paths = wide_paths(rows).join(means, [*KEYS, "t"]).select(*KEYS, "t", *dets, *[f"{n}_signed" for n in signed])
+    wide = materialize(pn.maxima(paths, FULL), "paths").repartition("series_id")  # written once: nulls, lookups and shapes read it
+    null = pn.samples(wide, dets, FULL)
+    judged = pn.lookups(usual, FULL)
+    found = pn.upper_surprise(wide, null, dets, judged)
+    online = wide.filter("part = 'o'").withColumn("t", F.col("t").cast("long")).join(pn.laws(null, dets), "series_id").join(found, ["series_id", "t"])
+    law = {d: F.col("law")[i] for i, d in enumerate(dets)}
+    score = {f"{d}_{k}": pn.surprise(F.col("found")[code], law[d]) for code, (d, k) in enumerate(judged)}
+    shape = {d: pn.shapes(d, law[d]) for d in (*FULL, *SMALL, *signed)}
     over = Window.partitionBy("series_id").orderBy("t")
-    size = F.abs("_ew32_signed")
+    size, ew32 = F.abs("ew32_signed"), F.col("ew32_signed")
+    made = score | {f"{d}_{k}": shape[d][k] for d in FULL for k in ("tsp", "per", "slp", "rel")} | {f"{d}_pkr": shape[d]["pkr"] for d in SMALL}
+    made |= {name: shape[d]["rz"] * F.signum(f"{d}_signed") for name, d in ROBUST.items()}
+    made |= {"ew32_pkrel": size / (F.max(size).over(over.rowsBetween(Window.unboundedPreceding, 0)) + pn.TINY), "ew32_slp": (ew32 - F.lag(ew32, pn.LAG).over(over)) / pn.LAG}
+    made |= {d: made.pop(f"{d}_cur") for d in LEVEL}
     pools = [f"{d}_cur" for d in (*FULL, *SMALL)]
-    out = table.withColumns({
-        **{name: F.col(f"_{d}_rz") * F.signum(f"_{d}_signed") for name, d in ROBUST.items()},
-        "ew32_pkrel": size / (F.max(size).over(over.rowsBetween(Window.unboundedPreceding, 0)) + pn.TINY),
-        "ew32_slp": (F.col("_ew32_signed") - F.lag("_ew32_signed", pn.LAG).over(over)) / pn.LAG,
+    out = online.select("series_id", "t", *[c.alias(n) for n, c in made.items()])
+    return out.withColumns({
         "xc_max_cur": F.greatest(*pools),
         "xc_n_hot": sum((F.when(F.col(p) > HOT, 1.0).otherwise(0.0) for p in pools), F.lit(0.0)),
         "xc_max_pk": F.greatest(*[f"{d}_pk" for d in FULL]),
-    })
-    return out.select("series_id", "t", *columns())
+    }).select("series_id", "t", *columns())
 
 
 def path_surprise(obs: DataFrame, n_hist: int, slack: float = 0.5) -> DataFrame:
@@ -116,13 +110,10 @@ def path_surprise(obs: DataFrame, n_hist: int, slack: float = 0.5) -> DataFrame:
     hist = obs.filter(F.col("i") < n_hist)
     z = h.standardise(obs, h.moments(hist)).select("series_id", F.when(F.col("i") < n_hist, "h").otherwise("o").alias("part"), F.when(F.col("i") < n_hist, F.col("i")).otherwise(F.col("i") - n_hist).alias("t"), "z")
     upto = Window.partitionBy(*KEYS).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    sums = z.withColumns({"up": F.sum(F.col("z") - slack).over(upto), "dn": F.sum(-F.col("z") - slack).over(upto)})
+    sums = z.repartition("series_id").withColumns({"up": F.sum(F.col("z") - slack).over(upto), "dn": F.sum(-F.col("z") - slack).over(upto)})
     d = F.greatest(*[F.col(n) - F.least(F.lit(0.0), F.min(n).over(upto)) for n in ("up", "dn")])
-    paths = sums.select(*KEYS, "t", F.lit("cusum").alias("det"), d.alias("d"))
-    null = pn.samples(paths, ["cusum"])
-    law = pn.laws(null)
-    shaped = pn.shapes(paths, law)
-    both = F.explode(F.array(F.struct(F.lit("cur").alias("kind"), F.lit(0).alias("w"), F.col("d").alias("x")), F.struct(F.lit("pk").alias("kind"), pn.nearest_window(F.col("t")).alias("w"), F.col("peak").alias("x")))).alias("a")
-    scored = pn.upper_surprise(shaped.select("series_id", "det", "t", both).select("series_id", "det", "t", "a.*"), null, law)
-    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    return scored.groupBy("series_id", "t").agg(of("cur", "x").alias("d"), of("cur", "surprise").alias("cur"), of("pk", "surprise").alias("pk"))
+    wide = pn.maxima(sums.select(*KEYS, "t", d.alias("d")), ["d"])
+    null, judged = pn.samples(wide, ["d"], ["d"]), [("d", "cur"), ("d", "pk")]
+    found = pn.upper_surprise(wide, null, ["d"], judged)
+    online = wide.filter("part = 'o'").select("series_id", F.col("t").cast("long").alias("t"), "d").join(pn.laws(null, ["d"]), "series_id").join(found, ["series_id", "t"])
+    return online.select("series_id", "t", "d", *[pn.surprise(F.col("found")[i], F.col("law")[0]).alias(k) for i, (_, k) in enumerate(judged)])

@@ -431,7 +431,7 @@ def test_recursions_are_loops():
 
 
 def test_module_columns():
-    n = {"m00_core": 151, "m01_seq": 60, "m02_dist": 59, "m03_dyn": 60, "m04_resid": 60, "m05_ctx": 50, "m06_loc": 60, "m10_persist": 42, "m12_rdep": 57, "m09_back": 51, "m11_focus": 76, "m13_scale_surv": 5, "m13_scale_indiv": 6, "m14_spectral_impulse": 8, "m14_spectral_energy": 4, "m15_ordinal_irrev": 8, "m15_ordinal_entropy": 4, "m16_joint_rarity": 6, "m16_dwell_rarity": 6, "m17_kalman_nis": 6, "m17_hankel_dmd": 6, "m18_wctm": 8, "m18_uctm": 8}
+    n = {"m00_core": 151, "m02_dist": 59, "m03_dyn": 60, "m04_resid": 60, "m05_ctx": 50, "m06_loc": 60, "m10_persist": 42, "m12_rdep": 57, "m09_back": 51, "m11_focus": 76, "m13_scale_surv": 5, "m13_scale_indiv": 6, "m14_spectral_impulse": 8, "m14_spectral_energy": 4, "m15_ordinal_irrev": 8, "m15_ordinal_entropy": 4, "m16_joint_rarity": 6, "m16_dwell_rarity": 6, "m17_kalman_nis": 6, "m17_hankel_dmd": 6, "m18_wctm": 8, "m18_uctm": 8}
     assert {k_: len(m.columns([k_])) for k_ in n} == n
     assert len(m.columns(["m00_core"])) == 151 and len(m.columns(["m09_back"])) == 51
     assert all(np.isnan(v).all() for n, v in m.compute(np.arange(12.0), np.arange(5.0), ["m00_core"]).items() if n.startswith("m00_core__w8"))
