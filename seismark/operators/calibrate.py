@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
@@ -37,9 +38,15 @@ def fit_time_cdf(rows: DataFrame, at: list[int], quantiles: int = 16, least: int
     return each.unionByName(every.crossJoin(F.broadcast(grid.filter("a = -1").select("k", "q"))).select("a", "k", "q"))  # quantiles rows for each thin anchor
 
 
-def apply_time_cdf(rows: DataFrame, grid: DataFrame, score: str = "score", name: str = "cal") -> DataFrame:
-    """Left rank among an anchor's grid over its length, linear in log(t + 1) between anchors. The grid is anchors x quantiles values, collected
+#: Time coordinates: the log of the rows seen, t + 1; and the older log of t, with t = 0 at the place of t = 1.
+COORDINATES = ("log_n_seen", "log_t_clamped")
+
+
+def apply_time_cdf(rows: DataFrame, grid: DataFrame, score: str = "score", name: str = "cal", coordinate: str = COORDINATES[0]) -> DataFrame:
+    """Left rank among an anchor's grid over its length, linear in the time coordinate between anchors. The grid is anchors x quantiles values, collected
     into one row."""
+    if coordinate not in COORDINATES:
+        raise ValueError(f"unknown time coordinate {coordinate!r}: it is one of {', '.join(COORDINATES)}")
     one = grid.groupBy("a").agg(F.array_sort(F.collect_list("q")).alias("qs")).agg(F.array_sort(F.collect_list(F.struct("a", "qs"))).alias("g"))
     j = rows.crossJoin(F.broadcast(one))  # one row
     t = F.least(F.col("t"), F.element_at("g", -1)["a"])
@@ -47,12 +54,29 @@ def apply_time_cdf(rows: DataFrame, grid: DataFrame, score: str = "score", name:
     hi = F.element_at(F.filter("g", lambda s: s["a"] >= t), 1)
     rank = lambda s: F.size(F.filter(s["qs"], lambda q: q < F.col(score))) / F.size(s["qs"])
     j = j.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_t", t)
-    x = lambda c: F.ln(c.cast("double") + 1)
-    f = F.when(F.col("_lo.a") == F.col("_hi.a"), 0.0).otherwise((x(F.col("_t")) - x(F.col("_lo.a"))) / (x(F.col("_hi.a")) - x(F.col("_lo.a"))))
+    x = (lambda c: F.ln(c.cast("double") + 1)) if coordinate == COORDINATES[0] else lambda c: F.ln(F.greatest(c.cast("double"), F.lit(1.0)))
+    f = F.when(x(F.col("_lo.a")) == x(F.col("_hi.a")), 0.0).when(F.col("_lo.a") == F.col("_hi.a"), 0.0).otherwise((x(F.col("_t")) - x(F.col("_lo.a"))) / (x(F.col("_hi.a")) - x(F.col("_lo.a"))))
     a, b = rank(F.col("_lo")), rank(F.col("_hi"))
     return j.withColumn(name, a + f * (b - a)).drop("g", "_lo", "_hi", "_t")
 
 
+def grid_payload(grid: DataFrame, coordinate: str = COORDINATES[0]) -> str:
+    """A fitted grid as JSON: its coordinate, anchors, and each anchor's order statistics (a bounded number of values)."""
+    held: dict[int, list[float]] = {}
+    for r in grid.orderBy("a", "k").collect():
+        held.setdefault(int(r["a"]), []).append(float(r["q"]))
+    return json.dumps({"time_coord": coordinate, "anchors": list(held), "grids": list(held.values())})
+
+
+def grid_of_payload(spark: SparkSession, payload: str) -> tuple[DataFrame, str]:
+    """The grid and its coordinate; a payload that names none is of the older kind."""
+    d = json.loads(payload)
+    coordinate = d.get("time_coord", COORDINATES[1])
+    if coordinate not in COORDINATES or len(d["anchors"]) != len(d["grids"]):
+        raise ValueError("the payload holds no grid of a known kind")
+    return spark.createDataFrame([(int(a), k, float(q)) for a, qs in zip(d["anchors"], d["grids"], strict=True) for k, q in enumerate(qs)], "a long, k long, q double"), coordinate
+
+
 def blend_mean(cols: list[str]) -> Column:
     """Mean of members; a missing or non-finite one counts as 0.5; clipped to [0, 1]."""
     ok = [F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 0.5).otherwise(F.col(c)) for c in cols]

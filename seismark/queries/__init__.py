@@ -1,7 +1,7 @@
 """Registered queries of the series engine and their SQL twins."""
 
-from . import audits, models, monitors, panels, points, sequences
+from . import audits, models, monitors, panels, points, sequences, streams
 
-MODULES = (points, monitors, panels, models, audits, sequences)
+MODULES = (points, monitors, panels, models, audits, sequences, streams)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict = {k: v for m in MODULES for k, v in m.ORACLE.items()}
