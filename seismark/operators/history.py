@@ -55,6 +55,23 @@ def ar2(obs: DataFrame, x: str = "z", order: str = "i", ridge: float = 1e-6, lea
     return s.select("series_id", fit(F.col("xa") * bb - F.col("xb") * ab).alias("phi1"), fit(F.col("xb") * aa - F.col("xa") * ab).alias("phi2"))
 
 
+def arp(obs: DataFrame, p: int, x: str = "z", order: str = "i", ridge: float = 1e-6) -> DataFrame:
+    """Least-squares AR(p) without intercept, ridge * pairs on the diagonal: phi1 .. phip, 0 for histories under 10 p + 10 points. The normal equations are sums, and
+    are solved by elimination in columns (they are positive definite, so no pivots are chosen)."""
+    w = Window.partitionBy("series_id").orderBy(order)
+    lagged = obs.withColumns({f"_l{j}": F.lag(x, j).over(w) for j in range(1, p + 1)}).filter(F.col(f"_l{p}").isNotNull())
+    names = [f"_l{j}" for j in range(1, p + 1)]
+    sums = {f"a{i}{j}": F.sum(F.col(names[i]) * F.col(names[j])) for i in range(p) for j in range(i, p)} | {f"b{i}": F.sum(F.col(names[i]) * F.col(x)) for i in range(p)}
+    g = lagged.groupBy("series_id").agg(F.count("*").alias("m"), *[c.alias(n) for n, c in sums.items()])
+    g = g.withColumns({f"a{i}{i}": F.col(f"a{i}{i}") + ridge * F.col("m") for i in range(p)})
+    for k in range(p - 1):
+        share = lambda i, k=k: F.col(f"a{k}{i}") / F.col(f"a{k}{k}")  # noqa: E731  the matrix stays symmetric: its upper half is enough
+        g = g.withColumns({f"a{i}{j}": F.col(f"a{i}{j}") - share(i) * F.col(f"a{k}{j}") for i in range(k + 1, p) for j in range(i, p)} | {f"b{i}": F.col(f"b{i}") - share(i) * F.col(f"b{k}") for i in range(k + 1, p)})
+    for i in reversed(range(p)):
+        g = g.withColumn(f"b{i}", (F.col(f"b{i}") - sum((F.col(f"a{i}{j}") * F.col(f"b{j}") for j in range(i + 1, p)), F.lit(0.0))) / F.col(f"a{i}{i}"))
+    return g.select("series_id", *[F.when(F.col("m") + p < 10 * p + 10, 0.0).otherwise(F.col(f"b{i}")).alias(f"phi{i + 1}") for i in range(p)])
+
+
 def residuals(obs: DataFrame, fit: DataFrame, x: str = "z", order: str = "i") -> DataFrame:
     """z_t - phi z_{t-1} along history and online rows together, so that online rows are warmed by the history."""
     lagged = obs.withColumn("_l", F.lag(x).over(Window.partitionBy("series_id").orderBy(order)))

@@ -11,25 +11,15 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.draws import PRIME, mixed
 from ..operators.ranks import positions
 from ..sources.scratch import materialize
 from .learn import imputed
 
 DRAWS = 8
-#: A prime, and multipliers below it; products stay below 2^63 for keys up to some 10^9.
-PRIME, LEHMER, BY_KEY, BY_STEP, BY_DRAW = 2_147_483_647, 48_271, 69_621, 39_373, 16_807
-
-
-def mixed(key: Column, t: Column, k: Column | int = 0) -> Column:
-    """A hash below PRIME of (key, t, k), in integers."""
-    k = F.lit(k) if isinstance(k, int) else k
-    h = F.pmod(key, F.lit(PRIME)) * BY_KEY + F.pmod(t, F.lit(PRIME)) * BY_STEP + k * BY_DRAW + 12_345
-    for _ in range(3):
-        h = F.pmod(h, F.lit(PRIME)) * LEHMER
-    return F.pmod(h, F.lit(PRIME))
 
 
 def sampled(rows: DataFrame, draws: int = DRAWS) -> DataFrame:

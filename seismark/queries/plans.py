@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibrate as c
 from ..operators import panel as p
+from ..operators.draws import PRIME, mixed_sql
 from ..plans import pairwise, portfolio
 from ._base import panel, panel_sql, rounded
 
@@ -13,17 +14,10 @@ QUERIES, ORACLE = {}, {}
 FOLD = "(((series_id * 2654435 + 97) % 10007) % 5)::bigint"
 
 
-def _hash(key: str, t: str, k: str) -> str:
-    h = f"({key} % {pairwise.PRIME} * {pairwise.BY_KEY} + {t} % {pairwise.PRIME} * {pairwise.BY_STEP} + {k} * {pairwise.BY_DRAW} + 12345)"
-    for _ in range(3):
-        h = f"({h} % {pairwise.PRIME} * {pairwise.LEHMER})"
-    return f"({h} % {pairwise.PRIME})"
-
-
 SAMPLE_SQL = (
-    "with " + panel_sql() + f""", ng as (select t, series_id, row_number() over (partition by t order by {_hash('series_id', 't', str(pairwise.DRAWS))}, series_id) - 1 as pos, count(*) over (partition by t) as n from panel where y = 0),
+    "with " + panel_sql() + f""", ng as (select t, series_id, row_number() over (partition by t order by {mixed_sql('series_id', 't', str(pairwise.DRAWS))}, series_id) - 1 as pos, count(*) over (partition by t) as n from panel where y = 0),
 ps as (select series_id, t, unnest(range({pairwise.DRAWS})) as draw from panel where y = 1)
-select p.series_id, p.t, p.draw::integer as draw, n.series_id as other from ps p join ng n on n.t = p.t and n.pos = floor({_hash('p.series_id', 'p.t', 'p.draw')} * n.n / {pairwise.PRIME}::double)"""
+select p.series_id, p.t, p.draw::integer as draw, n.series_id as other from ps p join ng n on n.t = p.t and n.pos = floor({mixed_sql('p.series_id', 'p.t', 'p.draw')} * n.n / {PRIME}::double)"""
 )
 
 
