@@ -1,5 +1,6 @@
-"""Running sums, positions and tiles within groups of any size: values are cut into buckets, each bucket of a group is summed in its own
-window, and a bucket's base is a prefix sum over the buckets before it (at most ``BUCKETS`` rows a group)."""
+"""Running sums, positions and tiles within groups of any size. The counted values are written once. A group of up to ``ROWS`` values is summed in one window; a larger one is cut by
+quantiles of its own values into buckets of about that size, each summed in its own window, and a bucket's base is a prefix sum over the
+buckets before it."""
 
 from __future__ import annotations
 
@@ -10,17 +11,26 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 
-BUCKETS = 64
+#: Values that one window sums.
+ROWS = 1_000_000
 
 
-def prefixes(df: DataFrame, by: Sequence[str], order: str, sizes: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+def prefixes(df: DataFrame, by: Sequence[str], order: str, sizes: Sequence[str], rows: int | None = None) -> DataFrame:
     """For each size s: ``s_below``, its sum over the group's rows of smaller ``order``, and ``s_all``, over the whole group. df has one row for each
-    (by, order); it is written once, since the cuts are drawn from it."""
+    (by, order); it is written once, as its count says whether any group can be large."""
+    rows = rows or ROWS
     held = materialize(df, "cells")
-    cuts = sorted(set(held.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.002)))
-    part = F.aggregate(F.array(*[F.lit(x) for x in cuts]), F.lit(0), lambda acc, q: acc + F.when(F.col(order) > q, 1).otherwise(0)) if cuts else F.lit(0)
-    held = held.withColumn("_part", part)
+    n = held.count()  # of the files' footers
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if n <= rows:  # no group is larger
+        upto = group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return held.withColumns({f"{s}_below": F.sum(s).over(upto) - F.col(s) for s in sizes} | {f"{s}_all": F.sum(s).over(group) for s in sizes})
+    shares = [k / -(-n // rows) for k in range(1, -(-n // rows))]
+    # at most n / rows groups are large; a group's cuts beyond its own need fall together or split finer, and neither changes a sum
+    large = held.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx(order, F.array(*[F.lit(x) for x in shares]), 10_000).alias("_cuts")).filter(F.col("_n") > rows).select(*[F.col(b).alias(f"_of_{b}") for b in by], F.array_sort(F.array_distinct("_cuts")).alias("_cuts"))
+    cut = held.join(large, [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by], "left") if by else held.crossJoin(F.broadcast(large))  # without groups: one row
+    part = F.coalesce(F.size(F.filter("_cuts", lambda q: q < F.col(order))), F.lit(0))
+    held = cut.withColumn("_part", part).drop("_cuts", *[f"_of_{b}" for b in by])
     sums = held.groupBy(*by, "_part").agg(*[F.sum(s).alias(f"_sum_{s}") for s in sizes])
     base = sums.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_part").alias("_bucket"), *[(F.sum(f"_sum_{s}").over(group.orderBy("_part")) - F.col(f"_sum_{s}")).alias(f"_base_{s}") for s in sizes], *[F.sum(f"_sum_{s}").over(group).alias(f"{s}_all") for s in sizes])
     on = [F.col(b) == F.col(f"_by_{b}") for b in by] + [F.col("_part") == F.col("_bucket")]
