@@ -66,3 +66,18 @@ def portfolio_choice(spark, sf):
 
 QUERIES |= {"q_pair_sample": pair_sample, "q_pairwise_oof": pairwise_oof, "q_portfolio": portfolio_choice}
 ORACLE |= {"q_pair_sample": SAMPLE_SQL, "q_portfolio": _portfolio_sql()}
+
+
+def distilled(spark, sf):
+    """Students of three causal columns, taught by teachers that also see the next eight rows: the time-stratified score of each fold."""
+    from pyspark.sql import Window
+
+    from ..plans import nested
+
+    ahead = Window.partitionBy("series_id").orderBy("t").rowsBetween(1, 8)
+    rows = _rows(spark, sf).withColumn("fold", c.fold_of(F.col("series_id"), 3)).withColumns({f"{x}_next": F.avg(x).over(ahead) for x in ("a", "cc")})
+    got = nested.distilled(rows, ["a", "b", "cc", "a_next", "cc_next"], ["a", "b", "cc"], folds=range(3))
+    return rounded(p.pooled(p.per_step(got.withColumn("score", F.round("student_score", 9)), "fold", "t"), "fold"), 4)
+
+
+QUERIES |= {"q_distilled": distilled}

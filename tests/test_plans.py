@@ -84,3 +84,43 @@ def test_greedy_choice_is_the_best_of_all_subsets(spark):
         assert got[f].test_auc == pytest.approx(ts_auc(rank[list(best)].sum(axis=0)[own], y[own], t[own]))
         for r in blended.filter(F.col("fold") == f).limit(50).collect():
             assert r.blend == pytest.approx(rank[list(best)][:, (s == r.series_id) & (t == r.t)].mean() / 200)
+
+
+def test_teachers_never_saw_what_they_label(planted):
+    from seismark.plans import nested
+
+    rows = planted.withColumn("fold", F.col("series_id") % 3).withColumn("ahead", F.col("y") * 1.0)
+    data = nested.encoded(rows, ["a", "b", "ahead"], ["a", "b"])
+    taught = nested.nested(data, 1, [0, 1, 2])
+    nested.assert_pure(taught, 1)
+    assert taught.count() == planted.count()
+    got = {tuple(r.fit_folds): set() for r in taught.select("fit_folds").distinct().collect()}
+    for r in taught.select("fold", "fit_folds").distinct().collect():
+        got[tuple(r.fit_folds)].add(r.fold)
+    assert got == {(2,): {0}, (0,): {2}, (0, 2): {1}}
+    # the labels of a fold are those of a plain fit on the folds named
+    model = learn.logistic().setFeaturesCol("teacher").fit(data.filter("fold = 2"))
+    from pyspark.ml.functions import vector_to_array
+
+    want = {(r.series_id, r.t): r.q for r in model.transform(data.filter("fold = 0")).select("series_id", "t", vector_to_array("probability")[1].alias("q")).collect()}
+    assert all(r.q == pytest.approx(want[r.series_id, r.t], abs=1e-9) for r in taught.filter("fold = 0").collect())
+    for bad in ("array(0, 1)", "array(1)"):
+        with pytest.raises(ValueError, match="outer fold 1"):
+            nested.assert_pure(taught.withColumn("fit_folds", F.expr(bad)), 1)
+    with pytest.raises(ValueError, match="two folds"):
+        nested.encoded(planted.withColumn("fold", F.col("t") % 3), ["a"], ["b"])
+
+
+def test_soft_labels_are_cross_entropy(planted):
+    """mix 0 is the plain fit on hard labels; every row keeps a total weight of one."""
+    from seismark.plans import nested
+
+    rows = planted.withColumn("fold", F.col("series_id") % 3)
+    got = {(r.series_id, r.t): r.student_score for r in nested.distilled(rows, ["a"], ["a", "b"], mix=0.0, folds=range(3)).filter("fold = 2").collect()}
+    data = nested.encoded(rows, ["a"], ["a", "b"])
+    from pyspark.ml.functions import vector_to_array
+
+    plain = learn.logistic().setFeaturesCol("student").fit(data.filter("fold <> 2")).transform(data.filter("fold = 2")).select("series_id", "t", vector_to_array("probability")[1].alias("q"))
+    assert all(got[r.series_id, r.t] == pytest.approx(r.q, abs=1e-6) for r in plain.collect())
+    soft = nested.soft_rows(data.withColumn("q", F.lit(0.3)), 0.5)
+    assert soft.agg(F.sum("weight")).first()[0] == pytest.approx(data.count())
