@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import windows as w
 from .calibrate import shuffled
 from .panel import cells, midranks, weighted_bootstrap
-from .ranks import order_statistics, positions, tile
+from .ranks import order_statistics, positions, prefixes, tile
 
 #: Parts of column names that give away what is to be predicted.
 FORBIDDEN = ("tau", "n_online", "has_break", "label", "fold", "future")
@@ -34,9 +34,14 @@ def screen(meta: DataFrame, by: str, most: int = 500, key: str = "series_id") ->
 
 
 def uniform_sample(rows: DataFrame, n: int) -> DataFrame:
-    """n rows without replacement, by the hash of their key: always the same ones."""
+    """n rows without replacement, by the hash of their key: always the same ones. The n-th smallest hash is found in counted hashes; only rows with that very hash are put in an order."""
     h = F.pmod(F.col("series_id") * 7919 + F.col("t") * 104_729 + 13, F.lit(1_000_003))
-    return rows.withColumn("_h", h).orderBy("_h", "series_id", "t").limit(n).drop("_h")
+    held = rows.withColumn("_h", h)
+    c = prefixes(held.groupBy("_h").agg(F.count("*").alias("_k")), [], "_h", ["_k"])
+    edge = c.filter((F.col("_k_below") < n) & (F.col("_k_below") + F.col("_k") >= n)).agg(F.max("_h").alias("_edge"), F.max(n - F.col("_k_below")).alias("_left"))
+    j = held.crossJoin(F.broadcast(edge))  # one row, empty where there are fewer rows than n
+    tied = j.filter("_h = _edge").withColumn("_place", F.row_number().over(Window.partitionBy("_h").orderBy("series_id", "t"))).filter("_place <= _left").drop("_place")
+    return j.filter("_edge is null or _h < _edge").unionByName(tied).drop("_h", "_edge", "_left")
 
 
 def rolling_sd(x: str, n: int, order: str = "t") -> Column:

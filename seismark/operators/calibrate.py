@@ -144,8 +144,7 @@ def standardise(rows: DataFrame, fit: DataFrame, cols: list[str], clip: float =
 
 def residualise(rows: DataFrame, score: str, x: str, by: str = "t") -> DataFrame:
     """score minus its per-step least-squares line in x (steps with no spread in x: minus the mean)."""
-    g = rows.groupBy(by).agg(F.count("*").alias("_n"), F.sum(score).alias("_y"), F.sum(x).alias("_x"), F.sum(F.col(x) * F.col(x)).alias("_xx"), F.sum(F.col(x) * F.col(score)).alias("_xy"))
-    det = F.col("_n") * F.col("_xx") - F.col("_x") * F.col("_x")
-    b = F.when(det > 0, (F.col("_n") * F.col("_xy") - F.col("_x") * F.col("_y")) / det).otherwise(0.0)
-    g = g.select(F.col(by).alias("_by"), b.alias("_b"), ((F.col("_y") - b * F.col("_x")) / F.col("_n")).alias("_a"))
+    g = rows.groupBy(by).agg(F.avg(score).alias("_y"), F.avg(x).alias("_x"), F.var_pop(x).alias("_xx"), F.covar_pop(x, score).alias("_xy"))  # centred sums: large values do not cancel
+    b = F.when(F.col("_xx") > 0, F.col("_xy") / F.col("_xx")).otherwise(0.0)
+    g = g.select(F.col(by).alias("_by"), b.alias("_b"), (F.col("_y") - b * F.col("_x")).alias("_a"))
     return rows.join(g, F.col(by) == F.col("_by")).withColumn("residual", F.col(score) - F.col("_a") - F.col("_b") * F.col(x)).drop("_a", "_b", "_by")
