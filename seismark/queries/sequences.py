@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import neighbours as nb
 from ..operators import pathnull as pn
 from ..operators import sequential as sq
 from ..sources.series import SUPPLIER
@@ -110,3 +111,27 @@ def sequential(spark, sf):
 
 QUERIES |= {"q_path_null": path_null, "q_feat_m01_seq": sequential}
 ORACLE |= {"q_path_null": PATH_SQL, "q_feat_m01_seq": _sequential_sql()}
+
+
+M = 16
+NEAR_SQL = (
+    "with " + obs_sql(SUPPLIER) + f""", xs as (select series_id, i, x from obs),
+wn as (select series_id, part, t, list(x) over (partition by series_id, part order by t rows {M - 1} preceding) as w from (select series_id, case when i < {N} then 'h' else 'o' end as part, case when i < {N} then i else i - {N} end as t, x from xs)),
+nm as materialized (select series_id, part, t - {M - 1} as s, list_transform(w, lambda v: (v - list_avg(w)) / case when list_stddev_pop(w) > 1e-12 then list_stddev_pop(w) else 1.0 end) as w from wn where len(w) = {M}),
+hd as (select q.series_id, q.s, min(list_distance(q.w, r.w)) as d, arg_min(r.s, list_distance(q.w, r.w)) as near from nm q join nm r on q.series_id = r.series_id and q.part = 'o' and r.part = 'h' group by all),
+od as (select q.series_id, q.s, min(list_distance(q.w, r.w)) as d from nm q join nm r on q.series_id = r.series_id and q.part = 'o' and r.part = 'o' and r.s <= q.s - {M} group by all)
+select hd.series_id, hd.s + {M - 1} as t, round(hd.d, 6) + 0.0 as d_hist, near as nearest, round(od.d, 6) + 0.0 as d_online, round(ln(1 + hd.d) - ln(1 + od.d), 6) + 0.0 as provenance,
+  sum(case when near >= {-(-3 * (N - M + 1) // 4)} then 1.0 else 0.0 end) over w / row_number() over w as arc from hd left join od using (series_id, s) window w as (partition by hd.series_id order by hd.s)"""
+)
+
+
+def nearest_subsequence(spark, sf):
+    """Nearest windows of 16 values in the history and in the online past."""
+    o = obs(spark, sf, SUPPLIER)
+    rows = o.select("series_id", F.when(F.col("i") < N, "h").otherwise("o").alias("part"), F.when(F.col("i") < N, F.col("i")).otherwise(F.col("i") - N).alias("t"), "x")
+    got = nb.geometry(nb.neighbours(rows, M), N - M + 1).drop("measured")
+    return got.select("series_id", "t", "nearest", "arc", *[F.round(c, 6).alias(c) for c in ("d_hist", "d_online", "provenance")])
+
+
+QUERIES |= {"q_nearest_subsequence": nearest_subsequence}
+ORACLE |= {"q_nearest_subsequence": NEAR_SQL}
