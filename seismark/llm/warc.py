@@ -6,7 +6,8 @@ of its own, with a sidecar index of (offset, length, type, ids, digest) beside i
 ranged read of its member alone.
 
 Of captures with equal payloads (equal SHA-256 and length) of at least ``SHORTEST`` bytes, the one with the largest page_id is a ``response``; the others are
-``revisit`` records with HTTP headers, digest and reference, but no payload. Hot payloads join their count by a bounded broadcast.
+``revisit`` records with HTTP headers, digest and reference, but no payload. Payloads that very many pages share are joined by a bounded broadcast; short
+pages take no part in a join.
 
 Files: ``NNNNN-<attempt>-<k>.warc.gz`` for the k-th file of a task (a file is closed after ``ROLL`` bytes of records), ``.idx`` the index, one JSON line a
 record. Names are of an attempt and manifests are tables of the names that Spark accepted, so a task that ran twice, or whose executor was lost half
@@ -33,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import field, join_spread, materialize, slices
+from ._common import HOT, field, materialize, slices
 from .token_files import filesystem
 
 SHORTEST = 1000
@@ -149,18 +150,19 @@ def inflated(read: Callable[[int], bytes]) -> Iterator[bytes]:
 def decisions(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shortest: int = SHORTEST) -> DataFrame:
     """(page_id, url, html, refers_to, refers_url): refers_to is null where the page is written as a response."""
     src = pages.select(field(id_col).cast("long").alias("page_id"), field(url_col).alias("url"), F.coalesce(field(html_col), F.lit("")).alias("html"))
-    src = src.withColumn("key", F.concat(F.sha2("html", 256), F.lit("-"), F.octet_length("html")))
-    long = src.filter(F.octet_length("html") >= shortest)
+    none = (F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
+    short = src.filter(F.octet_length("html") < shortest).select("page_id", "url", "html", *none)
+    long = src.filter(F.octet_length("html") >= shortest).withColumn("key", F.concat(F.sha2("html", 256), F.lit("-"), F.octet_length("html")))
     groups = long.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n"))
     groups = materialize(groups.filter("n > 1"), "equal-payloads")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
-        return src.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
-    copies = join_spread(src.select("key", "page_id", "url", "html"), groups, "key", total)
+        return short.unionByName(long.select("page_id", "url", "html", *none))
+    many = F.col("n") > total / HOT  # fewer than HOT payloads
+    hot, rest = F.broadcast(groups.filter(many).drop("n")), groups.filter(~many).drop("n")
+    joined = long.join(hot, "key").unionByName(long.join(hot.select("key"), "key", "left_anti").join(rest, "key", "left"))
     again = F.col("last.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last.page_id"))
-    out = copies.select("page_id", "url", "html", F.when(again, F.col("last.page_id")).alias("refers_to"), F.when(again, F.col("last.url")).alias("refers_url"))
-    single = src.join(groups.select("key"), "key", "left_anti")
-    return out.unionByName(single.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url")))
+    return short.unionByName(joined.select("page_id", "url", "html", F.when(again, F.col("last.page_id")).alias("refers_to"), F.when(again, F.col("last.url")).alias("refers_url")))
 
 
 def write(decided: DataFrame, uri: str, roll: int = ROLL) -> DataFrame:
