@@ -104,7 +104,9 @@ def test_inflated(size):
         list(warc.inflated(io.BytesIO(packed[:-9]).read))
 
 
-def test_archives(spark):
+@pytest.mark.parametrize("hot", [2, warc.HOT])
+def test_archives(spark, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT", hot)
     long = "x" * 1000
     rows = [(1, "u1", long), (2, "u2", long), (3, None, long), (3, "u3", long), (4, "u4", "x" * 999), (5, "u5", "x" * 999), (6, "u 6\r\nX: y", "é" * 500), (7, "u7", "é" * 500), (8, "u8", None), (9, "u9", ""), (None, "n", long), (None, "n", "y" * 2000), (None, "n", "y" * 2000), (10, "u10", "\r\n\r\nWARC/1.1\r\n" * 200)]
     pages = spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, key string, n int").repartition(3)
