@@ -124,3 +124,31 @@ def test_soft_labels_are_cross_entropy(planted):
     assert all(got[r.series_id, r.t] == pytest.approx(r.q, abs=1e-6) for r in plain.collect())
     soft = nested.soft_rows(data.withColumn("q", F.lit(0.3)), 0.5)
     assert soft.agg(F.sum("weight")).first()[0] == pytest.approx(data.count())
+
+
+def test_battery_goes_on_where_it_ended(spark, planted, tmp_path, monkeypatch):
+    from seismark.plans import battery
+
+    rows, book = planted.withColumn("fold", F.col("series_id") % 2), f"file://{tmp_path}/ledger"
+    arms = [battery.Arm("base", ("b",)), battery.Arm("both", ("a", "b"), "pairwise"), battery.Arm("held", ("b",), persistence="runmax")]
+    ran, plain = [], battery.scores
+
+    def counted(held, arm, folds):
+        ran.append(arm.name)
+        if arm.name == "both" and len(ran) == 2:
+            raise RuntimeError("the driver is lost")
+        return plain(held, arm, folds)
+
+    monkeypatch.setattr(battery, "scores", counted)
+    with pytest.raises(RuntimeError):
+        battery.run(rows, arms, book, range(2))
+    keys = battery.run(rows.repartition(5), arms, book, range(2))  # the same sample in another order
+    assert ran == ["base", "both", "both", "held"] and battery.ledger(spark, book).count() == 3
+    again = battery.run(rows, [battery.Arm("renamed", ("b",)), battery.Arm("soft", ("b",), persistence="ewma:0.5")], book, range(2))
+    assert ran[4:] == ["soft"] and again[0] == keys[0]
+    assert battery.run(rows.filter("t < 20"), arms[:1], book, range(2)) != keys[:1] and ran[5:] == ["base"]  # another sample
+    got = {r.key: r for r in battery.ranking(battery.ledger(spark, book), keys, keys[0]).collect()}
+    assert len(got) == 3 and got[keys[0]].gain == 0 and got[keys[1]].gain > 0.05 and got[keys[1]].folds_up == 2 and got[keys[1]]["rank"] == 1
+    for bad in (battery.Arm("x", ("b",), "forest"), battery.Arm("x", ("b",), persistence="forever")):
+        with pytest.raises(ValueError, match="unknown"):
+            plain(rows, bad, range(2))
