@@ -54,8 +54,8 @@ g2 as (select f, was as m1, case when auc > old + 1e-6 then mask end as m2, case
 g3 as (select g2.f, m1, m2, g2.auc as old, ta.auc as nw from g2 join ta on ta.f = g2.f and ta.mask = 7),
 fin as (select f, m1, m2, case when m2 is not null and nw > old + 1e-6 then 7 else coalesce(m2, m1) end as mask, case when m2 is not null and nw > old + 1e-6 then nw else old end as auc from g3),
 nm as (select unnest([1, 2, 4]) as bit, unnest({MEMBERS}) as name)
-select fin.f::bigint as fold, (select name from nm where bit = m1) || coalesce('+' || (select name from nm where bit = m2 - m1), '') || case when fin.mask = 7 then '+' || (select name from nm where bit = 7 - m2) else '' end as chosen, round(fin.auc, 9) as train_auc, round(te.auc, 9) as test_auc
-from fin join te on te.f = fin.f and te.mask = fin.mask"""
+select fin.f::bigint as fold, (select name from nm where bit = m1) || coalesce('+' || (select name from nm where bit = m2 - m1), '') || case when fin.mask = 7 then '+' || (select name from nm where bit = 7 - m2) else '' end as chosen, round(fin.auc, 9) as train_auc, round(coalesce(te.auc, 0.5), 9) as test_auc
+from fin left join te on te.f = fin.f and te.mask = fin.mask"""
     )
 
 
