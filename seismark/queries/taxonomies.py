@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sequential as sq
 from ..operators import taxonomy as tx
 from ..operators.draws import PRIME, mixed_sql
+from ..sources.scratch import materialize
 from ..sources.series import SUPPLIER, planted_tau
 from ._base import obs, obs_sql, rounded
 from .sequences import _ROWS
@@ -46,7 +47,7 @@ select series_id, has_break, case when s >= {tx.LEADS} then family else 'none' e
 
 def break_families(spark, sf):
     """The leading family of every series' break, or of its placebo cut."""
-    rows = sq.inputs(obs(spark, sf, SUPPLIER), N).select("series_id", "part", "t", "z", F.when((F.col("part") == "h") & (F.col("t") < 2), None).otherwise(F.col("e")).alias("e"))
+    rows = materialize(sq.inputs(obs(spark, sf, SUPPLIER), N).select("series_id", "part", "t", "z", F.when((F.col("part") == "h") & (F.col("t") < 2), None).otherwise(F.col("e")).alias("e")), "rows")
     meta = rows.filter("part = 'o'").groupBy("series_id").agg(F.count("*").alias("n_online")).withColumn("tau", planted_tau(F.col("series_id"), HORIZON))
     return rounded(tx.leaders(tx.surprises(tx.effects(rows, tx.cuts(meta)), LEAST)))
 
