@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import calibrate as c
-from ..sources.scratch import shared_dir
+from ..sources.scratch import scratch_path, shared_dir
 from ..sources.series import USER, absorbing_label, planted_tau
 from ..streaming import engine, production, scores
 from ._base import obs_sql, rounded
@@ -52,7 +50,7 @@ def training(spark, sf):
 
 def production_stream(spark, sf):
     """A model is fitted, saved, loaded by its manifest, and applied to the stream of all events."""
-    folder = f"{shared_dir(spark)}/seismark/model-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "model")
     production.save(production.fit(training(spark, sf), MEMBERS, USER.n_hist, {"partition": "development"}), spark, folder)
     model = production.load(spark, folder, {"partition": "development", "n_members": len(MEMBERS), "blend": "scdf", "n_hist": USER.n_hist})
     return rounded(_run(spark, sf, lambda rows: production.stream(rows, model)))

@@ -24,9 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """The rows written once and read again: what follows neither computes them twice nor loses them with an executor."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new folder below the shared one, removed when the driver ends."""
     path = f"{shared_dir(spark)}/seismark/{tag}-{uuid.uuid4().hex}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -38,5 +37,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
             return
 
     atexit.register(remove)
+    return path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """The rows written once to Parquet and read again: what follows neither computes them twice nor loses them with an executor."""
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
