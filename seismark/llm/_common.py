@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import materialize, scratch_path, shared_dir  # noqa: F401  used by the operators
+
 #: Bytes that separate words in every operator here: space, \t, \n, \v, \f, \r (what bytes.split() splits on).
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of text that a worker takes from an Arrow batch at once.
@@ -24,46 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir where the cluster
-    names it; else, on a local master only, a temporary folder that is then set as the checkpoint folder."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seismark-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new folder below the shared one, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/seismark/{tag}-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def remove() -> None:
-        try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            return
-
-    atexit.register(remove)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage through a Parquet table in the shared folder, so that a lost executor costs its tasks only."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def field(name: str) -> Column:
     """A column by its whole name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
