@@ -8,6 +8,7 @@ from ..operators import calibrate as c
 from ..operators import panel as p
 from ..operators.draws import PRIME, mixed_sql
 from ..plans import pairwise, portfolio
+from ..sources.scratch import scratch_path
 from ._base import panel, panel_sql, rounded
 
 QUERIES, ORACLE = {}, {}
@@ -81,3 +82,17 @@ def distilled(spark, sf):
 
 
 QUERIES |= {"q_distilled": distilled}
+
+
+def battery_ranking(spark, sf):
+    """Arms over one sample of three columns, by their gain over the level alone."""
+    from ..plans import battery
+
+    rows = _rows(spark, sf).withColumn("fold", c.fold_of(F.col("series_id"), 3))
+    arms = [battery.Arm("level", ("b",)), battery.Arm("sums", ("a", "b", "cc"), "weighted"), battery.Arm("paired", ("a", "b", "cc"), "pairwise"), battery.Arm("held", ("b",), persistence="decaymax:0.98")]
+    book = scratch_path(spark, "ledger")
+    keys = battery.run(rows, arms, book, range(3))
+    return rounded(battery.ranking(battery.ledger(spark, book), keys, keys[0]).drop("key"), 4)
+
+
+QUERIES |= {"q_battery": battery_ranking}
