@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 
 def imputed(rows: DataFrame, cols: list[str]) -> DataFrame:
     """Missing values become 0 with one flag for each row, as the learners take no NaN."""
@@ -56,7 +58,7 @@ def pair_weights(rows: DataFrame) -> DataFrame:
 def router(rows: DataFrame, cols: list[str], k: int = 6, seed: int = 42, folds: int = 5) -> DataFrame:
     """Cluster of each series (rows: fold, cols): the centres for a fold's series are fitted on the other folds' alone, so cluster numbers
     compare within a fold only."""
-    data = VectorAssembler(inputCols=cols, outputCol="raw").transform(rows)
+    data = VectorAssembler(inputCols=cols, outputCol="raw").transform(materialize(rows, "routed"))  # every fold's fit passes over them several times
     parts = [Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), KMeans(k=k, seed=seed)]).fit(data.filter((F.col("fold") != f) & (F.col("fold") >= 0))).transform(data.filter(F.col("fold") == f)) for f in range(folds)]
     out = parts[0]
     for p in parts[1:]:
