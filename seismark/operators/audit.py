@@ -165,7 +165,10 @@ def transients(df: DataFrame, z: str, cut: float) -> DataFrame:
 
 def ecdf_knots(hist: DataFrame, knots: int = 256, x: str = "x") -> DataFrame:
     """(series_id, k, q): the values at shares (k + 1/2) / knots of the history, interpolated."""
-    return order_statistics(hist, x, [(k + 0.5) / knots for k in range(knots)], ("series_id",))
+    shares = F.array(*[F.lit((k + 0.5) / knots) for k in range(knots)])
+    # a history has a bounded length, so its values are one aggregate's state
+    q = hist.groupBy("series_id").agg(F.percentile(F.col(x).cast("double"), shares).alias("q"))
+    return q.select("series_id", F.posexplode("q").alias("k", "q"))
 
 
 def longest_run_law(df: DataFrame, size: str, cut: str, p: float = 0.10) -> DataFrame:
