@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 
 BLOCK, PIECES = 256, 8
+#: Windows of a pair of chunks that are measured first for each query, distances taken at once, and pairs of chunks in one frame of results.
+FIRST, AT_ONCE, TOGETHER = 8, 1 << 14, 64
 
 
 def chunks(rows: DataFrame, m: int, block: int = BLOCK) -> DataFrame:
@@ -44,21 +46,30 @@ def nearest(q: np.ndarray, r: np.ndarray, m: int, bound: np.ndarray, gap: int |
     begin ``gap`` or more before a query's, both counted from r's first."""
     (qw, qp), (rw, rp) = shapes(q, m), shapes(r, m)
     low = np.maximum((qp * qp).sum(1)[:, None] + (rp * rp).sum(1)[None] - 2 * qp @ rp.T, 0.0)
+    if gap is not None:  # windows that are not clear of the query's are never open
+        low[np.arange(len(rw)) >= np.arange(len(qw))[:, None] + gap] = np.inf
     best, place, measured = np.full(len(qw), np.inf), np.full(len(qw), -1), 0
-    for i in range(len(qw)):
-        last = len(rw) if gap is None else min(max(i + gap, 0), len(rw))
-        limit = bound[i] + 1e-9
-        open_ = np.flatnonzero(low[i, :last] <= limit)
-        while len(open_):  # the most promising first: each batch tightens the limit
-            now = open_[np.argsort(low[i, open_], kind="stable")[:32]]
-            d = ((rw[now] - qw[i]) ** 2).sum(axis=1)
-            measured += len(now)
-            k = np.lexsort((now, d))[0]
-            if (d[k], now[k]) < (best[i], place[i]) or place[i] < 0:
-                best[i], place[i] = d[k], now[k]
-            limit = min(limit, best[i] + 1e-9)
-            open_ = np.setdiff1d(open_, now, assume_unique=True)
-            open_ = open_[low[i, open_] <= limit]
+    limit = np.asarray(bound, float) + 1e-9
+    first = min(FIRST, len(rw))
+    for last in (False, True):  # the most promising of every query tighten its limit; then all that are still open
+        if last:
+            i, j = np.nonzero((low <= limit[:, None]) & np.isfinite(low))
+        else:
+            j = np.argpartition(low, first - 1, axis=1)[:, :first].ravel()
+            i = np.repeat(np.arange(len(qw)), first)
+            held = (low[i, j] <= limit[i]) & np.isfinite(low[i, j])
+            i, j = i[held], j[held]
+            low[i, j] = np.inf  # measured
+        if not len(i):
+            continue
+        d = np.concatenate([((rw[j[a : a + AT_ONCE]] - qw[i[a : a + AT_ONCE]]) ** 2).sum(axis=1) for a in range(0, len(i), AT_ONCE)])
+        measured += len(i)
+        order = np.lexsort((j, d, i))
+        top = order[np.flatnonzero(np.diff(i[order], prepend=-1))]  # of equal distances the first place
+        q, dq, jq = i[top], d[top], j[top]
+        less = (place[q] < 0) | (dq < best[q]) | ((dq == best[q]) & (jq < place[q]))
+        best[q[less]], place[q[less]] = dq[less], jq[less]
+        limit = np.minimum(limit, best + 1e-9)
     return best, place, measured
 
 
@@ -84,12 +95,23 @@ def neighbours(rows: DataFrame, m: int, block: int = BLOCK) -> DataFrame:
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            made = []
             for p in f.itertuples(index=False):
                 n = len(p.qx) - m + 1
                 bound = np.full(n, np.inf) if p.bounds is None else np.asarray(p.bounds, float)
                 gap = None if p.part == "h" else (p.qc - p.rc) * block - m + 1
                 d, place, measured = nearest(p.qx, p.rx, m, bound, gap)
-                yield pd.DataFrame({"series_id": p.series_id, "part": p.part, "qc": p.qc, "i": np.arange(n), "d": d, "place": np.where(place >= 0, place + p.rc * block, -1), "measured": measured / n})
+                made.append((p.series_id, p.part, p.qc, np.arange(n), d, np.where(place >= 0, place + p.rc * block, -1), np.full(n, measured / n)))
+                if len(made) == TOGETHER:
+                    yield together(made)
+                    made = []
+            if made:
+                yield together(made)
+
+    def together(made: list[tuple]) -> pd.DataFrame:
+        sizes = [len(x[3]) for x in made]
+        once = {c: pd.Series([x[k] for x in made]).repeat(sizes).reset_index(drop=True) for k, c in enumerate(("series_id", "part", "qc"))}
+        return pd.DataFrame(once | {c: np.concatenate([x[k] for x in made]) for k, c in enumerate(("i", "d", "place", "measured"), 3)})
 
     schema = f"series_id {kind}, part string, qc long, i long, d double, place long, measured double"
     with_values = lambda p: p.join(q.select("series_id", "qc", "qx"), ["series_id", "qc"]).join(r.select("series_id", "part", "rc", "rx"), ["series_id", "part", "rc"])

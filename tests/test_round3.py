@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from pyspark.sql import types as T
 from seismark.functions import kernels as k
 from seismark.functions import modules as m
 from seismark.functions.lengthnull import LengthNull
+from seismark.operators import audit
+from seismark.operators import neighbours as nb
 from seismark.plans import learn
 
 
@@ -60,3 +64,28 @@ def test_module_columns_come_through_arrow_as_nulls(spark):
     for name, column in want.items():
         for t, v in enumerate(column):
             assert got[t][name] is None if np.isnan(v) else got[t][name] == v
+
+
+def test_a_pair_of_chunks_is_measured_at_once():
+    rng = np.random.default_rng(6)
+    q, r = np.round(rng.normal(size=271), 1), np.round(rng.normal(size=300), 1)
+    took = []
+    for _ in range(5):
+        begin = time.perf_counter()
+        d, place, measured = nb.nearest(q, r, 16, np.full(256, np.inf), None)
+        took.append(time.perf_counter() - begin)
+    qw, rw = nb.shapes(q, 16)[0], nb.shapes(r, 16)[0]
+    whole = np.stack([((rw - v) ** 2).sum(axis=1) for v in qw])
+    assert (d == whole.min(axis=1)).all() and (place == whole.argmin(axis=1)).all() and measured < 0.6 * whole.size
+    assert min(took) < 0.03  # 256 queries in a loop took 0.045 s where this takes 0.005 s
+
+
+def test_knots_are_one_aggregate(spark):
+    x = np.random.default_rng(7).integers(0, 1000, (3, 300))
+    rows = spark.createDataFrame([(s, int(v)) for s, row in enumerate(x) for v in row] + [(9, None)], "series_id long, x long")
+    found = audit.ecdf_knots(rows)
+    assert "_below" not in found._jdf.queryExecution().toString()  # no running sums of 256 places beside every value
+    got = {(r["series_id"], r["k"]): r["q"] for r in found.collect()}
+    assert len(got) == 3 * 256
+    for (s, k_), q in got.items():
+        assert q == np.quantile(x[s], (k_ + 0.5) / 256)
