@@ -27,6 +27,11 @@ def nearest_window(t: Column) -> Column:
     return out.cast("int")
 
 
+def settled(d: Column) -> Column:
+    """A path's value to nine decimals: values that differ only in the last bits of their sums tie, in whatever order they were added."""
+    return F.round(d, 9)
+
+
 def maxima(paths: DataFrame, peaked: Sequence[str]) -> DataFrame:
     """Wide paths with what the nulls and lookups need: ``<det>_m<w>``, trailing maxima of complete windows (history), and for online rows the running ``<det>_peak`` of every
     path and ``<det>_faded``, the peak that loses half of its height in HALF_LIFE rows; ``n`` rows of the part."""

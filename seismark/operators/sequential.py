@@ -81,7 +81,7 @@ def sequential(obs: DataFrame, n_hist: int) -> DataFrame:
     signed = list(ROBUST.values())
     means = scanned_paths(rows).withColumns({f"{n}_signed": F.col(n) for n in signed} | {n: F.abs(n) for n in signed})
     dets, usual = [*FULL, *SMALL, *LEVEL, *signed], [*FULL, *SMALL, *LEVEL]
-    paths = wide_paths(rows).join(means, [*KEYS, "t"]).select(*KEYS, "t", *dets, *[f"{n}_signed" for n in signed])
+    paths = wide_paths(rows).join(means, [*KEYS, "t"]).select(*KEYS, "t", *[pn.settled(F.col(d)).alias(d) for d in dets], *[f"{n}_signed" for n in signed])
     wide = materialize(pn.maxima(paths, FULL), "paths").repartition("series_id")  # written once: nulls, lookups and shapes read it
     null = pn.samples(wide, dets, FULL)
     judged = pn.lookups(usual, FULL)
@@ -112,7 +112,7 @@ def path_surprise(obs: DataFrame, n_hist: int, slack: float = 0.5) -> DataFrame:
     upto = Window.partitionBy(*KEYS).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     sums = z.repartition("series_id").withColumns({"up": F.sum(F.col("z") - slack).over(upto), "dn": F.sum(-F.col("z") - slack).over(upto)})
     d = F.greatest(*[F.col(n) - F.least(F.lit(0.0), F.min(n).over(upto)) for n in ("up", "dn")])
-    wide = pn.maxima(sums.select(*KEYS, "t", d.alias("d")), ["d"])
+    wide = pn.maxima(sums.select(*KEYS, "t", pn.settled(d).alias("d")), ["d"])
     null, judged = pn.samples(wide, ["d"], ["d"]), [("d", "cur"), ("d", "pk")]
     found = pn.upper_surprise(wide, null, ["d"], judged)
     online = wide.filter("part = 'o'").select("series_id", F.col("t").cast("long").alias("t"), "d").join(pn.laws(null, ["d"]), "series_id").join(found, ["series_id", "t"])

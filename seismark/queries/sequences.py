@@ -49,7 +49,7 @@ c1 as (select series_id, part, t, {c1} from c0 window w as ({_W})), c2 as (selec
 wide as (select c2.*, {both}, ph_up as phu, ph_dn as phd, glz, glz_mix, gle from c2 join {_dyadic('glz', 'cz')} using (series_id, part, t) join {_dyadic('gle', 'ce')} using (series_id, part, t)),
 r as (select series_id, part, t, m_sq, {first} from rw where t = 0 union all select o.series_id, o.part, o.t, o.m_sq, {after} from r join rw o on o.series_id = r.series_id and o.part = r.part and o.t = r.t + 1),
 mn as (select series_id, part, t, srz, {means} from r),
-pt as materialized (select series_id, part, t, c.det as det, c.d as d, c.s as s from (select series_id, part, t, unnest([{cells}]) as c from wide union all select series_id, part, t, unnest([{more}]) as c from mn))"""
+pt as materialized (select series_id, part, t, c.det as det, round(c.d, 9) as d, c.s as s from (select series_id, part, t, unnest([{cells}]) as c from wide union all select series_id, part, t, unnest([{more}]) as c from mn))"""
 
 
 def _judged(peaked: str, asked: str) -> str:
@@ -73,7 +73,7 @@ _NEAR = "case when (t + 1) * (t + 1) <= 4096 then 32 when (t + 1) * (t + 1) <= 6
 PATH_SQL = (
     "with " + obs_sql(SUPPLIER) + f""", hz as (select o.series_id, case when i < {N} then 'h' else 'o' end as part, case when i < {N} then i else i - {N} end as t, (x - mu) / sd as z from obs o join par using (series_id)),
 su as (select *, sum(z - 0.5) over w as u, sum(-z - 0.5) over w as dn from hz window w as ({_W})),
-pt as materialized (select series_id, part, 'cusum' as det, t, greatest(u - least(0.0, min(u) over w), dn - least(0.0, min(dn) over w)) as d, 0.0 as s from su window w as ({_W}))"""
+pt as materialized (select series_id, part, 'cusum' as det, t, round(greatest(u - least(0.0, min(u) over w), dn - least(0.0, min(dn) over w)), 9) as d, 0.0 as s from su window w as ({_W}))"""
     + _judged("true", f"{{'kind': 'cur', 'w': 0, 'x': d}}, {{'kind': 'pk', 'w': {_NEAR}, 'x': peak}}")
     + " select series_id, t, round(max(case when kind = 'cur' then x end), 6) + 0.0 as d, round(max(case when kind = 'cur' then s end), 6) + 0.0 as cur, round(max(case when kind = 'pk' then s end), 6) + 0.0 as pk from sc group by series_id, t"
 )

@@ -13,6 +13,7 @@ from seismark.functions import modules as m
 from seismark.functions.lengthnull import LengthNull
 from seismark.operators import audit
 from seismark.operators import neighbours as nb
+from seismark.operators import sequential as sq
 from seismark.plans import learn
 
 
@@ -89,3 +90,25 @@ def test_knots_are_one_aggregate(spark):
     assert len(got) == 3 * 256
     for (s, k_), q in got.items():
         assert q == np.quantile(x[s], (k_ + 0.5) / 256)
+
+
+def test_path_values_that_differ_in_their_last_bits_tie(spark):
+    rng = np.random.default_rng(8)
+    cents = rng.integers(-2, 3, 400) * 100 + 37  # few values: a path meets its own past again and again
+    rows = spark.createDataFrame([(1, i, int(c), c / 100.0) for i, c in enumerate(cents.tolist())], "series_id long, i long, cents long, x double")
+    got = {r["t"]: r["cur"] for r in sq.path_surprise(rows, 300).collect()}
+    x = cents / 100.0
+    z = (x - x[:300].mean()) / x[:300].std(ddof=1)
+
+    def path(v):
+        up = dn = 0.0
+        for s in v:
+            up, dn = max(0.0, up + s - 0.5), max(0.0, dn - s - 0.5)
+            yield round(max(up, dn), 9)
+
+    null, d = np.sort(np.array(list(path(z[:300])))[64:]), np.array(list(path(z[300:])))
+    share = 1 - 0.5 * (np.searchsorted(null, d, "left") + np.searchsorted(null, d, "right")) / len(null)
+    inside = d <= null[-1]
+    want = -np.log10(np.maximum(share, 0.5 / len(null)))
+    assert inside.sum() > 50
+    np.testing.assert_allclose(np.array([got[t] for t in range(100)])[inside], want[inside], atol=1e-6)
