@@ -15,6 +15,7 @@ from seismark.operators import audit
 from seismark.operators import neighbours as nb
 from seismark.operators import sequential as sq
 from seismark.plans import learn
+from seismark.queries import QUERIES
 
 
 def test_router_computes_its_rows_once(spark):
@@ -112,3 +113,8 @@ def test_path_values_that_differ_in_their_last_bits_tie(spark):
     want = -np.log10(np.maximum(share, 0.5 / len(null)))
     assert inside.sum() > 50
     np.testing.assert_allclose(np.array([got[t] for t in range(100)])[inside], want[inside], atol=1e-6)
+
+
+def test_forests_read_written_rows(spark):
+    found = QUERIES["q_rf_baseline"](spark, "/root/testdata/sf0.001")
+    assert all("/baseline-" in f for f in found.inputFiles()) and found.inputFiles()
