@@ -112,8 +112,8 @@ def path_surprise(obs: DataFrame, n_hist: int, slack: float = 0.5) -> DataFrame:
     upto = Window.partitionBy(*KEYS).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     sums = z.repartition("series_id").withColumns({"up": F.sum(F.col("z") - slack).over(upto), "dn": F.sum(-F.col("z") - slack).over(upto)})
     d = F.greatest(*[F.col(n) - F.least(F.lit(0.0), F.min(n).over(upto)) for n in ("up", "dn")])
-    wide = pn.maxima(sums.select(*KEYS, "t", pn.settled(d).alias("d")), ["d"])
+    wide = pn.maxima(sums.select(*KEYS, "t", pn.settled(d).alias("d"), d.alias("raw")), ["d"])
     null, judged = pn.samples(wide, ["d"], ["d"]), [("d", "cur"), ("d", "pk")]
     found = pn.upper_surprise(wide, null, ["d"], judged)
-    online = wide.filter("part = 'o'").select("series_id", F.col("t").cast("long").alias("t"), "d").join(pn.laws(null, ["d"]), "series_id").join(found, ["series_id", "t"])
+    online = wide.filter("part = 'o'").select("series_id", F.col("t").cast("long").alias("t"), F.col("raw").alias("d")).join(pn.laws(null, ["d"]), "series_id").join(found, ["series_id", "t"])
     return online.select("series_id", "t", "d", *[pn.surprise(F.col("found")[i], F.col("law")[0]).alias(k) for i, (_, k) in enumerate(judged)])

@@ -73,9 +73,9 @@ _NEAR = "case when (t + 1) * (t + 1) <= 4096 then 32 when (t + 1) * (t + 1) <= 6
 PATH_SQL = (
     "with " + obs_sql(SUPPLIER) + f""", hz as (select o.series_id, case when i < {N} then 'h' else 'o' end as part, case when i < {N} then i else i - {N} end as t, (x - mu) / sd as z from obs o join par using (series_id)),
 su as (select *, sum(z - 0.5) over w as u, sum(-z - 0.5) over w as dn from hz window w as ({_W})),
-pt as materialized (select series_id, part, 'cusum' as det, t, round(greatest(u - least(0.0, min(u) over w), dn - least(0.0, min(dn) over w)), 9) as d, 0.0 as s from su window w as ({_W}))"""
+pt as materialized (select series_id, part, 'cusum' as det, t, greatest(u - least(0.0, min(u) over w), dn - least(0.0, min(dn) over w)) as s, round(s, 9) as d from su window w as ({_W}))"""
     + _judged("true", f"{{'kind': 'cur', 'w': 0, 'x': d}}, {{'kind': 'pk', 'w': {_NEAR}, 'x': peak}}")
-    + " select series_id, t, round(max(case when kind = 'cur' then x end), 6) + 0.0 as d, round(max(case when kind = 'cur' then s end), 6) + 0.0 as cur, round(max(case when kind = 'pk' then s end), 6) + 0.0 as pk from sc group by series_id, t"
+    + " select series_id, t, round(max(pt.s), 6) + 0.0 as d, round(max(case when kind = 'cur' then sc.s end), 6) + 0.0 as cur, round(max(case when kind = 'pk' then sc.s end), 6) + 0.0 as pk from sc join pt using (series_id, t) where pt.part = 'o' group by series_id, t"
 )
 
 
