@@ -2,8 +2,8 @@
 
 A series' state is a fixed number of values, however long it lives: the history's sums (integer cents, exact in any order), the sums and extremes of the
 online recursions, and a ring of the last ``RING`` running sums, from which every trailing window up to that length is a difference. A row costs one
-step of each recursion and one difference for each window: nothing is read again. The state of a micro-batch's series is
-loaded once and stored once. Rows that are not later than a series' last one are dropped; with ``idle_ms`` the state of a series that gets
+step of each recursion and one difference for each window: nothing is read again. The state of a micro-batch's series is one value, loaded once and stored once, with as much of the
+ring as is in use. Rows that are not later than a series' last one are dropped; with ``idle_ms`` the state of a series that gets
 no rows for so long goes, and it begins anew.
 
 ``batch`` gives the same columns from windows over a table; both are tested against each other."""
@@ -58,6 +58,15 @@ class Series:
     def head(self) -> tuple:
         return tuple(getattr(self, c) for c in _HEAD)
 
+    def state(self) -> tuple:
+        """The head's values, and as much of the ring as is in use."""
+        return (*self.head(), self.ring[: max(self.n - self.n_hist, -1) + 1])
+
+    @classmethod
+    def resumed(cls, n_hist: int, state: tuple) -> Series:
+        *head, ring = state
+        return cls(n_hist, *head, ring=list(ring) + [0] * (RING - len(ring)))
+
     def push(self, ts: int, row: int, cents: int) -> tuple | None:
         """The row's t and columns; None within the history, and for a row that is late."""
         if (ts, row) <= (self.ts, self.row):
@@ -96,21 +105,20 @@ class Engine(StatefulProcessor):
         self.n_hist, self.idle_ms = n_hist, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", HEAD, ttlDurationMs=self.idle_ms)
-        self.ring = handle.getListState("ring", "total long", ttlDurationMs=self.idle_ms)
+        self.held = handle.getValueState("series", f"{HEAD}, ring array<long>", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, ANN001
-        held = self.head.get()
-        one = Series(self.n_hist, *held) if held else Series(self.n_hist)
-        if held and one.n > self.n_hist:
-            one.ring = [r[0] for r in self.ring.get()]
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "row_id"], kind="stable")
-        made = [(key[0], *got) for ts, row, cents in zip(pdf["ts_us"].tolist(), pdf["row_id"].tolist(), pdf["cents"].tolist(), strict=True) if (got := one.push(ts, row, cents))]
-        self.head.update(one.head())
-        if one.n > self.n_hist:
-            self.ring.put([(v,) for v in one.ring])
-        out = pd.DataFrame(made, columns=["series_id", "t", *COLUMNS])
-        yield out.astype({c: "float64" for c in COLUMNS})
+        held = self.held.get()
+        one = Series.resumed(self.n_hist, tuple(held)) if held else Series(self.n_hist)
+        ts, row, cents = (np.concatenate(parts) for parts in zip(*[[p[c].to_numpy() for c in ("ts_us", "row_id", "cents")] for p in rows], strict=True))
+        order = np.lexsort((row, ts))
+        made = [got for v in zip(ts[order].tolist(), row[order].tolist(), cents[order].tolist(), strict=True) if (got := one.push(*v))]
+        self.held.update(one.state())  # one value: each state variable read or written is a round trip
+        made = np.array(made, dtype=float).reshape(-1, 1 + len(COLUMNS))
+        out = pd.DataFrame(made[:, 1:], columns=COLUMNS)
+        out.insert(0, "t", made[:, 0].astype(np.int64))
+        out.insert(0, "series_id", key[0])
+        yield out
 
     def close(self) -> None:
         return
