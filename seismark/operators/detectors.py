@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.series import spread_evenly
+
 
 def baseline_features(df: DataFrame, x: str = "x", order: str = "i") -> DataFrame:
     """Means and deviations of three, two lags and differences, gaps at the start filled from the next row (which looks ahead)."""
@@ -50,6 +53,10 @@ def rising_edges(df: DataFrame, flag: str = "flag", order: str = "i") -> DataFra
     return df.withColumn("_b", before).filter((F.col(flag) == 1) & (F.col("_b") == 0)).drop("_b")
 
 
+#: Ends between two prunings of the open starts.
+PRUNE = 16
+
+
 def pelt_breaks(x: np.ndarray, penalty: float | None = None, least: int = 2) -> list[int]:
     """Starts of all segments but the first under squared-error cost, by pruned exact partitioning."""
     n = len(x)
@@ -61,17 +68,29 @@ def pelt_breaks(x: np.ndarray, penalty: float | None = None, least: int = 2) ->
     cost = np.full(n + 1, np.inf)
     cost[0] = -beta
     last = np.zeros(n + 1, np.int64)
-    live = np.array([0])
-    for end in range(least, n + 1):
-        size = end - live
-        ok = size >= least
-        s1, s2 = c1[end] - c1[live], c2[end] - c2[live]
-        with np.errstate(invalid="ignore"):
-            total = cost[live] + s2 - s1 * s1 / size + beta
-        total = np.where(ok, total, np.inf)
-        k = int(total.argmin())
-        cost[end], last[end] = total[k], live[k]
-        live = np.append(live[~ok | (total - beta <= cost[end])], end - least + 1)
+    # the open starts, the first ``m`` places of each array; they are gone through once in ``PRUNE`` ends, as a start kept too long costs time alone
+    live, base, s1, s2 = np.zeros(n + 1), np.empty(n + 1), np.empty(n + 1), np.empty(n + 1)
+    base[0], s1[0], s2[0], m = cost[0], c1[0], c2[0], 1
+    room, spare = np.empty(n + 1), np.empty(n + 1)
+    for end, e1, e2 in zip(range(least, n + 1), c1[least:].tolist(), c2[least:].tolist(), strict=True):
+        total, gain = room[:m], spare[:m]
+        np.subtract(e1, s1[:m], out=gain)
+        np.multiply(gain, gain, out=gain)
+        np.subtract(end, live[:m], out=total)
+        np.divide(gain, total, out=gain)
+        np.subtract(e2, s2[:m], out=total)
+        np.add(total, base[:m], out=total)
+        np.subtract(total, gain, out=total)
+        k = total.argmin()
+        cost[end], last[end] = total[k] + beta, live[k]
+        if not end % PRUNE:
+            keep = np.flatnonzero(total <= cost[end])
+            m = len(keep)
+            for held in (live, base, s1, s2):
+                held[:m] = held[keep]
+        new = end - least + 1
+        live[m], base[m], s1[m], s2[m] = new, cost[new], c1[new], c2[new]
+        m += 1
     out, at = [], n
     while at > 0:
         at = int(last[at])
@@ -83,17 +102,18 @@ def pelt_breaks(x: np.ndarray, penalty: float | None = None, least: int = 2) ->
 def pelt(df: DataFrame) -> DataFrame:
     """Score |segment mean - overall mean|, flags at segment starts. One task for each series; a series is a bounded unit."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        x = pdf["x"].to_numpy(float)
+    def run(group: pa.Table) -> pa.Table:  # Arrow alone: a frame costs time for every column of every series
+        i = group["i"].to_numpy()
+        order = np.argsort(i, kind="stable")
+        x = group["x"].to_numpy().astype(float)[order]
         cuts = pelt_breaks(x)
-        score, flag = np.zeros(len(x)), np.zeros(len(x), np.int64)
+        score, flag, whole = np.zeros(len(x)), np.zeros(len(x), np.int64), x.mean()
         for a, z in zip([0, *cuts], [*cuts, len(x)], strict=True):
-            score[a:z] = abs(x[a:z].mean() - x.mean())
+            score[a:z] = abs(x[a:z].mean() - whole)
         flag[cuts] = 1
-        return pd.DataFrame({"series_id": pdf["series_id"], "i": pdf["i"], "score": np.round(score, 6), "flag": flag})
+        return pa.Table.from_arrays([group["series_id"], pa.array(i[order]), pa.array(np.round(score, 6)), pa.array(flag)], ["series_id", "i", "score", "flag"])
 
-    return df.select("series_id", "i", "x").groupBy("series_id").applyInPandas(run, "series_id long, i long, score double, flag long")
+    return spread_evenly(df.select("series_id", "i", "x")).groupBy("series_id").applyInArrow(run, "series_id long, i long, score double, flag long")
 
 
 def point_metrics(truth: DataFrame, found: DataFrame, tolerance: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
+from seismark.operators import detectors as det
 from seismark.streaming import engine
 
 
@@ -45,3 +46,27 @@ def test_engine_reads_and_writes_one_state_value_a_batch():
     rows = pd.concat(got, ignore_index=True)
     assert rows["t"].tolist() == list(range(660)) and set(rows["series_id"]) == {7}
     np.testing.assert_array_equal(rows[engine.COLUMNS].to_numpy(), engine.arrays(cents / 100, 40))
+
+
+def test_pelt_breaks_are_those_of_all_starts_and_come_without_frames(spark):
+    rng = np.random.default_rng(2)
+    series = [np.round(np.repeat(rng.normal(size=n) * 3, 17) + rng.normal(size=17 * n), 2) for n in (1, 3, 9)]
+    for x in series:  # every start is tried at every end
+        n, beta = len(x), 2 * np.log(len(x)) * x.var()
+        cost, last = [-beta] + [np.inf] * n, [0] * (n + 1)
+        for end in range(2, n + 1):
+            of = [cost[a] + float(((x[a:end] - x[a:end].mean()) ** 2).sum()) + beta for a in range(end - 1)]
+            cost[end], last[end] = min(of), int(np.argmin(of))
+        cuts, at = [], last[n]
+        while at:
+            cuts, at = [at, *cuts], last[at]
+        assert det.pelt_breaks(x) == cuts
+    rows = [(k, i, float(v)) for k, x in enumerate(series) for i, v in enumerate(x)]
+    found = det.pelt(spark.createDataFrame(rows, "series_id long, i long, x double").orderBy("x"))
+    got = {k: f.sort_values("i") for k, f in found.toPandas().groupby("series_id")}
+    for k, x in enumerate(series):
+        cuts = det.pelt_breaks(x)
+        assert np.flatnonzero(got[k]["flag"]).tolist() == cuts and got[k]["i"].tolist() == list(range(len(x)))
+        want = np.concatenate([np.full(z - a, abs(x[a:z].mean() - x.mean())) for a, z in zip([0, *cuts], [*cuts, len(x)], strict=True)])
+        np.testing.assert_allclose(got[k]["score"], want, atol=1e-6)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
