@@ -29,13 +29,14 @@ def fit_time_cdf(rows: DataFrame, at: list[int], quantiles: int = 16, least: int
     # the pooled scores are one more anchor, whose few order statistics thin anchors take over
     pool = rows.groupBy(F.lit(-1).cast("long").alias("a"), F.col(score).alias("s")).agg(F.count("*").alias("n"))
     c = prefixes(near.unionByName(pool), ["a"], "s", ["n"])
-    place = lambda k: F.floor(k * (F.col("n_all") - 1) / F.lit(quantiles - 1)).cast("long")
-    held = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(quantiles - 1).cast("long")), lambda k: (place(k) >= F.col("n_below")) & (place(k) < F.col("n_below") + F.col("n")))
-    grid = c.select("a", F.col("n_all").alias("m"), F.col("s").alias("q"), F.explode(held).alias("k"))
-    each = grid.filter((F.col("a") >= 0) & (F.col("m") >= least)).select("a", "k", "q")
-    full = each.select("a").distinct()
-    every = rows.sparkSession.createDataFrame([(a,) for a in at], "a long").join(full, "a", "left_anti").join(near.select("a").distinct(), "a", "left_semi")
-    return each.unionByName(every.crossJoin(F.broadcast(grid.filter("a = -1").select("k", "q"))).select("a", "k", "q"))  # quantiles rows for each thin anchor
+    # statistic k stands at place floor(k (n - 1) / (quantiles - 1)): a score that holds the places from x to below y has the k from ceil(x (quantiles - 1) / (n - 1)) to below the same of y
+    gaps, last = quantiles - 1, F.col("n_all") - 1
+    first = lambda x: F.when(last > 0, F.expr(f"(({x}) * {gaps} + n_all - 2) div greatest(n_all - 1, 1)")).otherwise(F.when(F.expr(x) > 0, gaps + 1).otherwise(0)).cast("long")
+    held = c.select("a", F.col("n_all").alias("m"), F.col("s").alias("q"), first("n_below").alias("lo"), F.least(first("n_below + n") - 1, F.lit(gaps).cast("long")).alias("hi")).filter("lo <= hi")
+    grid = materialize(held.select("a", "m", "q", F.explode(F.sequence("lo", "hi")).alias("k")), "grid")  # quantiles rows for each anchor
+    near_enough = grid.filter((F.col("a") >= 0) & (F.col("m") >= least)).select("a", "k", "q")
+    thin = grid.filter((F.col("a") >= 0) & (F.col("m") < least)).select("a").distinct()
+    return near_enough.unionByName(thin.crossJoin(F.broadcast(grid.filter("a = -1").select("k", "q"))).select("a", "k", "q"))
 
 
 #: Time coordinates: the log of the rows seen, t + 1; and the older log of t, with t = 0 at the place of t = 1.

@@ -8,6 +8,7 @@ import pandas as pd
 from seismark.functions import kernels as k
 from seismark.functions import modules, packs
 from seismark.functions.lengthnull import LengthNull, restarts, spread
+from seismark.operators import calibrate
 from seismark.operators import detectors as det
 from seismark.operators import scan
 from seismark.queries import QUERIES
@@ -129,3 +130,21 @@ def test_dynamics_take_the_bands_of_a_window_once(monkeypatch):
     x = np.random.default_rng(7).normal(size=600)
     modules.table(x[:300], x[300:], ["m03_dyn"])
     assert len(seen) <= 6  # three windows of the history, one or two of the online rows; 13 before
+
+
+def test_time_cdf_finds_order_statistics_by_their_place_and_keeps_them(spark):
+    rng = np.random.default_rng(8)
+    t, s = rng.integers(0, 30, 700), np.round(rng.random(700), 2)
+    rows = spark.createDataFrame([(int(a), float(b)) for a, b in zip(t, s, strict=True)], "t long, score double")
+    for at, quantiles, least in (([0, 3, 29], 16, 40), ([0, 3, 29], 256, 500), ([0, 29], 2, 1)):
+        made = calibrate.fit_time_cdf(rows, at, quantiles, least)
+        assert all("/grid-" in f for f in made.inputFiles())  # scores are ranked once, whatever reads the grid
+        half = (np.log1p(at[-1]) - np.log1p(at[0])) / (len(at) - 1)
+        want = []
+        for a in at:
+            near = np.sort(s[(t >= np.round(np.expm1(np.log1p(a) - half), 9)) & (t <= np.round(np.expm1(np.log1p(a) + half), 9))])
+            near = near if len(near) >= least else np.sort(s)
+            want += [(a, k_, float(near[k_ * (len(near) - 1) // (quantiles - 1)])) for k_ in range(quantiles)]
+        assert sorted(map(tuple, made.collect())) == want
+    one = calibrate.fit_time_cdf(rows.limit(1), [0, 3, 29], 4, 1).collect()
+    assert len({r.q for r in one}) == 1 and len(one) % 4 == 0
