@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,8 +61,8 @@ def persisted(rows: DataFrame, score: str, kind: str) -> DataFrame:
     raise ValueError(f"unknown persistence {kind!r}")
 
 
-def scores(rows: DataFrame, arm: Arm, folds: Sequence[int]) -> DataFrame:
-    """(series_id, t, y, fold, score), out of fold."""
+def raw_scores(rows: DataFrame, arm: Arm, folds: Sequence[int]) -> DataFrame:
+    """(series_id, t, y, fold, score), out of fold, before any persistence."""
     cols, n = list(arm.columns), len(folds)
     if arm.learner == "pairwise":
         out = pairwise.out_of_fold(rows, cols, "score", n, **arm.settings)
@@ -74,7 +74,12 @@ def scores(rows: DataFrame, arm: Arm, folds: Sequence[int]) -> DataFrame:
         out = learn.out_of_fold(rows, cols, learn.logistic, "score", n)
     else:
         raise ValueError(f"unknown learner {arm.learner!r}: it is one of {', '.join(LEARNERS)}")
-    return persisted(out.select("series_id", "t", "y", "fold", "score"), "score", arm.persistence)
+    return out.select("series_id", "t", "y", "fold", "score")
+
+
+def scores(rows: DataFrame, arm: Arm, folds: Sequence[int]) -> DataFrame:
+    """(series_id, t, y, fold, score), out of fold."""
+    return persisted(raw_scores(rows, arm, folds), "score", arm.persistence)
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -85,18 +90,23 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run(rows: DataFrame, arms: Sequence[Arm], path: str, folds: Sequence[int] = range(5)) -> list[str]:
-    """Runs the arms whose keys the ledger at ``path`` does not have, in order; each arm's row is written when it ends. rows: series_id, t, y, fold and the arms' columns. Returns the keys of all arms."""
+    """Runs the arms whose keys the ledger at ``path`` does not have, in order; each arm's row is written when it ends. Arms that differ in persistence alone share
+    their fits. rows: series_id, t, y, fold and the arms' columns. Returns the keys of all arms."""
     spark, folds = rows.sparkSession, list(folds)
     held = materialize(rows, "sample")
     sample = sample_digest(held)
     done = {r["key"] for r in ledger(spark, path).select("key").collect()}  # a row for each arm ever run
-    keys = []
+    keys, fitted = [], {}
     for arm in arms:
         key = key_of(arm, folds, sample)
         keys.append(key)
         if key in done:
             continue
-        scored = materialize(scores(held, arm, folds).withColumn("score", F.round("score", 9)), "scores")
+        learned = key_of(replace(arm, persistence="none"), folds, sample)
+        if learned not in fitted:
+            fitted[learned] = materialize(raw_scores(held, arm, folds), "raw-scores")
+        raw = fitted[learned]
+        scored = materialize(persisted(raw, "score", arm.persistence).withColumn("score", F.round("score", 9)), "scores")
         per = {r["fold"]: r["auc"] for r in p.pooled(p.per_step(scored, "fold", "t"), "fold").collect()}
         each = [per.get(f, 0.5) for f in folds]
         pooled = p.pooled(p.per_step(scored, "t")).first()["auc"]

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from seismark.functions import kernels as k
 from seismark.functions import modules, packs
 from seismark.functions.lengthnull import LengthNull, restarts, spread
 from seismark.operators import calibrate
 from seismark.operators import detectors as det
-from seismark.operators import scan
+from seismark.operators import panel, scan
+from seismark.plans import battery, learn
 from seismark.queries import QUERIES
 from seismark.streaming import engine
 
@@ -148,3 +150,16 @@ def test_time_cdf_finds_order_statistics_by_their_place_and_keeps_them(spark):
         assert sorted(map(tuple, made.collect())) == want
     one = calibrate.fit_time_cdf(rows.limit(1), [0, 3, 29], 4, 1).collect()
     assert len({r.q for r in one}) == 1 and len(one) % 4 == 0
+
+
+def test_arms_that_differ_in_persistence_share_their_fits(spark, tmp_path, monkeypatch):
+    fits = []
+    monkeypatch.setattr(learn, "logistic", lambda f=learn.logistic: fits.append(1) or f())
+    rows = spark.range(240).selectExpr("id % 12 as series_id", "id div 12 as t", "(id % 12) % 3 as fold", "cast(id % 2 as long) as y", "cast((id * 7) % 11 as double) as b")
+    arms = [battery.Arm("level", ("b",)), battery.Arm("held", ("b",), persistence="runmax")]
+    keys = battery.run(rows, arms, f"file://{tmp_path}/book", range(3))
+    assert len(fits) == 3 and len(set(keys)) == 2
+    got = {r["key"]: r["pooled"] for r in battery.ledger(spark, f"file://{tmp_path}/book").collect()}
+    for key, arm in zip(keys, arms, strict=True):
+        scored = battery.scores(rows, arm, [0, 1, 2]).withColumn("score", F.round("score", 9))
+        assert abs(got[key] - panel.pooled(panel.per_step(scored, "t")).first()["auc"]) < 1e-12
