@@ -112,6 +112,27 @@ def test_nulls_of_restarts_take_all_places_in_one_call():
             assert (null.samples[i] == np.sort(of)).all() and (null.middle[i], null.scale[i]) == spread(of)
 
 
+def test_a_scan_is_judged_by_many_restarts_of_a_short_history():
+    """A history shorter than the scan's span gave one restart, without spread: every z lay at the clip."""
+    rng = np.random.default_rng(12)
+    for n in (40, 300, 1024):
+        c = modules.Context(rng.normal(size=n), rng.normal(size=200))
+        got = modules.compute(c.hist, c.online, ["m11_focus"])
+        z = np.stack([got[f"m11_focus__{tag}_z"] for tag in modules.FOCUS])
+        assert (np.abs(z) < modules.FOCUS_CLIP).mean() > 0.9 and len(np.unique(got["m11_focus__mean_pct"])) > 5
+        x = np.stack([c.h["mean"], c.h["sq"]])
+        both = restarts(modules._focus_at, x, modules.FOCUS_ANCHORS, modules.FOCUS_SPAN, modules.FOCUS_RESTARTS)
+        for r, one in enumerate(x):
+            alone = restarts(modules._focus_at, one, modules.FOCUS_ANCHORS, modules.FOCUS_SPAN, modules.FOCUS_RESTARTS)
+            for null, several in zip(alone, both, strict=True):
+                assert (several[r].middle == null.middle).all() and (several[r].scale == null.scale).all()
+                assert [len(v) for v in null.samples] == [min(24, n - int(a) + 1) for a in null.lengths] and min(map(len, null.samples)) >= 8
+                assert null.lengths.tolist() == [a for a in modules.FOCUS_ANCHORS if a <= n - 7] and null.scale.min() > 1e-6
+            i = alone[0].lengths.tolist().index(16)
+            places = np.unique(np.linspace(0, n - 16, 24).astype(int))  # over the whole history
+            assert np.allclose(alone[0].samples[i], np.sort([k.focus_path(one[p : p + 16])[0][-1] for p in places]))
+
+
 def test_nulls_of_several_statistics_are_those_of_each():
     rows = {16: np.random.default_rng(5).normal(size=(4, 90)), 64: np.random.default_rng(6).normal(size=(4, 7)), 256: np.zeros((4, 0))}
     lengths = np.array(list(rows))
