@@ -13,10 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Windows of the peak nulls, fewest samples of a null, burn-in, caps of the empirical surprise and of all, half-life of decayed peaks, lag of slopes.
-PEAKS, LEAST, BURN, SURPRISE_CAP, CAP, HALF_LIFE, LAG = (32, 128, 512), 8, 64, 6.0, 12.0, 64, 16
+from ..functions.sequence import BURN, CAP, HALF_LIFE, LAG, LEAST, PEAKS, SURPRISE_CAP, TINY
+
 PATH = ("series_id", "part")
-TINY = 1e-12
 
 
 def nearest_window(t: Column) -> Column:

@@ -3,24 +3,28 @@ residuals and squares, each judged against its own path over the series' break-f
 
 from __future__ import annotations
 
-import math
+from collections.abc import Collection, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import modules as m
+from ..functions import sequence
 from ..sources.scratch import materialize
+from ..sources.series import spread_evenly
 from . import history as h
 from . import pathnull as pn
 from . import scan
 
 KEYS = ("series_id", "part")
 #: Detectors by what is given of them: the whole pack, level and peak, the level alone, and the sign with a robust score.
-FULL = ("cz50", "ce50", "sq50", "glz")
-SMALL = ("cz25", "cz100", "ce25", "sq25", "phu", "phd", "srz", "gle")
-LEVEL = {"cz50_up": "cz50_up", "cz50_dn": "cz50_dn", "ce50_up": "ce50_up", "ce50_dn": "ce50_dn", "sq50_up": "sq50_up", "sq50_dn": "sq50_dn", "glz_mix": "glz_mix"}
-ROBUST = {"ew8_z": "ew8", "ew32_z": "ew32", "ew128_z": "ew128", "ewv32_z": "ewv"}
+FULL, SMALL, ROBUST = sequence.FULL, sequence.SMALL, sequence.ROBUST
+LEVEL = {d: d for d in sequence.LEVEL}
 SHAPE = ("cur", "pk", "dpk", "tsp", "per", "slp", "rel")
-HOT, MIX_CAP, DYADIC, SLACK_PH, SHIFT, EPS = 2.0, 40.0, 9, 0.5, 0.5, 1e-6
+HOT, MIX_CAP, DYADIC, SLACK_PH, SHIFT, EPS = sequence.HOT, sequence.MIX_CAP, sequence.DYADIC, sequence.SUMS["ph"], sequence.SHIFT, sequence.EPS
 
 
 def inputs(obs: DataFrame, n_hist: int) -> DataFrame:
@@ -75,8 +79,42 @@ def columns() -> list[str]:
     return [*packs, *LEVEL, *ROBUST, "ew32_pkrel", "ew32_slp", "xc_max_cur", "xc_n_hot", "xc_max_pk"]
 
 
-def sequential(obs: DataFrame, n_hist: int) -> DataFrame:
-    """(series_id, t, 60 columns) of every online row."""
+#: Online rows of the series whose columns go out in one batch.
+BATCH_ROWS = 8192
+
+
+def sequential(obs: DataFrame, n_hist: int, digits: int | None = None, exact: Collection[str] = ()) -> DataFrame:
+    """(series_id, t, 60 columns) of every online row, to ``digits`` decimals but for those ending in ``exact``. A series is the bounded unit: its values are shuffled once, and its paths, nulls
+    and ranks come from one pass over them, so what is written is the input and the result. ``by_windows`` gives the same for series of any length."""
+    names = columns()
+
+    def batch(held: list[tuple[pa.Scalar, dict[str, np.ndarray]]]) -> pa.RecordBatch:
+        n = [len(got[names[0]]) for _, got in held]
+        key = pa.array([k.as_py() for k, _ in held], held[0][0].type).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        cells = {c: np.concatenate([got[c] for _, got in held]) for c in names}
+        cells = {c: v if digits is None or c.endswith(tuple(exact)) else np.round(v, digits) + 0.0 for c, v in cells.items()}
+        return pa.RecordBatch.from_arrays([key, pa.array(np.concatenate([np.arange(k) for k in n])), *[pa.array(cells[c], from_pandas=True) for c in names]], ["series_id", "t", *names])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for key, cents in m.values_of(batches, "cents"):
+            if len(cents) <= n_hist:
+                continue
+            held.append((key, sequence.columns(cents, n_hist)))
+            waiting += len(cents) - n_hist
+            if waiting >= BATCH_ROWS:
+                yield batch(held)
+                held, waiting = [], 0
+        if held:
+            yield batch(held)
+
+    schema = T.StructType([T.StructField("series_id", obs.schema["series_id"].dataType), T.StructField("t", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names]])
+    return spread_evenly(obs.select("series_id", "i", "cents")).sortWithinPartitions("series_id", "i").select("series_id", "cents").mapInArrow(run, schema)
+
+
+def by_windows(obs: DataFrame, n_hist: int) -> DataFrame:
+    """``sequential`` as a composition of window functions, scans and joins, for series that do not fit a task: every null sample and every value that is ranked among them is a row, so it
+    writes many times what the input takes."""
     rows = materialize(inputs(obs, n_hist), "rows").repartition("series_id")
     signed = list(ROBUST.values())
     means = scanned_paths(rows).withColumns({f"{n}_signed": F.col(n) for n in signed} | {n: F.abs(n) for n in signed})

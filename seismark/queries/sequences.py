@@ -105,8 +105,7 @@ def path_null(spark, sf):
 
 
 def sequential(spark, sf):
-    made = sq.sequential(obs(spark, sf, SUPPLIER), N)
-    return made.select("series_id", "t", *[F.col(c) if c.endswith(SHARES) else F.round(c, 5).alias(c) for c in sq.columns()])
+    return sq.sequential(obs(spark, sf, SUPPLIER), N, 5, SHARES)
 
 
 QUERIES |= {"q_path_null": path_null, "q_feat_m01_seq": sequential}

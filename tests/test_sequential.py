@@ -81,3 +81,20 @@ def test_a_break_is_surprising_and_calm_is_not(obs):
 
 def test_without_online_rows(obs):
     assert sq.sequential(obs.filter("i < 400"), N).count() == 0 and sq.path_surprise(obs.limit(0), N).count() == 0
+
+
+def test_one_pass_writes_no_null_samples_and_gives_what_windows_give(obs):
+    """Every null sample and every value ranked among them was a row that was shuffled, and the paths were written twice."""
+    made = sq.sequential(obs, N)
+    plan = made._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "explode" not in plan and "generate" not in plan and not made.inputFiles()
+    for n, rows in ((N, obs.filter("series_id <> 4")), (33, obs.filter("series_id < 3 and i < 70")), (9, obs.filter("series_id = 1 and i < 40"))):
+        got = {(r.series_id, r.t): r for r in sq.sequential(rows, n).collect()}
+        want = sq.by_windows(rows, n).collect()
+        assert len(got) == len(want) > 20
+        for r in want:
+            for c in sq.columns():
+                a, b = r[c], got[r.series_id, r.t][c]
+                assert (a is None) == (b is None) and (a is None or b == pytest.approx(a, abs=1e-6)), (n, r.series_id, r.t, c)
+    rounded = sq.sequential(obs, N, 3, ("_tsp",)).filter("series_id = 1").collect()
+    assert all(r.cz50_cur == round(r.cz50_cur, 3) for r in rounded) and any(r.cz50_tsp != round(r.cz50_tsp, 3) for r in rounded)
