@@ -83,9 +83,9 @@ def columns() -> list[str]:
 BATCH_ROWS = 8192
 
 
-def sequential(obs: DataFrame, n_hist: int, digits: int | None = None, exact: Collection[str] = ()) -> DataFrame:
+def sequential(obs: DataFrame, n_hist: int, digits: int | None = None, exact: Collection[str] = (), spread: bool = True) -> DataFrame:
     """(series_id, t, 60 columns) of every online row, to ``digits`` decimals but for those ending in ``exact``. A series is the bounded unit: its values are shuffled once, and its paths, nulls
-    and ranks come from one pass over them, so what is written is the input and the result. ``by_windows`` gives the same for series of any length."""
+    and ranks come from one pass over them, so what is written is the input and the result (the former not without ``spread``, for rows that are spread by series already). ``by_windows`` gives the same for series of any length."""
     names = columns()
 
     def batch(held: list[tuple[pa.Scalar, dict[str, np.ndarray]]]) -> pa.RecordBatch:
@@ -109,7 +109,8 @@ def sequential(obs: DataFrame, n_hist: int, digits: int | None = None, exact: Co
             yield batch(held)
 
     schema = T.StructType([T.StructField("series_id", obs.schema["series_id"].dataType), T.StructField("t", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names]])
-    return spread_evenly(obs.select("series_id", "i", "cents")).sortWithinPartitions("series_id", "i").select("series_id", "cents").mapInArrow(run, schema)
+    rows = obs.select("series_id", "i", "cents")
+    return (spread_evenly(rows) if spread else rows).sortWithinPartitions("series_id", "i").select("series_id", "cents").mapInArrow(run, schema)
 
 
 def by_windows(obs: DataFrame, n_hist: int) -> DataFrame:

@@ -105,7 +105,7 @@ def path_null(spark, sf):
 
 
 def sequential(spark, sf):
-    return sq.sequential(obs(spark, sf, SUPPLIER), N, 5, SHARES)
+    return sq.sequential(obs(spark, sf, SUPPLIER, spread=True), N, 5, SHARES, spread=False)
 
 
 QUERIES |= {"q_path_null": path_null, "q_feat_m01_seq": sequential}

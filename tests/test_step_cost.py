@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from seismark.operators import detectors as det
 from seismark.operators import panel, scan
 from seismark.plans import battery, learn
 from seismark.queries import QUERIES
+from seismark.sources import series
 from seismark.streaming import engine
 
 
@@ -133,6 +136,33 @@ def test_a_scan_is_judged_by_many_restarts_of_a_short_history():
             assert np.allclose(alone[0].samples[i], np.sort([k.focus_path(one[p : p + 16])[0][-1] for p in places]))
 
 
+def test_costly_functions_of_series_are_spread_by_rows(spark, monkeypatch):
+    """Spark left the repartition out, as the numbering had grouped the rows already, and joined its own partitions into one or a few."""
+    monkeypatch.setattr(series, "SPREAD_ROWS", 500)
+    for name in ("q_feat_all", "q_feat_m18_wctm", "q_feat_m17_hankel_dmd", "q_feat_m01_seq"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+        assert re.findall(r"hashpartitioning\(series_id#\d+L, (\d+)\), (\w+)", plan) == [(str(-(-rows // 500)), "REPARTITION_BY_NUM")], name
+    got = QUERIES["q_feat_m18_wctm"](spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(series, "SPREAD_ROWS", 1 << 14)
+    assert got.exceptAll(QUERIES["q_feat_m18_wctm"](spark, "/root/testdata/sf0.001")).count() == 0
+
+
+def test_scans_of_several_series_are_those_of_each():
+    rng = np.random.default_rng(13)
+    for n in (0, 1, 9, 33, 70, 300):
+        x = np.concatenate((rng.normal(size=(3, n)), np.zeros((1, n)), rng.integers(-1, 2, (2, n))))
+        got = k.focus_paths(x)
+        for r, one in enumerate(x):
+            assert all(np.array_equal(a[r], b) for a, b in zip(got, k.focus_path(one), strict=True))
+            s = np.concatenate(([0.0], np.cumsum(one)))
+            for t in range(1, n + 1, 7):
+                d = t - np.arange(t)
+                gain = (s[t] - s[:t]) ** 2 / (2 * d)
+                far = gain[np.abs(np.log(d) - np.log(got[1][r, t - 1])) > 2.0]
+                assert got[0][r, t - 1] == gain.max() and got[1][r, t - 1] == d[gain.argmax()] and got[2][r, t - 1] == max(far, default=0.0)
+
+
 def test_nulls_of_several_statistics_are_those_of_each():
     rows = {16: np.random.default_rng(5).normal(size=(4, 90)), 64: np.random.default_rng(6).normal(size=(4, 7)), 256: np.zeros((4, 0))}
     lengths = np.array(list(rows))
