@@ -77,9 +77,25 @@ def raw_scores(rows: DataFrame, arm: Arm, folds: Sequence[int]) -> DataFrame:
     return out.select("series_id", "t", "y", "fold", "score")
 
 
-def scores(rows: DataFrame, arm: Arm, folds: Sequence[int]) -> DataFrame:
+@dataclass
+class Sample:
+    """The rows of a battery, their digest, and what has been fitted on them: arms that differ in persistence alone share their fits."""
+
+    rows: DataFrame
+    digest: str
+    fitted: dict[str, DataFrame] = field(default_factory=dict)
+
+    def raw_scores(self, arm: Arm, folds: Sequence[int]) -> DataFrame:
+        key = key_of(replace(arm, persistence="none"), folds, self.digest)
+        if key not in self.fitted:
+            self.fitted[key] = materialize(raw_scores(self.rows, arm, folds), "raw-scores")
+        return self.fitted[key]
+
+
+def scores(rows: DataFrame | Sample, arm: Arm, folds: Sequence[int]) -> DataFrame:
     """(series_id, t, y, fold, score), out of fold."""
-    return persisted(raw_scores(rows, arm, folds), "score", arm.persistence)
+    raw = rows.raw_scores(arm, folds) if isinstance(rows, Sample) else raw_scores(rows, arm, folds)
+    return persisted(raw, "score", arm.persistence)
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -94,25 +110,21 @@ def run(rows: DataFrame, arms: Sequence[Arm], path: str, folds: Sequence[int] =
     their fits. rows: series_id, t, y, fold and the arms' columns. Returns the keys of all arms."""
     spark, folds = rows.sparkSession, list(folds)
     held = materialize(rows, "sample")
-    sample = sample_digest(held)
+    sample = Sample(held, sample_digest(held))
     done = {r["key"] for r in ledger(spark, path).select("key").collect()}  # a row for each arm ever run
-    keys, fitted = [], {}
+    keys = []
     for arm in arms:
-        key = key_of(arm, folds, sample)
+        key = key_of(arm, folds, sample.digest)
         keys.append(key)
         if key in done:
             continue
-        learned = key_of(replace(arm, persistence="none"), folds, sample)
-        if learned not in fitted:
-            fitted[learned] = materialize(raw_scores(held, arm, folds), "raw-scores")
-        raw = fitted[learned]
-        scored = materialize(persisted(raw, "score", arm.persistence).withColumn("score", F.round("score", 9)), "scores")
+        scored = materialize(scores(sample, arm, folds).withColumn("score", F.round("score", 9)), "scores")
         per = {r["fold"]: r["auc"] for r in p.pooled(p.per_step(scored, "fold", "t"), "fold").collect()}
         each = [per.get(f, 0.5) for f in folds]
         pooled = p.pooled(p.per_step(scored, "t")).first()["auc"]
         mean = sum(each) / len(each)
         sd = (sum((v - mean) ** 2 for v in each) / len(each)) ** 0.5
-        row = (key, arm.name, ",".join(arm.columns), arm.learner, json.dumps(arm.settings, sort_keys=True), arm.persistence, ",".join(map(str, folds)), sample, pooled, mean, sd, each)
+        row = (key, arm.name, ",".join(arm.columns), arm.learner, json.dumps(arm.settings, sort_keys=True), arm.persistence, ",".join(map(str, folds)), sample.digest, pooled, mean, sd, each)
         append_ledger(spark.createDataFrame([row], LEDGER).coalesce(1), path)
         done.add(key)
     return keys
